@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -154,18 +155,33 @@ def window_hashes(words: np.ndarray, k: int, seed: int = 1) -> np.ndarray:
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """(node, label): the smallest node each node reaches over ``edges`` (a, b), for nodes that have an edge.
 
-    Each round gives a node the least label among itself, its neighbours and its label's label; the rounds stop when
-    nothing changes. Minimums are combined before each shuffle, so that a node with very many edges is no hot task.
+    Each round points every node to the least of itself and its neighbours and contracts the graph along these
+    pointers, until no edge is left; the rounds' pointers are then followed. A component's least node always points to
+    itself. Minimums are combined before each shuffle, so that a node with very many edges is no hot task.
     """
-    both = materialize(edges.where("a <> b").select("a", "b").distinct(), f"{tag}-edges")
-    both = both.select("a", "b").union(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), f"{tag}-labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = materialize(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), f"{tag}-labels")
-        changed = new.where("label <> old").limit(1).count()
-        labels = new.select("node", "label")
-        if not changed:
-            return labels
+    left = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{tag}-edges")
+    labels = None
+    while labels is None or not is_empty(left):
+        ends = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
+        to = materialize(ends.groupBy(F.col("e.a").alias("node")).agg(F.min("e.b").alias("least")).select("node", F.least("node", "least").alias("to")), f"{tag}-pointers")
+        side = lambda n: to.select(F.col("node").alias(n), F.col("to").alias(f"to_{n}"))  # noqa: B023, E731
+        moved = left.join(side("a"), "a").join(side("b"), "b").where("to_a <> to_b")
+        left = materialize(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), f"{tag}-edges")
+        if labels is None:
+            labels = to.select("node", F.col("to").alias("label"))
+        else:
+            labels = labels.join(to.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    return labels
+
+
+@contextmanager
+def runtime_filters(spark: SparkSession):
+    """Within, Spark may put a Bloom filter of a join's smaller side (of bounded size, by its own settings) before the
+    shuffle of the larger one, however small that is; by default it does so from 10 GB."""
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1MB")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialize, scratch_path, text_chunks, window_hashes, word_hashes, word_spans
+from ledgerloom.llm.common import materialize, runtime_filters, scratch_path, text_chunks, window_hashes, word_hashes, word_spans
 
 
 def _least(g: np.ndarray, width: int) -> np.ndarray:
@@ -166,7 +166,9 @@ def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 10, batches:
         shared = part if shared is None else shared.union(part)
     # a fingerprint is shared for all documents that hold it, those of earlier batches too
     held = marks.join(shared.distinct(), "mark").groupBy("doc_id").agg(F.collect_list("mark").alias("shared"))
-    texts = materialize(docs.where("text is not null").join(held, "doc_id").select("doc_id", "text", "shared"), "substring-texts")
+    held = materialize(held, "substring-held")
+    with runtime_filters(spark):
+        texts = materialize(docs.join(held.where("size(shared) > 0"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "shared"), "substring-texts")
     rows = materialize(texts.mapInArrow(_emit(window, gram), "kind byte, h1 long, h2 int, doc_id long, pos int"), "substring-windows")
     own = rows.where("kind = 0")
     first = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
