@@ -12,7 +12,7 @@ def _at(uri: str) -> tuple[fs.FileSystem, str]:
 def open_to_write(uri: str):
     store, path = _at(uri)
     store.create_dir(path.rpartition("/")[0], recursive=True)
-    return store.open_output_stream(path, buffer_size=1 << 20)
+    return store.open_output_stream(path, compression=None, buffer_size=1 << 20)  # else a name in .gz is compressed once more
 
 
 def open_to_read(uri: str):
