@@ -53,34 +53,46 @@ def _before(lengths: Column, block: int = 256) -> Column:
     return F.flatten(sums["p"])
 
 
-def _lengths(text: Column, pattern: str, found: str) -> Column:
-    """For each match: the length of the text before it and after the last match, and of the match."""
-    gaps = F.split(text, pattern)
-    return F.transform(F.col(found), lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), F.length(m).alias("len")))
-
-
-def find_spans(rows: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+def find_spans(rows: DataFrame, text: str, patterns: dict[str, tuple[str, Column]], beside: frozenset[str] = frozenset()) -> DataFrame:
     """``rows`` with one column for each name: array<struct<start, end, s>> of the leftmost matches that don't overlap.
 
-    Offsets are code points. A pattern is searched where its condition holds. Steps are columns of their own, each
-    referred to more than once, so that none is computed anew for each element.
+    Offsets are code points. A pattern is searched where its condition holds. Those of ``beside`` have two more fields:
+    what stands before a match, back to the match before it (``CONTEXT`` code points), and the two that follow. Steps
+    are columns of their own, each referred to more than once, so that none is computed anew for each element.
     """
     none = F.array().cast("array<string>")
     t = F.col(text)
     rows = rows.withColumns({f"{k}_m": F.when(c, F.regexp_extract_all(t, F.lit(p), F.lit(0))).otherwise(none) for k, (p, c) in patterns.items()})
-    rows = rows.withColumns({f"{k}_g": F.when(F.size(f"{k}_m") > 0, F.slice(F.split(t, p), 1, F.size(f"{k}_m"))).otherwise(F.slice(f"{k}_m", 1, 0)) for k, (p, _) in patterns.items()})
+    rows = rows.withColumns({f"{k}_s": F.when(F.size(f"{k}_m") > 0, F.split(t, p)).otherwise(F.slice(f"{k}_m", 1, 0)) for k, (p, _) in patterns.items()})
+    rows = rows.withColumns({f"{k}_g": F.slice(f"{k}_s", 1, F.size(f"{k}_m")) for k in patterns} | {f"{k}_n": F.slice(f"{k}_s", 2, F.size(f"{k}_m")) for k in beside})
     rows = rows.withColumns({f"{k}_l": F.zip_with(f"{k}_g", f"{k}_m", lambda g, m: F.length(g) + F.length(m)) for k in patterns})
     rows = rows.withColumns({f"{k}_b": F.when(F.size(f"{k}_l") > 0, _before(F.col(f"{k}_l"))).otherwise(F.slice(f"{k}_l", 1, 0)) for k in patterns})
 
     def spans(k):
-        def one(z):
+        def one(z, i):
             start = z[f"{k}_b"] + F.length(z[f"{k}_g"])
-            return F.struct(start.alias("start"), (start + F.length(z[f"{k}_m"])).alias("end"), z[f"{k}_m"].alias("s"))
+            fields = [start.alias("start"), (start + F.length(z[f"{k}_m"])).alias("end"), z[f"{k}_m"].alias("s")]
+            if k in beside:
+                last, next_ = (F.coalesce(F.get(f"{k}_m", j), F.lit("")) for j in (i - 1, i + 1))
+                fields += [F.substring(F.concat(last, z[f"{k}_g"]), -CONTEXT, CONTEXT).alias("left"), F.substring(F.concat(z[f"{k}_n"], next_), 1, 2).alias("right")]
+            return F.struct(*fields)
 
-        return F.transform(F.arrays_zip(f"{k}_b", f"{k}_g", f"{k}_m"), one)
+        return F.transform(F.arrays_zip(f"{k}_b", f"{k}_g", f"{k}_m", *([f"{k}_n"] if k in beside else [])), one)
 
     rows = rows.withColumns({k: spans(k) for k in patterns})
-    return rows.drop(*(f"{k}_{x}" for k in patterns for x in "mglb"))
+    return rows.drop(*(f"{k}_{x}" for k in patterns for x in "msglbn"))
+
+
+def clear_of(base: str, more: str) -> Column:
+    """The spans of ``more`` that overlap none of ``base``; neither overlaps itself. In order of start, the place of a
+    span in both less its place in ``more`` is the number of base spans that start no later, which gives its neighbours."""
+    fields = ("start", "kind", "end", "s", "left", "right")
+    tag = lambda spans, kind, of: F.transform(spans, lambda x: F.struct(*((F.lit(kind) if f == "kind" else x[f] if f in of else F.lit("")).alias(f) for f in fields)))
+    both = F.sort_array(F.concat(tag(base, 0, ("start", "end", "s")), tag(more, 1, fields)))
+    placed = F.filter(F.transform(both, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda y: y["x"]["kind"] == 1)
+    at = F.transform(placed, lambda y, j: F.struct(y["x"].alias("x"), (y["i"] - j).alias("n")))
+    hit = lambda z: F.coalesce(F.get(base, z["n"] - 1)["end"] > z["x"]["start"], F.lit(False)) | F.coalesce(F.get(base, z["n"])["start"] < z["x"]["end"], F.lit(False))
+    return F.transform(F.filter(at, lambda z: ~hit(z)), lambda z: z["x"])
 
 
 def _digits(s: Column) -> Column:
@@ -160,19 +172,18 @@ def find_pii(docs: DataFrame, trained: dict | None = None) -> DataFrame:
     t, num = F.col("pii_text"), F.col("pii_num")
     asked = {f"pii_{k}": (p, num if guard is None else (num & t.contains(guard)) if k != "email" else t.contains(guard)) for k, (p, guard) in BASE.items()}
     asked |= {f"pii_x{k}": (p, (num if k != "email" else F.lit(True)) & t.rlike(test)) for k, (p, test) in MORE.items()}
-    rows = find_spans(rows, "pii_text", asked)
+    rows = find_spans(rows, "pii_text", asked, frozenset(f"pii_x{k}" for k in KINDS))
     passing = lambda k: F.filter(f"pii_{k}", lambda x: _base_ok(k, x["s"]))
     rows = rows.withColumns({f"pii_{k}": passing(k) for k in KINDS})
+    rows = rows.withColumns({f"pii_x{k}": F.when(F.size(f"pii_x{k}") > 0, clear_of(f"pii_{k}", f"pii_x{k}")) for k in KINDS})
 
     def chosen_of(i, k):
         def chosen(x):
-            left = F.substring(t, F.greatest(F.lit(1), x["start"] + 1 - CONTEXT), F.least(x["start"], F.lit(CONTEXT)))
-            right = F.substring(t, x["end"] + 1, F.lit(2))
-            clear = ~F.exists(f"pii_{k}", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-            described = F.array(F.array(*features(i, x["s"], left, right)))  # bound to a name by the lambda, so computed once
-            return clear & F.exists(described, lambda f: score(f, trained["trees"]) >= trained["cut"][k])
+            described = F.array(F.array(*features(i, x["s"], x["left"], x["right"])))  # bound to a name by the lambda, so computed once
+            return F.exists(described, lambda f: score(f, trained["trees"]) >= trained["cut"][k])
 
-        return F.filter(f"pii_x{k}", chosen)
+        kept = F.transform(F.filter(f"pii_x{k}", chosen), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s")))
+        return F.coalesce(kept, F.slice(f"pii_{k}", 1, 0))
 
     rows = rows.withColumns({f"pii_x{k}": chosen_of(i, k) for i, k in enumerate(KINDS)})
     base = F.struct(*(F.col(f"pii_{k}").alias(k) for k in KINDS)).alias("pii_base")
