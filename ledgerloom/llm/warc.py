@@ -20,6 +20,7 @@ from ledgerloom.llm.common import materialize, scratch_path
 from ledgerloom.llm.files import open_to_read, open_to_write
 
 INDEX = "page_id long, url string, payload_digest string, archive string, offset long, length long, record_type string, refers_to long"
+TASK_BYTES = 64 << 20  # of archives to one reading task, about
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -135,5 +136,8 @@ def read_records(index: DataFrame, where: Column | None = None, gap: int = 1 <<
     """
     chosen = index if where is None else index.where(where)
     chosen = chosen.select("archive", "offset", "length").distinct()
-    dealt = chosen.repartition("archive", F.floor(F.col("offset") / (16 << 20))).sortWithinPartitions("archive", "offset")
+    # as many tasks as the archives' bytes ask for; by the index's own bytes, Spark would join far too many to one
+    amount = chosen.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-amount // TASK_BYTES))
+    dealt = chosen.repartition(tasks, "archive", F.floor(F.col("offset") / (16 << 20))).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(_read(gap, most, payloads), READ)

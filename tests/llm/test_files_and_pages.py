@@ -77,7 +77,7 @@ def test_warc(spark):
         to = max(j for j, _, g in rows if g == h) if len(raw) >= 1000 else i
         kind = "response" if to == i else "revisit"
         want.append((i, u, len(raw), hashlib.sha1(raw).hexdigest(), kind, None if to == i else to, raw if to == i else None))
-    assert sorted(map(str, ((*x[:6], x[6] and bytes(x[6])) for x in got))) == sorted(map(str, ((*x[:6], x[6] or None) for x in want)))
+    assert sorted(map(str, ((*x[:6], None if x[6] is None else bytes(x[6])) for x in got))) == sorted(map(str, want))
     assert [x.page_id for x in warc.read_records(index, F.col("page_id") == 7, gap=0).collect()] == [7]
     assert warc.read_records(warc.write_archives(pages.where("false"))).count() == 0
     spans = {}
