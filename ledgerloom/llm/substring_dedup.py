@@ -18,7 +18,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialize, runtime_filters, scratch_path, text_chunks, window_hashes, word_hashes, word_spans
@@ -171,8 +171,9 @@ def dedup_substrings(docs: DataFrame, window: int = 50, gram: int = 10, batches:
         texts = materialize(docs.join(held.where("size(shared) > 0"), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "shared"), "substring-texts")
     rows = materialize(texts.mapInArrow(_emit(window, gram), "kind byte, h1 long, h2 int, doc_id long, pos int"), "substring-windows")
     own = rows.where("kind = 0")
-    first = own.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    again = own.join(first, ["h1", "h2"]).where("doc_id > least").select("doc_id", "pos").union(rows.where("kind = 1").select("doc_id", "pos"))
+    # a window has a row or so a task here, so that none is a hot group, and one shuffle serves to find and to mark
+    least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
+    again = own.withColumn("least", least).where("doc_id > least").select("doc_id", "pos").union(rows.where("kind = 1").select("doc_id", "pos"))
     starts = again.groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
     cut = texts.select("doc_id", "text").join(starts, "doc_id").mapInArrow(_cut(window), "doc_id long, n_removed long, kept_sha256 string, kept string")
     out = facts.select("doc_id", "n_words", "sha").join(cut, "doc_id", "left")
