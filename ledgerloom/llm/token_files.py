@@ -14,6 +14,7 @@ import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -185,9 +186,15 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(maxsize=2)
+def encoder_for(name: str) -> UnitEncoder:
+    """One a Python worker, with the units that its tasks have met; their number is bounded."""
+    return UnitEncoder(tokenizer_path(name))
+
+
 def _encode(name: str, end_id: int):
     def run(batches):
-        coder = UnitEncoder(tokenizer_path(name))
+        coder = encoder_for(name)
         end = coder._pack([end_id])
         for b in batches:
             column, ids = b.column("text"), b.column("doc_id")
