@@ -10,7 +10,6 @@
 from __future__ import annotations
 
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -18,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,7 +125,7 @@ class UnitEncoder:
     """Encodes texts cut before each space, where the tokenizer's own word pattern cuts too unless another white space
     stands beside it; such texts are encoded whole. Units are remembered up to ``most``, then the older half goes."""
 
-    ODD = re.compile(r"\s\s")
+    ODD = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]{2}"  # in Arrow's pattern language: two signs of Unicode white space
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -155,18 +155,14 @@ class UnitEncoder:
                 self.known[u] = packed[a:b]
                 a = b
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        plain = [None if self.ODD.search(t) else t.split(" ") for t in texts]
-        need = set()
-        for p in plain:
-            if p:
-                need.update(p[1:])
-        need.discard("")
+    def _units(self, dictionary: pa.Array) -> list[bytes]:
+        """The ids of each distinct unit with a space before it."""
+        units = dictionary.to_pylist()
         if len(self.known) > self.most:
             self.known, self.older = {}, self.known
         missing = []
-        for u in need:
-            if u not in self.known:
+        for u in units:
+            if u and u not in self.known:
                 old = self.older.get(u)
                 if old is None:
                     missing.append(u)
@@ -174,10 +170,34 @@ class UnitEncoder:
                     self.known[u] = old
         self._learn(missing)
         self.known[""] = self.space
-        whole = [t if p is None else p[0] for t, p in zip(texts, plain, strict=True)]
-        heads = self.tok.encode_batch_fast(whole, add_special_tokens=False)
-        get = self.known.__getitem__
-        return [self._pack(h.ids) + (b"".join(map(get, p[1:])) if p else b"") for h, p in zip(heads, plain, strict=True)]
+        return list(map(self.known.__getitem__, units))
+
+    def _whole(self, texts: pa.Array) -> list[bytes]:
+        return [self._pack(x.ids) for x in self.tok.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """The packed ids of each text: units are told apart and put together by Arrow, a task's batch at once."""
+        odd = pc.match_substring_regex(column, self.ODD)
+        out: list[bytes] = [b""] * len(column)
+        for i, x in zip(pc.indices_nonzero(odd).to_pylist(), self._whole(column.filter(odd)), strict=True):
+            out[i] = x
+        plain = column.filter(pc.invert(odd))
+        if not len(plain):
+            return out
+        parts = pc.split_pattern(plain, " ")
+        first, coded = parts.offsets.to_numpy().astype(np.int64), parts.flatten().dictionary_encode()
+        first = first - first[0]
+        ids = self._units(coded.dictionary)
+        at = coded.indices.to_numpy().astype(np.int64)
+        at[first[:-1]] = len(ids) + np.arange(len(plain))  # a text's first unit has no space before it
+        ids += self._whole(parts.flatten().take(pa.array(first[:-1])))
+        size = np.array([len(x) for x in ids], np.int64)
+        table = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.concatenate(([0], np.cumsum(size)))), pa.py_buffer(b"".join(ids))])
+        data = table.take(pa.array(at)).buffers()[2].to_pybytes()
+        ends = np.concatenate(([0], np.cumsum(size[at])))[first]
+        for i, a, b in zip(pc.indices_nonzero(pc.invert(odd)).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            out[i] = data[a:b]
+        return out
 
 
 def tokenizer_path(name: str) -> str:
@@ -198,10 +218,9 @@ def _encode(name: str, end_id: int):
         end = coder._pack([end_id])
         for b in batches:
             column, ids = b.column("text"), b.column("doc_id")
-            for i, j, data, off in text_chunks(column):
-                raw = data.tobytes()
-                texts = [raw[off[k] : off[k + 1]].decode() for k in range(j - i)]
-                got = [x + end for x in coder.encode(texts)]
+            for i, j, _, _ in text_chunks(column, 8_000_000):
+                part = pc.fill_null(column.slice(i, j - i), "")
+                got = [x + end for x in coder.encode(part)]
                 # low bytes, then high ones: the written table's compression does better on them
                 planes = [np.frombuffer(x, np.uint8).reshape(-1, coder.dtype.itemsize).T.tobytes() for x in got]
                 n = [len(x) // coder.dtype.itemsize for x in got]
