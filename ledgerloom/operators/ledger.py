@@ -202,3 +202,56 @@ def compare_sheets(ours: DataFrame, key: DataFrame, identity: list[str], fields:
         return pd.DataFrame(out, columns=[*identity, "category", "field", "ours", "theirs"])
 
     return text(ours).groupBy(*identity).cogroup(text(key).groupBy(*identity)).applyInPandas(run, schema)
+
+
+def reconcile_companions(rows: DataFrame, roles: DataFrame, keys: list[str], order: list[str], overlay: list[str], upload: str = "upload_id") -> DataFrame:
+    """Statements of one key in several uploads. Where both roles are there, the detail's largest upload is the base and
+    the summary's largest one is laid over it, row by row in ``order``: its ``overlay`` fields that are not blank win, rows
+    that only one side has stay. Else the largest upload stays. Keys with one upload stay as they are.
+
+    ``roles``: ``upload``, role ('publisher_detail' or 'broker_summary'); other uploads play none.
+    """
+    own = rows.join(roles.select(upload, "role"), upload, "left")
+    counts = own.groupBy(*keys, upload, "role").agg(F.count("*").alias("_n"))
+    largest = lambda cond: F.min(F.when(cond, F.struct((-F.col("_n")).alias("n"), F.col(upload).alias("id"))))["id"]
+    plan = counts.groupBy(*keys).agg(F.count("*").alias("_uploads"), largest(F.lit(True)).alias("_any"), largest(F.col("role") == "publisher_detail").alias("_base"), largest(F.col("role") == "broker_summary").alias("_over"))
+    same = reduce(lambda a, b: a & b, (F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) for k in keys))
+    met = own.alias("r").join(plan.alias("p"), same).select("r.*", "_uploads", "_any", "_base", "_over")
+    paired = (F.col("_uploads") > 1) & F.col("_base").isNotNull() & F.col("_over").isNotNull()
+    side = F.when(~paired, F.when((F.col("_uploads") == 1) | (F.col(upload) == F.col("_any")), 0)).when(F.col(upload) == F.col("_base"), 0).when(F.col(upload) == F.col("_over"), 1)
+    kept = met.withColumns({"_side": side, "_paired": paired}).where("_side is not null").select(*rows.columns, "_side", "_paired")
+    place = Window.partitionBy(*keys, "_side").orderBy(*order)
+    single = kept.where("not _paired").select(*rows.columns)
+    both = kept.where("_paired").withColumn("_at", F.row_number().over(place))
+    pair = both.groupBy(*keys, "_at").agg(*(F.max(F.when(F.col("_side") == s, F.struct(*rows.columns))).alias(n) for s, n in ((0, "_b"), (1, "_o"))))
+
+    def cell(c: str) -> Column:
+        first = F.when(F.col("_b").isNotNull(), F.col(f"_b.{c}")).otherwise(F.col(f"_o.{c}"))
+        if c not in overlay:
+            return first.alias(c)
+        over = F.col(f"_o.{c}")
+        return F.when(F.trim(over.cast("string")) != "", over).otherwise(first).alias(c)
+
+    return single.union(pair.select(*map(cell, rows.columns)))
+
+
+def title_aliases(base: DataFrame, least: int = 8) -> DataFrame:
+    """(channel, alias, canonical): signatures of ``base`` (channel, canonical, signature), and for those of ``least`` signs
+    or more each deletion of one sign and of one or two last punctuation marks. canonical is null where titles collide."""
+    s, n = F.col("signature"), F.char_length("signature")
+    cut = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, n)))
+    mark = r"\p{P}$"
+    ends = F.when(s.rlike(r"\p{P}\p{P}$"), F.array(F.substring(s, F.lit(1), n - 1), F.substring(s, F.lit(1), n - 2))).when(s.rlike(mark), F.array(F.substring(s, F.lit(1), n - 1))).otherwise(F.array().cast("array<string>"))
+    all_ = F.when(n >= least, F.concat(F.array(s), cut, ends)).otherwise(F.array(s))
+    rows = base.where(n > 0).select("channel", "canonical", F.explode(F.array_distinct(all_)).alias("alias"))
+    one = F.when(F.min("canonical") == F.max("canonical"), F.min("canonical"))
+    return rows.groupBy("channel", "alias").agg(one.alias("canonical"))
+
+
+def consolidate_siblings(rows: DataFrame, keys: list[str], money_columns: list[str], source: str) -> DataFrame:
+    """Rows of one key as one: amounts added where any is there, other columns from the least row, and its sources."""
+    rest = [c for c in rows.columns if c not in {*keys, *money_columns}]
+    least = F.min_by(F.struct(*rest), F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}))
+    sources = F.array_sort(F.collect_set(F.when(F.trim(F.col(source).cast("string")) != "", F.col(source).cast("string"))))
+    out = rows.groupBy(*keys).agg(least.alias("_r"), *(F.sum(m).alias(m) for m in money_columns), F.count("*").alias("source_count"), F.concat_ws(",", sources).alias("sources"))
+    return out.select(*(c if c not in rest else F.col(f"_r.{c}").alias(c) for c in rows.columns), "source_count", "sources")

@@ -11,8 +11,10 @@ from ledgerloom.functions import money
 from ledgerloom.functions import text as T
 from ledgerloom.operators import analytics as A
 from ledgerloom.operators import ledger as L
+from ledgerloom.operators import masters as M
 from ledgerloom.plans import views as V
 from ledgerloom.plans.views import AS_OF
+from ledgerloom.sources.reports import report_rows, workbook_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -180,3 +182,25 @@ query("c02_product_type", "SELECT p_partkey, CASE WHEN p_name LIKE '%bolt%' THEN
 query("c15_json_access", "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")(lambda s, d: V.table(s, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k")))
 query("c16_content_hash", "SELECT page_id, sha256(coalesce(html, '')) AS sha FROM pages")(lambda s, d: V.table(s, d, "pages").select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("sha")))
 query("c17_levenshtein", "SELECT a.base_title AS a, b.base_title AS b, levenshtein(a.base_title, b.base_title) AS distance FROM (SELECT DISTINCT base_title FROM titles) a JOIN (SELECT DISTINCT base_title FROM titles) b ON split_part(a.base_title, ' ', 2) = split_part(b.base_title, ' ', 2) AND a.base_title < b.base_title", "titles")(lambda s, d: (lambda t: t.select(F.col("base_title").alias("a"), F.split_part("base_title", F.lit(" "), F.lit(2)).alias("k")).join(t.select(F.col("base_title").alias("b"), F.split_part("base_title", F.lit(" "), F.lit(2)).alias("k")), "k").where("a < b").select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance")))(V.titles(s, d).select("base_title").distinct()))
+
+# ---------------------------------------------------------------- masters and sinks
+on_sales("b10_initial_sales", "+d AS (SELECT title_jp, channel, sale_date, sum(sales_amount) AS t FROM sales GROUP BY 1, 2, 3) SELECT title_jp, channel, genre, min(sale_date) AS launch, CAST(arg_min(t, sale_date) AS BIGINT) AS first_day FROM d JOIN titles USING (title_jp) WHERE channel = 'NATION_3' AND genre = 'SMALL' GROUP BY 1, 2, 3", lambda s, t: M.where_equal(s.join(t.select("title_jp", "genre"), "title_jp"), channel=CH, genre="SMALL", content_format=None).groupBy("title_jp", "channel", "genre", "sale_date").agg(A.total()).groupBy("title_jp", "channel", "genre").agg(F.min("sale_date").alias("launch"), F.min_by("total_sales", "sale_date").alias("first_day")), "titles")
+query("b19_title_master", "+c AS (SELECT company, count(*) AS company_titles FROM titles WHERE company <> 'Brand#4' GROUP BY 1), g AS (SELECT DISTINCT genre, lower(genre) AS genre_name FROM titles WHERE genre IS NOT NULL) SELECT title_jp, t.company, t.genre, company_titles, genre_name FROM titles t LEFT JOIN c ON t.company = c.company LEFT JOIN g ON t.genre = g.genre WHERE episodes > 5", "titles")(lambda s, d: (lambda t: M.title_master(t.select("title_jp", "company", "genre", "episodes"), t.where("company <> 'Brand#4'").groupBy("company").agg(F.count("*").alias("company_titles")), t.where("genre is not null").select("genre", F.lower("genre").alias("genre_name")).distinct(), F.col("episodes") > 5).drop("episodes"))(V.titles(s, d)))
+query("b20_audit_log_page", "SELECT event_id, user_id, event_type, (SELECT count(*) FROM events WHERE event_type = 'error') AS total_count FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 50")(lambda s, d: M.page_of(M.where_equal(V.table(s, d, "events"), event_type="error", user_id=None), [F.desc("ts"), F.col("event_id")], page=2).select("event_id", "user_id", "event_type", "total_count"))
+on_sales("b41_stacked_matrix", "SELECT genre, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN channel = '{c}' THEN sales_amount END), 0) AS BIGINT) AS \"{c}\"" for c in _CHS) + " FROM sales JOIN titles USING (title_jp) WHERE genre IS NOT NULL GROUP BY 1", lambda s, t: M.stacked_matrix(s, t, _CHS), "titles")
+_BOOK = "CASE WHEN episodes % 4 = 0 THEN '-' WHEN episodes % 6 = 1 THEN lower(genre) ELSE genre END"
+query("b47_reconciliation", f"+w AS (SELECT title_jp, {_BOOK} AS genre, company FROM titles WHERE episodes % 5 > 0), m AS (SELECT title_jp, genre, CASE WHEN episodes % 9 > 0 THEN company END AS company FROM titles WHERE episodes < 40), j AS (SELECT m.title_jp AS a, w.title_jp AS b, m.genre AS mg, w.genre AS wg, m.company AS mc, w.company AS wc FROM m FULL JOIN w ON m.title_jp = w.title_jp), x AS (SELECT 'genre' AS field, a, b, mg AS p, wg AS q FROM j UNION ALL SELECT 'company', a, b, mc, wc FROM j) SELECT field, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND q <> '-' AND q = coalesce(p, '')) AS equal, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND q <> '-' AND q <> coalesce(p, '')) AS different, count(*) FILTER (b IS NULL) AS only_in_master, count(*) FILTER (a IS NULL) AS only_in_workbook FROM x GROUP BY 1", "titles")(lambda s, d: (lambda t: M.reconcile(t.where("episodes < 40").select("title_jp", "genre", F.expr("case when episodes % 9 > 0 then company end").alias("company")), t.where("episodes % 5 > 0").select("title_jp", F.expr(_BOOK).alias("genre"), "company"), "title_jp", ["genre", "company"]))(V.titles(s, d)))
+_ASKED = "CASE episodes % 4 WHEN 0 THEN base_title WHEN 1 THEN base_title || ' 12' WHEN 2 THEN substr(base_title, 1, 6) ELSE 'zzz' END"
+query("b48_genre_backfill", f"+k AS (SELECT base_title AS t, genre AS g, CAST(substr(title_jp, 2) AS BIGINT) AS place FROM titles WHERE genre IS NOT NULL), f AS (SELECT t, arg_min(g, place) AS g, min(place) AS place FROM k GROUP BY 1), a AS (SELECT title_jp AS id, {_ASKED} AS title_jp, CASE WHEN episodes % 2 = 0 THEN genre END AS genre FROM titles), b AS (SELECT *, trim(regexp_replace(title_jp, '\\s*[0-9]+$', '')) AS base FROM a), p AS (SELECT base, arg_min(g, place) AS g FROM (SELECT DISTINCT base FROM b WHERE length(base) >= 4) JOIN f ON starts_with(t, substr(base, 1, 10)) GROUP BY 1) SELECT id, b.title_jp, coalesce(b.genre, e.g, h.g, p.g) AS genre, CASE WHEN b.genre IS NOT NULL THEN NULL WHEN e.g IS NOT NULL THEN 'title' WHEN h.g IS NOT NULL THEN 'base' WHEN p.g IS NOT NULL THEN 'prefix' END AS filled_by FROM b LEFT JOIN f e ON e.t = b.title_jp LEFT JOIN f h ON h.t = b.base LEFT JOIN p ON p.base = b.base", "titles")(lambda s, d: (lambda t: M.backfill_genre(t.select(F.col("title_jp").alias("id"), F.expr(_ASKED).alias("title_jp"), F.expr("case when episodes % 2 = 0 then genre end").alias("genre")), t.select(F.col("base_title").alias("title_jp"), "genre", F.expr("cast(substr(title_jp, 2) as bigint)").alias("place"))))(V.titles(s, d)))
+on_sales("k07_report_rows", "SELECT title_jp, channel, CAST(sum(coalesce(sales_amount, 0)) AS BIGINT) AS sales_amount, CAST(sum(coalesce(sales_amount_gross, 0)) AS BIGINT) AS sales_amount_gross FROM sales GROUP BY 1, 2", lambda s: report_rows(s, ["title_jp", "channel"], ["sales_amount", "sales_amount_gross"]))
+on_ledger("k08_workbook_rows", "SELECT batch AS month, channel, coalesce(title_jp, '') AS title, CASE WHEN status <> 'F' THEN gross END AS amount, CASE WHEN status <> 'F' THEN coalesce(fee, 0) END AS fee FROM ledger", lambda r: workbook_rows(r, {"month": F.col("batch"), "channel": F.col("channel"), "title": F.coalesce("title_jp", F.lit("")), "amount": F.col("gross"), "fee": F.coalesce("fee", F.lit(0))}, F.col("status") == "F", ("amount", "fee")))
+query("k14_normalise_names", "SELECT CASE WHEN company = 'Brand#4' THEN 'B4' ELSE company END AS channel, replace(base_title, ' ', ' ') || '[' || company || ']' AS title_jp, episodes FROM titles", "titles")(lambda s, d: M.normalise_names(V.titles(s, d).select(F.col("company").alias("channel"), F.concat(F.regexp_replace("base_title", " ", " \t "), F.lit("  ["), "company", F.lit("］ ")).alias("title_jp"), "episodes"), {"Brand#4": "B4"}))
+_PAIR = ", ".join(f"CASE WHEN b.line IS NOT NULL THEN b.{c} ELSE o.{c} END AS {c}" for c in ("upload_id", "line", "client_id", "channel", "title_jp", "gross"))
+on_ledger("e07_companions", f"""+c AS (SELECT client_id, channel, upload_id, count(*) AS n FROM ledger GROUP BY 1, 2, 3),
+ p AS (SELECT client_id, channel, count(*) AS u, arg_min(upload_id, -n * 10000000000 + upload_id) AS a, arg_min(upload_id, -n * 10000000000 + upload_id) FILTER (upload_id % 3 = 0) AS b, arg_min(upload_id, -n * 10000000000 + upload_id) FILTER (upload_id % 3 = 1) AS o FROM c GROUP BY 1, 2),
+ k AS (SELECT l.*, u, a, b AS pb, o AS po FROM ledger l JOIN p ON l.client_id = p.client_id AND l.channel = p.channel),
+ m AS (SELECT *, row_number() OVER (PARTITION BY client_id, channel, upload_id ORDER BY title_jp, line, gross) AS n FROM k WHERE u > 1 AND pb IS NOT NULL AND po IS NOT NULL AND upload_id IN (pb, po))
+ SELECT upload_id, line, client_id, channel, title_jp, gross, fee FROM k WHERE (u = 1 OR pb IS NULL OR po IS NULL) AND upload_id = a
+ UNION ALL SELECT {_PAIR}, coalesce(o.fee, b.fee) AS fee FROM (SELECT * FROM m WHERE upload_id = pb) b FULL JOIN (SELECT * FROM m WHERE upload_id = po) o ON b.client_id = o.client_id AND b.channel = o.channel AND b.n = o.n""", lambda r: L.reconcile_companions(r.select("upload_id", "line", "client_id", "channel", "title_jp", "gross", "fee"), r.select("upload_id").distinct().withColumn("role", F.expr("case upload_id % 3 when 0 then 'publisher_detail' when 1 then 'broker_summary' end")), ["client_id", "channel"], ["title_jp", "line", "gross"], ["fee"]))
+query("e14d_title_aliases", "+s AS (SELECT DISTINCT company AS channel, base_title AS canonical, lower(replace(base_title, ' ', '')) AS g FROM titles), x AS (SELECT channel, canonical, g AS alias FROM s UNION SELECT channel, canonical, substr(g, 1, i - 1) || substr(g, i + 1) FROM (SELECT *, CAST(unnest(range(1, length(g) + 1)) AS INTEGER) AS i FROM s WHERE length(g) >= 8)) SELECT channel, alias, CASE WHEN min(canonical) = max(canonical) THEN min(canonical) END AS canonical FROM x GROUP BY 1, 2", "titles")(lambda s, d: L.title_aliases(V.titles(s, d).select(F.col("company").alias("channel"), F.col("base_title").alias("canonical"), F.lower(F.regexp_replace("base_title", " ", "")).alias("signature")).distinct()))
+on_ledger("e14f_siblings", "SELECT client_id, channel, CAST(sum(gross) AS BIGINT) AS gross, CAST(sum(fee) AS BIGINT) AS fee, count(*) AS source_count, string_agg(DISTINCT CAST(upload_id AS VARCHAR), ',' ORDER BY CAST(upload_id AS VARCHAR)) AS sources FROM ledger GROUP BY 1, 2", lambda r: L.consolidate_siblings(r, ["client_id", "channel"], ["gross", "fee"], "upload_id").select("client_id", "channel", "gross", "fee", "source_count", "sources"))
