@@ -4,8 +4,9 @@ Pages are parsed to text lines (one a block element), each marked: within an art
 footer, form, advert or the like, or neither. Pages are ordered by (host, URL path); each is aligned with its
 neighbours of the same host by longest common subsequence of lines, and the lines shared are deleted. Two kinds of
 lines are settled by the markup, since differencing would get them wrong: lines within menus and the like go though no
-neighbour may share them, and lines within an article element stay though a page of the same host may repeat the
-article (its copies would delete each other). Where a page has an article element, the text outside it goes.
+neighbour may share them, and lines within an article element stay though a neighbour may share them (copies of an
+article would delete each other, and lines that articles quote alike are their text). All other lines, also those
+beside an article element, are settled by differencing.
 """
 
 from __future__ import annotations
@@ -124,12 +125,10 @@ def lcs(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def main_text(lines: list[tuple[int, str]], shared: set[int]) -> str:
-    """The article's lines; without an article element, those outside menus and the like that no neighbour shares."""
-    if any(k == MAIN for k, _ in lines):
-        return "\n".join(t for k, t in lines if k == MAIN)
-    plain = [i for i, (k, _) in enumerate(lines) if k == PLAIN]
-    own = [i for i in plain if i not in shared]
-    return "\n".join(lines[i][1] for i in (own or plain))
+    """The article's lines and those outside menus and the like that no neighbour shares; all of these if none would stay."""
+    text = [i for i, (k, _) in enumerate(lines) if k != ASIDE]
+    own = [i for i in text if lines[i][0] == MAIN or i not in shared]
+    return "\n".join(lines[i][1] for i in (own or text))
 
 
 def _parse(batches):
@@ -157,7 +156,7 @@ def _difference(batches):
     def result(row, before, after):
         shared = set()
         lines = row[2]
-        if not any(k == MAIN for k, _ in lines):
+        if any(k == PLAIN for k, _ in lines):
             for other in (before, after):
                 if other is not None and other[1] == row[1] and other[2] != lines:
                     shared |= {i for i, _ in lcs(lines, other[2])}

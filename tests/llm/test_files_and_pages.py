@@ -123,6 +123,18 @@ def test_pages(spark):
     assert extract_pages(pages.where("false")).count() == 0
 
 
+def test_lines_beside_an_article_are_differenced(spark):
+    page = "<body><div><p>Site line</p></div><div><p>Body {0}</p></div><article><p>Teaser {0}</p><p>Quoted alike</p></article><div><p>Site end</p></div>"
+    rows = [(i, f"http://a/{i}", page.format(i)) for i in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = {x.page_id: x.text for x in extract_pages(pages).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == {i: f"Body {i}\nTeaser {i}\nQuoted alike" for i in range(2)}
+
+
 def test_long_and_odd_pages_are_parsed_in_linear_time():
     import time
 
