@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,7 +169,8 @@ def compare_sheets(ours: DataFrame, key: DataFrame, identity: list[str], fields:
     Rows of one identity are few by contract; beyond ``most`` the pairing raises an error. Order does not matter.
     """
     schema = ", ".join([*(f"`{k}` string" for k in identity), "category string", "field string", "ours string", "theirs string"])
-    text = lambda d: d.select(*(F.col(c).cast("string").alias(c) for c in [*identity, *fields]))
+    cells = F.array(*(F.col(c).cast("string") for c in fields))
+    side = lambda d, theirs: d.select(*(F.col(c).cast("string").alias(c) for c in identity), F.when(F.lit(not theirs), cells).alias("_a"), F.when(F.lit(theirs), cells).alias("_b"))
 
     def same(x, y):
         if x is None or y is None or x != x or y != y:
@@ -180,28 +181,34 @@ def compare_sheets(ours: DataFrame, key: DataFrame, identity: list[str], fields:
         except ValueError:
             return x.strip() == y.strip()
 
-    def run(name, a, b):
+    def differences(name, a, b):
         if max(len(a), len(b)) > most:
             raise ValueError(f"{name}: more than {most} rows of one identity")
-        a, b = (d.astype(object).where(d.notna(), None)[fields].sort_values(fields, na_position="first", key=lambda s: s.fillna("")).values.tolist() for d in (a, b))
+        a, b = (sorted(d, key=lambda r: [(x or "", x is not None) for x in r]) for d in (a, b))
         flip = len(a) > len(b)
         small, large = (b, a) if flip else (a, b)
-        out = []
         if small:
             verdicts = [[[same(x, y) for x, y in zip(r, s, strict=True)] for s in large] for r in small]
-            cost = np.array([[(any(v is not True for v in p)) * 1e6 + sum(v is False for v in p) * 1e3 + sum(v is None for v in p) for p in row] for row in verdicts], float)
-            pairs = assign(cost)
+            cost = [[(any(v is not True for v in p)) * 1e6 + sum(v is False for v in p) * 1e3 + sum(v is None for v in p) for p in row] for row in verdicts]
+            pairs = [0] if len(large) == 1 else assign(np.array(cost, float))
         else:
             pairs = []
         for i, j in enumerate(pairs):
             for f, v, x, y in zip(fields, verdicts[i][j], small[i], large[j], strict=True):
                 if v is False:
-                    out.append([*name, "field", f, y if flip else x, x if flip else y])
-        for j in set(range(len(large))) - set(pairs):
-            out.append([*name, "extra" if flip else "missing", None, None, None])
-        return pd.DataFrame(out, columns=[*identity, "category", "field", "ours", "theirs"])
-
-    return text(ours).groupBy(*identity).cogroup(text(key).groupBy(*identity)).applyInPandas(run, schema)
+                    yield (*name, "field", f, y if flip else x, x if flip else y)
+        for _ in range(len(large) - len(pairs)):
+            yield (*name, "extra" if flip else "missing", None, None, None)
+
+    def run(batches):
+        for batch in batches:
+            names = zip(*(batch.column(k).to_pylist() for k in identity), strict=True)
+            rows = [r for name, a, b in zip(names, batch.column("_a").to_pylist(), batch.column("_b").to_pylist(), strict=True) for r in differences(name, a, b)]
+            columns = zip(*rows, strict=True) if rows else [[]] * (len(identity) + 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=[*identity, "category", "field", "ours", "theirs"])
+
+    both = side(ours, False).union(side(key, True)).groupBy(*identity).agg(F.collect_list("_a").alias("_a"), F.collect_list("_b").alias("_b"))
+    return both.mapInArrow(run, schema)
 
 
 def reconcile_companions(rows: DataFrame, roles: DataFrame, keys: list[str], order: list[str], overlay: list[str], upload: str = "upload_id") -> DataFrame:
