@@ -11,14 +11,20 @@ beside an article element, are settled by differencing.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
+import zlib
+from itertools import groupby
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.common import materialize
+
 MAIN, PLAIN, ASIDE = 0, 1, 2
 
 #: Elements that end a line, elements whose content is no article text, words of class or id that say so.
@@ -131,54 +137,108 @@ def main_text(lines: list[tuple[int, str]], shared: set[int]) -> str:
     return "\n".join(lines[i][1] for i in (own or text))
 
 
+def _packed(lines: list[tuple[int, str]]) -> bytes:
+    """Lines in few bytes, equal where they are; white space within a line is one space, so none has a line's end."""
+    return zlib.compress("\n".join(f"{k}{t}" for k, t in lines).encode(), 1)
+
+
+def _unpacked(body: bytes) -> list[tuple[int, str]]:
+    return [(int(x[0]), x[1:]) for x in zlib.decompress(body).decode().split("\n") if x]
+
+
 def _parse(batches):
     for b in batches:
         urls, pages = b.column("url").to_pylist(), b.column("html")
-        hosts, paths, kinds, texts = [], [], [], []
+        hosts, paths, bodies = [], [], []
         for i, url in enumerate(urls):
             try:
                 cut = urlsplit((url or "").strip())
                 host, path = (cut.hostname or ""), cut.path
             except ValueError:
                 host, path = "", url or ""
-            lines = page_lines(pages[i].as_py() or "")
-            hosts.append(host), paths.append(path)
-            kinds.append([k for k, _ in lines]), texts.append([t for _, t in lines])
+            hosts.append(host), paths.append(path), bodies.append(_packed(page_lines(pages[i].as_py() or "")))
         yield pa.RecordBatch.from_arrays(
-            [b.column("page_id"), b.column("url"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))],
-            names=["page_id", "url", "host", "path", "kinds", "lines"],
+            [b.column("page_id"), b.column("url"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(bodies, pa.binary())],
+            names=["page_id", "url", "host", "path", "body"],
         )
 
 
+#: What a task says of its range: pages (id, URL, text), pages of its first and last run (text still null), and the two
+#: runs at either edge (host, packed lines) by their number in the range. A run is pages in a row of one host and equal lines.
+RANGES = "part int, run long, page_id long, url string, text string, runs long, host string, body binary, digest string"
+
+
+def _text(own, neighbours) -> str:
+    """The text of a run (host, packed lines) by the neighbours there are of its host."""
+    host, lines, shared = own[0], _unpacked(own[1]), set()
+    if any(k == PLAIN for k, _ in lines):
+        for other in neighbours:
+            if other is not None and other[0] == host:
+                shared |= {i for i, _ in lcs(lines, _unpacked(other[1]))}
+    return main_text(lines, shared)
+
+
 def _difference(batches):
-    """Rows in order of (host, path): each with its neighbours of the same host, the nearest whose lines differ from its own."""
-
-    def result(row, before, after):
-        shared = set()
-        lines = row[2]
-        if any(k == PLAIN for k, _ in lines):
-            for other in (before, after):
-                if other is not None and other[1] == row[1] and other[2] != lines:
-                    shared |= {i for i, _ in lcs(lines, other[2])}
-        return (*row[0], main_text(lines, shared))
-
-    def emit(rows):
-        ids, urls, texts = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    before = row = None
+    """Rows in order of (host, path): the texts of all runs but the first and last, whose neighbours are in other ranges."""
+    schema = pa.schema([("part", pa.int32()), ("run", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("runs", pa.int64()), ("host", pa.string()), ("body", pa.binary()), ("digest", pa.string())])
+    part = TaskContext.get().partitionId()
+
+    def rows():
+        for b in batches:
+            columns = (b.column(c).to_pylist() for c in ("page_id", "url", "host", "body"))
+            for page_id, url, host, body in zip(*columns, strict=True):
+                yield (page_id, url), (host, body)
+
+    def pages(number, members, text):
+        return [(part, number, page_id, url, text, None, None, None, None) for page_id, url in members]
+
+    def found():
+        first, last, n, members = [], [], 0, []  # the two runs at either edge, the number of runs, the pages of the last one
+        for own, run in groupby(rows(), lambda r: r[1]):
+            if n == 1:
+                yield pages(0, members, None)
+            elif n:
+                yield pages(n - 1, members, _text(last[-1][1], (last[-2][1], own)))
+            if n < 2:
+                first.append((n, own))
+            last = [*last[-1:], (n, own)]
+            n, members = n + 1, [r[0] for r in run]
+        if n:
+            yield pages(n - 1, members, None)
+            edges = {number: own for number, own in (*first, *last)}
+            yield [(part, i, None, None, None, n, host, body, hashlib.sha256(repr((host, body)).encode()).hexdigest()) for i, (host, body) in edges.items()]
+
+    held = []
+    for some in found():
+        held += some
+        if len(held) >= 500:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _beyond(ends: DataFrame, after: bool) -> Column:
+    """Of rows (part, runs, first, last), one a range: (part, run) of the nearest run before the range, or after it, that
+    differs from the range's first run, or last; ranges that are wholly one more piece of that run are passed over."""
+    order = Window.orderBy(F.desc("part") if after else F.asc("part"))
+    near, own = ("first", "last") if after else ("last", "first")
+    place = lambda part, run: F.struct(F.col(part).alias("part"), run.cast("long").alias("run"))
+    lag = lambda c: F.lag(c).over(order)
+    beside = F.when(lag("part").isNotNull(), F.struct(lag("part").alias("part"), (F.lit(0).cast("long") if after else lag("runs") - 1).alias("run")))
+    # a range that is not wholly a piece of the run next to it: what lies beyond the run that ends in it
+    beyond = F.when(F.col("runs") > 1, place("part", F.lit(1) if after else F.col("runs") - 2)).when(~lag(near).eqNullSafe(F.col(near)), beside)
+    known = ends.select("part", own, lag(near).alias("near"), beside.alias("beside"), beyond.alias("beyond"))
+    passed = F.last("beyond", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return known.select("part", F.when(F.col("near") == F.col(own), passed).otherwise(F.col("beside")).alias("after" if after else "before"))
+
+
+def _settle(batches):
     for b in batches:
-        rows = []
-        columns = (b.column(c).to_pylist() for c in ("page_id", "url", "host", "kinds", "lines"))
-        for page_id, url, host, kinds, lines in zip(*columns, strict=True):
-            after = ((page_id, url), host, list(zip(kinds, lines, strict=True)))
-            if row is not None:
-                rows.append(result(row, before, after))
-            before, row = row, after
-        if rows:
-            yield emit(rows)
-    if row is not None:
-        yield emit([result(row, before, None)])
+        sides = []
+        for side in ("own", "before", "after"):
+            sides.append([None if host is None else (host, body) for host, body in zip(*(b.column(f"{side}_{c}").to_pylist() for c in ("host", "body")), strict=True)])
+        yield pa.RecordBatch.from_arrays([b.column("part"), b.column("run"), pa.array([_text(own, near) for own, *near in zip(*sides, strict=True)], pa.string())], names=["part", "run", "text"])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -186,11 +246,29 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Blocks are joined by one newline, white space within them is one space, character references are decoded. Null
     and empty html give an empty text. Pages are dealt to ranges of (host, path), so that a host of any size is spread;
-    a page at the edge of a range is compared with its neighbour on the other side alone. A URL without a host counts
-    to the host ''; a page whose every line is shared keeps its lines.
+    the pages at the edges of a range meet those of the adjoining ranges, a few rows a range. A neighbour is the nearest
+    page on a side whose lines differ, so that copies in a row are one. A URL without a host counts to the host ''; a
+    page whose every line is shared keeps its lines.
     """
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = body.mapInArrow(_parse, "page_id long, url string, host string, path string, kinds array<int>, lines array<string>")
+    parsed = body.mapInArrow(_parse, "page_id long, url string, host string, path string, body binary")
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = parsed.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return ranged.mapInArrow(_difference, "page_id long, url string, text string, n_chars long")
+    dealt = materialize(ranged.mapInArrow(_difference, RANGES), "html-ranges")
+
+    edges = dealt.where("runs is not null").select("part", "run", "runs", "host", "body", "digest")
+    ends = edges.groupBy("part").agg(F.first("runs").alias("runs"), F.max(F.when(F.col("run") == 0, F.col("digest"))).alias("first"), F.max(F.when(F.col("run") == F.col("runs") - 1, F.col("digest"))).alias("last"))
+    # one row a range, whose number is the setting's: small
+    ends = ends.join(_beyond(ends, False), "part").join(_beyond(ends, True), "part")
+    in_range = lambda run: F.struct(F.col("part"), run.cast("long").alias("run"))
+    open_runs = [(F.lit(0), F.col("before"), F.when(F.col("runs") > 1, in_range(F.lit(1))).otherwise(F.col("after"))), (F.col("runs") - 1, F.when(F.col("runs") > 1, in_range(F.col("runs") - 2)).otherwise(F.col("before")), F.col("after"))]
+    met = ends.select("part", F.explode(F.array(*(F.struct(run.cast("long").alias("run"), before.alias("before"), after.alias("after")) for run, before, after in open_runs))).alias("o")).select("part", "o.*").distinct()
+    side = lambda name: edges.select(F.struct("part", "run").alias(name), *(F.col(c).alias(f"{name}_{c}") for c in ("host", "body")))
+    met = met.withColumn("own", F.struct("part", "run"))
+    for name, how in (("own", "inner"), ("before", "left"), ("after", "left")):
+        met = met.join(side(name), name, how)
+    settled = met.drop("own", "before", "after").mapInArrow(_settle, "part int, run long, text string")
+    pages_of = dealt.where("runs is null")
+    waiting = pages_of.where("text is null").select("part", "run", "page_id", "url").join(settled, ["part", "run"]).select("page_id", "url", "text")
+    whole = pages_of.where("text is not null").select("page_id", "url", "text").union(waiting)
+    return whole.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -135,6 +135,32 @@ def test_lines_beside_an_article_are_differenced(spark):
     assert got == {i: f"Body {i}\nTeaser {i}\nQuoted alike" for i in range(2)}
 
 
+def test_pages_meet_their_nearest_differing_neighbours_at_any_partition_count(spark):
+    r, rows = random.Random(3), []
+    for n in range(60):
+        host, body = r.choice(["a", "a", "a", "b", "c"]), [r.choice(["Top", "Mid", "End", f"Own {n}"]) for _ in range(4)]
+        for copy in range(r.choice([1, 1, 2, 3, 9])):
+            rows.append((f"http://{host}/{n:03}/{copy}", body))
+    rows += [("http://z/1", ["Only", "Top"]), ("http://b/000/x", ["Top", "Z"])]
+    rows.sort()
+    want = []
+    for i, (url, body) in enumerate(rows):
+        shared, host = set(), url.split("/")[2]
+        for side in (reversed(rows[:i]), rows[i + 1 :]):
+            there, near = next(((u.split("/")[2], b) for u, b in side if u.split("/")[2] != host or b != body), (None, None))
+            if there == host:
+                shared |= {p for p, _ in lcs(body, near)}
+        own = [x for p, x in enumerate(body) if p not in shared]
+        want.append((i, "\n".join(own or body)))
+    pages = spark.createDataFrame([(i, u, "".join(f"<p>{x}</p>" for x in b)) for i, (u, b) in enumerate(rows)], "page_id long, url string, html string").repartition(3)
+    try:
+        for parts in ("1", "3", "17", "90"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            assert sorted((x.page_id, x.text) for x in extract_pages(pages).collect()) == want, parts
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_long_and_odd_pages_are_parsed_in_linear_time():
     import time
 
