@@ -23,7 +23,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that 5-word shingles link at 0.8 or more, that of the smallest doc_id stays."""
+    """Of each group of documents that 5-word shingles link at 0.8 or more, that of the smallest doc_id stays; null ids come last."""
     return keep_first(docs)
 
 
@@ -50,7 +50,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("sharding", shard),
 ]
-#: The mix and the cutoffs depend on each other's rows; tests hold run() against a brute-force version.
+#: The mix and the cutoffs depend on each other's rows; the stages have tests of their own, run() as a whole has none yet.
 ORACLE_SQL = None
 
 
