@@ -54,13 +54,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int =
     ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are not read. Shingles have ``width`` words, or
     the item's whole sequence where it is shorter; a window has the item's number of words, or the whole document where
     that is shorter. Null and empty texts match nothing; empty tables give an empty result; repeated rows of a doc_id
-    are one document if their texts agree.
+    are one document if their texts agree. An item is an item_id, null too, and its words: rows equal in both are one,
+    and other texts of an item_id are items of their own, each with its row in the result.
     """
-    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0").dropDuplicates(["item_id"])
+    items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0").dropDuplicates(["item_id", "words"])
+    items = items.withColumn("item_key", F.xxhash64("item_id", F.col("item_id").isNull(), "words"))
+    names = items.select("item_key", "item_id")
     items = items.withColumns({"len": F.size("words"), "k": F.least(F.size("words"), F.lit(width))})
     of_item = F.coalesce(*(F.when(F.col("k") == k, _shingles("words", k)) for k in range(1, width + 1)))
-    item_rows = items.select("item_id", "len", "k", F.explode(of_item).alias("h"))
-    item_rows = materialize(item_rows.groupBy("item_id", "len", "k", "h").agg(F.count("*").alias("w")), "decon-items")
+    item_rows = items.select("item_key", "len", "k", F.explode(of_item).alias("h"))
+    item_rows = materialize(item_rows.groupBy("item_key", "len", "k", "h").agg(F.count("*").alias("w")), "decon-items")
     facts = item_rows.agg(F.countDistinct("h"), F.collect_set("k")).first()  # one number, and at most ``width`` widths
     keys = item_rows.select("h").distinct()
     small = facts[0] <= BROADCAST_SHINGLES
@@ -75,19 +78,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int =
     hits = materialize(found.distinct(), "decon-hits")
 
     # windows that hold enough of an item's shingles to reach the similarity, whatever their other shingles are
-    by_item = hits.join(F.broadcast(item_rows) if small else item_rows, ["h", "k"]).select("doc_id", "item_id", "n", "len", "k", "pos", "h", "w")
+    by_item = hits.join(F.broadcast(item_rows) if small else item_rows, ["h", "k"]).select("doc_id", "item_key", "n", "len", "k", "pos", "h", "w")
     size = F.least("len", "n") - F.col("k") + 1
     need = F.ceil((size + F.col("len") - F.col("k") + 1) * percent / (100 + percent))
     by_item = by_item.withColumns({"size": size, "need": need}).where("size >= 1 and need <= size")
-    total = by_item.groupBy("doc_id", "item_id").agg(F.count("*").alias("total"), F.first("need").alias("least")).where("total >= least").drop("least")
-    likely = materialize(by_item.join(total.drop("total"), ["doc_id", "item_id"]), "decon-likely")
-    starts = likely.select("doc_id", "item_id", "n", "len", "k", "size", "need", F.explode(F.expr("sequence(greatest(0, pos - (size - cast(need as int))), pos)")).alias("start")).distinct()
+    total = by_item.groupBy("doc_id", "item_key").agg(F.count("*").alias("total"), F.first("need").alias("least")).where("total >= least").drop("least")
+    likely = materialize(by_item.join(total.drop("total"), ["doc_id", "item_key"]), "decon-likely")
+    starts = likely.select("doc_id", "item_key", "n", "len", "k", "size", "need", F.explode(F.expr("sequence(greatest(0, pos - (size - cast(need as int))), pos)")).alias("start")).distinct()
     starts = starts.where(F.col("start") <= F.greatest(F.col("n") - F.col("len"), F.lit(0)))
-    held = likely.select("doc_id", "item_id", "pos", "h", "w")
-    inside = starts.join(held, ["doc_id", "item_id"]).where("pos >= start and pos < start + size")
-    shared = inside.groupBy("doc_id", "item_id", "start", "size", "len", "k", "need", "h").agg(F.least(F.count("*"), F.first("w")).alias("both"))
-    shared = shared.groupBy("doc_id", "item_id", "start", "size", "len", "k", "need").agg(F.sum("both").alias("both")).where("both >= need")
-    windows = materialize(shared.select("doc_id", "item_id", "start", "size", "k", "both", (F.col("len") - F.col("k") + 1).alias("item_size")), "decon-windows")
+    held = likely.select("doc_id", "item_key", "pos", "h", "w")
+    inside = starts.join(held, ["doc_id", "item_key"]).where("pos >= start and pos < start + size")
+    shared = inside.groupBy("doc_id", "item_key", "start", "size", "len", "k", "need", "h").agg(F.least(F.count("*"), F.first("w")).alias("both"))
+    shared = shared.groupBy("doc_id", "item_key", "start", "size", "len", "k", "need").agg(F.sum("both").alias("both")).where("both >= need")
+    windows = materialize(shared.select("doc_id", "item_key", "start", "size", "k", "both", (F.col("len") - F.col("k") + 1).alias("item_size")), "decon-windows")
 
     # all shingles of those windows, for their fingerprints
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(windows.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -100,14 +103,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int =
     places = windows.select("doc_id", "start", "size", "k").distinct()
     each = places.join(every, ["doc_id", "k"]).where("pos >= start and pos < start + size").select("doc_id", "start", "size", "k", "h", F.lit(1).alias("w"))
     prints = _simhash(each, ["doc_id", "start", "size", "k"])
-    of_items = _simhash(item_rows, ["item_id"]).select("item_id", F.col("fp").alias("item_fp"), _blocks("fp", radius).alias("b"))
-    of_windows = windows.join(prints, ["doc_id", "start", "size", "k"]).select("doc_id", "item_id", "start", "size", "both", "item_size", "fp", _blocks("fp", radius).alias("b"))
-    near = of_windows.join(of_items, ["item_id", "b"]).select("doc_id", "item_id", "start", "size", "both", "item_size", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).distinct()
+    of_items = _simhash(item_rows, ["item_key"]).select("item_key", F.col("fp").alias("item_fp"), _blocks("fp", radius).alias("b"))
+    of_windows = windows.join(prints, ["doc_id", "start", "size", "k"]).select("doc_id", "item_key", "start", "size", "both", "item_size", "fp", _blocks("fp", radius).alias("b"))
+    near = of_windows.join(of_items, ["item_key", "b"]).select("doc_id", "item_key", "start", "size", "both", "item_size", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).distinct()
     near = near.where(F.col("distance") <= radius)
     union = F.col("size") + F.col("item_size") - F.col("both")
     verified = near.where(100 * F.col("both") >= percent * union).withColumn("similarity", F.col("both") / union)
     best = F.max_by(F.struct("start", "similarity", "distance"), F.struct("similarity", -F.col("start"))).alias("x")
-    return verified.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "x.start", "x.similarity", "x.distance")
+    found = verified.groupBy("doc_id", "item_key").agg(best).join(names, "item_key")
+    return found.select("doc_id", "item_id", "x.start", "x.similarity", "x.distance")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -153,3 +153,11 @@ def test_leaks_against_brute_force(spark):
     assert got == want and len(want) > 10
     assert {x.doc_id for x in without_leaks(frame, bench).collect()} == {d for d, _ in docs} - {x[0] for x in want}
     assert leaks(frame.where("false"), bench).count() == 0 and leaks(frame, bench.where("false")).count() == 0
+
+
+def test_items_of_one_id_or_none_are_all_searched_for(spark):
+    texts = ["one two three four five six seven eight", "red green blue white black brown pink grey", "sun moon star sky rain snow wind fog"]
+    docs = spark.createDataFrame([(n, f"before it {t} and after") for n, t in enumerate(texts)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, texts[0]), (7, texts[1]), (None, texts[2]), (7, texts[0])], "item_id long, text string")
+    assert sorted((x.doc_id, x.item_id) for x in leaks(docs, items).collect()) == [(0, 7), (1, 7), (2, None)]
+    assert without_leaks(docs, items).count() == 0
