@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,8 +20,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 # ---------------------------------------------------------------- scratch tables
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; one of our own only where none is set (tests)."""
+    """The shared folder the cluster names; one of our own only where none is set and all runs on one machine (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
@@ -40,10 +43,11 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None)
 
 
 def drop_table(df: DataFrame) -> None:
-    """Remove a materialized table that no later step reads."""
+    """Remove the materialized tables that ``df`` reads, where no later step does."""
     spark = df.sparkSession
     jvm = spark.sparkContext._jvm
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+    own = re.compile(r".*/[a-z0-9-]+-[0-9a-f]{12}(?=/)")
+    for name in {m[0] for f in df.inputFiles() if (m := own.match(f))}:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -163,10 +167,11 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     labels = None
     while labels is None or not is_empty(left):
         ends = left.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e"))
-        to = materialize(ends.groupBy(F.col("e.a").alias("node")).agg(F.min("e.b").alias("least")).select("node", F.least("node", "least").alias("to")), f"{tag}-pointers")
+        edges, to = left, materialize(ends.groupBy(F.col("e.a").alias("node")).agg(F.min("e.b").alias("least")).select("node", F.least("node", "least").alias("to")), f"{tag}-pointers")
         side = lambda n: to.select(F.col("node").alias(n), F.col("to").alias(f"to_{n}"))  # noqa: B023, E731
         moved = left.join(side("a"), "a").join(side("b"), "b").where("to_a <> to_b")
         left = materialize(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).distinct(), f"{tag}-edges")
+        drop_table(edges)
         if labels is None:
             labels = to.select("node", F.col("to").alias("label"))
         else:
