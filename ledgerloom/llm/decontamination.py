@@ -1,12 +1,12 @@
 """Benchmark decontamination by SimHash of item-sized windows; DataFrame functions only.
 
-1. Shingles of the documents are joined with those of the benchmark. A window as long as an item (in words) can reach
-   the similarity only if it holds a certain number of the item's shingles, so only the windows that start at, or as
-   many places before a shared shingle as may be missing, are looked at; none that could match is left out.
-2. Each such window and each item has a 64-bit SimHash. It is cut into ``radius`` + 1 blocks; fingerprints within the
-   radius agree in a block, so an equality join on (item, block, value) finds them all.
-3. Exact verification: shingles are weighted by how often they occur, similarity is the sum of the smaller weights over
-   the sum of the larger ones.
+1. Windows as long as an item are laid over a text wherever they hold as many shingles of items of that length as a match
+   needs, whichever items these are of; no window that could match is left out.
+2. Multi-index Hamming search: each window and each item has a 64-bit SimHash of its weighted shingles, cut into
+   ``radius`` + 1 blocks. Fingerprints within the radius agree in a block, so an equality join on (item length, block,
+   value) proposes every window and item within the radius; those farther apart are dropped.
+3. Exact verification of the pairs proposed: shingles weigh as often as they occur, similarity is the sum of the smaller
+   weights over the sum of the larger ones.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SPACES, materialize
+from ledgerloom.llm.common import SPACES, drop_table, materialize, runtime_filters
 
-BROADCAST_SHINGLES = 2_000_000  # a benchmark with more distinct shingles than this (32 MB of keys) is joined by shuffle
+BROADCAST_ROWS = 1_000_000  # rows (shingle, item length) of a benchmark, 24 MB; one with more is joined by shuffle
 RADIUS = 24
+STRETCH = 4096  # positions of a text that are sliced to windows together
 
 
 def words_of(text: Column) -> Column:
@@ -47,75 +48,105 @@ def _blocks(fp: str, radius: int) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND((1 << (b - a)) - 1).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, item_id, start, similarity, distance): for each document and item, the most similar window (the first of
-    equals), where its weighted-shingle similarity is at least ``percent`` / 100. Documents without a leak have no row.
+def _row_id() -> Column:
+    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
 
-    ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are not read. Shingles have ``width`` words, or
-    the item's whole sequence where it is shorter; a window has the item's number of words, or the whole document where
-    that is shorter. Null and empty texts match nothing; empty tables give an empty result; repeated rows of a doc_id
-    are one document if their texts agree. An item is an item_id, null too, and its words: rows equal in both are one,
-    and other texts of an item_id are items of their own, each with its row in the result.
-    """
+
+def _starts() -> Column:
+    """Starts of the windows of ``size`` that hold ``need`` of the positions ``p`` (in order): they hold ``need`` in a row."""
+    i = F.sequence(F.lit(0), F.size("p") - F.col("need"))
+    last = lambda x: F.get("p", x + F.col("need") - 1)
+    dense = F.filter(i, lambda x: last(x) - F.get("p", x) < F.col("size"))
+    runs = F.transform(dense, lambda x: F.sequence(F.greatest(F.lit(0), last(x) - F.col("size") + 1), F.get("p", x)))
+    return F.filter(F.array_distinct(F.flatten(runs)), lambda s: s <= F.greatest(F.col("n") - F.col("len"), F.lit(0)))
+
+
+def _row_leaks(docs: DataFrame, benchmark: DataFrame, width: int, percent: int, radius: int) -> DataFrame:
+    """(rid, doc_id, item_id, start, similarity, distance) by row of ``docs`` (doc_id, text, rid); equal rows are one."""
+    spark = docs.sparkSession
     items = benchmark.select("item_id", words_of(F.col("text")).alias("words")).where("size(words) > 0").dropDuplicates(["item_id", "words"])
     items = items.withColumn("item_key", F.xxhash64("item_id", F.col("item_id").isNull(), "words"))
-    names = items.select("item_key", "item_id")
     items = items.withColumns({"len": F.size("words"), "k": F.least(F.size("words"), F.lit(width))})
     of_item = F.coalesce(*(F.when(F.col("k") == k, _shingles("words", k)) for k in range(1, width + 1)))
-    item_rows = items.select("item_key", "len", "k", F.explode(of_item).alias("h"))
-    item_rows = materialize(item_rows.groupBy("item_key", "len", "k", "h").agg(F.count("*").alias("w")), "decon-items")
-    facts = item_rows.agg(F.countDistinct("h"), F.collect_set("k")).first()  # one number, and at most ``width`` widths
-    keys = item_rows.select("h").distinct()
-    small = facts[0] <= BROADCAST_SHINGLES
-    widths = sorted(set(facts[1])) or [width]
-
-    worded = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
-    each_width = [worded.select("doc_id", F.size("words").alias("n"), F.lit(k).alias("k"), F.posexplode(_shingles("words", k)).alias("pos", "h")) for k in widths]
+    item_rows = items.select("item_key", "item_id", "len", "k", F.explode(of_item).alias("h"))
+    item_rows = materialize(item_rows.groupBy("item_key", "item_id", "len", "k", "h").agg(F.count("*").alias("w")), "decon-items")
+    shapes = item_rows.select("h", "len").distinct()
+    facts = item_rows.agg(F.collect_set("k"), F.max("len")).first()  # at most ``width`` widths, and one number
+    widths, longest = sorted(set(facts[0])) or [width], facts[1] or 1
+    small = shapes.count() <= BROADCAST_ROWS
+
+    # where the texts hold shingles of items, by the items' lengths
+    worded = docs.select("rid", words_of(F.col("text")).alias("words"))
+    each_width = [worded.select("rid", F.size("words").alias("n"), F.lit(k).alias("k"), F.posexplode(_shingles("words", k)).alias("pos", "h")) for k in widths]
     every = each_width[0]
     for more in each_width[1:]:
         every = every.union(more)
-    found = every.join(F.broadcast(keys) if small else keys, "h", "left_semi")
-    hits = materialize(found.distinct(), "decon-hits")
-
-    # windows that hold enough of an item's shingles to reach the similarity, whatever their other shingles are
-    by_item = hits.join(F.broadcast(item_rows) if small else item_rows, ["h", "k"]).select("doc_id", "item_key", "n", "len", "k", "pos", "h", "w")
-    size = F.least("len", "n") - F.col("k") + 1
-    need = F.ceil((size + F.col("len") - F.col("k") + 1) * percent / (100 + percent))
-    by_item = by_item.withColumns({"size": size, "need": need}).where("size >= 1 and need <= size")
-    total = by_item.groupBy("doc_id", "item_key").agg(F.count("*").alias("total"), F.first("need").alias("least")).where("total >= least").drop("least")
-    likely = materialize(by_item.join(total.drop("total"), ["doc_id", "item_key"]), "decon-likely")
-    starts = likely.select("doc_id", "item_key", "n", "len", "k", "size", "need", F.explode(F.expr("sequence(greatest(0, pos - (size - cast(need as int))), pos)")).alias("start")).distinct()
-    starts = starts.where(F.col("start") <= F.greatest(F.col("n") - F.col("len"), F.lit(0)))
-    held = likely.select("doc_id", "item_key", "pos", "h", "w")
-    inside = starts.join(held, ["doc_id", "item_key"]).where("pos >= start and pos < start + size")
-    shared = inside.groupBy("doc_id", "item_key", "start", "size", "len", "k", "need", "h").agg(F.least(F.count("*"), F.first("w")).alias("both"))
-    shared = shared.groupBy("doc_id", "item_key", "start", "size", "len", "k", "need").agg(F.sum("both").alias("both")).where("both >= need")
-    windows = materialize(shared.select("doc_id", "item_key", "start", "size", "k", "both", (F.col("len") - F.col("k") + 1).alias("item_size")), "decon-windows")
-
-    # all shingles of those windows, for their fingerprints
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(windows.select("doc_id").distinct(), "doc_id", "left_semi")
-    worded = texts.select("doc_id", words_of(F.col("text")).alias("words"))
-    each_width = [worded.select("doc_id", F.lit(k).alias("k"), F.posexplode(_shingles("words", k)).alias("pos", "h")) for k in widths]
-    every = each_width[0]
-    for more in each_width[1:]:
-        every = every.union(more)
-    every = materialize(every.distinct(), "decon-shingles")
-    places = windows.select("doc_id", "start", "size", "k").distinct()
-    each = places.join(every, ["doc_id", "k"]).where("pos >= start and pos < start + size").select("doc_id", "start", "size", "k", "h", F.lit(1).alias("w"))
-    prints = _simhash(each, ["doc_id", "start", "size", "k"])
-    of_items = _simhash(item_rows, ["item_key"]).select("item_key", F.col("fp").alias("item_fp"), _blocks("fp", radius).alias("b"))
-    of_windows = windows.join(prints, ["doc_id", "start", "size", "k"]).select("doc_id", "item_key", "start", "size", "both", "item_size", "fp", _blocks("fp", radius).alias("b"))
-    near = of_windows.join(of_items, ["item_key", "b"]).select("doc_id", "item_key", "start", "size", "both", "item_size", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance")).distinct()
-    near = near.where(F.col("distance") <= radius)
-    union = F.col("size") + F.col("item_size") - F.col("both")
-    verified = near.where(100 * F.col("both") >= percent * union).withColumn("similarity", F.col("both") / union)
+    with runtime_filters(spark):
+        found = every.join(F.broadcast(shapes) if small else shapes.where("len > 0"), "h")
+        hits = materialize(found.select("rid", "n", "k", "len", "pos"), "decon-hits")
+    held = hits.groupBy("rid", "n", "k", "len").agg(F.sort_array(F.collect_set("pos")).alias("p"))  # positions of one text
+    held = held.withColumn("size", F.least("len", "n") - F.col("k") + 1)
+    held = held.withColumn("need", F.ceil((F.col("size") + F.col("len") - F.col("k") + 1) * percent / (100 + percent)).cast("int"))
+    held = held.where("size >= 1 and need <= size and size(p) >= need")
+    windows = materialize(held.select("rid", "k", "len", "size", F.explode(_starts()).alias("start")), "decon-windows")
+    drop_table(hits)
+
+    # the shingles of those windows, sliced from stretches of their texts
+    with runtime_filters(spark):
+        texts = docs.join(windows.where("size > 0").select("rid").distinct(), "rid", "left_semi").dropDuplicates(["rid"])
+        worded = texts.select("rid", words_of(F.col("text")).alias("words"))
+        parts = None
+        for k in widths:
+            hashed = worded.withColumn("hs", _shingles("words", k)).where("hs is not null").withColumn("last", F.expr(f"(size(hs) - 1) div {STRETCH}").cast("int"))
+            cut = F.transform(F.sequence(F.lit(0), F.col("last")), lambda c: F.struct(c.alias("c"), F.slice("hs", c * STRETCH + 1, F.lit(STRETCH + longest)).alias("part")))
+            cut = hashed.select("rid", F.lit(k).alias("k"), F.explode(cut).alias("x")).select("rid", "k", "x.*")
+            parts = cut if parts is None else parts.union(cut)
+        c = F.expr(f"cast(start div {STRETCH} as int)")
+        wanted = windows.groupBy("rid", "k", c.alias("c")).agg(F.collect_list(F.struct("len", "size", "start")).alias("ws"))
+        sliced = F.transform("ws", lambda w: F.struct(w["len"].alias("len"), w["size"].alias("size"), w["start"].alias("start"), F.slice("part", w["start"] - F.col("c") * STRETCH + 1, w["size"]).alias("hs")))
+        slices = materialize(parts.join(wanted, ["rid", "k", "c"]).select("rid", "k", F.explode(sliced).alias("x")).select("rid", "k", "x.*"), "decon-slices")
+
+    # fingerprints, and the items within the radius of each
+    own = ["rid", "k", "len", "size", "start"]
+    prints = _simhash(slices.select(*own, F.explode("hs").alias("h"), F.lit(1).alias("w")), own)
+    of_items = _simhash(item_rows, ["item_key", "len", "k"]).select("item_key", "len", "k", F.col("fp").alias("item_fp"), _blocks("fp", radius).alias("b"))
+    met = prints.select(*own, "fp", _blocks("fp", radius).alias("b")).join(of_items, ["len", "k", "b"])
+    met = met.select(*own, "item_key", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).alias("distance"))
+    near = materialize(met.where(F.col("distance") <= radius).distinct(), "decon-near")
+
+    # exact similarity of the pairs within the radius
+    pair = [*own, "item_key", "distance"]
+    counted = near.join(slices, own).select(*pair, F.explode("hs").alias("h")).groupBy(*pair, "h").agg(F.count("*").alias("n"))
+    both = counted.join(item_rows.select("item_key", "item_id", "h", "w"), ["item_key", "h"]).groupBy(*pair, "item_id").agg(F.sum(F.least("n", "w")).alias("both"))
+    union = F.col("size") + F.col("len") - F.col("k") + 1 - F.col("both")
+    verified = both.where(100 * F.col("both") >= percent * union).withColumn("similarity", F.col("both") / union)
     best = F.max_by(F.struct("start", "similarity", "distance"), F.struct("similarity", -F.col("start"))).alias("x")
-    found = verified.groupBy("doc_id", "item_key").agg(best).join(names, "item_key")
-    return found.select("doc_id", "item_id", "x.start", "x.similarity", "x.distance")
+    verified = materialize(verified.groupBy("rid", "item_key", "item_id").agg(best).select("rid", "item_id", "x.*"), "decon-found")
+    drop_table(slices), drop_table(near), drop_table(windows)
+    ids = docs.select("rid", "doc_id").join(verified.where("similarity > 0").select("rid").distinct(), "rid", "left_semi").distinct()
+    return verified.join(ids, "rid")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int = 80, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, item_id, start, similarity, distance): for each document and item, the most similar window (the first of
+    equals), where its weighted-shingle similarity is at least ``percent`` / 100. Documents without a leak have no row.
+
+    ``docs``: doc_id, text; ``benchmark``: item_id, text; other columns are not read. Shingles have ``width`` words, or
+    the item's whole sequence where it is shorter; a window has the item's number of words, or the whole document where
+    that is shorter. Null and empty texts match nothing; empty tables give an empty result. Rows of one doc_id (null is
+    one too) are searched each on its own text and have one row an item in the result, that of their best window. An
+    item is an item_id, null too, and its words: rows equal in both are one, and other texts of an item_id are items of
+    their own, each with its row in the result.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", _row_id())
+    found = _row_leaks(rows, benchmark, width, percent, radius)
+    return found.select("doc_id", "item_id", "start", "similarity", "distance")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
-    found = leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id")).distinct()
-    found = materialize(found, "decon-found")
-    return docs.join(found, docs.doc_id.cast("long") == found.leak_id, "left_anti")
+    """The rows of ``docs`` whose texts hold no benchmark item; rows of one doc_id, and of none, are judged one by one."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", _row_id())
+    found = _row_leaks(rows, benchmark, 5, 80, RADIUS).select("rid").distinct()
+    found = materialize(found, "decon-rows")
+    key = F.xxhash64(docs.doc_id.cast("long"), docs.doc_id.isNull(), docs.text.cast("string"))
+    return docs.withColumn("_rid", key).join(found.withColumnRenamed("rid", "_rid"), "_rid", "left_anti").drop("_rid")
