@@ -34,28 +34,77 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write to a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
+_SCOPES: list[list[str]] = []
+
+
+def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
+    """Write to a table in the shared folder and read it again: cuts the lineage, survives lost executors.
+
+    Within a ``scratch_scope`` the table is removed at its end, unless ``keep``."""
     path = scratch_path(df.sparkSession, tag)
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, name: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables materialized within; what is to outlast it is written within it, with ``keep``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _remove(spark, path)
+
+
 def drop_table(df: DataFrame) -> None:
-    """Remove the materialized tables that ``df`` reads, where no later step does."""
+    """Remove the scratch tables that ``df`` reads, where no later step does; tables outside the scratch folder stay."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    own = re.compile(r".*/[a-z0-9-]+-[0-9a-f]{12}(?=/)")
-    for name in {m[0] for f in df.inputFiles() if (m := own.match(f))}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    bare = lambda x: re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:/*", "/", x)
+    own = re.compile(re.escape(bare(scratch_root(spark))) + r"/[a-z0-9-]+-[0-9a-f]{12}(?=/)")
+    for name in {f[: len(f) - len(bare(f)) + m.end()] for f in df.inputFiles() if (m := own.match(bare(f)))}:
+        _remove(spark, name)
 
 
 def is_empty(df: DataFrame) -> bool:
     return not df.limit(1).count()
 
 
+def range_parts(df: DataFrame, keys: list[str], parts: int, per: int = 60) -> DataFrame:
+    """``df`` with ``part`` (int): one of ``parts`` ranges of the order by ``keys`` (null first), about equal in rows.
+
+    Bounds come from a sample of the keys alone, ``per`` a range, so that nothing else of ``df`` is computed for them;
+    the sample decides the ranges and no row's place in the order. Each row finds its range by binary search.
+    """
+    keyed = df.select(*keys)
+    share = min(1.0, parts * per / max(1, keyed.count()))
+    seen = sorted((tuple(r) for r in keyed.sample(share, 7).collect()), key=lambda r: [(x is not None, x) for x in r])
+    bounds = [seen[len(seen) * i // parts] for i in range(1, parts)] if seen else []
+    if not bounds:
+        return df.withColumn("part", F.lit(0))
+    own = F.struct(*keys)
+    fields = ", ".join(f"{f.name}: {f.dataType.simpleString()}" for f in keyed.schema.fields)
+    table = df.sparkSession.createDataFrame([(bounds,)], f"_bounds array<struct<{fields}>>")
+    start = F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi"))
+
+    def step(s, _):
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        over = F.get("_bounds", mid) <= own
+        open_ = s["lo"] < s["hi"]
+        return F.struct(F.when(open_ & over, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(open_ & ~over, mid).otherwise(s["hi"]).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, step, lambda s: s["lo"])
+    return df.crossJoin(F.broadcast(table)).withColumn("part", found).drop("_bounds")  # one row
+
+
 # ---------------------------------------------------------------- words and hashes, over whole Arrow batches
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True

@@ -1,12 +1,16 @@
-"""Main text of web pages by differencing against the page of nearest URL.
+"""Main text of web pages by differencing against the pages of nearest URL.
 
 Pages are parsed to text lines (one a block element), each marked: within an article or main element, within a menu,
-footer, form, advert or the like, or neither. Pages are ordered by (host, URL path); each is aligned with its
-neighbours of the same host by longest common subsequence of lines, and the lines shared are deleted. Two kinds of
-lines are settled by the markup, since differencing would get them wrong: lines within menus and the like go though no
-neighbour may share them, and lines within an article element stay though a neighbour may share them (copies of an
-article would delete each other, and lines that articles quote alike are their text). All other lines, also those
-beside an article element, are settled by differencing.
+footer, form, advert or the like, or neither. Pages are ordered by (host, URL path); each is aligned, all its lines,
+with its neighbours of the same host by longest common subsequence. What is shared decides:
+
+* lines beside the article are deleted where a neighbour on either side shares them;
+* lines at the head or the end of the article (a byline, a call to subscribe) are deleted where the neighbours on both
+  sides share them in one run from that edge, unless a neighbour's article is a copy of this one (half of its
+  characters or more are shared), which would delete the article itself. Lines within an article that two pages quote
+  alike are its text and stay.
+
+Lines within menus, forms and the like go by their markup, though no neighbour may share them.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialize
+from ledgerloom.llm.common import drop_table, materialize, range_parts
 
 MAIN, PLAIN, ASIDE = 0, 1, 2
 
@@ -38,7 +42,11 @@ SIGNS = re.compile(
     re.I,
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+HELD = frozenset("div section ul ol table span".split())  # elements kept on the stack though they say nothing, so that ends match
+#: A tag's parts; each alternative runs forward only. Where attributes are cut off by an open quote, the first '>' ends the tag.
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+ATTRS = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", re.S)
+COMMENT_END = re.compile(r"--!?>")
 ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
@@ -59,9 +67,55 @@ def _kind(tag: str, attrs: str) -> int | None:
     return MAIN if tag in ("article", "main") else None
 
 
+class _Tags:
+    """(start, end, name, is an end tag, attributes) of a page's tags and comments, name '' for those without.
+
+    What a search from one place did not find is not there from any later place either, and is not looked for again.
+    """
+
+    def __init__(self, text: str):
+        self.text, self.bare, self.dash, self.quotes, self.raw = text, True, True, True, {}
+
+    def next(self, at: int):
+        text = self.text
+        while (start := text.find("<", at)) >= 0:
+            at = start + 1
+            if text.startswith("<!--", start):
+                end = COMMENT_END.search(text, start + 4) if self.dash else None
+                self.dash = end is not None
+                return start, end.end() if end else len(text), "", False, ""
+            if m := NAME.match(text, start):
+                body = ATTRS.match(text, m.end()) if self.quotes else None
+                if body:
+                    return start, body.end(), m[2].lower(), bool(m[1]), text[m.end() : body.end() - 1]
+                # a quote that nothing closes, or no '>': neither comes later, so the first '>' ends this and all later tags
+                self.quotes = False
+                end = text.find(">", m.end()) if self.bare else -1
+                self.bare = end >= 0
+                if end >= 0:
+                    return start, end + 1, m[2].lower(), bool(m[1]), text[m.end() : end]
+            elif text[start + 1 : start + 2] in ("!", "?", "/") and self.bare:
+                end = text.find(">", start + 2)
+                self.bare = end >= 0
+                if end >= 0:
+                    return start, end + 1, "", False, ""
+        return None
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the content of a raw element that begins at ``at`` and its end tag are over."""
+        if self.raw.get(tag, at) is None:
+            return len(self.text)
+        m = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(self.text, at)
+        self.raw[tag] = m and at
+        return m.end() if m else len(self.text)
+
+
 def page_lines(text: str) -> list[tuple[int, str]]:
-    """(MAIN, PLAIN or ASIDE; text) of the lines of a page; ASIDE once within what is left out, else MAIN once within an article."""
-    out, parts, stack, kind, at = [], [], [], PLAIN, 0
+    """(MAIN, PLAIN or ASIDE; text) of the lines of a page; ASIDE once within what is left out, else MAIN once within an article.
+
+    Time is linear in the text: no search starts again over what an earlier one has passed, and open elements are counted.
+    """
+    out, parts, stack, held, kind, at, tags = [], [], [], {}, PLAIN, 0, _Tags(text)
 
     def flush():
         line = " ".join(entities.unescape("".join(parts)).split())
@@ -69,37 +123,35 @@ def page_lines(text: str) -> list[tuple[int, str]]:
         if line:
             out.append((kind, line))
 
-    while m := TAG.search(text, at):
-        parts.append(text[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+    while found := tags.next(at):
+        start, end, tag, closing, attrs = found
+        parts.append(text[at:start])
+        at = end
         if not tag:
             continue
         if tag == "br":
             parts.append(" ")
-        closing = bool(m[1] or m[4])
         if not closing and tag in RAW:
             flush()
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(text, at)
-            at = end.end() if end else len(text)
+            at = tags.raw_end(tag, at)
             continue
         if tag in BLOCKS or tag in DROPPED:
             flush()
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack:
+            if held.get(tag):
+                while True:
                     t, was = stack.pop()
-                    if t != tag and tag not in BLOCKS and tag not in DROPPED:
-                        continue
+                    held[t] -= 1
                     if t == tag:
                         if kind != was:
                             flush()
                         kind = was
                         break
         elif tag not in VOID:
-            says = _kind(tag, m[3] or m[6] or "")
-            if says is not None or tag in ("div", "section", "ul", "ol", "table", "span"):
+            says = _kind(tag, attrs)
+            if says is not None or tag in HELD:
                 stack.append((tag, kind))
+                held[tag] = held.get(tag, 0) + 1
                 if says == ASIDE and kind != ASIDE or says == MAIN and kind == PLAIN:
                     flush()
                     kind = says
@@ -108,32 +160,99 @@ def page_lines(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def lcs(a: list, b: list) -> list[tuple[int, int]]:
-    """Positions of a longest common subsequence, by bit-parallel rows over ``a`` and a walk back over them."""
+MOST_BITS = 1 << 28  # of rows that an alignment keeps at a time, 32 MB
+
+
+def _rows(a: list, b: list) -> list[int]:
+    """Bit-parallel rows of the alignment of ``a`` with each prefix of ``b``; a 0 bit is a step of the common length."""
     where: dict = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
-    full, row, rows = (1 << len(a)) - 1, (1 << len(a)) - 1, []
+    full = row = (1 << len(a)) - 1
+    rows = []
     for y in b:
         match = row & where.get(y, 0)
         row = ((row + match) | (row - match)) & full
         rows.append(row)
-    out, i, j = [], len(a), len(b)
-    while i and j:
-        if rows[j - 1] >> (i - 1) & 1:
-            i -= 1
-        else:
-            j -= 1
-            if not j or rows[j - 1] >> (i - 1) & 1:
-                out.append((i - 1, j))
-                i -= 1
-    return out[::-1]
+    return rows
+
+
+def _last_row(a: list, b: list) -> list[int]:
+    """Of each prefix of ``a``, the length in common with ``b``, keeping one row."""
+    where: dict = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for y in b:
+        match = row & where.get(y, 0)
+        row = ((row + match) | (row - match)) & full
+    out = [0]
+    for bit in format(row, f"0{len(a)}b")[::-1] if a else "":
+        out.append(out[-1] + (bit == "0"))
+    return out
 
 
-def main_text(lines: list[tuple[int, str]], shared: set[int]) -> str:
-    """The article's lines and those outside menus and the like that no neighbour shares; all of these if none would stay."""
+def lcs(a: list, b: list) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence. Lines that only one side has are left out first; what needs more than
+    ``MOST_BITS`` is halved where the two halves' common lengths add up to most."""
+    both = set(a) & set(b)
+    ai, bi = ([i for i, x in enumerate(s) if x in both] for s in (a, b))
+    out, todo = [], [(0, len(ai), 0, len(bi))]
+    while todo:
+        p, q, r, s = todo.pop()
+        while p < q and r < s and a[ai[p]] == b[bi[r]]:
+            out.append((ai[p], bi[r]))
+            p, r = p + 1, r + 1
+        while p < q and r < s and a[ai[q - 1]] == b[bi[s - 1]]:
+            q, s = q - 1, s - 1
+            out.append((ai[q], bi[s]))
+        if p == q or r == s:
+            continue
+        x, y = [a[i] for i in ai[p:q]], [b[j] for j in bi[r:s]]
+        if len(x) * len(y) > MOST_BITS and len(y) > 1:
+            half = len(y) // 2
+            head, tail = _last_row(x, y[:half]), _last_row(x[::-1], y[half:][::-1])[::-1]
+            cut = max(range(len(x) + 1), key=lambda i: head[i] + tail[i])
+            todo += [(p, p + cut, r, r + half), (p + cut, q, r + half, s)]
+            continue
+        rows, i, j = _rows(x, y), len(x), len(y)
+        while i and j:
+            if rows[j - 1] >> (i - 1) & 1:
+                i -= 1
+            else:
+                j -= 1
+                if not j or rows[j - 1] >> (i - 1) & 1:
+                    out.append((ai[p + i - 1], bi[r + j]))
+                    i -= 1
+    return sorted(out)
+
+
+def settle(lines: list[tuple[int, str]], neighbours: list[list[tuple[int, str]]]) -> tuple[set[int], set[int]]:
+    """(positions shared with any of the neighbours, positions among these that are deleted); see the module."""
+    shared, edges = set(), []
+    own = [i for i, (k, _) in enumerate(lines) if k == MAIN]
+    texts = [t for _, t in lines]
+    size = sum(len(texts[i]) for i in own)
+    for other in neighbours:
+        pairs = {i for i, _ in lcs(texts, [t for _, t in other])}
+        shared |= pairs
+        its = sum(len(t) for k, t in other if k == MAIN)
+        if own and 2 * sum(len(texts[i]) for i in own if i in pairs) < min(size, its or size):
+            edges.append(pairs)
+    gone = {i for i in shared if lines[i][0] == PLAIN}
+    if len(edges) == 2:
+        for run in (own, own[::-1]):
+            for i in run:
+                if i not in edges[0] or i not in edges[1]:
+                    break
+                gone.add(i)
+    return shared, gone
+
+
+def main_text(lines: list[tuple[int, str]], gone: set[int]) -> str:
+    """The lines that are neither in menus and the like nor deleted; all outside menus if none would stay."""
     text = [i for i, (k, _) in enumerate(lines) if k != ASIDE]
-    own = [i for i in text if lines[i][0] == MAIN or i not in shared]
+    own = [i for i in text if i not in gone]
     return "\n".join(lines[i][1] for i in (own or text))
 
 
@@ -146,41 +265,37 @@ def _unpacked(body: bytes) -> list[tuple[int, str]]:
     return [(int(x[0]), x[1:]) for x in zlib.decompress(body).decode().split("\n") if x]
 
 
+def place_of(url: Column) -> tuple[Column, Column]:
+    """Host (lower case, '' where there is none) and path of a URL."""
+    url = F.trim(F.coalesce(url, F.lit("")))
+    host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)", 1))
+    return host, F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+
+
 def _parse(batches):
     for b in batches:
-        urls, pages = b.column("url").to_pylist(), b.column("html")
-        hosts, paths, bodies = [], [], []
-        for i, url in enumerate(urls):
-            try:
-                cut = urlsplit((url or "").strip())
-                host, path = (cut.hostname or ""), cut.path
-            except ValueError:
-                host, path = "", url or ""
-            hosts.append(host), paths.append(path), bodies.append(_packed(page_lines(pages[i].as_py() or "")))
-        yield pa.RecordBatch.from_arrays(
-            [b.column("page_id"), b.column("url"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(bodies, pa.binary())],
-            names=["page_id", "url", "host", "path", "body"],
-        )
-
-
-#: What a task says of its range: pages (id, URL, text), pages of its first and last run (text still null), and the two
-#: runs at either edge (host, packed lines) by their number in the range. A run is pages in a row of one host and equal lines.
-RANGES = "part int, run long, page_id long, url string, text string, runs long, host string, body binary, digest string"
-
-
-def _text(own, neighbours) -> str:
-    """The text of a run (host, packed lines) by the neighbours there are of its host."""
-    host, lines, shared = own[0], _unpacked(own[1]), set()
-    if any(k == PLAIN for k, _ in lines):
-        for other in neighbours:
-            if other is not None and other[0] == host:
-                shared |= {i for i, _ in lcs(lines, _unpacked(other[1]))}
-    return main_text(lines, shared)
+        bodies = [_packed(page_lines(x.as_py() or "")) for x in b.column("html")]
+        keep = [b.column(c) for c in ("part", "page_id", "url", "host", "path")]
+        yield pa.RecordBatch.from_arrays([*keep, pa.array(bodies, pa.binary())], names=["part", "page_id", "url", "host", "path", "body"])
+
+
+#: What a task says of its range: pages (id, URL, text, lines shared and deleted), pages of its first and last run (text
+#: still null), and the two runs at either edge (host, packed lines) by their number in the range. A run is pages in a
+#: row of one host and equal lines.
+RANGES = "part int, run long, page_id long, url string, text string, n_shared long, n_deleted long, runs long, host string, body binary, digest string"
+
+
+def _text(own, neighbours) -> tuple[str, int, int]:
+    """Text, lines shared and lines deleted of a run (host, packed lines) by the neighbours there are of its host."""
+    host, lines = own[0], _unpacked(own[1])
+    shared, gone = settle(lines, [_unpacked(other[1]) for other in neighbours if other is not None and other[0] == host])
+    return main_text(lines, gone), len(shared), len(gone)
 
 
 def _difference(batches):
     """Rows in order of (host, path): the texts of all runs but the first and last, whose neighbours are in other ranges."""
-    schema = pa.schema([("part", pa.int32()), ("run", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("runs", pa.int64()), ("host", pa.string()), ("body", pa.binary()), ("digest", pa.string())])
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in RANGES.split(", "))])
     part = TaskContext.get().partitionId()
 
     def rows():
@@ -189,14 +304,14 @@ def _difference(batches):
             for page_id, url, host, body in zip(*columns, strict=True):
                 yield (page_id, url), (host, body)
 
-    def pages(number, members, text):
-        return [(part, number, page_id, url, text, None, None, None, None) for page_id, url in members]
+    def pages(number, members, told):
+        return [(part, number, page_id, url, *told, None, None, None, None) for page_id, url in members]
 
     def found():
         first, last, n, members = [], [], 0, []  # the two runs at either edge, the number of runs, the pages of the last one
         for own, run in groupby(rows(), lambda r: r[1]):
             if n == 1:
-                yield pages(0, members, None)
+                yield pages(0, members, (None, None, None))
             elif n:
                 yield pages(n - 1, members, _text(last[-1][1], (last[-2][1], own)))
             if n < 2:
@@ -204,9 +319,9 @@ def _difference(batches):
             last = [*last[-1:], (n, own)]
             n, members = n + 1, [r[0] for r in run]
         if n:
-            yield pages(n - 1, members, None)
+            yield pages(n - 1, members, (None, None, None))
             edges = {number: own for number, own in (*first, *last)}
-            yield [(part, i, None, None, None, n, host, body, hashlib.sha256(repr((host, body)).encode()).hexdigest()) for i, (host, body) in edges.items()]
+            yield [(part, i, *[None] * 5, n, host, body, hashlib.sha256(repr((host, body)).encode()).hexdigest()) for i, (host, body) in edges.items()]
 
     held = []
     for some in found():
@@ -238,23 +353,35 @@ def _settle(batches):
         sides = []
         for side in ("own", "before", "after"):
             sides.append([None if host is None else (host, body) for host, body in zip(*(b.column(f"{side}_{c}").to_pylist() for c in ("host", "body")), strict=True)])
-        yield pa.RecordBatch.from_arrays([b.column("part"), b.column("run"), pa.array([_text(own, near) for own, *near in zip(*sides, strict=True)], pa.string())], names=["part", "run", "text"])
+        told = [_text(own, near) for own, *near in zip(*sides, strict=True)]
+        columns = [pa.array([t[i] for t in told], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([b.column("part"), b.column("run"), *columns], names=["part", "run", "text", "n_shared", "n_deleted"])
+
+
+TOLD = ["page_id", "url", "text", "n_shared", "n_deleted"]
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of each row of ``pages`` (page_id, url, html; more columns are not read).
+    """(page_id, url, text, n_chars, n_shared, n_deleted) of each row of ``pages`` (page_id, url, html; no more are read).
 
     Blocks are joined by one newline, white space within them is one space, character references are decoded. Null
-    and empty html give an empty text. Pages are dealt to ranges of (host, path), so that a host of any size is spread;
-    the pages at the edges of a range meet those of the adjoining ranges, a few rows a range. A neighbour is the nearest
-    page on a side whose lines differ, so that copies in a row are one. A URL without a host counts to the host ''; a
-    page whose every line is shared keeps its lines.
+    and empty html give an empty text. n_shared: lines of the page, in or out of its article, that an alignment with a
+    neighbour found in common; n_deleted: those of them that were deleted for it. Pages are dealt to ranges of (host,
+    path), so that a host of any size is spread; the pages at the edges of a range meet those of the adjoining ranges, a
+    few rows a range, so that the result is the same for any number of ranges. A neighbour is the nearest page on a side
+    whose lines differ, so that copies in a row are one, and repeated rows are treated alike. A URL without a host
+    counts to the host ''; a page whose every line is shared keeps its lines. Pages are parsed in linear time, and an
+    alignment keeps a bounded number of bits.
     """
+    host, path = place_of(F.col("url"))
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parsed = body.mapInArrow(_parse, "page_id long, url string, host string, path string, body binary")
+    body = body.withColumns({"host": host, "path": path})
     parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = parsed.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    dealt = materialize(ranged.mapInArrow(_difference, RANGES), "html-ranges")
+    # ranges are found from the URLs alone, so that no page is parsed twice
+    dealt = range_parts(body, ["host", "path", "page_id"], parts).select("part", "page_id", "url", "host", "path", "html")
+    parsed = dealt.mapInArrow(_parse, "part int, page_id long, url string, host string, path string, body binary")
+    ranged = parsed.repartitionById(parts, F.col("part")).sortWithinPartitions("host", "path", "page_id")
+    dealt = materialize(ranged.select("page_id", "url", "host", "body").mapInArrow(_difference, RANGES), "html-ranges")
 
     edges = dealt.where("runs is not null").select("part", "run", "runs", "host", "body", "digest")
     ends = edges.groupBy("part").agg(F.first("runs").alias("runs"), F.max(F.when(F.col("run") == 0, F.col("digest"))).alias("first"), F.max(F.when(F.col("run") == F.col("runs") - 1, F.col("digest"))).alias("last"))
@@ -267,8 +394,8 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     met = met.withColumn("own", F.struct("part", "run"))
     for name, how in (("own", "inner"), ("before", "left"), ("after", "left")):
         met = met.join(side(name), name, how)
-    settled = met.drop("own", "before", "after").mapInArrow(_settle, "part int, run long, text string")
+    settled = met.drop("own", "before", "after").mapInArrow(_settle, "part int, run long, text string, n_shared long, n_deleted long")
     pages_of = dealt.where("runs is null")
-    waiting = pages_of.where("text is null").select("part", "run", "page_id", "url").join(settled, ["part", "run"]).select("page_id", "url", "text")
-    whole = pages_of.where("text is not null").select("page_id", "url", "text").union(waiting)
-    return whole.withColumn("n_chars", F.char_length("text").cast("long"))
+    waiting = pages_of.where("text is null").select("part", "run", "page_id", "url").join(settled, ["part", "run"]).select(*TOLD)
+    whole = pages_of.where("text is not null").select(*TOLD).union(waiting)
+    return whole.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "n_shared", "n_deleted")
