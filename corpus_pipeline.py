@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import materialize
+from ledgerloom.llm.common import drop_table, materialize, scratch_scope
 from ledgerloom.llm.decontamination import without_leaks
 from ledgerloom.llm.hilbert_sharding import place, size_of
 from ledgerloom.llm.jaccard_join import keep_first
@@ -50,12 +50,15 @@ STAGES = [
     ("mixing", mix_sources),
     ("sharding", shard),
 ]
-#: The mix and the cutoffs depend on each other's rows; the stages have tests of their own, run() as a whole has none yet.
+#: Near duplicates and decontamination have no SQL of bearable length; a test holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's tables go once its output is written, and that once the next stage's is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch_scope(spark):
+            before, docs = docs, materialize(stage(spark, docs, sf_dir), f"pipeline-{name}".replace("_", "-"), keep=True)
+        drop_table(before)
     return docs
