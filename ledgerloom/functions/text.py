@@ -11,23 +11,46 @@ from pyspark.sql import functions as F
 FULL_WIDTH = "".join(chr(0xFF01 + i) for i in range(94))
 HALF_WIDTH = "".join(chr(0x21 + i) for i in range(94))
 
-#: Product types by the marker in a title, in order; the first that fits holds.
-PRODUCT_TYPES = (("完全版", "完全版"), ("タテカラー|タテコミ", "タテカラー"), ("分冊版", "分冊版"), ("単行本", "単行本"), ("話売り|単話", "単話"), ("巻", "巻"), ("ノベル|小説", "ノベル"))
+SPACE = "[\\s\u3000\u00a0\ufeff]"
+
+#: Editions and formats that a title may bear, by the brackets around them; the last also without brackets.
+FORMAT_MARKS = ("ノベル", "版面", "LDF")
+VOLUME_MARK = "巻"
+SQUARE_MARKS = ("完全版", "分冊版", "特装版", "連載版", "改訂版")
+LENS_MARKS = ("分冊版", "特装版", "連載版", "完全版", "改訂版", "タテヨミ")
+BARE_MARKS = ("改訂版", "完全版", "分冊版", "特装版", "連載版")
+#: Product types in order of precedence, with the brackets that count; the first that fits holds.
+PRODUCT_TYPES = (("ノベル", "（） ()"), ("版面", "（） ()"), ("LDF", "（） ()"), ("分冊版", "【】"), ("特装版", "【】"), ("連載版", "【】"), ("完全版", "[] 【】"))
 ORIGINAL = "オリジナル"
-#: Fixed value: markers of an edition or format within a title.
-MARKERS = r"[【\[（(]?(?:完全版|分冊版|単行本版?|タテカラー|タテコミ|フルカラー|話売り|単話版?|ノベル|小説)[】\]）)]?"
+#: What a Korean title gets for an edition, in order; the first that fits holds.
+KR_SUFFIXES = (("完全版", " 완전판"), ("改訂版", " 개정판"), ("分冊版", " 분권판"), ("特装版", " 특장판"), ("連載版", " 연재판"))
+
+
+def _within(marks: tuple[str, ...], brackets: str) -> str:
+    """A pattern for any of the marks within any of the pairs of brackets (pairs apart by a space)."""
+    escaped = lambda c: "\\" + c if c in "()[]" else c
+    return "|".join(f"{escaped(o)}(?:{'|'.join(marks)}){escaped(c)}" for o, c in brackets.split())
+
+
+MARKED = "|".join((_within((*FORMAT_MARKS, VOLUME_MARK), "（） ()"), _within(SQUARE_MARKS, "[]"), _within(LENS_MARKS, "【】")))
+BARE = f"{SPACE}*(?:{'|'.join(BARE_MARKS)})"
+
+
+def squeezed(text: Column) -> Column:
+    """White space as one space, none at the ends."""
+    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
 
 
 def base_title(title: Column) -> Column:
-    """Without edition and format markers, spaces as one."""
-    return F.trim(F.regexp_replace(F.regexp_replace(title, MARKERS, " "), r"[\s　]+", " "))
+    """Without the marks of editions and formats; other words and brackets stay."""
+    return squeezed(F.regexp_replace(F.regexp_replace(title, MARKED, ""), BARE, ""))
 
 
 def product_type(title: Column) -> Column:
     kind = F.lit(ORIGINAL)
-    for pattern, name in reversed(PRODUCT_TYPES):
-        kind = F.when(title.rlike(pattern), F.lit(name)).otherwise(kind)
-    return kind
+    for mark, brackets in reversed(PRODUCT_TYPES):
+        kind = F.when(title.rlike(_within((mark,), brackets)), F.lit(mark)).otherwise(kind)
+    return F.when(title.isNotNull(), kind)
 
 
 def half_width(text: Column) -> Column:
@@ -38,10 +61,24 @@ def fold_wave_dash(text: Column) -> Column:
     return F.translate(text, "〜～", "~~")
 
 
+#: Signs that loose matching takes as others.
+CORE_SIGNS = ("～〜！？\u3000［］", "~~!? []")
+WIDE_ALNUM = "".join(chr(0xFEE0 + ord(c)) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+
+
 def core_title(title: Column) -> Column:
-    """For loose matching: half width, without bracketed parts, markers and spaces."""
-    t = fold_wave_dash(half_width(title))
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"~[^~]*~|【[^】]*】|\[[^\]]*\]|\([^)]*\)", ""), MARKERS, ""), r"[\s　]+", "")
+    """For loose matching: letters and digits at half width, without subtitles, bracketed parts, editions and spaces."""
+    t = F.translate(title, WIDE_ALNUM + CORE_SIGNS[0], "".join(chr(ord(c) - 0xFEE0) for c in WIDE_ALNUM) + CORE_SIGNS[1])
+    for pattern in (r"~[^~]*~", r"【[^】]*】", r"\[[^\]]*\]", r"（[^）]*）", r"\([^)]*\)", BARE, f"{SPACE}+"):
+        t = F.regexp_replace(t, pattern, "")
+    return t
+
+
+def edition_suffix(title: Column) -> Column:
+    out = F.lit("")
+    for mark, suffix in reversed(KR_SUFFIXES):
+        out = F.when(title.contains(mark), F.lit(suffix)).otherwise(out)
+    return out
 
 
 def _nfkc(text: pd.Series) -> pd.Series:

@@ -6,6 +6,8 @@ dimension joins are left to Spark, which broadcasts a side only where its size a
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,17 +53,25 @@ def monthly_trend(sales: DataFrame) -> DataFrame:
 
 
 def by_group(rows: DataFrame, *keys: str) -> DataFrame:
-    """Total, distinct titles and the average of selling days, by ``keys``."""
-    days = F.countDistinct("sale_date")
-    return rows.groupBy(*keys).agg(total(), F.countDistinct("title_jp").alias("title_count"), money.per_day(F.sum("sales_amount"), days).alias("avg_daily"))
+    """Total, distinct titles and the average of selling days, by ``keys``.
+
+    Two plain aggregations, by title and by day, instead of one that multiplies each row for its distinct counts.
+    """
+    titles = rows.groupBy(*keys, "title_jp").agg(total()).groupBy(*keys).agg(F.sum("total_sales").alias("total_sales"), F.count("title_jp").alias("title_count"))
+    days = rows.groupBy(*keys, "sale_date").agg(F.lit(1).alias("_one")).groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count("sale_date").alias("_days"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return titles.join(days, same).select(*keys, "total_sales", "title_count", money.per_day(F.col("total_sales"), F.col("_days")).alias("avg_daily"))
 
 
 def top_titles(sales: DataFrame, names: DataFrame, limit: int = 20, month: str | None = None) -> DataFrame:
+    """The best titles with their channels and days, which are gathered for these titles alone."""
     if month is not None:
-        sales = sales.where(F.date_format("sale_date", "yyyy-MM") == month)
-    summed = sales.groupBy("title_jp").agg(total(), F.concat_ws(",", F.array_sort(F.collect_set("channel"))).alias("channels"), F.countDistinct("sale_date").alias("days"))
-    top = summed.orderBy(F.desc("total_sales"), "title_jp").limit(limit)
-    return top.join(names.select("title_jp", "title_kr"), "title_jp", "left")
+        first = F.to_date(F.lit(f"{month}-01"))
+        sales = sales.where((F.col("sale_date") >= first) & (F.col("sale_date") < F.add_months(first, 1)))
+    top = sales.groupBy("title_jp").agg(total()).orderBy(F.desc("total_sales"), "title_jp").limit(limit)
+    own = sales.join(F.broadcast(top), "title_jp").groupBy("title_jp", "total_sales", "channel", "sale_date").agg(F.lit(1).alias("_one"))  # ``limit`` rows
+    out = own.groupBy("title_jp", "total_sales").agg(F.concat_ws(",", F.array_sort(F.collect_set("channel"))).alias("channels"), F.countDistinct("sale_date").alias("days"))
+    return out.select("title_jp", "total_sales", "channels", "days").join(names.select("title_jp", "title_kr"), "title_jp", "left")
 
 
 def platform_detail(sales: DataFrame, channel: str, start: str | None = None, end: str | None = None, limit: int = 20) -> dict[str, DataFrame]:
@@ -88,7 +98,8 @@ def flat(parts: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
 
 def growth_alerts(sales: DataFrame, as_of: str, limit: int = 30, js_rounding: bool = False) -> DataFrame:
     now, last = _this_and_last(as_of)
-    both = sales.groupBy("title_jp").agg(now.alias("this_month"), last.alias("last_month")).where("last_month > 0")
+    recent = sales.where(F.col("sale_date") >= _months(as_of)[1])  # neither month has earlier rows, so the scan is cut
+    both = recent.groupBy("title_jp").agg(now.alias("this_month"), last.alias("last_month")).where("last_month > 0")
     pct = F.floor((F.col("this_month") - F.col("last_month")) * 1000.0 / F.col("last_month") + 0.5) / 10.0 if js_rounding else money.percent_change(F.col("this_month"), F.col("last_month"))
     return both.withColumn("growth_pct", pct).orderBy("growth_pct", "title_jp").limit(limit)
 
@@ -124,12 +135,15 @@ def ranked(sales: DataFrame, key: str, alias: str = "rk") -> DataFrame:
 def title_rankings(sales: DataFrame, current: tuple[str, str], previous: tuple[str, str], limit: int = 50) -> DataFrame:
     """The top titles of a period with their move against another; new ones come from below the list's end.
 
-    The current ranking is cut before its numbers are given; the earlier one keeps only the titles that are asked for,
-    whose ranks are counted against all.
+    The current ranking is cut before its numbers are given. An earlier rank is the number of titles that sold more: all
+    titles' totals are held against those of the ``limit`` titles asked for, so that no task sees all of them in order.
     """
     now = between(sales, *current).groupBy("title_jp").agg(total()).orderBy(F.desc("total_sales"), "title_jp").limit(limit)
     now = now.withColumn("rk", F.row_number().over(Window.orderBy(F.desc("total_sales"), "title_jp")))
-    prev = ranked(between(sales, *previous), "title_jp", "prev_rk").select("title_jp", "prev_rk")
+    before = between(sales, *previous).groupBy("title_jp").agg(total())
+    asked = before.join(F.broadcast(now.select("title_jp")), "title_jp").select(F.col("title_jp").alias("own"), F.col("total_sales").alias("own_sales"))
+    above = (F.col("total_sales") > F.col("own_sales")) | ((F.col("total_sales") == F.col("own_sales")) & (F.col("title_jp") <= F.col("own")))
+    prev = before.join(F.broadcast(asked), above).groupBy(F.col("own").alias("title_jp")).agg(F.count("*").cast("int").alias("prev_rk"))  # ``limit`` rows
     out = now.join(prev, "title_jp", "left")
     return out.select("title_jp", "total_sales", "rk", "prev_rk", (F.coalesce("prev_rk", F.lit(limit + 1)) - F.col("rk")).alias("rank_change"))
 
@@ -152,8 +166,12 @@ def deduped(sales: DataFrame) -> DataFrame:
 
 
 def title_sales(sales: DataFrame) -> DataFrame:
-    d = deduped(sales).groupBy("title_jp").agg(F.concat_ws(",", F.array_sort(F.collect_set("channel"))).alias("channels"), total(), F.countDistinct("sale_date").alias("days"), F.min("sale_date").alias("first_date"), F.max("sale_date").alias("last_date"))
-    return d
+    """Figures by title over its days, channels over its channels; both from the one deduplication."""
+    d = deduped(sales)
+    days = d.groupBy("title_jp", "sale_date").agg(total())
+    days = days.groupBy("title_jp").agg(F.sum("total_sales").alias("total_sales"), F.count("sale_date").alias("days"), F.min("sale_date").alias("first_date"), F.max("sale_date").alias("last_date"))
+    channels = d.groupBy("title_jp", "channel").agg(F.lit(1).alias("_one")).groupBy("title_jp").agg(F.concat_ws(",", F.array_sort(F.collect_list("channel"))).alias("channels"))
+    return days.join(channels, "title_jp").select("title_jp", "channels", "total_sales", "days", "first_date", "last_date")
 
 
 # ---------------------------------------------------------------- what pages make of them
@@ -180,13 +198,28 @@ def month_pivot(sales: DataFrame, column: str, values: list[str]) -> DataFrame:
 
 
 def base_title_groups(sales: DataFrame, titles: DataFrame) -> DataFrame:
-    t = sales.groupBy("title_jp", "channel").agg(total()).join(titles.select("title_jp", "base_title"), "title_jp")
-    return t.groupBy("base_title").agg(F.countDistinct("title_jp").alias("products"), F.sum("total_sales").alias("total_sales"), F.concat_ws(",", F.array_sort(F.collect_set("channel"))).alias("channels"))
+    """A title is of one base title, so titles are counted as rows; channels are gathered title by title first."""
+    t = sales.groupBy("title_jp", "channel").agg(total()).groupBy("title_jp").agg(F.sum("total_sales").alias("total_sales"), F.collect_list("channel").alias("_channels"))
+    t = t.join(titles.select("title_jp", "base_title"), "title_jp")
+    return t.groupBy("base_title").agg(F.count("*").alias("products"), F.sum("total_sales").alias("total_sales"), F.concat_ws(",", F.array_sort(F.array_distinct(F.flatten(F.collect_list("_channels"))))).alias("channels"))
 
 
 def percentile_bands(sales: DataFrame) -> DataFrame:
-    """top10, top50 or bottom50 of the titles by sales."""
-    r = ranked(sales, "title_jp").withColumn("n", F.count("*").over(Window.partitionBy()))
+    """top10, top50 or bottom50 of the titles by sales.
+
+    Titles are ranked within ranges of sales, whose bounds are approximate quantiles (a number a partition), and the
+    numbers of titles in the ranges above are added, so that no task ranks all of them.
+    """
+    totals = sales.groupBy("title_jp").agg(total())
+    parts = int(sales.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(totals.where("total_sales is not null").approxQuantile("total_sales", [i / parts for i in range(1, parts)], 0.01))) if parts > 1 else []
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b > F.coalesce("total_sales", F.lit(-1 << 62)))) if bounds else F.lit(0)
+    dealt = totals.withColumn("_part", part)
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    above = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_above"), F.sum("_n").over(Window.partitionBy()).alias("n"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(F.desc("total_sales"), "title_jp"))
+    r = dealt.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn("rk", (F.col("_own") + F.col("_above")).cast("int"))  # a row a range
     return r.select("title_jp", "rk", F.when(F.col("rk") <= F.ceil(F.col("n") * 0.1), "top10").when(F.col("rk") <= F.ceil(F.col("n") * 0.5), "top50").otherwise("bottom50").alias("band"))
 
 
@@ -211,13 +244,15 @@ def pareto(sales: DataFrame, key: str, limit: int = 20) -> DataFrame:
 
 
 def launch_curve(sales: DataFrame, days: int = 28) -> DataFrame:
-    """Each title's first ``days`` days, gaps as 0, with the running sum and the week."""
-    d = sales.groupBy("title_jp", "sale_date").agg(total())
-    first = d.groupBy("title_jp").agg(F.min("sale_date").alias("first_date"))
-    spine = first.select("title_jp", F.explode(F.sequence(F.lit(1), F.lit(days))).alias("day"), "first_date").withColumn("sale_date", F.expr("date_add(first_date, day - 1)"))
-    run = Window.partitionBy("title_jp").orderBy("day")
-    out = spine.join(d, ["title_jp", "sale_date"], "left").withColumn("total_sales", F.coalesce("total_sales", F.lit(0)))
-    return out.select("title_jp", "day", "total_sales", F.sum("total_sales").over(run).alias("cumulative"), F.ceil(F.col("day") / 7).cast("int").alias("week"))
+    """Each title's first ``days`` days, gaps as 0, with the running sum and the week: ``days`` values of a title in one array."""
+    first = sales.groupBy("title_jp").agg(F.min("sale_date").alias("first_date"))
+    early = sales.select("title_jp", "sale_date", "sales_amount").join(first, "title_jp").withColumn("day", F.datediff("sale_date", "first_date") + 1).where(F.col("day") <= days)
+    sold = early.groupBy("title_jp", "day").agg(total()).groupBy("title_jp").agg(F.map_from_entries(F.collect_list(F.struct("day", "total_sales"))).alias("_sold"))
+    values = F.transform(F.sequence(F.lit(1), F.lit(days)), lambda d: F.coalesce(F.try_element_at("_sold", d), F.lit(0)))
+    sold = sold.withColumn("_values", values)
+    run = F.transform(F.sequence(F.lit(1), F.lit(days)), lambda d: F.struct(d.alias("day"), F.get("_values", d - 1).alias("total_sales"), F.aggregate(F.slice("_values", F.lit(1), d), F.lit(0).cast("long"), lambda a, x: a + x).alias("cumulative")))
+    out = sold.select("title_jp", F.explode(run).alias("x")).select("title_jp", "x.*")
+    return out.withColumn("week", F.ceil(F.col("day") / 7).cast("int"))
 
 
 def relative_buckets(sales: DataFrame, width: int = 7, buckets: int = 12) -> DataFrame:

@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text as T
+
 #: Editions and numbers that a title loses before its genre is looked up.
-EDITIONS = r"【分冊版】|【特装版】|【連載版】|【完全版】|\[完全版\]|\[판면/화별\]|（ノベル）|\(ノベル\)"
+EDITIONS = r"【分冊版】|【特装版】|【連載版】|【完全版】|\[完全版\]|（ノベル）|\(ノベル\)"
 LAST_NUMBER = r"\s*[0-9]+$"
 BRACKETED_NUMBER = r"（[0-9]+）|\([0-9]+\)"
 SHORTEST_PREFIX, LONGEST_PREFIX = 4, 10
@@ -89,3 +91,51 @@ def normalise_names(rows: DataFrame, channels: dict[str, str]) -> DataFrame:
     """Channels by exact spelling from ``channels``, titles tidied; other columns as they are."""
     known = F.create_map(*(F.lit(x) for pair in channels.items() for x in pair))
     return rows.withColumns({"channel": F.coalesce(known[F.col("channel")], F.col("channel")), "title_jp": tidy_title(F.col("title_jp"))})
+
+
+#: Spellings of channels, by the name they are kept under.
+CHANNEL_ALIASES = {
+    "Piccoma": ("Piccoma", "piccoma", "PICCOMA", "ピッコマ", "piccoma_ads", "piccoma_sales", "piccoma france", "piccoma무제한읽기(読み放題)"),
+    "Mechacomic": ("Mechacomic", "mechacomic", "MECHACOMIC", "めちゃコミック", "めちゃコミ"),
+    "cmoa": ("cmoa", "CMOA", "Cmoa", "コミックシーモア"),
+    "Renta": ("renta", "Renta", "Renta!"),
+    "DMM": ("dmm", "DMM", "DMMブックス"),
+    "DMM(FANZA)": ("DMM（FANZA）", "DMM(FANZA)", "dmm_fanza"),
+    "U-NEXT": ("u-next", "U-NEXT"),
+    "LINEマンガ": ("LINEマンガ", "line_manga", "line", "LINE", "line_ads"),
+    "ebookjapan": ("ebookjapan", "ebj", "ebj_webtoon"),
+    "まんが王国": ("まんが王国", "manga_oukoku", "manga-kingdom"),
+    "BookLive": ("booklive", "BookLive", "BOOKLIVE"),
+    "comico": ("comico jp", "comico_jp", "comico", "comico_ads"),
+    "BookCOMI": ("bookcomi", "BookCOMI"),
+    "Beltoon": ("beltoon", "Beltoon"),
+    "Lezhin": ("lezhin", "Lezhin"),
+    "MangaBang": ("mangabang", "MangaBang"),
+    "MediaDo": ("mediado_sales", "mediado", "MediaDo"),
+}
+
+
+def channel_kept(channel: Column) -> Column:
+    """The name a channel is kept under; other spellings stay as they are."""
+    known = F.create_map(*(F.lit(x) for name, spellings in CHANNEL_ALIASES.items() for s in spellings for x in (s, name)))
+    return F.coalesce(F.try_element_at(known, channel), channel)
+
+
+def match_korean(rows: DataFrame, master: DataFrame, order: str = "place") -> DataFrame:
+    """``rows`` (title_jp, more) with ``matched_kr``: by the title, else by its base title, else by its core title, the
+    last two with the Korean name of the title's edition; '' where none is known.
+
+    ``master``: title_jp, title_kr, ``order``. Of master rows with one title or base title the last in ``order`` holds,
+    of those with one core title the first; blank names do not count. Three equi-joins, one row a key each.
+    """
+    known = master.where("title_jp <> '' and title_kr <> ''").select("title_jp", "title_kr", order)
+    at = F.struct(F.col(order), F.col("title_jp"))
+    side = lambda key, pick, name: known.groupBy(key.alias(f"{name}_key")).agg(pick("title_kr", at).alias(name))
+    core = T.core_title(F.col("title_jp"))
+    sides = {"_exact": (F.col("title_jp"), F.max_by), "_base": (T.base_title(F.col("title_jp")), F.max_by), "_core": (F.nullif(core, F.lit("")), F.min_by)}
+    out = rows
+    for name, (key, pick) in sides.items():
+        looked = side(key, pick, name).where(F.col(f"{name}_key").isNotNull())
+        out = out.withColumn("_key", key).join(looked, F.col("_key") == F.col(f"{name}_key"), "left").drop("_key", f"{name}_key")
+    loose = F.concat(F.coalesce("_base", "_core"), T.edition_suffix(F.col("title_jp")))
+    return out.select(*rows.columns, F.coalesce("_exact", loose, F.lit("")).alias("matched_kr"))

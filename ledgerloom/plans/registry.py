@@ -185,7 +185,40 @@ on_sales("k12_confirm_preliminary", "SELECT upload_id, line, title_jp, channel,
 query("k13_company_merge", "SELECT title_jp, CASE WHEN company = 'Brand#4' THEN 'Brand#5' ELSE company END AS company FROM titles", "titles")(lambda s, d: V.titles(s, d).select("title_jp", F.when(F.col("company") == "Brand#4", "Brand#5").otherwise(F.col("company")).alias("company")))
 
 # ---------------------------------------------------------------- C: functions
-query("c02_product_type", "SELECT p_partkey, CASE WHEN p_name LIKE '%bolt%' THEN 'x' END AS marker FROM part")(lambda s, d: V.table(s, d, "part").select("p_partkey", F.when(F.col("p_name").contains("bolt"), "x").alias("marker")))
+# titles with the marks that shops put on them: every part's name and one of these
+_MARKS = ["", "（ノベル）", "(ノベル)", "（版面）", "（LDF）", "[完全版]", "【分冊版】", "【特装版】", "【連載版】", "【完全版】 2巻", "【タテヨミ】", "(巻)", " 改訂版", "　完全版", " 1巻", "～副題～", "（１）", "！Ａ９", "［特装版］", "小説", "【改訂版】(版面)"]
+_MARK_LIST = ", ".join(f"'{m}'" for m in _MARKS)
+_TITLED = f"titled AS (SELECT p_partkey, p_name || ([{_MARK_LIST}])[1 + p_partkey % {len(_MARKS)}] AS title, CASE WHEN p_size > 25 THEN p_name END AS title_kr FROM part)"
+_BARE = "(改訂版|完全版|分冊版|特装版|連載版)"
+_BRACKETED = "（(ノベル|版面|LDF|巻)）|\\((ノベル|版面|LDF|巻)\\)|\\[(完全版|分冊版|特装版|連載版|改訂版)\\]|【(分冊版|特装版|連載版|完全版|改訂版|タテヨミ)】"
+_BASE_SQL = f"trim(regexp_replace(regexp_replace(regexp_replace(title, '{_BRACKETED}', '', 'g'), '[\\s　]*{_BARE}', '', 'g'), '[\\s　]+', ' ', 'g'))"
+_CORE_SQL = "translate(title, 'Ａ９１～！？［］　', 'A91~!?[] ')"
+for _pattern in ("~[^~]*~", "【[^】]*】", "\\[[^\\]]*\\]", "（[^）]*）", "\\([^)]*\\)", f"\\s*{_BARE}", "[\\s　]+"):
+    _CORE_SQL = f"regexp_replace({_CORE_SQL}, '{_pattern}', '', 'g')"
+_KIND_SQL = "CASE WHEN regexp_matches(title, '（ノベル）|\\(ノベル\\)') THEN 'ノベル' WHEN regexp_matches(title, '（版面）|\\(版面\\)') THEN '版面' WHEN regexp_matches(title, '（LDF）|\\(LDF\\)') THEN 'LDF' WHEN title LIKE '%【分冊版】%' THEN '分冊版' WHEN title LIKE '%【特装版】%' THEN '特装版' WHEN title LIKE '%【連載版】%' THEN '連載版' WHEN title LIKE '%[完全版]%' OR title LIKE '%【完全版】%' THEN '完全版' ELSE 'オリジナル' END"
+_SUFFIX_SQL = "CASE " + " ".join(f"WHEN title LIKE '%{m}%' THEN '{k}'" for m, k in T.KR_SUFFIXES) + " ELSE '' END"
+
+
+def titled(s: SparkSession, d: str) -> DataFrame:
+    mark = F.get(F.array(*map(F.lit, _MARKS)), (F.col("p_partkey") % len(_MARKS)).cast("int"))
+    return V.table(s, d, "part").select("p_partkey", F.concat("p_name", mark).alias("title"), F.when(F.col("p_size") > 25, F.col("p_name")).alias("title_kr"))
+
+
+query("c01_base_title", f"WITH {_TITLED} SELECT p_partkey, title, {_BASE_SQL} AS base_title FROM titled")(lambda s, d: titled(s, d).select("p_partkey", "title", T.base_title(F.col("title")).alias("base_title")))
+query("c02_product_type", f"WITH {_TITLED} SELECT p_partkey, title, {_KIND_SQL} AS product_type FROM titled")(lambda s, d: titled(s, d).select("p_partkey", "title", T.product_type(F.col("title")).alias("product_type")))
+query("c03_core_title", f"WITH {_TITLED} SELECT p_partkey, title, {_CORE_SQL} AS core_title FROM titled")(lambda s, d: titled(s, d).select("p_partkey", "title", T.core_title(F.col("title")).alias("core_title")))
+query(
+    "c04_match_korean",
+    f"""WITH {_TITLED}, named AS (SELECT *, {_BASE_SQL} AS base, {_CORE_SQL} AS core FROM titled), known AS (SELECT * FROM named WHERE title_kr IS NOT NULL),
+ e AS (SELECT title, arg_max(title_kr, p_partkey) AS kr FROM known GROUP BY 1), b AS (SELECT base, arg_max(title_kr, p_partkey) AS kr FROM known GROUP BY 1), c AS (SELECT core, arg_min(title_kr, p_partkey) AS kr FROM known WHERE core <> '' GROUP BY 1)
+ SELECT p_partkey, n.title AS title_jp, coalesce(e.kr, coalesce(b.kr, c.kr) || {_SUFFIX_SQL.replace("title", "n.title")}, '') AS matched_kr FROM named n LEFT JOIN e ON n.title = e.title LEFT JOIN b ON n.base = b.base LEFT JOIN c ON n.core = c.core""",
+)(lambda s, d: M.match_korean(titled(s, d).select("p_partkey", F.col("title").alias("title_jp")), titled(s, d).select(F.col("title").alias("title_jp"), "title_kr", F.col("p_partkey").alias("place"))))
+_SPELLINGS = [x for known in M.CHANNEL_ALIASES.values() for x in known] + ["unknown shop", ""]
+_SPELT = f"([{', '.join(repr(x) for x in _SPELLINGS)}])[1 + p_partkey % {len(_SPELLINGS)}]"
+_ALIAS_ROWS = ", ".join(f"('{x}', '{name}')" for name, known in M.CHANNEL_ALIASES.items() for x in known)
+query("c06_channel_alias", f"SELECT p_partkey, spelling, coalesce(name, spelling) AS channel FROM (SELECT p_partkey, {_SPELT} AS spelling FROM part) LEFT JOIN (VALUES {_ALIAS_ROWS}) AS k(known, name) ON spelling = known")(
+    lambda s, d: V.table(s, d, "part").select("p_partkey", F.get(F.array(*map(F.lit, _SPELLINGS)), (F.col("p_partkey") % len(_SPELLINGS)).cast("int")).alias("spelling")).withColumn("channel", M.channel_kept(F.col("spelling")))
+)
 query("c15_json_access", "SELECT event_type, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1")(lambda s, d: V.table(s, d, "events").groupBy("event_type").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k")))
 query("c16_content_hash", "SELECT page_id, sha256(coalesce(html, '')) AS sha FROM pages")(lambda s, d: V.table(s, d, "pages").select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("sha")))
 query("c17_levenshtein", "SELECT a.base_title AS a, b.base_title AS b, levenshtein(a.base_title, b.base_title) AS distance FROM (SELECT DISTINCT base_title FROM titles) a JOIN (SELECT DISTINCT base_title FROM titles) b ON split_part(a.base_title, ' ', 2) = split_part(b.base_title, ' ', 2) AND a.base_title < b.base_title", "titles")(lambda s, d: (lambda t: t.select(F.col("base_title").alias("a"), F.split_part("base_title", F.lit(" "), F.lit(2)).alias("k")).join(t.select(F.col("base_title").alias("b"), F.split_part("base_title", F.lit(" "), F.lit(2)).alias("k")), "k").where("a < b").select("a", "b", F.levenshtein("a", "b").cast("long").alias("distance")))(V.titles(s, d).select("base_title").distinct()))

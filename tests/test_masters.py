@@ -43,3 +43,22 @@ def test_comparison_runs_replace_themselves_and_show_reviews(spark, tmp_path):
     reviews = spark.createDataFrame([("r1", 1, "closed", 2), ("r1", 1, "kept", 1)], "run_id string, diff_id int, status string, reviewed_at int")
     assert R.read_comparison(spark, path).count() == 4
     assert {(r.diff_id, r.status) for r in R.read_comparison(spark, path, "r1", reviews).collect()} == {(1, "closed"), (2, "open")}
+
+
+def test_titles_lose_the_marks_of_editions_only(spark):
+    from ledgerloom.functions import text as T
+
+    rows = [("作品（版面）", "作品", "版面", "作品"), ("作品（LDF）", "作品", "LDF", "作品"), ("作品【特装版】", "作品", "特装版", "作品"), ("作品 1巻", "作品 1巻", "オリジナル", "作品1巻"), ("小説家になろう", "小説家になろう", "オリジナル", "小説家になろう"), ("フルカラー作品 改訂版", "フルカラー作品", "オリジナル", "フルカラー作品"), ("Ａ～副題～　Ｂ！(巻)", "Ａ～副題～ Ｂ！", "オリジナル", "AB!"), ("題［完全版］", "題［完全版］".replace("完全版", ""), "オリジナル", "題")]
+    df = spark.createDataFrame(rows, "t string, base string, kind string, core string")
+    got = df.select("t", "base", "kind", "core", T.base_title(F.col("t")).alias("b"), T.product_type(F.col("t")).alias("k"), T.core_title(F.col("t")).alias("c")).collect()
+    for r in got:
+        assert (r.b, r.k, r.c) == (r.base, r.kind, r.core), r.t
+
+
+def test_korean_names(spark):
+    master = spark.createDataFrame([("作品A", "가", 1), ("作品B（ノベル）", "나", 2), ("作品B", "다", 3), ("題【x】", "라", 4), ("題", None, 5)], "title_jp string, title_kr string, place int")
+    rows = spark.createDataFrame([("作品A",), ("作品A【完全版】",), ("作品B（版面）",), ("題 ~y~ 改訂版",), ("無",), (None,)], "title_jp string")
+    got = {r.title_jp: r.matched_kr for r in M.match_korean(rows, master).collect()}
+    assert got == {"作品A": "가", "作品A【完全版】": "가 완전판", "作品B（版面）": "다", "題 ~y~ 改訂版": "라 개정판", "無": "", None: ""}
+    names = spark.createDataFrame([("ebj",), ("line",), ("ＸＹ",), (None,)], "c string")
+    assert [r.x for r in names.select(M.channel_kept(F.col("c")).alias("x")).collect()] == ["ebookjapan", "LINEマンガ", "ＸＹ", None]
