@@ -97,7 +97,7 @@ class FingerprintIndex:
         """A run as a bucketed table; its files' names carry their buckets."""
         table = f"run_{hashlib.md5(f'{self.path}/{run}'.encode()).hexdigest()}"
         if not self.spark.catalog.tableExists(table):
-            self.spark.sql(f"CREATE TABLE {table} ({self.COLUMNS.replace(' ', ' ')}) USING parquet CLUSTERED BY (mark) SORTED BY (mark) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+            self.spark.sql(f"CREATE TABLE {table} ({self.COLUMNS}) USING parquet CLUSTERED BY (mark) SORTED BY (mark) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
         return self.spark.table(table)
 
     def _write(self, rows: DataFrame) -> str:
@@ -116,7 +116,8 @@ class FingerprintIndex:
         for old in map(self.read, self.runs):
             old = old.select("mark", F.col("low").alias("l"), F.col("high").alias("h"))
             shared = shared.union(run.hint("merge").join(old.hint("merge"), "mark").where("least(low, l) < greatest(high, h)").select("mark"))
-        shared = materialize(shared.distinct(), "substring-shared")
+        # written first: Spark takes a union of bucketed tables for bucketed itself, and would not bring equal rows together
+        shared = materialize(shared, "substring-shared").distinct()
         self._publish([*self.runs, name])
         if len(self.runs) > self.most_runs:
             self.compact()
@@ -124,9 +125,7 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """One run of all runs; the old ones' files stay until ``remove_old``."""
-        merged = None
-        for run in map(self.read, self.runs):
-            merged = run if merged is None else merged.union(run)
+        merged = self.spark.read.schema(self.COLUMNS).parquet(*(f"{self.path}/{run}" for run in self.runs))
         self._publish([self._write(merged)])
 
     def remove_old(self) -> None:
