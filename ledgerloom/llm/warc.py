@@ -20,6 +20,7 @@ from ledgerloom.llm.common import materialize, scratch_path
 from ledgerloom.llm.files import open_to_read, open_to_write
 
 INDEX = "page_id long, url string, payload_digest string, archive string, offset long, length long, record_type string, refers_to long"
+ESCAPED = "WARC-X-Target-URI-Escaped"  # of a URL with line ends, which a header can't hold
 TASK_BYTES = 64 << 20  # of archives to one reading task, about
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -31,7 +32,9 @@ def record_bytes(page_id, url: str | None, payload: bytes, digest: str, refers_t
     block = http + payload if refers_to is None else http
     head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 2024-01-01T00:00:00Z"]
     if url is not None:
-        head.append("WARC-Target-URI: " + url.replace("%0D", "%250D").replace("%0A", "%250A").replace("\r", "%0D").replace("\n", "%0A"))
+        broken = "\r" in url or "\n" in url  # only then is the URL written in another form, and said to be
+        head.append("WARC-Target-URI: " + (url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if broken else url))
+        head += [f"{ESCAPED}: yes"] if broken else []
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if refers_to is not None:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
@@ -51,7 +54,8 @@ def parse_record(member: bytes) -> tuple:
     if kind == "response" and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError(f"record of page {page} does not match its digest")
     url = fields.get("WARC-Target-URI")
-    url = url and url.replace("%0D", "\r").replace("%0A", "\n").replace("%250D", "%0D").replace("%250A", "%0A")
+    if ESCAPED in fields:
+        url = url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
     refers = fields.get("WARC-Refers-To")
     return int(page) if page else None, url, n, digest, kind, int(refers[10:-1]) if refers else None, payload if kind == "response" else None
 
