@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.common import materialize
 
 BITS = 8
+CELLS_BYTES = 8 << 20  # of a dimension's distinct values, up to which their cells are broadcast
 
 
 def hilbert_index(dims: list[Column], bits: int = BITS) -> Column:
@@ -55,20 +56,24 @@ def _cells(rows: DataFrame, name: str) -> DataFrame:
 def _at_curve(rows: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     """``rows`` (with size) and their curve index ``h``."""
     for name in dims:
-        cells = _cells(rows, name)
-        rows = rows.join(cells, rows[name].eqNullSafe(cells[f"{name}_value"]), "left").drop(f"{name}_value")
+        cells = materialize(_cells(rows, name), "hilbert-cells")
+        amount = cells.agg(F.sum(F.coalesce(F.octet_length(f"{name}_value"), F.lit(0)) + 16)).first()[0] or 0
+        # broadcast, the rows stay in the tasks that scan them; joined by a shuffle, few values leave few tasks with rows
+        side = F.broadcast(cells) if amount <= CELLS_BYTES else cells
+        rows = rows.join(side, rows[name].eqNullSafe(cells[f"{name}_value"]), "left").drop(f"{name}_value")
     size = F.least(F.floor(F.log2(F.col("size")) * 8), F.lit((1 << BITS) - 1)).cast("int")
     return rows.withColumn("h", hilbert_index([*(F.col(f"{n}_cell") for n in dims), size]))
 
 
-def place(meta: DataFrame, shards: int = 16, dims: tuple[str, ...] = ("source", "lang")) -> DataFrame:
+def place(meta: DataFrame, shards: int = 16, dims: tuple[str, ...] = ("source", "lang"), ties: list[str] | None = None) -> DataFrame:
     """``meta`` (doc_id, size, the dimensions, more) with h, shard and slot.
 
-    Shards are runs of the order by (h, doc_id, all other columns), their row counts at most one apart; slots count
-    from 0 within a shard. Rows equal in every column are interchangeable. An empty table gives an empty result.
+    Shards are runs of the order by (h, doc_id, ``ties``: all other columns if None), their row counts at most one
+    apart; slots count from 0 within a shard. Rows equal in all of these are interchangeable. An empty table gives an
+    empty result. The dimensions are strings.
     """
     curve = _at_curve(meta, dims)
-    rest = [c for c in meta.columns if c not in ("doc_id", "h")]
+    rest = [c for c in meta.columns if c not in ("doc_id", "h")] if ties is None else ties
     parts = int(meta.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = curve.repartitionByRange(parts, "h", "doc_id", *rest).sortWithinPartitions("h", "doc_id", *rest)
     # the id holds the partition in its upper bits and the row's place in the partition in its lower 33; written, it stays
@@ -107,9 +112,16 @@ def shard_plan(docs: DataFrame, shards: int = 16) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """The rows of ``docs`` as Parquet, a folder a shard, sorted along the curve within, for pruning by file statistics."""
+    """The rows of ``docs`` as Parquet, a folder a shard, each file a run of the curve, for pruning by file statistics.
+
+    Rows of any types; the sort key holds metadata and a hash of the row, not the row. Columns may have any names but
+    ``_shard``, that of the folders.
+    """
     columns = docs.columns
-    boxed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_of().alias("size"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.struct(*columns).alias("row"))
-    placed = place(boxed, shards)
-    out = placed.select("row.*", F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
-    out.repartitionByRange(shards, "_shard", "_slot").sortWithinPartitions("_shard", "_slot").drop("_slot").write.partitionBy("_shard").parquet(path)
+    row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    boxed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_of().alias("size"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), row.alias("row"))
+    boxed = boxed.withColumn("sign", F.xxhash64(F.to_json("row")))
+    placed = place(boxed, shards, ties=["size", "source", "lang", "sign"])
+    # the partitions of ``place`` are runs of the curve already, so that the rows need no second shuffle
+    out = placed.select(F.col("shard").alias("_shard"), "slot", "row").sortWithinPartitions("_shard", "slot")
+    out.select("_shard", *(F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns))).write.partitionBy("_shard").parquet(path)
