@@ -302,21 +302,56 @@ def upload_checks(rows: DataFrame, known: DataFrame) -> DataFrame:
     return out.agg(*(F.count_if(c).alias(n) for n, c in flags.items()))
 
 
-def insights(sales: DataFrame, titles: DataFrame, as_of: str, limit: int = 8) -> DataFrame:
-    """Threshold rules as rows (priority, rule, value), the most pressing first."""
-    now, last = _this_and_last(as_of)
-    recent = sales.where(F.col("sale_date") >= _months(as_of)[1])
-    mom = sales.agg(now.alias("n"), last.alias("l")).select(money.percent_change(F.col("n"), F.col("l")).alias("value"))
-    rules = [mom.where("value <= -20").select(F.lit(1).alias("priority"), F.lit("sharp_fall").alias("rule"), "value"), mom.where("value >= 20").select(F.lit(2), F.lit("sharp_rise"), "value"), mom.where("value between 5 and 20").select(F.lit(5), F.lit("rise"), "value"), mom.where("value between -20 and -5").select(F.lit(5), F.lit("fall"), "value")]
-
-    def top_share(rows, key, priority, rule, least):
-        s = share_of_all(rows, key).agg(F.max("share").alias("s"))
-        return s.select(F.lit(priority), F.lit(rule), money.half_away(F.col("s") * 100, 1).alias("value")).where(F.col("value") >= least)
+def insights(sales: DataFrame, titles: DataFrame, as_of: str, limit: int = 8, goal_rate: float | None = None) -> DataFrame:
+    """(priority, place, rule, subject, value): threshold rules over the month of ``as_of`` and the one before, the most
+    pressing first, of equals in the order of the rules. Later sales do not count.
 
+    Each rule gives one row or none; values are per cent but for the number of further surging titles.
+    """
+    this, last = _months(as_of)
+    sales = sales.where(F.col("sale_date") < F.add_months(this, 1))
+    now, before = _this_and_last(as_of)
+    recent = sales.where(F.col("sale_date") >= last)
+    rows: list[DataFrame] = []
+
+    def put(d: DataFrame, place: int, value: Column, cases: list[tuple[Column, int, str]], subject: Column | None = None) -> None:
+        """A row of ``d``, which has one, where the first of ``cases`` (condition, priority, rule) that fits."""
+        which = F.coalesce(*(F.when(c, F.struct(F.lit(p).alias("priority"), F.lit(r).alias("rule"))) for c, p, r in cases))
+        got = d.select(which.alias("_w"), (F.lit(None) if subject is None else subject).cast("string").alias("subject"), money.half_away(value.cast("double"), 1).alias("value")).where("_w is not null")
+        rows.append(got.select("_w.priority", F.lit(place).alias("place"), "_w.rule", "subject", "value"))
+
+    def leader(d: DataFrame, key: str) -> DataFrame:
+        """The first group by sales, its share of all, the share of the first three and the number of groups."""
+        each = d.where(F.col(key).isNotNull()).groupBy(key).agg(total())
+        top = each.orderBy(F.desc("total_sales"), key).limit(3).agg(F.min_by(key, F.struct(-F.col("total_sales"), F.col(key))).alias("name"), F.max("total_sales").alias("first"), F.sum("total_sales").alias("three"))
+        return top.crossJoin(F.broadcast(each.agg(F.sum("total_sales").alias("whole"), F.count("*").alias("n"))))  # one row each
+
+    mom = sales.where(F.col("sale_date") >= last).agg(now.alias("n"), before.alias("l")).select(money.percent_change(F.col("n"), F.col("l")).alias("v"))
+    v = F.col("v")
+    put(mom, 1, v, [(v <= -20, 1, "sharp_fall"), (v <= -5, 3, "fall"), (v >= 20, 2, "sharp_rise"), (v >= 5, 4, "rise")])
+    share, several = F.col("first") * 100.0 / F.col("whole"), (F.col("n") >= 2) & (F.col("whole") > 0)
+    put(leader(recent, "channel"), 2, share, [(several & (share >= 60), 2, "platform_risk"), (several & (share >= 45), 5, "top_platform")], F.col("name"))
+    grown = recent.groupBy("title_jp").agg(now.alias("this_month"), before.alias("last_month")).where("last_month > 0").withColumn("g", money.percent_change(F.col("this_month"), F.col("last_month")))
+    extreme = lambda up: F.min_by(F.struct("title_jp", "g"), F.struct(-F.col("g") if up else F.col("g"), F.col("title_jp")))
+    moved = grown.agg(extreme(True).alias("up"), extreme(False).alias("down"), F.count_if(F.col("g") >= 50).alias("n"))
+    put(moved, 3, F.col("up.g"), [(F.col("up.g") >= 50, 2, "surging")], F.col("up.title_jp"))
+    put(moved, 4, F.col("n") - 1, [(F.col("n") >= 3, 6, "more_surging")])
+    put(moved, 5, F.col("down.g"), [(F.col("down.g") <= -30, 1, "declining")], F.col("down.title_jp"))
+    three = F.col("three") * 100.0 / F.col("whole")
+    put(leader(recent, "title_jp"), 6, three, [((F.col("n") >= 5) & (F.col("whole") > 0) & (three >= 50), 3, "top_titles")])
     joined = recent.join(titles.select("title_jp", "company", "genre"), "title_jp")
-    rules += [top_share(recent, "channel", 3, "top_platform", 45), top_share(joined, "company", 4, "top_company", 50), top_share(joined, "genre", 6, "top_genre", 0)]
-    rules += [growth_alerts(sales, as_of, 1).where("growth_pct <= -30").select(F.lit(4), F.concat(F.lit("falling:"), "title_jp"), F.col("growth_pct"))]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.union(r)
-    return out.orderBy("priority", "rule").limit(limit)
+    put(leader(joined, "company"), 7, share, [(several & (share >= 50), 4, "top_company")], F.col("name"))
+    put(leader(joined, "genre"), 8, share, [(F.col("n") >= 2, 5, "top_genre")], F.col("name"))
+    days = recent.groupBy("sale_date").agg(total()).orderBy(F.desc("sale_date")).limit(14).withColumn("_n", F.row_number().over(Window.orderBy(F.desc("sale_date"))))  # 14 rows
+    pace = days.agg(F.sum(F.when(F.col("_n") <= 7, F.col("total_sales"))).alias("n"), F.sum(F.when(F.col("_n") > 7, F.col("total_sales"))).alias("l"), F.count("*").alias("days"))
+    speed = (F.col("n") - F.col("l")) * 100.0 / F.nullif(F.col("l"), F.lit(0))
+    enough = (F.col("days") >= 14) & (F.col("l") > 0)
+    put(pace, 9, speed, [(enough & (speed >= 30), 2, "speeding_up"), (enough & (speed <= -30), 1, "slowing_down")])
+    if goal_rate is not None and goal_rate > 0:
+        goal = sales.sparkSession.createDataFrame([(float(goal_rate),)], "v double")
+        put(goal, 10, v, [(v >= 100, 3, "goal_met"), (v < 50, 3, "goal_far")])
+    year = F.sum(F.when((F.col("sale_date") >= F.add_months(last, -12)) & (F.col("sale_date") < F.add_months(this, -11)), F.col("sales_amount")))
+    both = sales.where(F.col("sale_date") >= F.add_months(last, -12)).agg(F.sum(F.when(F.col("sale_date") >= last, F.col("sales_amount"))).alias("n"), year.alias("l"))
+    yoy = (F.col("n") - F.col("l")) * 100.0 / F.nullif(F.col("l"), F.lit(0))
+    put(both, 11, yoy, [(yoy <= -15, 2, "year_fall"), (yoy >= 15, 4, "year_rise")])
+    return reduce(DataFrame.union, rows).orderBy("priority", "place").limit(limit)

@@ -80,14 +80,18 @@ def batch_summary(ledger: DataFrame, *keys: str) -> DataFrame:
 
 
 def rate_for(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """The effective rule of each row: of those whose months hold it, that of least priority number, then the latest.
+    """``rows`` with the rule of each: of those whose months hold it, that of least priority number, then the latest.
 
-    ``rules``: rule_id, client_id, effective_from, effective_to (null: open), priority, rule_rate. An equality on the client comes first.
+    ``rules``: rule_id, client_id, effective_from, effective_to (null: open), priority, rule_rate. Rows that no rule
+    holds stay, with nulls. Rules are taken once a client and month, so that equal rows stay apart and the rows
+    themselves are not multiplied.
     """
+    asked = rows.select("client_id", "batch").distinct()
     held = (F.col("r.batch") >= F.col("q.effective_from")) & (F.col("q.effective_to").isNull() | (F.col("r.batch") <= F.col("q.effective_to")))
-    met = rows.alias("r").join(rules.alias("q"), (F.col("r.client_id") == F.col("q.client_id")) & held).select("r.*", "q.rule_id", "q.priority", "q.effective_from", "q.rule_rate")
-    w = Window.partitionBy("upload_id", "line", "title_jp").orderBy("priority", F.desc("effective_from"), "rule_id")
-    return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    met = asked.alias("r").join(rules.alias("q"), (F.col("r.client_id") == F.col("q.client_id")) & held)
+    order = Window.partitionBy("_client", "_batch").orderBy("priority", F.desc("effective_from"), "rule_id")  # a client's rules
+    found = met.select(F.col("r.client_id").alias("_client"), F.col("r.batch").alias("_batch"), "q.rule_id", "q.priority", "q.effective_from", "q.rule_rate").withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return rows.join(found, (F.col("client_id") == F.col("_client")) & (F.col("batch") == F.col("_batch")), "left").drop("_client", "_batch")
 
 
 def settle(rows: DataFrame, tax: float = 0.1, krw: float = 9.2) -> DataFrame:
@@ -96,11 +100,22 @@ def settle(rows: DataFrame, tax: float = 0.1, krw: float = 9.2) -> DataFrame:
     return rows.withColumns({"after_tax": money.net_of(F.col("gross"), tax), "income": income}).withColumns({"consumption_tax": money.down(F.col("income") * tax), "income_krw": money.half_up(F.col("income") * krw)})
 
 
-def draw_down(rows: DataFrame, balances: DataFrame, order: list[str]) -> DataFrame:
-    """Advances of a title set against its incomes (not negative) in row order: begin and decrease of each row."""
-    w = Window.partitionBy("title_jp").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.join(balances, "title_jp").withColumn("begin", money.running_draw(F.col("balance"), F.col("income"), w))
-    return out.withColumn("decrease", F.least("begin", "income"))
+def draw_down(rows: DataFrame, balances: DataFrame, order: list[str], key: str = "title_jp", balance_key: str = "title_jp") -> DataFrame:
+    """Advances of a title set against its incomes in row order: ``begin`` and ``decrease`` of each row.
+
+    After a row max(begin - income, 0) is left, so that a negative income adds to the advance. Unrolled, a row begins
+    with max(balance, the largest sum of incomes up to any earlier row) less the sum up to the row before: two windows
+    over one sort. Titles without a balance, and rows without a title, have 0.
+    """
+    sums = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    one = balances.groupBy(F.col(balance_key).alias("_balance_key")).agg(F.max("balance").alias("balance"))
+    out = rows.join(one, F.col(key) == F.col("_balance_key"), "left").drop("_balance_key").withColumn("balance", F.coalesce("balance", F.lit(0)))
+    out = out.withColumn("_earlier", F.coalesce(F.sum("income").over(sums), F.lit(0)))
+    # the sums before the rows so far, of which the first is 0 and counts only through the balance
+    top = F.max("_earlier").over(sums.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    begin = F.when(F.col(key).isNotNull(), F.greatest(F.col("balance"), top) - F.col("_earlier")).otherwise(0)
+    out = out.withColumn("begin", begin)
+    return out.withColumn("decrease", F.least("begin", "income")).drop("_earlier")
 
 
 def latest_roster(rows: DataFrame, keys: list[str], batch: str, before: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
@@ -137,7 +137,35 @@ _AB = f"CAST(coalesce(sum(CASE WHEN {_IN_PREV} THEN sales_amount END), 0) AS BIG
 on_sales("b35_period_compare", f"SELECT *, b - a AS diff, {pct('b', 'a')} AS pct FROM (SELECT channel, {_AB} FROM sales GROUP BY 1)", lambda s: A.period_compare(s, PREV, YEAR, "channel"))
 on_sales("b36_platform_contribution", f"SELECT *, this_month - last_month AS change FROM (SELECT channel, {NOW_LAST} FROM sales GROUP BY 1)", lambda s: A.contribution(s, AS_OF))
 on_sales("b37_platform_share_series", f"SELECT month, channel, total_sales, CAST(floor(total_sales * CAST(100 AS DOUBLE) / sum(total_sales) OVER (PARTITION BY month) + {HALF}) AS BIGINT) AS share_pct FROM (SELECT strftime(sale_date, '%Y-%m') AS month, channel, {TOTAL} FROM sales GROUP BY 1, 2)", A.month_channel_share)
-on_sales("b38_insights", None, lambda s, t: A.insights(s, t, AS_OF), "titles")
+_ROUND = f"sign(v) * floor(abs(v) * 10 + {HALF}) / CAST(10 AS DOUBLE)"
+
+
+def _leader_sql(rows: str, key: str) -> str:
+    return f"SELECT arg_min({key}, r) AS name, max(t) AS first, sum(t) FILTER (r <= 3) AS three, sum(t) AS whole, count(*) AS n FROM (SELECT *, row_number() OVER (ORDER BY t DESC, {key}) AS r FROM (SELECT {key}, sum(sales_amount) AS t FROM {rows} WHERE {key} IS NOT NULL GROUP BY 1))"
+
+
+def _rule_sql(place: int, source: str, value: str, cases: list[tuple[str, int, str]], subject: str = "NULL") -> str:
+    which = lambda k: " ".join(f"WHEN {c} THEN {p if k == 'p' else repr(r)}" for c, p, r in cases)
+    return f"SELECT CASE {which('p')} END AS priority, {place} AS place, CASE {which('r')} END AS rule, CAST({subject} AS VARCHAR) AS subject, CAST(v AS DOUBLE) AS v FROM (SELECT *, {value} AS v FROM ({source}))"
+
+
+_SHARE, _SEVERAL = "first * CAST(100 AS DOUBLE) / whole", "n >= 2 AND whole > 0"
+_MOVED = f"SELECT arg_max(title_jp, (g, -place)) AS up, max(g) AS top, arg_min(title_jp, (g, place)) AS down, min(g) AS low, count(*) FILTER (g >= 50) AS n FROM (SELECT title_jp, row_number() OVER (ORDER BY title_jp) AS place, {pct('this_month', 'last_month')} AS g FROM (SELECT title_jp, {NOW_LAST} FROM bounded GROUP BY 1) WHERE last_month > 0)"
+_RULES = " UNION ALL ".join(
+    (
+        _rule_sql(1, f"SELECT {NOW_LAST} FROM bounded", pct("this_month", "last_month"), [("v <= -20", 1, "sharp_fall"), ("v <= -5", 3, "fall"), ("v >= 20", 2, "sharp_rise"), ("v >= 5", 4, "rise")]),
+        _rule_sql(2, _leader_sql("recent", "channel"), _SHARE, [(f"{_SEVERAL} AND v >= 60", 2, "platform_risk"), (f"{_SEVERAL} AND v >= 45", 5, "top_platform")], "name"),
+        _rule_sql(3, _MOVED, "top", [("v >= 50", 2, "surging")], "up"),
+        _rule_sql(4, _MOVED, "n - 1", [("n >= 3", 6, "more_surging")]),
+        _rule_sql(5, _MOVED, "low", [("v <= -30", 1, "declining")], "down"),
+        _rule_sql(6, _leader_sql("recent", "title_jp"), "three * CAST(100 AS DOUBLE) / whole", [("n >= 5 AND whole > 0 AND v >= 50", 3, "top_titles")]),
+        _rule_sql(7, _leader_sql("(SELECT * FROM recent JOIN titles USING (title_jp))", "company"), _SHARE, [(f"{_SEVERAL} AND v >= 50", 4, "top_company")], "name"),
+        _rule_sql(8, _leader_sql("(SELECT * FROM recent JOIN titles USING (title_jp))", "genre"), _SHARE, [("n >= 2", 5, "top_genre")], "name"),
+        _rule_sql(9, "SELECT sum(t) FILTER (r <= 7) AS a, sum(t) FILTER (r > 7) AS b, count(*) AS days FROM (SELECT sum(sales_amount) AS t, row_number() OVER (ORDER BY sale_date DESC) AS r FROM recent GROUP BY sale_date) WHERE r <= 14", "(a - b) * CAST(100 AS DOUBLE) / nullif(b, 0)", [("days >= 14 AND b > 0 AND v >= 30", 2, "speeding_up"), ("days >= 14 AND b > 0 AND v <= -30", 1, "slowing_down")]),
+        _rule_sql(11, "SELECT (SELECT sum(sales_amount) FROM recent) AS a, sum(sales_amount) AS b FROM sales WHERE sale_date >= DATE '1997-06-01' AND sale_date < DATE '1997-08-01'", "(a - b) * CAST(100 AS DOUBLE) / nullif(b, 0)", [("v <= -15", 2, "year_fall"), ("v >= 15", 4, "year_rise")]),
+    )
+)
+on_sales("b38_insights", f"+bounded AS (SELECT * FROM sales WHERE sale_date < DATE '1998-08-01'), recent AS (SELECT * FROM bounded WHERE sale_date >= {LAST}) SELECT priority, place, rule, subject, {_ROUND} AS value FROM ({_RULES}) WHERE priority IS NOT NULL ORDER BY priority, place LIMIT 8", lambda s, t: A.insights(s, t, AS_OF), "titles")
 on_sales("b39_surging_declining", f"SELECT *, CASE WHEN growth_pct >= 50 THEN 'surging' ELSE 'declining' END AS kind FROM (SELECT *, {pct('this_month', 'last_month')} AS growth_pct FROM ({_GROWTH})) WHERE growth_pct >= 50 OR growth_pct <= -30", lambda s: A.growth_alerts(s, AS_OF, limit=1 << 30).where("growth_pct >= 50 or growth_pct <= -30").withColumn("kind", F.when(F.col("growth_pct") >= 50, "surging").otherwise("declining")))
 on_sales("b40_goal_rate", "SELECT t / CAST(1000000000 AS DOUBLE) * 100 AS rate, least(t / CAST(1000000000 AS DOUBLE) * 100, CAST(100 AS DOUBLE)) AS capped FROM (SELECT sum(sales_amount) AS t FROM sales)", lambda s: s.agg((F.sum("sales_amount") / F.lit(1e9) * 100).alias("rate")).withColumn("capped", F.least("rate", F.lit(100.0))))
 on_sales("b42_currency_display", f"SELECT channel, CAST(floor(sum(sales_amount) * CAST(9.2 AS DOUBLE) + {HALF}) AS BIGINT) AS krw FROM sales GROUP BY 1", lambda s: s.groupBy("channel").agg(money.half_up(F.sum("sales_amount") * V.KRW_PER_JPY).alias("krw")))
@@ -163,7 +191,7 @@ _CARRY = "row_number() OVER (PARTITION BY client_id, channel ORDER BY upload_id,
 on_ledger("e14_carry_forward", f"+b AS (SELECT *, {_CARRY} FROM ledger WHERE batch = '1998-05'), c AS (SELECT *, {_CARRY} FROM ledger WHERE batch = '1998-06') SELECT coalesce(b.client_id, c.client_id) AS client_id, coalesce(b.channel, c.channel) AS channel, CAST(coalesce(b.n, c.n) AS INTEGER) AS place, CASE WHEN b.n IS NOT NULL AND c.n IS NOT NULL THEN 'overlay' WHEN b.n IS NOT NULL THEN 'carry' ELSE 'append' END AS action, coalesce(b.type, c.type) AS type, coalesce(b.title_jp, c.title_jp) AS title_jp, c.gross, c.fee FROM b FULL JOIN c ON b.client_id = c.client_id AND b.channel = c.channel AND b.n = c.n", lambda r: L.carry_forward(r.where("batch = '1998-05'"), r.where("batch = '1998-06'"), ["client_id", "channel"], [*_ORDER, "title_jp"], ["type", "title_jp"], ["gross", "fee"]))
 on_ledger("e16_modal_attribute", "+c AS (SELECT channel, type, count(*) AS n, min(upload_id) AS seen FROM ledger GROUP BY 1, 2) SELECT channel, type FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY n DESC, seen, type) AS r FROM c) WHERE r = 1", lambda r: L.month_roster_modes(r, "channel", "type", "upload_id"))
 on_ledger("e17_duplicate_audit", "+g AS (SELECT channel, client_id, title_jp, count(*) AS n, count(DISTINCT upload_id) AS u FROM ledger GROUP BY 1, 2, 3) SELECT channel, CAST(sum(n) AS BIGINT) AS row_count, count(*) AS key_groups, count(*) FILTER (n > 1) AS dup_groups, count(*) FILTER (u > 1) AS cross_upload_groups FROM g GROUP BY 1", lambda r: L.duplicate_audit(r, "channel", _KEYS))
-on_ledger("e03_effective_rate", "+q AS (SELECT client_id, CAST(0 AS INTEGER) AS rule_id, '1995-01' AS effective_from, CAST(NULL AS VARCHAR) AS effective_to, 10 AS priority, CAST(0.5 AS DOUBLE) AS rule_rate FROM (SELECT DISTINCT client_id FROM ledger) UNION ALL SELECT client_id, 1, '1997-01', '1997-12', 1, CAST(0.6 AS DOUBLE) FROM (SELECT DISTINCT client_id FROM ledger) WHERE client_id % 2 = 0), m AS (SELECT upload_id, line, title_jp, l.client_id, rule_id, rule_rate, row_number() OVER (PARTITION BY upload_id, line, title_jp ORDER BY priority, effective_from DESC, rule_id) AS n FROM (SELECT DISTINCT upload_id, line, title_jp, client_id, batch FROM ledger) l JOIN q ON l.client_id = q.client_id AND l.batch >= q.effective_from AND (q.effective_to IS NULL OR l.batch <= q.effective_to)) SELECT client_id, rule_rate, count(*) AS n_rows FROM (SELECT * FROM m WHERE n = 1) GROUP BY 1, 2", lambda r: L.rate_for(r.select("upload_id", "line", "title_jp", "client_id", "batch").distinct(), r.select("client_id").distinct().withColumns({"rule_id": F.lit(0), "effective_from": F.lit("1995-01"), "effective_to": F.lit(None).cast("string"), "priority": F.lit(10), "rule_rate": F.lit(0.5)}).union(r.where("client_id % 2 = 0").select("client_id").distinct().withColumns({"rule_id": F.lit(1), "effective_from": F.lit("1997-01"), "effective_to": F.lit("1997-12"), "priority": F.lit(1), "rule_rate": F.lit(0.6)}))).groupBy("client_id", "rule_rate").agg(F.count("*").alias("n_rows")))
+on_ledger("e03_effective_rate", "+q AS (SELECT client_id, CAST(0 AS INTEGER) AS rule_id, '1995-01' AS effective_from, CAST(NULL AS VARCHAR) AS effective_to, 10 AS priority, CAST(0.5 AS DOUBLE) AS rule_rate FROM (SELECT DISTINCT client_id FROM ledger) UNION ALL SELECT client_id, 1, '1997-01', '1997-12', 1, CAST(0.6 AS DOUBLE) FROM (SELECT DISTINCT client_id FROM ledger) WHERE client_id % 2 = 0), m AS (SELECT upload_id, line, title_jp, l.client_id, rule_id, rule_rate, row_number() OVER (PARTITION BY upload_id, line, title_jp ORDER BY priority, effective_from DESC, rule_id) AS n FROM (SELECT DISTINCT upload_id, line, title_jp, client_id, batch FROM ledger) l JOIN q ON l.client_id = q.client_id AND l.batch >= q.effective_from AND (q.effective_to IS NULL OR l.batch <= q.effective_to)) SELECT client_id, rule_rate, count(*) AS n_rows FROM (SELECT * FROM m WHERE n = 1) GROUP BY 1, 2", lambda r: L.rate_for(r.select("upload_id", "line", "title_jp", "client_id", "batch").distinct(), r.select("client_id").distinct().withColumns({"rule_id": F.lit(0), "effective_from": F.lit("1995-01"), "effective_to": F.lit(None).cast("string"), "priority": F.lit(10), "rule_rate": F.lit(0.5)}).union(r.where("client_id % 2 = 0").select("client_id").distinct().withColumns({"rule_id": F.lit(1), "effective_from": F.lit("1997-01"), "effective_to": F.lit("1997-12"), "priority": F.lit(1), "rule_rate": F.lit(0.6)}))).withColumn("_n", F.row_number().over(Window.partitionBy("upload_id", "line", "title_jp").orderBy("priority", F.desc("effective_from"), "rule_id"))).where("_n = 1").groupBy("client_id", "rule_rate").agg(F.count("*").alias("n_rows")))
 def _as_key(rows: DataFrame) -> DataFrame:
     """The ledger as another hand might keep it: failed rows one higher, urgent ones without a fee, low ones a month later."""
     late = F.date_format(F.add_months(F.to_date(F.concat("batch", F.lit("-01"))), 1), "yyyy-MM")
@@ -244,3 +272,6 @@ on_ledger("e07_companions", f"""+c AS (SELECT client_id, channel, upload_id, cou
  UNION ALL SELECT {_PAIR}, coalesce(o.fee, b.fee) AS fee FROM (SELECT * FROM m WHERE upload_id = pb) b FULL JOIN (SELECT * FROM m WHERE upload_id = po) o ON b.client_id = o.client_id AND b.channel = o.channel AND b.n = o.n""", lambda r: L.reconcile_companions(r.select("upload_id", "line", "client_id", "channel", "title_jp", "gross", "fee"), r.select("upload_id").distinct().withColumn("role", F.expr("case upload_id % 3 when 0 then 'publisher_detail' when 1 then 'broker_summary' end")), ["client_id", "channel"], ["title_jp", "line", "gross"], ["fee"]))
 query("e14d_title_aliases", "+s AS (SELECT DISTINCT company AS channel, base_title AS canonical, lower(replace(base_title, ' ', '')) AS g FROM titles), x AS (SELECT channel, canonical, g AS alias FROM s UNION SELECT channel, canonical, substr(g, 1, i - 1) || substr(g, i + 1) FROM (SELECT *, CAST(unnest(range(1, length(g) + 1)) AS INTEGER) AS i FROM s WHERE length(g) >= 8)) SELECT channel, alias, CASE WHEN min(canonical) = max(canonical) THEN min(canonical) END AS canonical FROM x GROUP BY 1, 2", "titles")(lambda s, d: L.title_aliases(V.titles(s, d).select(F.col("company").alias("channel"), F.col("base_title").alias("canonical"), F.lower(F.regexp_replace("base_title", " ", "")).alias("signature")).distinct()))
 on_ledger("e14f_siblings", "SELECT client_id, channel, CAST(sum(gross) AS BIGINT) AS gross, CAST(sum(fee) AS BIGINT) AS fee, count(*) AS source_count, string_agg(DISTINCT CAST(upload_id AS VARCHAR), ',' ORDER BY CAST(upload_id AS VARCHAR)) AS sources FROM ledger GROUP BY 1, 2", lambda r: L.consolidate_siblings(r, ["client_id", "channel"], ["gross", "fee"], "upload_id").select("client_id", "channel", "gross", "fee", "source_count", "sources"))
+
+# the queries of the settlement register themselves by ``query``
+from ledgerloom.plans import settlement_queries  # noqa: E402, F401

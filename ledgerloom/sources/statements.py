@@ -150,25 +150,134 @@ def settled(lines: DataFrame, platform: str) -> DataFrame:
     return out.select(*kind.key, "sales_month", dates.month_end_after(F.col("sales_month"), kind.settle).alias("settlement_date"), dates.month_end_after(F.col("sales_month"), kind.deposit).alias("deposit_date"), *AMOUNTS, "row_count")
 
 
-#: Words in a file's name and in its headers that speak for a platform, with a weight.
-SIGNS = (
-    ("cmoa", "cmoa|シーモア|n1100", "タイトルID", 1.0),
-    ("piccoma", "piccoma|ピッコマ", "取次", 1.0),
-    ("renta", "renta|レンタ", "アップグレード冊数", 1.0),
-    ("line_ebj", "line|ebj", "許諾額計", 1.0),
-    ("booklive", "booklive|ブックライブ", "分配", 1.0),
-    ("mechacomic", "mecha|めちゃ", "シリーズ", 1.0),
-    ("dmm", "dmm|fanza", "集計期間", 1.0),
-    ("u_next", "u-?next", "視聴", 1.0),
-    ("mediado", "mediado|メディアドゥ", "JP-eコード", 1.0),
-    ("mangabang", "mangabang|マンガbang", "販売期間", 1.0),
+#: Each platform with its weight and the patterns of its files' names.
+SIGNATURES = (
+    ("cmoa", 10, (r"(?i)CD\d+_N\d+_\d{6}_.*(支払案内書|meisai|dl)", r"(?i)cmoa")),
+    ("mbj", 10, (r"(?i)Apple Books", r"(?i)yodobashi\.com", r"アニメイトブックストア", r"[ほぼ]るコミ", r"PF_\d+_RIVERSE_\d+_支払通知書")),
+    ("piccoma_ads", 10, (r"動画リワード.*RIVERSE", r"砂時計")),
+    ("mediado", 10, (r"BR\d+_RIVERSE_コミック", r"BR\d+_RIVERSE_タテヨミ", r"BR\d+_RIVERSE_書籍")),
+    ("beltoon", 10, (r"(?i)beltoon",)),
+    ("lezhin", 10, (r"(?i)lezhin",)),
+    ("beaglee", 10, (r"(?i)beaglee", r"まんが王国")),
+    ("renta", 10, (r"PAS\d+-A-\d+rnt_jp", r"パピレス掲載料通知書")),
+    ("booklive", 10, (r"株式会社ＲＩＶＥＲＳＥ.*売上報告書", r"A0698a_株式会社ＲＩＶＥＲＳＥ")),
+    ("comico", 5, (r"^2026\d{2}\.xlsx$", r"(?i)comico", r"(?i)^statement_\d+\.xlsx$")),
+    ("dmm", 10, (r"\d+_株式会社RIVERSE_支払通知書", r"(?i)DMM", r"ポイント上乗せ施策")),
+    ("ebj_line", 10, (r"ExportCSV_PaymentReport_\d+_EpiVol", r"(?i)payment-report-\d+")),
+    ("line_ad", 10, (r"\d+_N\d+_R\d+_N\d+_\(株\)RIVERSE様",)),
+    ("mangabang", 10, (r"(?i)mangabang.*ticket", r"RIVERSE様_支払通知書")),
+    ("sb_creative_m", 10, (r"\d+_株式会社RIVERSE様【\d+年\d+月】前払印税報告書", r"^SBクリエイティブ_株式会社RIVERSE様【\d+年\d+月】前払印税報告書", r"【請求書】SBクリエイティブ様")),
+    ("shueisha", 10, (r"\d+_支払通知書（集英社）",)),
+    ("u_next", 10, (r"hol\d+_株式会社RIVERSE御中_\d+",)),
+    ("piccoma", 10, (r"取次report_株式会社RIVERSE", r"出版社report_株式会社RIVERSE")),
+    ("piccoma_gaiakuhan", 10, (r"外販お支払報告書", r"ピッコマEPUB外販ロイヤリティー")),
+    ("mechacomic", 10, (r"^RIVERSE_\d{6}\.xlsx$", r"【請求書】.*めちゃコミック")),
+    ("ichijinsha", 5, (r"支払通知書\.pdf$", r"詳細別送の内訳", r"【請求書】一迅社様")),
+    ("kadokawa", 10, (r"\d+_R\d+_\d+\.pdf$", r"支払通知書_\d{8}_\d+\.csv", r"【請求書】KADOKAWA様")),
+    ("sb_creative_e", 10, (r"支払通知書_\d+年\d+月\d+日お支払い",)),
 )
-
-
-def detected(files: DataFrame, least: float = 0.5) -> DataFrame:
-    """(file, platform, confidence) for rows (file, header): the best score, against the second; below ``least``, null."""
-    each = F.explode(F.array(*(F.struct(F.lit(p).alias("platform"), (F.when(F.lower("file").rlike(n), 10 * w).otherwise(0.0) + F.when(F.col("header").contains(h), 2.0).otherwise(0.0)).alias("score")) for p, n, h, w in SIGNS))).alias("x")
-    order = F.struct(-F.col("x.score"), F.col("x.platform"))
-    best = files.select("file", "header", each).groupBy("file").agg(F.min_by("x.platform", order).alias("platform"), F.max("x.score").alias("top"), F.sort_array(F.collect_list("x.score"), asc=False)[1].alias("second"))
-    sure = F.least(F.lit(1.0), F.col("top") / (F.col("top") + F.col("second") + 5))
-    return best.select("file", F.when(sure >= least, F.col("platform")).alias("platform"), sure.alias("confidence"))
+#: Words in a platform's header cells, and patterns of its sheets' names.
+HEADER_WORDS = {"cmoa": ("作品ID", "サービス区分")}
+SHEET_PATTERNS = {"comico": (r"プラットフォーム売上現況", r"精算書\(JP\)")}
+
+
+def detected(files: DataFrame) -> DataFrame:
+    """``files`` (file; where there: folder, header, sheets, the last as a list) with ``platform`` and ``confidence``.
+
+    A pattern of the name counts ten times the weight, one of a sheet's name five times, the platform in the folder's
+    name 3, a header word 2. The best score wins, of equals the first platform as listed; confidence sets it against
+    the second. Without any score confidence is 0, and the platform is that whose code the file's name holds, else
+    null. Scores are computed within the row.
+    """
+    has = lambda c: c in files.columns
+    hit = lambda cond, points: F.when(F.coalesce(cond, F.lit(False)), points).otherwise(0)
+
+    def in_a_sheet(pattern: str) -> Column:
+        return F.exists("sheets", lambda s: s.rlike(pattern))
+
+    def score(code: str, weight: int, patterns: tuple[str, ...]) -> Column:
+        points = [hit(F.col("file").rlike(p), 10 * weight) for p in patterns]
+        if has("folder"):
+            points.append(hit(F.lower("folder").contains(code.replace("_", "")), 3))
+        if has("header"):
+            points += [hit(F.col("header").contains(w), 2) for w in HEADER_WORDS.get(code, ())]
+        if has("sheets"):
+            points += [hit(in_a_sheet(p), 5 * weight) for p in SHEET_PATTERNS.get(code, ())]
+        return sum(points[1:], points[0])
+
+    scores = F.array(*(F.struct((-score(*s)).alias("score"), F.lit(i).alias("place"), F.lit(s[0]).alias("platform")) for i, s in enumerate(SIGNATURES)))
+    out = files.withColumn("_s", F.array_sort(scores))
+    top, second = -F.col("_s")[0]["score"], -F.col("_s")[1]["score"]
+    sure = F.when(top > 0, F.least(F.lit(1.0), top / (top + second + 5))).otherwise(0.0)
+    codes = sorted((s[0] for s in SIGNATURES), key=lambda c: (-len(c), c))
+    by_code = F.coalesce(*(F.when(F.lower("file").contains(c), F.lit(c)) for c in codes))
+    return out.select(*files.columns, F.when(top > 0, F.col("_s")[0]["platform"]).otherwise(by_code).alias("platform"), sure.alias("confidence"))
+
+
+#: Labels of amounts in notices and invoices, by what they state, in order of precedence.
+LABELS = {
+    "tax_incl": ("御請求金額", "お支払額合計", "支払額合計", "合計金額", "差引支払金額", "お支払額", "支払額", "版権支払額合計", "期間中売上合計"),
+    "tax_excl": ("小計", "計上額合計", "総収入金額", "税抜き金額", "お取引先様ご負担額合計"),
+    "consumption_tax": ("消費税", "消費税額"),
+    "withholding_tax": ("源泉額合計", "源泉税", "所得税"),
+}
+#: Forms of a total that bear no label of the above.
+TOTALS = (r"[¥￥\\\\]([\d,]+)\s+合計", r"[¥￥\\\\]([\d,]+)[^¥￥\\\\]{0,120}支払金額合計", r"支払金額\s+Payment amount[\s\S]{0,200}[¥￥\\\\]([\d,]+)", r"Total price[\s\S]{0,120}[¥￥\\\\]([\d,]+)")
+NUMBER = r"[−▲-]?\d[\d,]*"
+SUMMARY_KINDS = (("請求書", "invoice_summary_fallback"), ("支払通知|支払案内|掲載料通知", "payment_notice_summary_fallback"), ("(?i)report|レポート|明細|内訳", "detail_report_summary_fallback"))
+
+
+def _number(text: Column) -> Column:
+    plain = F.replace(F.translate(text, "−▲", "--"), F.lit(","), F.lit(""))
+    return F.when(plain != "", plain.try_cast("double"))
+
+
+def labelled_amount(text: Column, label: str) -> Column:
+    """The number right before a label, else the first within 25 signs after it; null where there is none."""
+    before = f"({NUMBER})\\s*円?\\s*{label}"
+    after = f"{label}[^0-9¥￥\\\\−▲-]{{0,25}}[¥￥\\\\]?({NUMBER})"
+    return F.coalesce(*(_number(F.regexp_extract(text, p, 1)) for p in (before, after)))
+
+
+def file_month(file: Column) -> Column:
+    """The month in a file's name, as 2024年5月, 202405 or 2405, else null."""
+    forms = ((r"(20\d{2})年\s*(\d{1,2})月", ""), (r"(20\d{2})(0[1-9]|1[0-2])", ""), (r"(?:^|[^\d])(\d{2})(0[1-9]|1[0-2])(?:[^\d]|$)", "20"))
+    month = lambda p, century: F.when(file.rlike(p), F.concat(F.lit(century), F.regexp_extract(file, p, 1), F.lit("-"), F.lpad(F.regexp_extract(file, p, 2), 2, "0"), F.lit("-01")))
+    return F.coalesce(*(month(p, c) for p, c in forms))
+
+
+def summarised(files: DataFrame) -> DataFrame:
+    """One row a file (file, text, platform) that no reader takes: what its labelled amounts state, as evidence only.
+
+    The amounts are those of the first label of LABELS that has a number but 0. Of tax_incl, tax_excl and
+    consumption_tax a missing one follows from the others, 10 % being supposed only where no tax is stated; an amount
+    without tax that stands alone is both. The month is the text's, else the name's. ``needs_review``: no amount was found.
+    """
+    text = F.col("_text")
+    out = files.withColumn("_text", F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\s　]+", " ")))
+    first = lambda labels: F.coalesce(*(F.nullif(labelled_amount(text, x), F.lit(0.0)) for x in labels))
+    out = out.withColumns({f"_{k}": first(v) for k, v in LABELS.items()})
+    total = F.coalesce("_tax_incl", *(_number(F.regexp_extract(text, p, 1)) for p in TOTALS), "_tax_excl")
+    out = out.withColumn("_tax_incl", total)
+    incl, excl, tax = F.col("_tax_incl"), F.col("_tax_excl"), F.col("_consumption_tax")
+    whole = F.coalesce(incl, F.coalesce(excl + tax, R(excl * 1.1).cast("double")))
+    net = F.coalesce(excl, F.coalesce(whole - tax, R(whole / 1.1).cast("double")))
+    years = F.coalesce(*(F.when(text.rlike(p), F.concat(F.regexp_extract(text, p, 1), F.lit("-"), F.lpad(F.regexp_extract(text, p, 2), 2, "0"), F.lit("-01"))) for p in (r"(20\d{2})年\s*(\d{1,2})月", r"(20\d{2})[-/](\d{1,2})")))
+    kind = F.lit("file_summary_fallback")
+    for pattern, name in reversed(SUMMARY_KINDS):
+        kind = F.when(F.col("file").rlike(pattern), name).otherwise(kind)
+    subject = F.trim(F.regexp_extract(text, r"件名[：:]\s*(.+?)(?: 御請求金額| お支払期限| №| No|$)", 1))
+    zero = F.lit(0.0)
+    return out.select(
+        "file",
+        "platform",
+        F.when(subject != "", subject).otherwise(F.regexp_replace("file", r"\.[^.]+$", "")).alias("raw_title"),
+        kind.alias("source_file_kind"),
+        F.coalesce(years, file_month(F.col("file"))).alias("sales_month"),
+        F.coalesce(net, zero).alias("tax_excl"),
+        F.coalesce(whole, zero).alias("tax_incl"),
+        F.coalesce(tax, whole - net, zero).alias("consumption_tax"),
+        F.coalesce("_withholding_tax", zero).alias("withholding_tax"),
+        F.lit("SUMMARY_NON_AGGREGATED").alias("note2"),
+        (incl.isNull() & excl.isNull()).alias("needs_review"),
+    )
