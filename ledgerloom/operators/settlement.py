@@ -230,3 +230,84 @@ def import_master(stored: DataFrame, parsed: DataFrame, batch: str, fields: list
     value = lambda f: F.when(fresh, F.col(f"_new_{f}")).otherwise(F.col(f)).alias(f)
     active = F.when(fresh, F.lit(True)).when(F.col("_imported").isNotNull(), F.lit(False)).otherwise(F.col("is_active"))
     return met.select(*place, *map(value, fields), F.when(fresh, F.lit(batch)).otherwise(F.col("import_batch")).alias("import_batch"), active.alias("is_active"))
+
+
+#: Channels whose guessed kinds follow the earlier ledger, and the kinds that piccoma's two markers allow.
+RECONCILED_CHANNELS = ("line", "ebj", "ebj_webtoon", "mechacomic", "booklive", "bookcomi", "piccoma")
+PICCOMA_KINDS = {"chapter": ("wt", "wr", "wn"), "volume": ("eb", "ep")}
+GUESSED_NOTE, SCANNED_NOTE = "TYPE_HEURISTIC", "SHUEISHA_OCR_TITLE"
+MOST_INSERTED, MARGIN = 3, 3
+
+
+def _title_key(title: str = "title_jp") -> Column:
+    return T.title_key(T.fold_wave_dash(F.trim(F.coalesce(F.col(title), F.lit("")))))
+
+
+def reconcile_kinds(current: DataFrame, base: DataFrame) -> DataFrame:
+    """``current`` (channel, title_jp, type, note2, more) with guessed kinds taken from ``base`` (channel, title_jp, type).
+
+    Only rows whose note says that the kind is a guess, of RECONCILED_CHANNELS. One earlier kind of the channel's title
+    holds, without any the one that all channels have. Of several, that which no current row of the title bears, if it
+    is one and the guess is none of them; else the row is ambiguous. For piccoma only kinds of the marker's family
+    count, and a guess among them stays. ``raw_type`` keeps the guess; ``reconciliation`` is baseline, ambiguous or
+    null. A title has few kinds, so that the lists are short.
+    """
+    part = lambda c: F.lower(F.trim(c))
+    at = lambda d: d.withColumns({"_channel": part("channel"), "_title": _title_key(), "_kind": F.nullif(part("type"), F.lit(""))})
+    old, now = at(base).where("_title <> '' and _kind is not null"), at(current)
+    pair = F.collect_set(F.struct(F.col("_kind").alias("k"), F.col("_raw").alias("raw")))
+    spelt = lambda *keys: old.groupBy(*keys, "_kind").agg(F.min("type").alias("_raw")).groupBy(*keys).agg(pair.alias("_kinds"))
+    own = spelt("_channel", "_title").where(F.col("_channel").isin(*RECONCILED_CHANNELS))
+    everywhere = spelt("_title").where(F.size("_kinds") == 1).withColumnRenamed("_kinds", "_global")
+    claimed = now.where("_kind is not null").groupBy("_channel", "_title").agg(F.collect_set("_kind").alias("_claimed"))
+    out = now.join(own, ["_channel", "_title"], "left").join(everywhere, "_title", "left").join(claimed, ["_channel", "_title"], "left")
+    note = F.coalesce(F.col("note2"), F.lit(""))
+    guessed = note.contains(GUESSED_NOTE) & F.col("_channel").isin(*RECONCILED_CHANNELS) & (F.col("_title") != "")
+    family = F.lit(None).cast("array<string>")
+    for name, kinds in PICCOMA_KINDS.items():
+        family = F.when(note.contains(f"{GUESSED_NOTE}:{name}"), F.array(*map(F.lit, kinds))).otherwise(family)
+    none = F.array().cast("array<struct<k:string,raw:string>>")
+    free = lambda kinds: F.filter(kinds, lambda x: ~F.coalesce(F.array_contains("_claimed", x["k"]), F.lit(False)))
+    has = lambda kinds: F.exists(kinds, lambda x: x["k"] == F.col("_kind"))
+    kinds = F.coalesce("_kinds", none)
+    fitting = F.filter(kinds, lambda x: F.coalesce(F.array_contains("_family", x["k"]), F.lit(False)))
+    out = out.withColumns({"_family": family, "_guessed": F.coalesce(guessed, F.lit(False))})
+    out = out.withColumns({"_fit": F.when(F.col("_channel") == "piccoma", fitting).otherwise(kinds)}).withColumn("_free", free(F.col("_fit")))
+    piccoma = F.when(has("_fit"), none).otherwise(F.col("_free"))
+    several = F.when(has("_fit") | (F.size("_free") != 1), F.lit(None)).otherwise(F.col("_free"))
+    choice = F.when(F.col("_channel") == "piccoma", F.when(F.size(piccoma) <= 1, piccoma)).when(F.size("_fit") > 1, several).when(F.size("_fit") == 1, F.col("_fit")).otherwise(F.coalesce("_global", none))
+    out = out.withColumn("_choice", F.when(F.col("_guessed"), choice).otherwise(none))
+    taken = F.get("_choice", F.lit(0))
+    changed = F.coalesce(taken["k"] != F.coalesce("_kind", F.lit("")), F.lit(False))
+    return out.select(
+        *(F.when(changed, taken["raw"]).otherwise(F.col("type")).alias(c) if c == "type" else c for c in current.columns),
+        F.when(changed, F.col("type")).alias("raw_type"),
+        F.when(F.col("_choice").isNull(), "ambiguous").when(changed, "baseline").alias("reconciliation"),
+    )
+
+
+def reconcile_scanned(current: DataFrame, base: DataFrame) -> DataFrame:
+    """``current`` (channel, type, title_jp, note2, more) with scanned titles as ``base`` (channel, type, title_jp) spells them.
+
+    A scan puts signs in. A marked title that ``base`` lacks takes the base title that it holds as a subsequence, if it
+    has at most MOST_INSERTED signs more, every other such base title needs MARGIN signs more than that, and no other
+    marked row is as near to that base title. Base titles that a current row bears are no candidates. Titles meet by an
+    equi-join on channel, type and length, for the few lengths that can decide.
+    """
+    part = lambda c: F.lower(F.trim(c))
+    at = lambda d: d.withColumns({"_channel": part("channel"), "_kind": part("type"), "_title": _title_key()})
+    key = ["_channel", "_kind", "_title"]
+    now, old = at(current), at(base)
+    unmatched = old.where("_title <> ''").groupBy(*key).agg(F.min(F.trim("title_jp")).alias("_spelling")).join(now.select(*key).distinct(), key, "left_anti")
+    marked = now.where(F.coalesce(F.col("note2"), F.lit("")).contains(SCANNED_NOTE)).groupBy(*key).agg(F.count("*").alias("_rows")).join(old.select(*key).distinct(), key, "left_anti")
+    tried = marked.withColumn("_length", F.explode(F.transform(F.sequence(F.lit(1), F.lit(MOST_INSERTED + MARGIN - 1)), lambda i: F.char_length("_title") - i)))
+    known = unmatched.select("_channel", "_kind", F.col("_title").alias("_base"), "_spelling", F.char_length("_title").alias("_length"))
+    met = tried.join(known, ["_channel", "_kind", "_length"]).withColumn("_more", T.inserted(F.col("_base"), F.col("_title"))).where("_more is not null")
+    by_title, by_base = Window.partitionBy(*key), Window.partitionBy("_channel", "_kind", "_base")
+    met = met.withColumns({"_least": F.min("_more").over(by_title), "_nearest": F.min("_more").over(by_base)})
+    close = F.when(F.col("_more") < F.col("_least") + MARGIN, 1)
+    met = met.withColumns({"_close": F.count(close).over(by_title), "_rivals": F.sum(F.when(F.col("_more") == F.col("_nearest"), F.col("_rows"))).over(by_base)})
+    best = met.where(f"_more = _least and _more <= {MOST_INSERTED} and _close = 1 and _more = _nearest and _rivals = 1").select(*key, "_spelling")
+    out = now.join(best, key, "left")
+    mine = F.coalesce(F.col("note2"), F.lit("")).contains(SCANNED_NOTE) & F.col("_spelling").isNotNull()
+    return out.select(*(F.when(mine, F.col("_spelling")).otherwise(F.col(c)).alias(c) if c == "title_jp" else c for c in current.columns), F.when(mine, F.col("title_jp")).alias("raw_title"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,8 +97,10 @@ def daily_rows(table: DataFrame, kind: Daily) -> DataFrame:
     return summed.select("title_jp", "channel", "sale_date", net.alias("sales_amount"), gross.alias("sales_amount_gross"))
 
 
-def unpivoted(table: DataFrame, title: str, channel: str, year: int, pattern: str = r"^(\d{1,2})-(\d{1,2}) ", price: str | None = None, gross: bool = True) -> DataFrame:
-    """Wide files with a column a day (``MM-DD ...``): one row a title and day; counts times ``price`` where given."""
+def unpivoted(table: DataFrame, title: str, channel: str, year: int, pattern: str = r"^(\d{1,2})-(\d{1,2}) ", price: str | None = None, gross: bool = True, tails: tuple[str, ...] = ()) -> DataFrame:
+    """Wide files with a column a day (``MM-DD ...``): one row a title and day; counts times ``price`` where given.
+
+    ``tails`` are taken off the ends of titles (RENTA_TAILS three times over for Renta's files)."""
     import re
 
     days = {c: re.match(pattern, c) for c in table.columns if re.match(pattern, c)}
@@ -106,5 +109,53 @@ def unpivoted(table: DataFrame, title: str, channel: str, year: int, pattern: st
     long = long.unpivot(keep, [c for c in long.columns if c not in keep], "day", "value")
     raw = T.amount(F.col("value")) * (T.amount(F.col(price)) if price else F.lit(1.0))
     net = money.net_of(F.sum(raw)) if gross else money.half_up(F.sum(raw))
-    out = long.where(raw != 0).groupBy(F.trim(F.col(title)).alias("title_jp"), F.col("day").cast("date").alias("sale_date")).agg(net.alias("sales_amount"), money.half_up(F.sum(raw)).alias("sales_amount_gross"))
+    name = F.trim(F.col(title))
+    for tail in tails:
+        name = F.regexp_replace(name, tail, "")
+    out = long.where(raw != 0).groupBy(F.trim(name).alias("title_jp"), F.col("day").cast("date").alias("sale_date")).agg(net.alias("sales_amount"), money.half_up(F.sum(raw)).alias("sales_amount_gross"))
     return out.select("title_jp", F.lit(channel).alias("channel"), "sale_date", "sales_amount", (F.col("sales_amount_gross") if gross else F.lit(None).cast("long")).alias("sales_amount_gross"))
+
+
+#: What titles of Renta's and DMM's files bear at their ends, taken off three times over.
+RENTA_TAILS = (r"\s*【フルカラー】\s*$", r"\s*第?\s*\d+[話巻]\s*【[^】]*】\s*$", r"\s*第?\s*\d+[話巻]\s*$", r"\s+\d+\s*【[^】]*】\s*$", r"\s*\d+\s*$")
+DMM_TAILS = (r"\s*第?\s*\d+[話巻]\s*【[^】]*】\s*$", r"\s*第?\s*\d+[話巻]\s*$", r"\s*【フルカラー】\s*$", r"\s*\d+\s*$")
+DMM_TITLES, DMM_SITES = ("商品タイトル", "タイトル名", "作品名"), ("配信サイト", "サイト")
+
+
+def dmm_rows(table: DataFrame) -> DataFrame:
+    """DMM's file as daily rows: FANZA's site is a channel of its own, a range of days is its month, amounts above 0 count."""
+    found = lambda test: next((c for c in table.columns if test(c)), None)
+    names = lambda *words: lambda c: any(w in c for w in words)
+    title, site = found(lambda c: c in DMM_TITLES), found(lambda c: c in DMM_SITES)
+    date = found(lambda c: c == "日付" or names("売上月", "売上日", "集計期間", "集計単位", "販売日")(c))
+    amount = found(lambda c: names("売上金額", "販売額計", "取扱高")(c) and "税込" not in c) or found(names("売上金額", "販売額計", "金額"))
+    if not (title and date and amount):
+        raise ValueError(f"no title, date or amount among {table.columns}")
+    name = F.trim(F.col(title))
+    for pattern in DMM_TAILS * 3:
+        name = F.regexp_replace(name, pattern, "")
+    ranged = F.col(date).rlike(r"^\d{4}\D\d{1,2}\D\d{1,2}日?\s*[～~]\s*\d{4}")
+    day = F.when(ranged, day_of(F.col(date), monthly=True)).otherwise(day_of(F.col(date)))
+    channel = F.when(F.upper(F.col(site)).contains("FANZA"), "DMM(FANZA)").otherwise("DMM") if site else F.lit("DMM")
+    whole = F.regexp_extract(F.regexp_replace(F.col(amount), "[¥,]", ""), r"^\s*(-?\d+)", 1).try_cast("long")
+    rows = table.select(F.trim(name).alias("title_jp"), channel.alias("channel"), day.alias("sale_date"), whole.alias("n"))
+    rows = rows.where("title_jp <> '' and sale_date is not null and n > 0")
+    return rows.groupBy("title_jp", "channel", "sale_date").agg(F.sum("n").alias("sales_amount")).withColumn("sales_amount_gross", F.lit(None).cast("long"))
+
+
+def _decoded(contents: pd.Series) -> pd.Series:
+    def one(raw):
+        if raw is None:
+            return None
+        try:
+            return raw.decode("utf-8-sig")
+        except UnicodeDecodeError:
+            return raw.decode("cp932", "replace")
+
+    return contents.map(one)
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, text) of whole files in UTF-8, with a mark or without, or else in Shift-JIS; one file is one row."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("path").alias("file"), F.pandas_udf(_decoded, "string")("content").alias("text"))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import titles as N
 from ledgerloom.operators import ledger as L
 from ledgerloom.operators import settlement as S
-from ledgerloom.sources import statements
+from ledgerloom.sources import daily, statements
 
 
 def test_draw_down_by_brute_force(spark):
@@ -79,3 +79,36 @@ def test_empty_tables(spark):
     assert (r.upload_ids, r.uploads_truncated, r.observed_at_least) == ([], False, 0)
     rows = spark.createDataFrame([("a", "x"), (None, "y")], "title_jp string, z string")
     assert S.register_titles(rows.where("false"), spark.createDataFrame([], "title_jp string, genre string, company string, content_format string, place int")).count() == 0
+
+
+def test_guessed_kinds_follow_the_earlier_ledger(spark):
+    base = [("line", "a", "WN"), ("ebj", "b", "WT"), ("ebj", "b", "WR"), ("ebj", "g", "WT"), ("ebj", "g", "WR"), ("other", "c", "EP"), ("piccoma", "d", "WR"), ("piccoma", "d", "EB"), ("other", "f", "EB")]
+    guess = "TYPE_HEURISTIC"
+    rows = [("line", "a", "EP", guess), ("line", "a", "EP", None), ("ebj", "b", "EB", guess), ("ebj", "b", "WT", None), ("ebj", "g", "WT", guess), ("ebj", "c", "WT", guess), ("piccoma", "d", "WT", guess + ":chapter"), ("piccoma", "d", "EB", guess + ":volume"), ("other", "f", "WT", guess), ("line", None, "WT", guess)]
+    got = S.reconcile_kinds(spark.createDataFrame(rows, "channel string, title_jp string, type string, note2 string"), spark.createDataFrame(base, "channel string, title_jp string, type string")).collect()
+    found = {(r.channel, r.title_jp, r.raw_type or r.type, r.note2): (r.type, r.reconciliation) for r in got}
+    assert len(got) == len(rows) and [found[r] for r in rows] == [("WN", "baseline"), ("EP", None), ("WR", "baseline"), ("WT", None), ("WT", "ambiguous"), ("EP", "baseline"), ("WR", "baseline"), ("EB", None), ("WT", None), ("WT", None)]
+
+
+def test_scanned_titles(spark):
+    mark = "SHUEISHA_OCR_TITLE"
+    base = [("s", "EB", "山の話"), ("s", "EB", "川"), ("s", "EB", "海辺の家"), ("s", "EB", "空"), ("s", "EB", "森の道")]
+    rows = [("s", "EB", "山のX話", mark), ("s", "EB", "川", mark), ("s", "EB", "海1辺の家", mark), ("s", "EB", "海辺の家2", mark), ("s", "EP", "空と", mark), ("s", "EB", "森のの道", None), ("s", "EB", None, mark)]
+    got = S.reconcile_scanned(spark.createDataFrame(rows, "channel string, type string, title_jp string, note2 string"), spark.createDataFrame(base, "channel string, type string, title_jp string")).collect()
+    assert len(got) == len(rows) and {r.raw_title: r.title_jp for r in got if r.raw_title} == {"山のX話": "山の話"}
+
+
+def test_dmm_and_encodings(spark, tmp_path):
+    rows = [("作品 第3話【x】 4", "2025/04/01～2025/04/30", "1,200", "FANZA"), ("作品", "2025/04/01～2025/04/30", "¥300", "fanza"), ("作品", "2025年04月05日", "10", "DMM"), ("作品", "2025/04/05", "0", "DMM"), (None, "2025/04/05", "5", None)]
+    table = spark.createDataFrame(rows, "`商品タイトル` string, `集計期間` string, `売上金額` string, `配信サイト` string")
+    got = {(r.title_jp, r.channel, str(r.sale_date)): r.sales_amount for r in daily.dmm_rows(table).collect()}
+    assert got == {("作品", "DMM(FANZA)", "2025-04-01"): 1500, ("作品", "DMM", "2025-04-05"): 10}
+    for name, raw in (("a", "題名".encode("cp932")), ("b", "題名".encode("utf-8-sig")), ("c", "題名".encode())):
+        (tmp_path / name).write_bytes(raw)
+    assert {r.text for r in daily.read_texts(spark, str(tmp_path)).collect()} == {"題名"}
+
+
+def test_counts_of_renta_lose_the_tails_of_titles(spark):
+    table = spark.createDataFrame([("作品 第10話【x】", "100", "2"), ("作品 11", "100", "1")], "`書名` string, `価格` string, `04-01 (火)` string")
+    got = daily.unpivoted(table, "書名", "renta", 2025, price="価格", gross=False, tails=daily.RENTA_TAILS * 3).collect()
+    assert [(r.title_jp, str(r.sale_date), r.sales_amount) for r in got] == [("作品", "2025-04-01", 300)]
