@@ -18,8 +18,9 @@ def _r(x: str) -> str:
 
 
 # ---------------------------------------------------------------- rates, tax, advances
-_LINE = """' ' || title_jp AS title_jp, 'c' || client_id % 50 AS client_code, channel AS channel_code, CAST(gross AS DOUBLE) AS gross_jpy, CASE WHEN upload_id % 2 = 0 THEN rate END AS rate_hint,
- CASE WHEN line % 3 = 0 THEN gross * CAST(0.9 AS DOUBLE) END AS before_tax_jpy, CASE WHEN line % 5 = 0 THEN CAST(gross - 100000 AS DOUBLE) END AS before_tax_income_jpy, upload_id, line, gross"""
+#: Amounts in whole hundreds, so that sums of shares of them are whole but for rounding errors, in whatever order they are added.
+_LINE = """' ' || title_jp AS title_jp, 'c' || client_id % 50 AS client_code, channel AS channel_code, CAST(gross - gross % 100 AS DOUBLE) * CAST(1.1 AS DOUBLE) AS gross_jpy, CASE WHEN upload_id % 2 = 0 THEN rate END AS rate_hint,
+ CASE WHEN line % 3 = 0 THEN CAST(gross - gross % 100 - 200 AS DOUBLE) END AS before_tax_jpy, CASE WHEN line % 5 = 0 THEN CAST(gross - 100000 AS DOUBLE) END AS before_tax_income_jpy, upload_id, line, gross"""
 _SIDES = {
     "client_aliases": "SELECT DISTINCT 'c' || client_id % 50 AS alias, 'k' || client_id % 50 AS client_code FROM ledger WHERE client_id % 50 % 3 = 0",
     "title_aliases": "SELECT lower(title_jp) AS alias, 'id' || title_jp AS title_id FROM titles WHERE episodes % 4 > 0",
