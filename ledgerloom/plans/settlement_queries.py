@@ -164,3 +164,9 @@ query(
         V.table(s, d, "orders").select(F.expr("'請求書_2405_' || o_orderkey || '.pdf'").alias("file"), F.lit("p").alias("platform"), F.expr("case o_orderkey % 3 when 0 then '小計 ￥' || (1000 + o_custkey) || ' 円、消費税 7円、御請求金額 ￥' || (1007 + o_custkey) when 1 then '御請求金額 ￥' || (1000 + o_custkey) else '小計: ' || (1000 + o_custkey) end").alias("text"))
     ).select("file", "sales_month", "tax_excl", "tax_incl", "consumption_tax", F.col("source_file_kind").alias("kind"), "needs_review")
 )
+_UPLOADS = "SELECT upload_id, channel AS family, CASE upload_id % 4 WHEN 0 THEN 'parsed' WHEN 1 THEN 'aggregated' ELSE 'error' END AS status, line - 1 AS parsed_rows FROM ledger WHERE channel > 'NATION_15' OR upload_id % 4 > 1"
+on_ledger(
+    "e13_missing_families",
+    f"+u AS ({_UPLOADS}) SELECT DISTINCT channel AS family FROM ledger WHERE channel NOT IN (SELECT family FROM u WHERE status IN ('parsed', 'aggregated') AND parsed_rows > 3)",
+    lambda r: L.missing_families(r.select(F.col("channel").alias("family")).distinct(), r.sparkSession.sql(_UPLOADS.replace("FROM ledger", "FROM {ledger}"), ledger=r).withColumn("parsed_rows", F.greatest(F.col("parsed_rows") - 3, F.lit(0)))),
+)
