@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import titles as N
 from ledgerloom.operators import ledger as L
+from ledgerloom.operators import records as R
 from ledgerloom.operators import settlement as S
 from ledgerloom.plans import views as V
 from ledgerloom.plans.registry import HALF, on_ledger, query
@@ -170,3 +171,41 @@ on_ledger(
     f"+u AS ({_UPLOADS}) SELECT DISTINCT channel AS family FROM ledger WHERE channel NOT IN (SELECT family FROM u WHERE status IN ('parsed', 'aggregated') AND parsed_rows > 3)",
     lambda r: L.missing_families(r.select(F.col("channel").alias("family")).distinct(), r.sparkSession.sql(_UPLOADS.replace("FROM ledger", "FROM {ledger}"), ledger=r).withColumn("parsed_rows", F.greatest(F.col("parsed_rows") - 3, F.lit(0)))),
 )
+
+
+# ---------------------------------------------------------------- records of three shapes of rows
+_UPLOADS = "SELECT upload_id, min(batch) || '-01' AS settlement_month, CASE WHEN upload_id % 2 = 0 THEN max(batch) || '-15' END AS sales_month, upload_id % 5 = 0 AS forced FROM ledger GROUP BY upload_id"
+_CLIENTS = "SELECT DISTINCT 'id' || client_id AS client_id, 'C' || client_id AS code FROM ledger WHERE client_id % 4 > 0"
+_CHANNELS = "SELECT DISTINCT 'ch' || channel AS channel_id, channel AS code FROM ledger WHERE channel <> 'NATION_3'"
+
+
+def _records(s: SparkSession, d: str) -> DataFrame:
+    ledger, titles = V.ledger(s, d), V.titles(s, d)
+    side = lambda q: s.sql(q.replace("FROM ledger", "FROM {ledger}"), ledger=ledger)
+    sides = {"uploads": side(_UPLOADS), "clients": side(_CLIENTS).withColumn("aliases", F.array(F.concat(F.lit(" Alias"), F.expr("substr(code, 2)")))), "channels": side(_CHANNELS), "titles": titles.where("episodes % 4 > 0").select(F.concat(F.lit("id"), "title_jp").alias("title_id"), "title_jp")}
+    third = lambda n: ledger.where(f"upload_id % 3 = {n}").withColumn("row_index", F.col("line").cast("long"))
+    month, code = F.when(F.col("line") % 2 == 0, F.concat("batch", F.lit("/20"))), F.concat(F.lit("ALIAS"), "client_id")
+    raw = third(0).select("upload_id", "row_index", F.struct(code.alias("client_code"), F.col("channel"), F.lower("title_jp").alias("title_jp"), month.alias("sales_month"), "type", F.col("gross").alias("gross_jpy"), F.col("fee").alias("fee_jpy"), F.col("rate").alias("rs_rate_hint"), (F.col("line") == 3).alias("is_summary"), F.lit("notice").alias("source_file_kind")).alias("data"))
+    sales = third(1).select("upload_id", "row_index", F.concat(F.lit(" c"), "client_id").alias("client_code"), F.col("channel").alias("channel_code"), "title_jp", month.alias("sales_month"), "type", F.col("gross").alias("total_amount_jpy"), F.col("fee").alias("fee_jpy"), F.col("rate").alias("rs_rate"))
+    sheet = third(2).select("upload_id", "row_index", code.alias("clients"), "channel", "title_jp", month.alias("sales_month"), F.lit(" ").alias("type"), F.col("gross").cast("string").alias("total_amount_jpy"), F.col("fee").cast("string").alias("fee_jpy"), F.col("rate").alias("rs"))
+    parts = [R.sales_records(rows, **sides) for rows in (raw, sales, sheet)]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    kept = ("client_id", "channel_id", "title_id", "sales_month", "settlement_month", "title_jp", "type", "total_amount_jpy", "fee_jpy", "rs_rate", "note2")
+    return every.select("upload_id", "row_index", *kept, F.size("unresolved").cast("long").alias("n_unresolved"))
+
+
+_SUMMARY = "(upload_id % 3 = 0 AND line = 3)"
+_OWN_DAY = "CASE WHEN line % 2 = 0 THEN CASE WHEN upload_id % 3 = 0 THEN CAST(batch || '-20' AS DATE) ELSE CAST(batch || '-01' AS DATE) END END"
+query(
+    "e01_sales_records",
+    f"""+u AS ({_UPLOADS}), c AS ({_CLIENTS}), h AS ({_CHANNELS}), t AS (SELECT 'id' || title_jp AS title_id, title_jp AS name FROM titles WHERE episodes % 4 > 0)
+ SELECT ledger.upload_id, CAST(line AS BIGINT) AS row_index, c.client_id, channel_id, title_id,
+ coalesce({_OWN_DAY.replace('upload_id', 'ledger.upload_id')}, CASE WHEN ledger.upload_id % 3 = 0 THEN CAST(sales_month AS DATE) ELSE CAST(date_trunc('month', CAST(sales_month AS DATE)) AS DATE) END, CAST(settlement_month AS DATE)) AS sales_month,
+ CAST(settlement_month AS DATE) AS settlement_month, CASE WHEN ledger.upload_id % 3 = 0 THEN lower(title_jp) ELSE title_jp END AS title_jp, CASE WHEN ledger.upload_id % 3 = 2 THEN 'WT' ELSE type END AS type,
+ CASE WHEN NOT {_SUMMARY.replace('upload_id', 'ledger.upload_id')} THEN CAST(gross AS DOUBLE) END AS total_amount_jpy, CASE WHEN {_SUMMARY.replace('upload_id', 'ledger.upload_id')} THEN CAST(0 AS DOUBLE) ELSE CAST(coalesce(fee, 0) AS DOUBLE) END AS fee_jpy,
+ CASE WHEN NOT {_SUMMARY.replace('upload_id', 'ledger.upload_id')} THEN CAST(rate AS DOUBLE) END AS rs_rate, CASE WHEN {_SUMMARY.replace('upload_id', 'ledger.upload_id')} THEN 'SUMMARY_NON_AGGREGATED:notice' END AS note2,
+ CASE WHEN ledger.upload_id % 3 = 0 THEN 0 ELSE CAST(c.client_id IS NULL AS BIGINT) + CAST(channel_id IS NULL AS BIGINT) END AS n_unresolved
+ FROM ledger LEFT JOIN u ON ledger.upload_id = u.upload_id LEFT JOIN c ON c.code = 'C' || ledger.client_id LEFT JOIN h ON h.code = channel LEFT JOIN t ON name = title_jp""",
+    "ledger",
+    "titles",
+)(_records)
