@@ -10,7 +10,7 @@ def month_start(d: Column) -> Column:
     return F.trunc(d, "MM")
 
 
-def month_end_after(d: Column, months: int) -> Column:
+def month_end_after(d: Column, months: int | Column) -> Column:
     return F.last_day(F.add_months(d, months))
 
 

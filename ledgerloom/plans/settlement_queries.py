@@ -11,7 +11,7 @@ from ledgerloom.operators import records as R
 from ledgerloom.operators import settlement as S
 from ledgerloom.plans import views as V
 from ledgerloom.plans.registry import HALF, on_ledger, query
-from ledgerloom.sources import statements
+from ledgerloom.sources import readers, statements
 
 
 def _r(x: str) -> str:
@@ -209,3 +209,34 @@ query(
     "ledger",
     "titles",
 )(_records)
+
+
+# ---------------------------------------------------------------- statement files, from their columns to the amounts
+#: What the ledger would look like in two platforms' files; batches of the 1990s stand for those thirty years later.
+_IN_FILE = "'PAS_' || CAST(CAST(substr(batch, 1, 4) AS INTEGER) + 30 AS VARCHAR(4)) || substr(batch, 6, 2) || '.csv'"
+_FILE_MONTH = "CAST(CAST(CAST(substr(batch, 1, 4) AS INTEGER) + 30 AS VARCHAR(4)) || '-' || substr(batch, 6, 2) || '-01' AS DATE)"
+_RENTA = {"書名": "title_jp || CASE line % 3 WHEN 0 THEN '【タテコミ】完全版' WHEN 1 THEN '【分冊版】' ELSE '' END", "価格": "gross", "売上冊数": "line", "アップグレード冊数": "line % 2", "支払額": "gross - gross % 10"}
+_LINE_AD = {"タイトル": "title_jp", "報告年月": "batch", "売上額(基準額)": "'¥' || gross", "配分料率": "'40%'", "支払額": "gross - gross % 10"}
+
+
+def _settled(platform: str, columns: dict[str, str], keep: list[str]):
+    def run(s: SparkSession, d: str) -> DataFrame:
+        table = V.ledger(s, d).select(F.expr(_IN_FILE).alias("file"), *(F.expr(f"CAST({e} AS STRING)").alias(c) for c, e in columns.items()))
+        own = readers.lines(readers.text_table(table, readers.READERS[platform], F.col("file")), platform)
+        return statements.settled(own, platform).select(*keep)
+
+    return run
+
+
+query(
+    "p05_renta_statement",
+    f"""+f AS (SELECT title_jp || CASE line % 3 WHEN 0 THEN '【タテコミ】完全版' WHEN 1 THEN '【分冊版】' ELSE '' END AS title, CASE line % 3 WHEN 0 THEN 'WT' WHEN 1 THEN 'EP' ELSE 'EB' END AS kind, {_FILE_MONTH} AS sales_month,
+ gross * (line + line % 2) AS sales, gross - gross % 10 AS pay FROM ledger), a AS (SELECT title, kind, sales_month, CAST(sum(sales) AS BIGINT) AS s, CAST(sum(pay) AS BIGINT) AS p, count(*) AS row_count FROM f GROUP BY ALL)
+ SELECT title, kind, sales_month, last_day(sales_month + INTERVAL 2 MONTH) AS settlement_date, (11 * s + 5) // 10 AS total, s AS after_tax, p + p // 10 AS before_tax_income, p AS after_tax_income, p // 10 AS consumption_tax, row_count FROM a""",
+    "ledger",
+)(_settled("renta", _RENTA, ["title", "kind", "sales_month", "settlement_date", "total", "after_tax", "before_tax_income", "after_tax_income", "consumption_tax", "row_count"]))
+query(
+    "p07_line_ad_statement",
+    """SELECT title_jp AS title, CAST(batch || '-01' AS DATE) AS sales_month, (11 * gross + 5) // 10 AS total, gross AS after_tax, gross - gross % 10 AS after_tax_income, (gross - gross % 10) // 10 AS consumption_tax FROM ledger""",
+    "ledger",
+)(_settled("line_ad", _LINE_AD, ["title", "sales_month", "total", "after_tax", "after_tax_income", "consumption_tax"]))

@@ -22,12 +22,21 @@ R, DOWN = money.half_up, money.down
 
 @dataclass(frozen=True)
 class Statement:
-    """``amounts`` takes the sums of sales and pay; sales are due ``settle`` and paid ``deposit`` months after the report month."""
+    """``amounts`` takes the sums of sales and pay; sales are due ``settle`` and paid ``deposit`` months after the report month.
+
+    ``by_row``: each line is a record of its own. ``stated``: amounts that a further column of the lines holds, where
+    it is there. ``summary``: the records are evidence, whose amounts are not added up with others. ``later``: channels
+    that settle, and pay, a month after the others.
+    """
 
     amounts: Sums
     key: tuple[str, ...] = ("title", "kind")
     settle: int = 1
     deposit: int = 2
+    by_row: bool = False
+    stated: tuple[tuple[str, str], ...] = ()
+    summary: bool = False
+    later: tuple[str, ...] = ()
 
 
 def _cmoa(sales: Column, pay: Column) -> dict[str, Column]:
@@ -71,8 +80,17 @@ def _mechacomic(sales: Column, pay: Column) -> dict[str, Column]:
 
 
 def _comico(sales: Column, pay: Column) -> dict[str, Column]:
-    before = R(pay * 1.1)
-    return {"total": R(sales), "after_tax": R(sales / 1.1), "before_tax_income": before, "consumption_tax": before - R(before / 1.1)}
+    return _taxed(R(sales), R(pay * 1.1))
+
+
+def _comico_ads(sales: Column, pay: Column) -> dict[str, Column]:
+    return _taxed(R(sales * 1.1), R(pay * 1.1))
+
+
+def _taxed(total: Column, income: Column) -> dict[str, Column]:
+    """Of amounts with tax."""
+    net = R(income / 1.1)
+    return {"total": total, "before_tax": total, "after_tax": R(total / 1.1), "before_tax_income": income, "after_tax_income": net, "consumption_tax": income - net}
 
 
 def _u_next(sales: Column, pay: Column) -> dict[str, Column]:
@@ -87,8 +105,7 @@ def _mangabang(sales: Column, pay: Column) -> dict[str, Column]:
 
 
 def _kadokawa(sales: Column, pay: Column) -> dict[str, Column]:
-    net = R(sales / 1.1)
-    return {"after_tax": net, "after_tax_income": net, "consumption_tax": R(sales) - net}
+    return _taxed(R(sales), R(sales))
 
 
 def _untaxed(sales: Column, pay: Column) -> dict[str, Column]:
@@ -102,7 +119,7 @@ def _beaglee(sales: Column, pay: Column) -> dict[str, Column]:
 
 def _invoice(sales: Column, pay: Column) -> dict[str, Column]:
     total = R(sales * 1.1)
-    return {"total": total, "before_tax": total, "before_tax_income": total, "after_tax": R(sales), "consumption_tax": total - R(sales)}
+    return {"total": total, "before_tax": total, "before_tax_income": total, "after_tax": R(sales), "after_tax_income": R(sales), "consumption_tax": total - R(sales)}
 
 
 def _dmm(sales: Column, pay: Column) -> dict[str, Column]:
@@ -117,37 +134,55 @@ def _ads(sales: Column, pay: Column) -> dict[str, Column]:
 
 
 STATEMENTS = {
-    "cmoa": Statement(_cmoa, settle=0, deposit=0),
+    "cmoa": Statement(_cmoa, settle=0, deposit=0, by_row=True),
     "piccoma": Statement(_piccoma),
     "piccoma_ads": Statement(_ads, ("title",), 3, 4),
     "piccoma_gaiakuhan": Statement(_gaiakuhan, ("title",), 0, 0),
     "renta": Statement(_renta, settle=2, deposit=2),
-    "line_ebj": Statement(_plain, ("channel", "kind", "title")),
-    "line_ad": Statement(_line_ad, ("title",), 0, 0),
-    "booklive": Statement(_booklive),
+    "line_ebj": Statement(_plain, ("channel", "kind", "title"), later=("line",)),
+    "line_ad": Statement(_line_ad, ("title",), 0, 0, by_row=True),
+    "booklive": Statement(_booklive, ("channel", "title", "kind"), by_row=True, stated=(("before_tax_income", "pay_gross"), ("consumption_tax", "tax"))),
     "mechacomic": Statement(_mechacomic),
     "comico": Statement(_comico, ("title",), 0, 0),
+    "comico_ads": Statement(_comico_ads, ("title",), 0, 0),
     "dmm": Statement(_dmm, settle=0, deposit=2),
     "u_next": Statement(_u_next, ("title",), 0, 0),
     "mediado": Statement(_plain, ("title",), 3, 3),
     "mbj": Statement(_plain, settle=0, deposit=1),
     "mangabang": Statement(_mangabang, ("title",), 1, 1),
-    "kadokawa": Statement(_kadokawa, ("title",), 0, 0),
-    "lezhin_beltoon": Statement(_untaxed, ("title",), 0, 0),
+    "kadokawa": Statement(_kadokawa, ("title",), 1, 1, by_row=True, summary=True),
+    "lezhin_beltoon": Statement(_untaxed, ("title",), 0, 0, by_row=True),
     "beaglee": Statement(_beaglee),
-    "invoice": Statement(_invoice, ("title",), 0, 0),
+    "invoice": Statement(_invoice, ("title",), 0, 0, by_row=True),
 }
 
 
 def settled(lines: DataFrame, platform: str) -> DataFrame:
-    """(key..., sales_month, settlement_date, deposit_date, the AMOUNTS, row_count) of statement lines."""
+    """(key..., sales_month, settlement_date, deposit_date, the AMOUNTS, row_count, is_summary) of statement lines.
+
+    Lines of a platform that settles by row are records as they are, without a shuffle; others are added up by key.
+    """
     kind = STATEMENTS[platform]
     month = F.trunc("month", "MM").alias("sales_month")
-    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-    summed = lines.groupBy(*kind.key, month).agg(F.sum(zero("sales")).alias("_s"), F.sum(zero("pay")).alias("_p"), F.count("*").alias("row_count"))
-    got = kind.amounts(F.col("_s"), F.col("_p"))
+    zero = lambda c: F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0))
+    stated = {a: c for a, c in kind.stated if c in lines.columns}
+    parts = {"_s": zero("sales"), "_p": zero("pay"), **{f"_{a}": zero(c) for a, c in stated.items()}}
+    if kind.by_row:
+        summed = lines.select(*kind.key, month, *(c.alias(n) for n, c in parts.items()), F.lit(1).cast("long").alias("row_count"))
+    else:
+        summed = lines.groupBy(*kind.key, month).agg(*(F.sum(c).alias(n) for n, c in parts.items()), F.count("*").alias("row_count"))
+    got = {**kind.amounts(F.col("_s"), F.col("_p")), **{a: R(F.col(f"_{a}")) for a in stated}}
     out = summed.withColumns({a: got.get(a, F.lit(None)).cast("long") for a in AMOUNTS})
-    return out.select(*kind.key, "sales_month", dates.month_end_after(F.col("sales_month"), kind.settle).alias("settlement_date"), dates.month_end_after(F.col("sales_month"), kind.deposit).alias("deposit_date"), *AMOUNTS, "row_count")
+    wait = F.when(F.col("channel").isin(*kind.later), 1).otherwise(0) if kind.later else F.lit(0)
+    return out.select(
+        *kind.key,
+        "sales_month",
+        dates.month_end_after(F.col("sales_month"), wait + kind.settle).alias("settlement_date"),
+        dates.month_end_after(F.col("sales_month"), wait + kind.deposit).alias("deposit_date"),
+        *AMOUNTS,
+        "row_count",
+        F.lit(kind.summary).alias("is_summary"),
+    )
 
 
 #: Each platform with its weight and the patterns of its files' names.
