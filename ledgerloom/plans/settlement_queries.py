@@ -11,7 +11,7 @@ from ledgerloom.operators import records as R
 from ledgerloom.operators import settlement as S
 from ledgerloom.plans import views as V
 from ledgerloom.plans.registry import HALF, on_ledger, query
-from ledgerloom.sources import readers, statements
+from ledgerloom.sources import readers, statements, workbooks
 
 
 def _r(x: str) -> str:
@@ -240,3 +240,27 @@ query(
     """SELECT title_jp AS title, CAST(batch || '-01' AS DATE) AS sales_month, (11 * gross + 5) // 10 AS total, gross AS after_tax, gross - gross % 10 AS after_tax_income, (gross - gross % 10) // 10 AS consumption_tax FROM ledger""",
     "ledger",
 )(_settled("line_ad", _LINE_AD, ["title", "sales_month", "total", "after_tax", "after_tax_income", "consumption_tax"]))
+
+
+# ---------------------------------------------------------------- workbooks
+def _initial(s: SparkSession, d: str) -> DataFrame:
+    """Launches as rows of the daily sheet and of the weekly one; some are in one alone."""
+    rows = V.table(s, d, "orders")
+    amount = lambda i: f"CAST(o_custkey + {i} AS STRING)"
+    sheet = lambda name, share, n: rows.where(share).selectExpr("'f' AS file", f"'{name}' AS sheet", "CAST(o_orderkey + 2 AS INT) AS row_index", "array(concat('o', o_orderkey), CASE WHEN o_orderkey % 2 = 0 THEN '픽코마' ELSE 'Other' END, o_orderpriority, '', date_format(o_orderdate, 'yy.MM.dd'), '', '1', " + ", ".join(amount(i) for i in range(n)) + ") AS cells")
+    return workbooks.initial_sales(sheet("일별", "o_orderkey % 3 < 2", 8).union(sheet("주간", "o_orderkey % 3 > 0", 12))).select("title_kr", "platform_code", "launch_date", "genre_kr", "launch_type", "d1", "d8", "w1", "w12")
+
+
+_SHARE = lambda i, n: f"CASE WHEN {n} THEN CAST(o_custkey + {i} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
+query(
+    "d16_initial_sales",
+    f"""SELECT 'o' || o_orderkey AS title_kr, CASE WHEN o_orderkey % 2 = 0 THEN 'piccoma' ELSE 'other' END AS platform_code, CAST(o_orderdate AS DATE) AS launch_date, o_orderpriority AS genre_kr, '비독점' AS launch_type,
+ {_SHARE(0, 'o_orderkey % 3 < 2')} AS d1, {_SHARE(7, 'o_orderkey % 3 < 2')} AS d8, {_SHARE(0, 'o_orderkey % 3 > 0')} AS w1, {_SHARE(11, 'o_orderkey % 3 > 0')} AS w12 FROM orders""",
+)(_initial)
+on_ledger(
+    "k09_old_workbook",
+    "SELECT 'u' || upload_id AS unique_identifier, title_jp, CAST(batch || '-01' AS DATE) AS sales_month, channel, 'RJ' AS company, CAST(gross AS DOUBLE) AS total_amount_jpy, CAST(coalesce(fee, 0) AS DOUBLE) AS fee_jpy, CASE WHEN line % 2 = 0 THEN '50%' ELSE 'x' END AS rs, CAST(0 AS DOUBLE) AS mg_end, CAST(1 AS DOUBLE) AS rate_krw_krw FROM ledger",
+    lambda r: workbooks.old_workbook_rows(
+        r.selectExpr("'' AS unique_identifier", "concat('u', upload_id) AS unique_id", "title_jp", "concat(batch, '-01') AS sales_month", "channel AS channel_code", "gross AS total_amount_jpy", "fee AS fee_jpy", "CASE WHEN line % 2 = 0 THEN '50%' END AS rs_label", "'x' AS rs")
+    ).select("unique_identifier", "title_jp", "sales_month", "channel", "company", "total_amount_jpy", "fee_jpy", "rs", "mg_end", "rate_krw_krw"),
+)
