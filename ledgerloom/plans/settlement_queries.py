@@ -247,7 +247,7 @@ def _initial(s: SparkSession, d: str) -> DataFrame:
     """Launches as rows of the daily sheet and of the weekly one; some are in one alone."""
     rows = V.table(s, d, "orders")
     amount = lambda i: f"CAST(o_custkey + {i} AS STRING)"
-    sheet = lambda name, share, n: rows.where(share).selectExpr("'f' AS file", f"'{name}' AS sheet", "CAST(o_orderkey + 2 AS INT) AS row_index", "array(concat('o', o_orderkey), CASE WHEN o_orderkey % 2 = 0 THEN '픽코마' ELSE 'Other' END, o_orderpriority, '', date_format(o_orderdate, 'yy.MM.dd'), '', '1', " + ", ".join(amount(i) for i in range(n)) + ") AS cells")
+    sheet = lambda name, share, n: rows.where(share).selectExpr("'f' AS file", f"'{name}' AS sheet", "CAST(o_orderkey + 3 AS INT) AS row_index", "array(concat('o', o_orderkey), CASE WHEN o_orderkey % 2 = 0 THEN '픽코마' ELSE 'Other' END, o_orderpriority, '', date_format(o_orderdate, 'yy.MM.dd'), '', '1', " + ", ".join(amount(i) for i in range(n)) + ") AS cells")
     return workbooks.initial_sales(sheet("일별", "o_orderkey % 3 < 2", 8).union(sheet("주간", "o_orderkey % 3 > 0", 12))).select("title_kr", "platform_code", "launch_date", "genre_kr", "launch_type", "d1", "d8", "w1", "w12")
 
 
