@@ -174,15 +174,15 @@ on_ledger(
 
 
 # ---------------------------------------------------------------- records of three shapes of rows
-_UPLOADS = "SELECT upload_id, min(batch) || '-01' AS settlement_month, CASE WHEN upload_id % 2 = 0 THEN max(batch) || '-15' END AS sales_month, upload_id % 5 = 0 AS forced FROM ledger GROUP BY upload_id"
-_CLIENTS = "SELECT DISTINCT 'id' || client_id AS client_id, 'C' || client_id AS code FROM ledger WHERE client_id % 4 > 0"
-_CHANNELS = "SELECT DISTINCT 'ch' || channel AS channel_id, channel AS code FROM ledger WHERE channel <> 'NATION_3'"
+_RECORD_UPLOADS = "SELECT upload_id, min(batch) || '-01' AS settlement_month, CASE WHEN upload_id % 2 = 0 THEN max(batch) || '-15' END AS sales_month, upload_id % 5 = 0 AS forced FROM ledger GROUP BY upload_id"
+_RECORD_CLIENTS = "SELECT DISTINCT 'id' || client_id AS client_id, 'C' || client_id AS code FROM ledger WHERE client_id % 4 > 0"
+_RECORD_CHANNELS = "SELECT DISTINCT 'ch' || channel AS channel_id, channel AS code FROM ledger WHERE channel <> 'NATION_3'"
 
 
 def _records(s: SparkSession, d: str) -> DataFrame:
     ledger, titles = V.ledger(s, d), V.titles(s, d)
     side = lambda q: s.sql(q.replace("FROM ledger", "FROM {ledger}"), ledger=ledger)
-    sides = {"uploads": side(_UPLOADS), "clients": side(_CLIENTS).withColumn("aliases", F.array(F.concat(F.lit(" Alias"), F.expr("substr(code, 2)")))), "channels": side(_CHANNELS), "titles": titles.where("episodes % 4 > 0").select(F.concat(F.lit("id"), "title_jp").alias("title_id"), "title_jp")}
+    sides = {"uploads": side(_RECORD_UPLOADS), "clients": side(_RECORD_CLIENTS).withColumn("aliases", F.array(F.concat(F.lit(" Alias"), F.expr("substr(code, 2)")))), "channels": side(_RECORD_CHANNELS), "titles": titles.where("episodes % 4 > 0").select(F.concat(F.lit("id"), "title_jp").alias("title_id"), "title_jp")}
     third = lambda n: ledger.where(f"upload_id % 3 = {n}").withColumn("row_index", F.col("line").cast("long"))
     month, code = F.when(F.col("line") % 2 == 0, F.concat("batch", F.lit("/20"))), F.concat(F.lit("ALIAS"), "client_id")
     raw = third(0).select("upload_id", "row_index", F.struct(code.alias("client_code"), F.col("channel"), F.lower("title_jp").alias("title_jp"), month.alias("sales_month"), "type", F.col("gross").alias("gross_jpy"), F.col("fee").alias("fee_jpy"), F.col("rate").alias("rs_rate_hint"), (F.col("line") == 3).alias("is_summary"), F.lit("notice").alias("source_file_kind")).alias("data"))
@@ -198,7 +198,7 @@ _SUMMARY = "(upload_id % 3 = 0 AND line = 3)"
 _OWN_DAY = "CASE WHEN line % 2 = 0 THEN CASE WHEN upload_id % 3 = 0 THEN CAST(batch || '-20' AS DATE) ELSE CAST(batch || '-01' AS DATE) END END"
 query(
     "e01_sales_records",
-    f"""+u AS ({_UPLOADS}), c AS ({_CLIENTS}), h AS ({_CHANNELS}), t AS (SELECT 'id' || title_jp AS title_id, title_jp AS name FROM titles WHERE episodes % 4 > 0)
+    f"""+u AS ({_RECORD_UPLOADS}), c AS ({_RECORD_CLIENTS}), h AS ({_RECORD_CHANNELS}), t AS (SELECT 'id' || title_jp AS title_id, title_jp AS name FROM titles WHERE episodes % 4 > 0)
  SELECT ledger.upload_id, CAST(line AS BIGINT) AS row_index, c.client_id, channel_id, title_id,
  coalesce({_OWN_DAY.replace('upload_id', 'ledger.upload_id')}, CASE WHEN ledger.upload_id % 3 = 0 THEN CAST(sales_month AS DATE) ELSE CAST(date_trunc('month', CAST(sales_month AS DATE)) AS DATE) END, CAST(settlement_month AS DATE)) AS sales_month,
  CAST(settlement_month AS DATE) AS settlement_month, CASE WHEN ledger.upload_id % 3 = 0 THEN lower(title_jp) ELSE title_jp END AS title_jp, CASE WHEN ledger.upload_id % 3 = 2 THEN 'WT' ELSE type END AS type,
