@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, pii, token_files, warc
+from ledgerloom.llm import mixing, pii, token_files, warc, whitening
+from ledgerloom.llm.conversation_repair import repair_verdicts
 from ledgerloom.llm.decontamination import leaks
+from ledgerloom.llm.exact_dedup import exact_groups
 from ledgerloom.llm.hilbert_sharding import shard_plan
 from ledgerloom.llm.html_text import extract_pages
 from ledgerloom.llm.jaccard_join import jaccard_components
@@ -68,6 +70,18 @@ def op10_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_plan(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_verdicts(_table(spark, sf_dir, "conversations"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(whitening.whiten(_table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_warc": op2_warc,
@@ -79,5 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_token_files": op9_token_files,
     "op10_hilbert_sharding": op10_hilbert_sharding,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
