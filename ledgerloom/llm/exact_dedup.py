@@ -92,7 +92,8 @@ def exact_groups(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     )
     several = flagged.where("maybe_repeated")
     groups = several.groupBy("key").agg(F.min(first).alias("first"), F.count("*").alias("group_size"))
-    met = several.hint("merge").join(groups, "key").select(
+    groups = materialize(groups, "exact-groups")  # so that both sides of the join are shuffled as they are, and skew is split
+    met = several.join(groups, "key").select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
         "group_size",
