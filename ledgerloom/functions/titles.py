@@ -27,6 +27,8 @@ COMPLETE_OR_REVISED = r"[\[［【](?:完全版|改訂版)[\]］】]"
 MBJ_EPISODE = f"第{DIGIT}+(?:[．.]{DIGIT}+)?話"
 MBJ_VOLUME = f"（{DIGIT}+(?:[～〜-]{DIGIT}+)?）"
 SB_EPISODES = r"\(?\s*\d+\s*話\s*~\s*\d+\s*話\s*\)?"
+#: Forms of a volume, in order of precedence.
+SB_VOLUMES = (r"第\s*(\d+)\s*巻", r"\(\s*(\d+)\s*\)\s*$", r"(\d+)\s*$")
 SB_EDITIONS = r"【[^】]*(?:分冊|単行本|合本)[^】]*】|\(\s*(?:分冊版|単行本|コミック)\s*\)"
 
 
@@ -86,16 +88,30 @@ def ichijinsha_volume(t: Column) -> Column:
     return out
 
 
-def sb_work(t: Column) -> Column:
-    """(series, volume): the key of a series, and the number of the volume as text without leading zeros."""
+def sb_plain(t: Column) -> Column:
+    """Without the marks of editions and episodes."""
     plain = without(F.translate(nfkc(F.coalesce(t, F.lit(""))), "〜「」『』", "~"))
-    plain = F.regexp_replace(F.regexp_replace(plain, SB_EPISODES, " "), SB_EDITIONS, " ")
-    series, volume = plain, F.lit(None).cast("string")
-    for pattern in (r"(\d+)\s*$", r"\(\s*(\d+)\s*\)\s*$", r"第\s*(\d+)\s*巻"):  # the last that fits is tried first
+    return F.regexp_replace(F.regexp_replace(plain, SB_EPISODES, " "), SB_EDITIONS, " ")
+
+
+def sb_label(plain: Column) -> Column:
+    """The series of a plain title, as it is shown."""
+    series = plain
+    for pattern in reversed(SB_VOLUMES):
         series = F.when(plain.rlike(pattern), F.regexp_replace(plain, pattern, " ")).otherwise(series)
-        volume = F.when(plain.rlike(pattern), F.regexp_extract(plain, pattern, 1)).otherwise(volume)
-    key = F.lower(without(without(series, r"\(\s*\)"), f"{SPACE}+"))
-    return F.struct(key.alias("series"), F.nullif(F.coalesce(volume.try_cast("long").cast("string"), F.lit("")), F.lit("")).alias("volume"))
+    return without(without(series, r"\(\s*\)"), f"{SPACE}+")
+
+
+def sb_volume(plain: Column) -> Column:
+    """The number of a plain title's volume, as text without leading zeros; null where it has none."""
+    number = F.coalesce(*(F.nullif(F.regexp_extract(plain, p, 1), F.lit("")) for p in SB_VOLUMES))
+    return number.try_cast("long").cast("string")
+
+
+def sb_work(t: Column) -> Column:
+    """(series, volume): the key of a series, and its volume."""
+    plain = sb_plain(t)
+    return F.struct(F.lower(sb_label(plain)).alias("series"), sb_volume(plain).alias("volume"))
 
 
 #: The form in which titles of a platform are compared.
