@@ -22,6 +22,8 @@ NOVEL_WORDS = r"(?iu)ノベル|小説|書籍|web\s*novel|ｗｅｂ\s*novel|WN"
 NOVEL_IN_BRACKETS = r"(?iu)(?:^|[（(【\[\s])(?:ノベル|小説|web\s*novel|ｗｅｂ\s*novel|WN|ＷＮ)(?:$|[）)】\]\s])"
 REVISED_WORDS = r"(?i)(?:^|[^A-Za-z])WR(?:[^A-Za-z]|$)|改訂版|revised|revision"
 SPLIT_EDITIONS = "【分冊版】|【連載版】"
+TALL = "【タテヨミ】"
+COMPLETE_BRACKETS = r"［完全版］|\[完全版\]"
 REVISED_BRACKETS = r"［改訂版］|\[改訂版\]"
 COMPLETE_OR_REVISED = r"[\[［【](?:完全版|改訂版)[\]］】]"
 MBJ_EPISODE = f"第{DIGIT}+(?:[．.]{DIGIT}+)?話"
@@ -135,10 +137,20 @@ def renta_kind(title: Column, has_sibling: Column) -> Column:
     return F.when(title.rlike(SPLIT_EDITIONS), "EP").when(title.contains("【特装版】"), "EB").when(title.contains("【タテコミ】"), tall).otherwise("EB")
 
 
+def _novel(title: Column, unit: Column, evidence: Column | None) -> Column:
+    return F.concat_ws(" ", title, unit, *([evidence] if evidence is not None else [])).rlike(NOVEL_IN_BRACKETS)
+
+
 def line_ebj_kind(title: Column, unit: Column, has_sibling: Column, evidence: Column | None = None) -> Column:
     """``evidence``: further fields in which a novel may show."""
-    seen = F.concat_ws(" ", title, unit, *([evidence] if evidence is not None else []))
-    return F.when(seen.rlike(NOVEL_IN_BRACKETS), "WN").when(title.contains("【タテヨミ】"), F.when(has_sibling, "WR").otherwise("WT")).when(title.rlike(SPLIT_EDITIONS), "EP").when(unit == "単話", "WT").otherwise("EB")
+    tall = F.when(title.rlike(REVISED_BRACKETS) | has_sibling, "WR").otherwise("WT")
+    plain = F.when(title.rlike(SPLIT_EDITIONS), "EP").when(unit == "単話", "WT").otherwise("EB")
+    return F.when(_novel(title, unit, evidence), "WN").when(title.contains(TALL), tall).otherwise(plain)
+
+
+def line_ebj_guessed(title: Column, unit: Column, evidence: Column | None = None) -> Column:
+    """The kind follows from the unit or a split edition alone."""
+    return ~_novel(title, unit, evidence) & ~title.contains(TALL)
 
 
 def mechacomic_kind(title: Column, unit: Column, has_sibling: Column) -> Column:
@@ -147,6 +159,13 @@ def mechacomic_kind(title: Column, unit: Column, has_sibling: Column) -> Column:
     return F.when(F.concat_ws(" ", title, unit).rlike(NOVEL_WORDS), "WN").otherwise(F.coalesce(revised, F.when(unit.contains("話"), "WT").when(unit == "巻", volume).otherwise("WT")))
 
 
+def mechacomic_guessed(title: Column, unit: Column, has_sibling: Column) -> Column:
+    """The kind follows from a sibling, or from a unit that says little."""
+    sure = F.concat_ws(" ", title, unit).rlike(NOVEL_WORDS) | title.contains("改訂版")
+    told = F.coalesce(unit.contains("話") | ((unit == "巻") & title.contains("分冊版")), F.lit(False))
+    return ~sure & (has_sibling | ~told)
+
+
 def mediado_kind(title: Column, source: Column, has_sibling: Column) -> Column:
     """``source``: TATE (vertical), BOOK, COMIC or another."""
     tall = F.when(title.rlike(REVISED_BRACKETS) | has_sibling, "WR").otherwise("WT")
@@ -163,18 +182,26 @@ def mbj_kind(title: Column, form: Column, more: Column) -> Column:
     return F.when(F.lower(form).contains("webtoon"), "WT").when(marks.rlike(REVISED_WORDS), "WR").when(title.contains("【分冊版】") | title.rlike(MBJ_EPISODE), "EP").otherwise("EB")
 
 
-def with_sibling(rows: DataFrame, title: str = "title_jp", within: list[str] | None = None) -> DataFrame:
+def with_sibling(rows: DataFrame, title: str = "title_jp", within: list[str] | None = None, key: Column | None = None, complete: Column | None = None) -> DataFrame:
     """``rows`` with ``has_sibling``: another row (of the same ``within``) bears the same title marked as complete edition.
 
-    Titles are compared without white space and marks of complete or revised editions; a title so marked has no
-    sibling itself. One row a key on the looked-up side, so that repeated titles do not multiply rows.
+    Titles are compared by ``key``, by default without white space and marks of complete or revised editions; a title
+    that is ``complete`` has no sibling itself. One row a key on the looked-up side, so that repeated titles do not
+    multiply rows.
     """
     within = within or []
-    key = without(F.col(title), COMPLETE_OR_REVISED, f"{SPACE}+")
-    complete = F.col(title).rlike(r"[\[［【]完全版[\]］】]")
+    key = without(F.col(title), COMPLETE_OR_REVISED, f"{SPACE}+") if key is None else key
+    complete = F.col(title).rlike(r"[\[［【]完全版[\]］】]") if complete is None else complete
     whole = rows.where(complete).select(*(F.col(c).alias(f"_{c}") for c in within), key.alias("_base")).distinct().withColumn("_hit", F.lit(True))
     on = F.col("_key") == F.col("_base")
     for c in within:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
     out = rows.withColumn("_key", key).join(whole, on, "left").withColumn("has_sibling", F.coalesce("_hit", F.lit(False)) & ~F.coalesce(complete, F.lit(False)))
     return out.select(*rows.columns, "has_sibling")
+
+
+def with_tall_sibling(rows: DataFrame, title: str = "title_jp", within: list[str] | None = None) -> DataFrame:
+    """``with_sibling`` among the titles that are read downwards, by their names without the mark of that."""
+    t = F.col(title)
+    key = F.when(t.contains(TALL), F.trim(without(t, COMPLETE_BRACKETS, REVISED_BRACKETS, TALL)))
+    return with_sibling(rows, title, within, key, t.contains(TALL) & t.rlike(COMPLETE_BRACKETS))

@@ -105,17 +105,19 @@ def draw_down(rows: DataFrame, balances: DataFrame, order: list[str], key: str =
 
     After a row max(begin - income, 0) is left, so that a negative income adds to the advance. Unrolled, a row begins
     with max(balance, the largest sum of incomes up to any earlier row) less the sum up to the row before: two windows
-    over one sort. Titles without a balance, and rows without a title, have 0.
+    over one sort. Titles without a balance have 0. So have rows without a title, which no window sees.
     """
     sums = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     one = balances.groupBy(F.col(balance_key).alias("_balance_key")).agg(F.max("balance").alias("balance"))
-    out = rows.join(one, F.col(key) == F.col("_balance_key"), "left").drop("_balance_key").withColumn("balance", F.coalesce("balance", F.lit(0)))
-    out = out.withColumn("_earlier", F.coalesce(F.sum("income").over(sums), F.lit(0)))
+    zero = F.lit(0)
+    titled = rows.where(F.col(key).isNotNull()).join(one, F.col(key) == F.col("_balance_key"), "left").drop("_balance_key").withColumn("balance", F.coalesce("balance", zero))
+    titled = titled.withColumn("_earlier", F.coalesce(F.sum("income").over(sums), zero))
     # the sums before the rows so far, of which the first is 0 and counts only through the balance
     top = F.max("_earlier").over(sums.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    begin = F.when(F.col(key).isNotNull(), F.greatest(F.col("balance"), top) - F.col("_earlier")).otherwise(0)
-    out = out.withColumn("begin", begin)
-    return out.withColumn("decrease", F.least("begin", "income")).drop("_earlier")
+    titled = titled.withColumn("begin", F.greatest(F.col("balance"), top) - F.col("_earlier")).drop("_earlier")
+    kind = {c: titled.schema[c].dataType for c in ("balance", "begin")}
+    untitled = rows.where(F.col(key).isNull()).withColumns({c: zero.cast(t) for c, t in kind.items()})
+    return titled.unionByName(untitled).withColumn("decrease", F.least("begin", "income"))
 
 
 def latest_roster(rows: DataFrame, keys: list[str], batch: str, before: str) -> DataFrame:

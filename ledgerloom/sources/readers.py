@@ -8,7 +8,7 @@ kind, channel, sales, pay, rate, month, raw_title, file), which ``statements.set
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import dates
 from ledgerloom.functions import text as T
 from ledgerloom.functions import titles as N
+from ledgerloom.operators.settlement import GUESSED_NOTE
 
 Get = Callable[[str], Column]
 
@@ -52,7 +53,8 @@ class Reader:
     ``columns``: the names in the file by field; title, sales and pay, and what ``kind``, ``channel`` or ``where`` need.
     A number is a place, counted from the first column of the header row. ``skip``: rows above the first of the data,
     where columns are places. ``month``: from the row or, where that says nothing, from names of file and sheet.
-    ``sums``: titles that stand for sums of other rows. ``sibling``: the kind hangs on another edition of the title.
+    ``sums``: titles that stand for sums of other rows. ``sibling``: how another edition of a title is found in its file,
+    where the kind hangs on one. ``guessed``: whether the kind is a guess that an earlier ledger may correct.
     """
 
     columns: dict[str, str | int]
@@ -64,7 +66,8 @@ class Reader:
     title: Callable[[Get], Column] = lambda g: F.trim(g("raw_title"))
     where: Callable[[Get], Column] | None = None
     sums: str | None = None
-    sibling: bool = False
+    sibling: Callable[[DataFrame, str, list[str]], DataFrame] | None = None
+    guessed: Callable[[Get], Column] = lambda g: F.lit(False)
     sheets: str | None = None
     skip: int = 1
     optional: tuple[str, ...] = ()
@@ -157,7 +160,7 @@ READERS: dict[str, Reader] = {
         kind=lambda g: N.renta_kind(F.trim(g("raw_title")), g("has_sibling")),
         channel="renta",
         title=lambda g: N.CANONICAL["renta"](g("raw_title")),
-        sibling=True,
+        sibling=N.with_sibling,
     ),
     "line_ebj": Reader(
         {"title": "タイトル名", "store": "書店名", "unit": "販売単位区分", "service": "サービス区分", "sales": "販売額計", "pay": "許諾額計"},
@@ -166,7 +169,8 @@ READERS: dict[str, Reader] = {
         channel=_ebj_channel,
         title=lambda g: N.CANONICAL["line_ebj"](g("raw_title")),
         where=lambda g: F.trim(g("store")) != "",
-        sibling=True,
+        sibling=N.with_tall_sibling,
+        guessed=lambda g: N.line_ebj_guessed(g("_title"), F.trim(g("unit")), g("service")),
         optional=("service", "unit"),
     ),
     "line_ad": Reader(
@@ -180,14 +184,16 @@ READERS: dict[str, Reader] = {
         kind=lambda g: _named(g("form"), BOOKLIVE_KINDS),
         month=lambda g: dates.iso_month(g("month")),
         channel=lambda g: _named(g("store"), BOOKLIVE_STORES),
+        guessed=lambda g: F.lit(True),
         where=lambda g: _named(g("store"), BOOKLIVE_STORES).isNotNull() & _named(g("form"), BOOKLIVE_KINDS).isNotNull(),
     ),
     "mechacomic": Reader(
         {"title": "シリーズ名", "name": "書名", "sales": "売上金額", "rate": "率", "pay": "支払", "unit": "種別"},
         kind=lambda g: N.mechacomic_kind(g("_title"), F.trim(g("unit")), g("has_sibling")),
+        guessed=lambda g: N.mechacomic_guessed(g("_title"), F.trim(g("unit")), g("has_sibling")),
         channel="mechacomic",
         sheets="^(スマートフォン明細|アプリ明細)$",
-        sibling=True,
+        sibling=N.with_sibling,
     ),
     "comico": Reader(
         {"year": 0, "month": 1, "content": 2, "title": 5, "paid": 10, "coins": 14, "rate": 20, "share": 21, "share_all": 30},
@@ -219,7 +225,7 @@ READERS: dict[str, Reader] = {
         sales=lambda g: _num(g("price")) * _num(g("units")),
         kind=lambda g: N.mediado_kind(g("_title"), F.coalesce(*(F.when(F.concat_ws(" ", g("form"), g("file")).contains(w), k) for w, k in (("タテヨミ", "TATE"), ("コミック", "COMIC"), ("書籍", "BOOK")))), g("has_sibling")),
         channel="mediado_sales",
-        sibling=True,
+        sibling=N.with_sibling,
         sep="\t",
     ),
     "mbj": Reader(
@@ -271,6 +277,8 @@ READERS: dict[str, Reader] = {
         optional=("price", "rate", "units"),
     ),
 }
+#: As kadokawa, with the account that the rules of ``overrides`` ask for.
+READERS["kadokawa_accounts"] = replace(READERS["kadokawa"], columns={**READERS["kadokawa"].columns, "account": "勘定科目"}, optional=("booked_on", "account"))
 
 
 def sheet_table(cells: DataFrame, reader: Reader) -> DataFrame:
@@ -307,7 +315,7 @@ def text_table(table: DataFrame, reader: Reader, file: Column | None = None) ->
 
 
 def lines(table: DataFrame, platform: str) -> DataFrame:
-    """(file, raw_title, title, kind, channel, sales, pay, rate, month, further fields of the file) of a reader's table.
+    """(file, sheet, raw_title, title, kind, channel, sales, pay, rate, month, note2, further fields of the file) of a reader's table.
 
     Rows without a title and rows of sums are left out. The month is null where neither row nor name says it.
     """
@@ -320,13 +328,13 @@ def lines(table: DataFrame, platform: str) -> DataFrame:
         rows = rows.where(reader.where(get))
     rows = rows.withColumn("_title", reader.title(get))
     if reader.sibling:
-        rows = N.with_sibling(rows, "_title")
+        rows = reader.sibling(rows, "_title", ["file"])
     rows = rows.withColumn("_kind", reader.kind(get))
     channel = reader.channel(get) if callable(reader.channel) else F.lit(reader.channel)
-    taken = {"file", "sheet", "row_index", "raw_title", "sales", "pay", "rate", "month", "title", "kind", "channel"}
+    taken = {"file", "sheet", "row_index", "raw_title", "sales", "pay", "rate", "month", "title", "kind", "channel", "note2"}
     more = [c for c in reader.columns if c not in taken]
     rate = _rate(F.col("rate")) if "rate" in reader.columns else F.lit(None).cast("double")
-    return rows.select("file", "sheet", "raw_title", F.col("_title").alias("title"), F.col("_kind").alias("kind"), channel.alias("channel"), reader.sales(get).alias("sales"), reader.pay(get).alias("pay"), rate.alias("rate"), reader.month(get).alias("month"), *more)
+    return rows.select("file", "sheet", "raw_title", F.col("_title").alias("title"), F.col("_kind").alias("kind"), channel.alias("channel"), reader.sales(get).alias("sales"), reader.pay(get).alias("pay"), rate.alias("rate"), reader.month(get).alias("month"), F.when(reader.guessed(get), GUESSED_NOTE).alias("note2"), *more)
 
 
 def with_detail(own: DataFrame, detail: DataFrame) -> DataFrame:
@@ -338,11 +346,12 @@ def with_detail(own: DataFrame, detail: DataFrame) -> DataFrame:
     return own.join(sums, "title", "left").select("title", *rest, F.coalesce("_sales", F.lit(0.0)).alias("sales"), F.coalesce("_rate", F.lit(0.4)).alias("rate"))
 
 
-def piccoma_lines(summary: DataFrame, detail: DataFrame, month: Column) -> DataFrame:
+def piccoma_lines(summary: DataFrame, detail: DataFrame, month: Column, overrides: DataFrame | None = None) -> DataFrame:
     """Lines of episodes and of volumes of the summary's titles (``sheet_table``'s columns), with the detail's sales.
 
     ``detail``: lines of piccoma_detail and piccoma_detail_volumes. The greater of the current and the final settlement
     is paid; sales that the detail does not state follow from it by the rate. Titles with neither are left out.
+    ``overrides`` (title, kind) are kinds that are known, a row a title; others but novels are guesses.
     """
     unit = lambda name, mark: F.struct(F.lit(mark).alias("unit"), F.greatest(_num(F.col(f"current_{name}")), _num(F.col(f"final_{name}"))).alias("pay"))
     rows = summary.where(~F.col("title").contains("合計") & (F.trim("title") != ""))
@@ -353,7 +362,10 @@ def piccoma_lines(summary: DataFrame, detail: DataFrame, month: Column) -> DataF
     out = rows.select("file", "title", "rate", "u.unit", "u.pay").join(sold, ["title", "unit"], "left")
     sales = F.coalesce("_sales", F.when(F.col("rate") > 0, F.col("pay") / F.col("rate")), F.lit(0.0))
     out = out.withColumn("sales", sales).where("sales <> 0 or pay <> 0")
-    return out.select("file", F.col("title").alias("raw_title"), "title", N.piccoma_kind(F.col("title"), F.col("unit")).alias("kind"), F.lit("piccoma").alias("channel"), "sales", "pay", "rate", month.alias("month"))
+    out = out.join(overrides.select("title", F.col("kind").alias("_known")), "title", "left") if overrides is not None else out.withColumn("_known", F.lit(None).cast("string"))
+    kind = N.piccoma_kind(F.col("title"), F.col("unit"))
+    note = F.when(F.col("_known").isNotNull() | (kind == "WN"), None).when(F.col("unit") == "巻", f"{GUESSED_NOTE}:volume").otherwise(f"{GUESSED_NOTE}:chapter")
+    return out.select("file", F.col("title").alias("raw_title"), "title", F.coalesce("_known", kind).alias("kind"), F.lit("piccoma").alias("channel"), "sales", "pay", "rate", month.alias("month"), note.alias("note2"))
 
 
 def comico_lines(own: DataFrame) -> DataFrame:
@@ -362,14 +374,13 @@ def comico_lines(own: DataFrame) -> DataFrame:
     A title counts as a magazine if any of its rows says so, by its content or by a share of 0.55.
     """
     magazine = F.coalesce(F.col("content") == "magazine_comic", F.lit(False)) | F.coalesce(F.col("rate") == 0.55, F.lit(False))
-    by_title = own.groupBy("title", "month").agg(
+    by_title = own.groupBy("file", "title", "month").agg(
         F.max(magazine).alias("_magazine"),
         *(F.sum(_num(F.col(c))).alias(f"_{c}") for c in ("paid", "coins", "share", "share_all")),
         F.max("rate").alias("rate"),
         F.min("content").alias("content"),
-        F.min("file").alias("file"),
     )
-    out = N.with_sibling(by_title, "title")
+    out = N.with_sibling(by_title, "title", ["file"])
     kind = N.comico_kind(F.col("title"), F.when(F.col("_magazine"), "magazine_comic").otherwise(F.col("content")), F.lit(None).cast("double"), F.col("has_sibling"))
     pick = lambda a, b: F.when(F.col("_magazine"), F.col(a)).otherwise(F.col(b))
     return out.select("file", F.col("title").alias("raw_title"), "title", kind.alias("kind"), F.lit("comico jp").alias("channel"), pick("_paid", "_coins").alias("sales"), pick("_share", "_share_all").alias("pay"), "rate", "month")
