@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def month_start(d: Column) -> Column:
-    return F.trunc(d, "MM")
-
-
 def month_end_after(d: Column, months: int | Column) -> Column:
     return F.last_day(F.add_months(d, months))
 
@@ -20,12 +16,6 @@ def shifted(d: Column, months: int = 1) -> Column:
     return F.when(d == F.last_day(d), F.last_day(later)).otherwise(later)
 
 
-def carry_dates(month: Column) -> dict[str, Column]:
-    """Defaults of a month's sheet: updated, settlement and deposit date."""
-    first = F.trunc(month, "MM")
-    return {"updated": F.add_months(first, 1), "settlement": month_end_after(first, 1), "deposit": month_end_after(first, 2)}
-
-
 def excel_serial(n: Column) -> Column:
     return F.date_add(F.lit("1899-12-30").cast("date"), n.cast("int"))
 

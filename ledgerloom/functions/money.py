@@ -25,10 +25,6 @@ def down(x: Column) -> Column:
     return F.floor(x).cast("long")
 
 
-def gross_of(net: Column, tax: float = 0.1) -> Column:
-    return half_up(net * F.lit(1 + tax))
-
-
 def net_of(gross: Column, tax: float = 0.1) -> Column:
     return half_up(gross / F.lit(1 + tax))
 
@@ -45,9 +41,3 @@ def percent_change(now: Column, before: Column, digits: int = 1) -> Column:
 
 def per_day(total: Column, days: Column) -> Column:
     return half_up(total / F.greatest(days, F.lit(1)))
-
-
-def running_draw(balance: Column, income: Column, window) -> Column:
-    """Advance left before each row when incomes (not negative) are set against it in the window's order."""
-    before = F.coalesce(F.sum(income).over(window), F.lit(0))
-    return F.greatest(balance - before, F.lit(0))

@@ -112,10 +112,6 @@ def amount(text: Column) -> Column:
     return F.coalesce(F.when(plain != "", plain.try_cast("double")), F.lit(0.0))
 
 
-def number_or_null(text: Column) -> Column:
-    return F.trim(text).try_cast("double")
-
-
 def rate(text: Column) -> Column:
     """0.6 from '60%' or '50/60%': the first number with a percent sign; a plain number up to 1 is the rate itself."""
     share = F.regexp_extract(half_width(text), r"([0-9]+(?:\.[0-9]+)?)\s*%", 1)
@@ -130,16 +126,25 @@ def like_escaped(text: str) -> str:
     return f"%{text}%"
 
 
-def _inserted(short: pd.Series, long: pd.Series) -> pd.Series:
-    def one(a, b):
-        if a is None or b is None:
-            return None
-        rest = iter(b)
-        return len(b) - len(a) if all(c in rest for c in a) else None
-
-    return pd.Series([one(a, b) for a, b in zip(short, long, strict=True)], dtype="Int32")
-
-
 def inserted(short: Column, long: Column) -> Column:
-    """How many signs must be put into ``short`` to give ``long``; null where it is no subsequence."""
-    return F.pandas_udf(_inserted, "int")(short, long)
+    """How many signs must be put into ``short`` to give ``long``; null where it is no subsequence.
+
+    A fold over the signs of ``long``: each that is the next of ``short`` takes it.
+    """
+    taken = F.aggregate(F.split(long, ""), F.lit(0), lambda n, c: F.when(F.substring(short, n + 1, F.lit(1)) == c, n + 1).otherwise(n))
+    return F.when(F.coalesce(F.char_length(short) == 0, F.lit(False)), F.char_length(long)).when(taken == F.char_length(short), F.char_length(long) - taken)
+
+
+def semantic(column: Column, kind: str) -> Column:
+    """A cell's meaning as text: ``n:`` and a number, ``t:`` and a text; null where it is null.
+
+    Texts are normalised (NFKC), white space is one space; texts that are numbers, with signs between thousands, are
+    numbers; days are texts in ISO form. A blank text is ``t:``.
+    """
+    if kind in ("date", "timestamp", "timestamp_ntz"):
+        return F.concat(F.lit("t:"), F.date_format(column, "yyyy-MM-dd"))
+    if kind != "string":
+        return F.concat(F.lit("n:" if kind != "boolean" else "t:"), column.cast("string"))
+    plain = squeezed(nfkc(column))
+    number = F.replace(plain, F.lit(","), F.lit(""))
+    return F.when(number.rlike(r"^[+-]?\d+(\.\d+)?$"), F.concat(F.lit("n:"), number.try_cast("double").cast("string"))).otherwise(F.concat(F.lit("t:"), plain))

@@ -355,3 +355,33 @@ def insights(sales: DataFrame, titles: DataFrame, as_of: str, limit: int = 8, go
     yoy = (F.col("n") - F.col("l")) * 100.0 / F.nullif(F.col("l"), F.lit(0))
     put(both, 11, yoy, [(yoy <= -15, 2, "year_fall"), (yoy >= 15, 4, "year_rise")])
     return reduce(DataFrame.union, rows).orderBy("priority", "place").limit(limit)
+
+
+#: Keys by which base titles can be listed, and the language whose order holds for texts.
+LIST_ORDERS = {"sales": "total_sales", "title_jp": "base_title", "title_kr": "title_kr", "genre": "genre", "company": "company", "platforms": "channel_count", "newest": "first_date"}
+LANGUAGES = {"title_jp": "ja", "title_kr": "ko", "genre": "ja", "company": "ja"}
+
+
+def listed_titles(sales: DataFrame, titles: DataFrame, original: str) -> DataFrame:
+    """A row a base title: its sales, channels, first day, and Korean name, genre and company of its main title.
+
+    The main title is the first whose product type is ``original``, else the first of all.
+    """
+    from ledgerloom.functions.text import product_type
+
+    own = sales.groupBy("title_jp", "channel").agg(total(), F.min("sale_date").alias("first_date"))
+    own = own.groupBy("title_jp").agg(F.sum("total_sales").alias("total_sales"), F.min("first_date").alias("first_date"), F.collect_list("channel").alias("_channels"))
+    met = own.join(titles.select("title_jp", "base_title", "title_kr", "genre", "company"), "title_jp")
+    main = F.min_by(F.struct("title_kr", "genre", "company", "first_date"), F.struct(product_type(F.col("title_jp")) != original, F.col("title_jp")))
+    out = met.groupBy("base_title").agg(F.sum("total_sales").alias("total_sales"), F.size(F.array_distinct(F.flatten(F.collect_list("_channels")))).alias("channel_count"), main.alias("m"))
+    return out.select("base_title", "total_sales", "channel_count", "m.*")
+
+
+def in_list_order(rows: DataFrame, key: str = "sales", descending: bool = True) -> DataFrame:
+    """``listed_titles`` in the order of one of LIST_ORDERS, texts by their language, blank ones as empty; ties by the title."""
+    by = F.col(LIST_ORDERS.get(key, "total_sales"))
+    if key in LANGUAGES:
+        by = F.collate(F.coalesce(by, F.lit("")), LANGUAGES[key])
+    elif key == "newest":
+        by = F.coalesce(by.cast("string"), F.lit(""))
+    return rows.orderBy(by.desc() if descending else by.asc(), "base_title")

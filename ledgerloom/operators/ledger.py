@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
+from ledgerloom.functions.text import semantic
 
 
 def strict_key(*columns: str) -> Column:
@@ -145,13 +146,6 @@ def missing_families(required: DataFrame, uploads: DataFrame) -> DataFrame:
     return required.join(uploads.where("status in ('parsed', 'aggregated') and parsed_rows > 0").select("family"), "family", "left_anti")
 
 
-def cell_verdict(a: Column, b: Column) -> Column:
-    """equal, mismatch or unknown, within a relative 1e-7 for numbers."""
-    x, y = a.try_cast("double"), b.try_cast("double")
-    near = F.abs(x - y) <= 1e-7 * F.greatest(F.lit(1.0), F.abs(x), F.abs(y))
-    return F.when(a.isNull() | b.isNull(), "unknown").when(F.coalesce(near, F.lit(False)) | (F.trim(a) == F.trim(b)), "equal").otherwise("mismatch")
-
-
 def assign(cost: np.ndarray) -> list[int]:
     """The column of each row in a least-cost pairing (shortest augmenting paths); rows are no more than columns."""
     n, m = cost.shape
@@ -183,25 +177,29 @@ def assign(cost: np.ndarray) -> list[int]:
 def compare_sheets(ours: DataFrame, key: DataFrame, identity: list[str], fields: list[str], most: int = 150) -> DataFrame:
     """(identity, category, field, ours, theirs): differences under the pairing that has fewest of them.
 
+    Cells are compared by what they mean (``text.semantic``), and shown as they are.
+
     Rows of one identity are few by contract; beyond ``most`` the pairing raises an error. Order does not matter.
     """
     schema = ", ".join([*(f"`{k}` string" for k in identity), "category string", "field string", "ours string", "theirs string"])
-    cells = F.array(*(F.col(c).cast("string") for c in fields))
-    side = lambda d, theirs: d.select(*(F.col(c).cast("string").alias(c) for c in identity), F.when(F.lit(not theirs), cells).alias("_a"), F.when(F.lit(theirs), cells).alias("_b"))
+    meant = lambda d, c: semantic(F.col(c), dict(d.dtypes)[c])
+    cells = lambda d: F.array(*(F.struct(F.col(c).cast("string").alias("raw"), meant(d, c).alias("meant")) for c in fields))
+    side = lambda d, theirs: d.select(*(F.col(c).cast("string").alias(c) for c in identity), F.when(F.lit(not theirs), cells(d)).alias("_a"), F.when(F.lit(theirs), cells(d)).alias("_b"))
 
     def same(x, y):
-        if x is None or y is None or x != x or y != y:
+        """Whether two cells mean the same, numbers within a relative 1e-7; null where one is not known."""
+        x, y = x["meant"], y["meant"]
+        if x is None or y is None:
             return None
-        try:
-            p, q = float(x.replace(",", "")), float(y.replace(",", ""))
-            return abs(p - q) <= 1e-7 * max(1, abs(p), abs(q))
-        except ValueError:
-            return x.strip() == y.strip()
+        if x[:2] == y[:2] == "n:":
+            p, q = float(x[2:]), float(y[2:])
+            return p == q or abs(p - q) <= 1e-7 * max(1, abs(p), abs(q))
+        return x == y
 
     def differences(name, a, b):
         if max(len(a), len(b)) > most:
             raise ValueError(f"{name}: more than {most} rows of one identity")
-        a, b = (sorted(d, key=lambda r: [(x or "", x is not None) for x in r]) for d in (a, b))
+        a, b = (sorted(d, key=lambda r: [(x["raw"] or "", x["raw"] is not None) for x in r]) for d in (a, b))
         flip = len(a) > len(b)
         small, large = (b, a) if flip else (a, b)
         if small:
@@ -213,7 +211,7 @@ def compare_sheets(ours: DataFrame, key: DataFrame, identity: list[str], fields:
         for i, j in enumerate(pairs):
             for f, v, x, y in zip(fields, verdicts[i][j], small[i], large[j], strict=True):
                 if v is False:
-                    yield (*name, "field", f, y if flip else x, x if flip else y)
+                    yield (*name, "field", f, *((y["raw"], x["raw"]) if flip else (x["raw"], y["raw"])))
         for _ in range(len(large) - len(pairs)):
             yield (*name, "extra" if flip else "missing", None, None, None)
 

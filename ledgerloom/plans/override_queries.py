@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text as T
 from ledgerloom.functions import titles as N
+from ledgerloom.operators import analytics as A
 from ledgerloom.operators import seeding
 from ledgerloom.operators import settlement as S
 from ledgerloom.plans import views as V
 from ledgerloom.plans.registry import HALF, query
-from ledgerloom.sources import overrides, readers, statements
+from ledgerloom.sources import overrides, readers, reports, statements
+from ledgerloom.sources.detection import detect_daily
 
 _NET = f"CAST(floor({{0}} / CAST(1.1 AS DOUBLE) + {HALF}) AS BIGINT)"
 _PLUS = f"CAST(floor({{0}} * CAST(1.1 AS DOUBLE) + {HALF}) AS BIGINT)"
@@ -173,3 +176,50 @@ query(
  CASE r.status WHEN '-' THEN NULL WHEN '完結済' THEN '完結' WHEN '休載' THEN '休載中' ELSE r.status END AS serial_status, {_HASH.format('company', 'l.company')} AS company_id, {_HASH.format('genre', 'l.genre')} AS genre_id, {_HASH.format('label', 'r.label')} AS label_id, platforms
  FROM l JOIN r USING (title_jp, place) LEFT JOIN o USING (title_jp)""",
 )(_seeds)
+
+# ---------------------------------------------------------------- daily files and reviews
+#: Names and headers of daily files, with what they are.
+_DAILY = (
+    ("Weekly Report 5.xlsx", "", "weekly_report", "", "high", "weekly_report"), ("누계_5.xlsx", "", "ruikei_metadata", "", "high", "ruikei_metadata"), ("product_kpi_5.csv", "", "piccoma_kpi", "Piccoma", "high", "sokuhochi_kpi"),
+    ("sp_daily_sales_log_5.csv", "", "piccoma_sokuhochi", "", "medium", "sokuhochi_sp"), ("ピッコマ速報.csv", "", "piccoma_sokuhochi", "Piccoma", "high", "sokuhochi"), ("シーモア_5.tsv", "", "cmoa_sokuhochi", "cmoa", "high", "sokuhochi_cmoa"),
+    ("renta_5.csv", "", "renta_sokuhochi", "Renta", "high", "sokuhochi_renta"), ("line_5.csv", "", "linemanga_sokuhochi", "LINEマンガ", "high", "sokuhochi_line"), ("PaymentReport_5.csv", "", "ebookjapan_sokuhochi", "ebookjapan", "high", "sokuhochi_ebj"),
+    ("商品別売上_5.csv", "", "dmm_sokuhochi", "DMM", "high", "sokuhochi_dmm"), ("5.csv", "日付,ブック名,購入ポイント数", "piccoma_sokuhochi", "", "medium", "sokuhochi"), ("5.csv", "作品名,05-01 Total売上", "piccoma_kpi", "Piccoma", "high", "sokuhochi_kpi"),
+    ("5.csv", "コンテンツID,タイトル名", "cmoa_sokuhochi", "cmoa", "high", "sokuhochi_cmoa"), ("5.csv", "参照ID,商品名,売上金額", "renta_sokuhochi", "Renta", "high", "sokuhochi_renta"), ("5.csv", "書店名,販売額計", "ebookjapan_sokuhochi", "ebookjapan", "high", "sokuhochi_ebj"),
+    ("5.csv", "作品ID,取扱高", "linemanga_sokuhochi", "LINEマンガ", "high", "sokuhochi_line"), ("5.csv", "商品タイトル,売上金額,集計期間", "dmm_sokuhochi", "DMM", "high", "sokuhochi_dmm"), ("5.csv", "Title(JP),Channel,Date", "weekly_report", "", "medium", "weekly_report"), ("5.txt", "x", "unknown", "", "low", "sokuhochi"),
+)
+
+
+def _case(at: int) -> str:
+    return f"CASE o_orderkey % {len(_DAILY)} " + " ".join(f"WHEN {i} THEN '{r[at]}'" for i, r in enumerate(_DAILY)) + " END"
+
+
+query("d14_daily_formats", f"SELECT o_orderkey, {_case(2)} AS format, {_case(3)} AS platform, {_case(2)} NOT IN ('weekly_report', 'ruikei_metadata', 'unknown') AS is_preliminary, {_case(4)} AS confidence, {_case(5)} AS sub_source FROM orders")(
+    lambda s, d: V.table(s, d, "orders").select("o_orderkey", detect_daily(F.expr(_case(0)), F.expr(_case(1))).alias("d")).select("o_orderkey", "d.*")
+)
+
+
+def _page(s: SparkSession, d: str) -> DataFrame:
+    ledger = V.ledger(s, d)
+    rows = ledger.selectExpr("batch AS run_id", "concat_ws('/', upload_id, line, gross) AS diff_id", "CASE line % 3 WHEN 0 THEN 'field' WHEN 1 THEN 'missing' ELSE 'extra' END AS category")
+    status = "CASE line % 4 WHEN 0 THEN 'resolved' WHEN 1 THEN 'pending' WHEN 2 THEN 'odd' END AS status"
+    reviews = ledger.selectExpr("batch AS run_id", "concat_ws('/', upload_id, line, gross) AS diff_id", status, "CASE WHEN upload_id % 2 = 0 THEN title_jp END AS note", "timestamp'2026-05-01' AS reviewed_at")
+    reviews = reviews.union(reviews.where("upload_id % 5 = 0").withColumns({"status": F.lit("needs_review"), "note": F.lit(None).cast("string"), "reviewed_at": F.lit("2026-05-02").cast("timestamp")}))
+    kept, _ = reports.checked_reviews(reviews)
+    return reports.reviewed(rows, kept)
+
+
+query(
+    "e20_reviewed_differences",
+    """+x AS (SELECT batch AS run_id, upload_id || '/' || line || '/' || gross AS diff_id, line % 3 AS c, line % 4 AS k, upload_id, title_jp FROM ledger)
+ SELECT run_id, diff_id, CASE c WHEN 0 THEN 'field' WHEN 1 THEN 'missing' ELSE 'extra' END AS category, CASE WHEN upload_id % 5 = 0 THEN 'needs_review' WHEN k = 0 THEN 'resolved' ELSE 'pending' END AS review_status,
+ CASE WHEN k <> 2 AND upload_id % 2 = 0 THEN title_jp END AS review_note FROM x""",
+    "ledger",
+)(_page)
+query(
+    "b27_listed_titles",
+    """+a AS (SELECT title_jp, CAST(sum(sales_amount) AS BIGINT) AS total_sales, min(sale_date) AS first_date, list(DISTINCT channel) AS c FROM sales GROUP BY 1), m AS (SELECT * FROM a JOIN titles USING (title_jp)),
+ f AS (SELECT base_title, min(title_jp) AS title_jp FROM m GROUP BY 1), g AS (SELECT base_title, CAST(sum(total_sales) AS BIGINT) AS total_sales, CAST(len(list_distinct(flatten(list(c)))) AS INTEGER) AS channel_count FROM m GROUP BY 1)
+ SELECT g.*, m.title_kr, m.genre, m.company, m.first_date FROM g JOIN f USING (base_title) JOIN m USING (title_jp)""",
+    "sales",
+    "titles",
+)(lambda s, d: A.in_list_order(A.listed_titles(V.daily_sales(s, d), V.titles(s, d), T.ORIGINAL), "title_kr"))

@@ -60,7 +60,7 @@ FORMATS = {
     "line_manga": Daily("line", "タイトル名", "販売日", ("販売額（税抜）", "販売額計")),
     "dmm": Daily("dmm", "商品タイトル", "集計期間", ("売上金額",), monthly=True),
 }
-#: What a file's name and header say of its format, in order; the first that fits holds.
+#: The readers' own keys of FORMATS by a file's name and header, in order; ``detection`` holds the formats' full rules.
 DETECTION = (("weekly", None, "weekly_report", 0.9), ("速報.*巻", None, "sokuhochi_kan", 0.9), ("速報|sokuhochi", None, "sokuhochi", 0.9), ("cmoa|シーモア", None, "cmoa", 0.8), (None, "消費PT", "cmoa", 0.7), (None, "集計期間", "dmm", 0.7), (None, "書店名", "ebookjapan", 0.5))
 
 

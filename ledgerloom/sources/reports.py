@@ -46,3 +46,39 @@ def read_comparison(spark: SparkSession, path: str, run_id: str | None = None, r
         return rows
     last = reviews.groupBy("run_id", "diff_id").agg(F.max_by("status", F.struct("reviewed_at", "status")).alias("status"))
     return rows.join(last, ["run_id", "diff_id"], "left").withColumn("status", F.coalesce("status", F.lit("open")))
+
+
+#: What a review may say, how long its note may be, and how many differences a page may hold.
+REVIEW_STATUSES = ("pending", "candidate_correct", "golden_correct", "needs_review", "resolved")
+CATEGORIES = ("field", "missing", "extra")
+LONGEST_NOTE, LARGEST_PAGE, USUAL_PAGE = 2000, 200, 100
+
+
+def checked_reviews(reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``reviews`` (run_id, diff_id, status, note, reviewed_at) that may be stored, and the others with ``problem``."""
+    problem = (
+        F.when(F.col("status").isNull() & F.col("note").isNull(), "neither status nor note")
+        .when(F.col("status").isNotNull() & ~F.col("status").isin(*REVIEW_STATUSES), "unknown status")
+        .when(F.char_length("note") > LONGEST_NOTE, "note too long")
+    )
+    out = reviews.withColumn("problem", problem)
+    return out.where("problem is null").drop("problem"), out.where("problem is not null")
+
+
+def reviewed(rows: DataFrame, reviews: DataFrame) -> DataFrame:
+    """``rows`` (run_id, diff_id, more) with review_status and review_note: the latest of each that a review states."""
+    at = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct("reviewed_at", c)))
+    last = reviews.groupBy("run_id", "diff_id").agg(at("status").alias("review_status"), at("note").alias("review_note"))
+    return rows.join(last, ["run_id", "diff_id"], "left").withColumn("review_status", F.coalesce("review_status", F.lit(REVIEW_STATUSES[0])))
+
+
+def diff_page(rows: DataFrame, category: str | None = None, status: str | None = None, offset: int = 0, limit: int = USUAL_PAGE) -> tuple[DataFrame, int]:
+    """A page of ``reviewed`` rows in order of diff_id, and how many rows there are in all; the limit is 1 to 200."""
+    if category is not None and category not in CATEGORIES:
+        raise ValueError(f"category must be one of {CATEGORIES}")
+    if status is not None and status not in REVIEW_STATUSES:
+        raise ValueError(f"review_status must be one of {REVIEW_STATUSES}")
+    for column, wanted in (("category", category), ("review_status", status)):
+        rows = rows if wanted is None else rows.where(F.col(column) == wanted)
+    page = rows.orderBy("run_id", "diff_id").offset(max(0, offset)).limit(min(max(1, limit), LARGEST_PAGE))
+    return page, rows.count()
