@@ -1,16 +1,15 @@
 """Main text of web pages by differencing against the pages of nearest URL.
 
 Pages are parsed to text lines (one a block element), each marked: within an article or main element, within a menu,
-footer, form, advert or the like, or neither. Pages are ordered by (host, URL path); each is aligned, all its lines,
-with its neighbours of the same host by longest common subsequence. What is shared decides:
-
-* lines beside the article are deleted where a neighbour on either side shares them;
-* lines at the head or the end of the article (a byline, a call to subscribe) are deleted where the neighbours on both
-  sides share them in one run from that edge, unless a neighbour's article is a copy of this one (half of its
-  characters or more are shared), which would delete the article itself. Lines within an article that two pages quote
-  alike are its text and stay.
-
-Lines within menus, forms and the like go by their markup, though no neighbour may share them.
+footer, advert or the like, or neither. Pages are ordered by (host, URL path); each is aligned, all its lines, with its
+neighbours of the same host by longest common subsequence: lines beside the article are deleted where a neighbour on
+either side shares them, unless nearly all of both pages is shared, as of mirrors. Lines within an article that two
+pages share are its text and stay; ``inside`` deletes those too that both neighbours share in one run from the head or
+the end of the article (a byline, a call to subscribe), unless a neighbour's article is a copy of this one.
+
+Lines within menus, footers and the like go by their markup, though no neighbour may share them. What an element's class
+or id says never decides over an article within it, and words that only hint (share-quote, has-sidebar) count where the
+element's text is short or mostly links. A form goes unless it holds much text for its controls.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ import hashlib
 import html as entities
 import re
 import zlib
+from functools import partial
 from itertools import groupby
 from urllib.parse import urlsplit
 
@@ -35,14 +35,20 @@ MAIN, PLAIN, ASIDE = 0, 1, 2
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav noframes ol optgroup option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
-DROPPED = frozenset("nav footer aside form header menu dialog head select button template noscript iframe object svg canvas".split())
+#: Of these the first can only be furniture; the others are left out unless an article opens within.
+DROPPED = frozenset("nav footer menu head select button template noscript iframe object svg canvas".split())
+BESIDE = frozenset("aside header dialog".split())
 RAW = frozenset("script style textarea xmp noembed noframes title".split())
-SIGNS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adslot|sponsor\w*|promo\w*|banner\w*|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|sidebar\w*|side|widgets?|nav\w*|menu\w*|breadcrumbs?|footer\w*|header|masthead|toolbar|comments?|commentlist|discussion|replies|respond|disqus\w*|related|recommend\w*|share|sharing|social|subscribe|newsletter|signup|login|search|pagination|pager)(?:$|[\s_-])",
-    re.I,
-)
+CONTROLS = frozenset("input select textarea button".split())
+#: Words of class or id that say so wherever they stand, and those that say so alone and hint within a longer name.
+FIRM = r"ads?|advert\w*|adslot|sponsor\w*|cookies?|consent|gdpr|popup|modal|overlay|nav\w*|menu\w*|breadcrumbs?|footer\w*|masthead|comments?|commentlist|discussion|replies|respond|disqus\w*|newsletter|login|signup|pagination|pager"
+HINTS = r"promo\w*|banner\w*|notice\w*|alert|sidebar\w*|side|widgets?|header|toolbar|related|recommend\w*|share|sharing|social|subscribe|search"
+SIGNS = re.compile(rf"(?:^|[\s_-])(?:{FIRM})(?:$|[\s_-])|(?:^|\s)(?:{HINTS})(?:$|\s)", re.I)
+HINTED = re.compile(rf"(?:^|[\s_-])(?:{HINTS})(?:$|[\s_-])", re.I)
+#: A hinted element is text from so many characters on, if under half of them are links'; a form, from so many a control.
+PROSE, FORM_PROSE, A_CONTROL = 200, 500, 100
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HELD = frozenset("div section ul ol table span".split())  # elements kept on the stack though they say nothing, so that ends match
+HELD = frozenset("div section ul ol table span a".split())  # elements kept on the stack though they say nothing, so that ends match
 #: A tag's parts; each alternative runs forward only. Where attributes are cut off by an open quote, the first '>' ends the tag.
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 ATTRS = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""", re.S)
@@ -51,20 +57,29 @@ ATTR = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 
 
-def _kind(tag: str, attrs: str) -> int | None:
-    """What an element's start says of its content; None: nothing."""
+ARTICLE, GONE, BOX, HINT, FORM = "article", "gone", "box", "hint", "form"
+
+
+def _says(tag: str, attrs: str) -> str | None:
+    """What an element's start says of its content: ARTICLE, GONE (for good), BOX, HINT or FORM; None: nothing."""
     if tag in DROPPED:
-        return ASIDE
+        return GONE
+    hint = FORM if tag == "form" else None
+    if tag in BESIDE:
+        return BOX
     for name, *values in ATTR.findall(attrs):
         value = "".join(values)
         if name.lower() == "role":
             if value.lower() in ROLES:
-                return ASIDE
+                return BOX
             if value.lower() in ("main", "article"):
-                return MAIN
-        elif tag not in ("html", "body") and SIGNS.search(value):
-            return ASIDE
-    return MAIN if tag in ("article", "main") else None
+                return ARTICLE
+        elif tag not in ("html", "body", "article", "main"):
+            if SIGNS.search(value):
+                return BOX
+            if HINTED.search(value):
+                hint = hint or HINT
+    return ARTICLE if tag in ("article", "main") else hint
 
 
 class _Tags:
@@ -110,27 +125,85 @@ class _Tags:
         return m.end() if m else len(self.text)
 
 
+class _Box:
+    """A marked element within others: the characters of its text and of its links, and its controls."""
+
+    __slots__ = ("outer", "says", "chars", "links", "controls", "stays")
+
+    def __init__(self, outer: "_Box | None", says: str):
+        self.outer, self.says, self.chars, self.links, self.controls, self.stays = outer, says, 0, 0, 0, None
+
+    def close(self) -> None:
+        """Once its end is known; what it holds counts for those around it."""
+        prose = 2 * self.links < self.chars
+        if self.says == FORM:
+            self.stays = prose and self.chars >= max(FORM_PROSE, A_CONTROL * self.controls)
+        else:
+            self.stays = self.says == HINT and prose and self.chars >= PROSE
+        if self.outer:
+            self.outer.chars += self.chars
+            self.outer.links += self.links
+            self.outer.controls += self.controls
+
+
+def _within(box: _Box | None, known: dict) -> bool:
+    """Whether a box and all around it stay; each is asked once."""
+    path = []
+    while box is not None and box not in known:
+        path.append(box)
+        box = box.outer
+    stays = True if box is None else known[box]
+    for b in reversed(path):
+        stays = known[b] = stays and b.stays
+    return stays
+
+
 def page_lines(text: str) -> list[tuple[int, str]]:
-    """(MAIN, PLAIN or ASIDE; text) of the lines of a page; ASIDE once within what is left out, else MAIN once within an article.
+    """(MAIN, PLAIN or ASIDE; text) of the lines of a page.
 
-    Time is linear in the text: no search starts again over what an earlier one has passed, and open elements are counted.
+    An article within a marked element counts if the page has none outside of such. Time is linear in the text: no
+    search starts again over what an earlier one has passed, open elements are counted, and a box is measured once.
     """
-    out, parts, stack, held, kind, at, tags = [], [], [], {}, PLAIN, 0, _Tags(text)
+    # where a line stands: within something gone for good, within an article, the boxes around it and those around its article
+    gone, article, box, around = False, False, None, None
+    out, parts, stack, held, at, tags, anchors = [], [], [], {}, 0, _Tags(text), 0
 
     def flush():
         line = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if line:
-            out.append((kind, line))
+            out.append((gone, article, box, around, line))
+            if box is not None and not gone:
+                box.chars += len(line)
+
+    def take(part: str):
+        parts.append(part)
+        if anchors and box is not None:
+            box.links += len(part.strip())
+
+    def leave():
+        """Back to where the top of the stack was opened."""
+        nonlocal gone, article, box, around, anchors
+        tag, was, opened = stack.pop()
+        held[tag] -= 1
+        anchors -= tag == "a"
+        if was != (gone, article, box, around):
+            flush()
+            gone, article, box, around = was
+        if opened:
+            opened.close()
+        return tag
 
     while found := tags.next(at):
         start, end, tag, closing, attrs = found
-        parts.append(text[at:start])
+        take(text[at:start])
         at = end
         if not tag:
             continue
         if tag == "br":
             parts.append(" ")
+        if not closing and tag in CONTROLS and box is not None:
+            box.controls += 1
         if not closing and tag in RAW:
             flush()
             at = tags.raw_end(tag, at)
@@ -139,25 +212,50 @@ def page_lines(text: str) -> list[tuple[int, str]]:
             flush()
         if closing:
             if held.get(tag):
-                while True:
-                    t, was = stack.pop()
-                    held[t] -= 1
-                    if t == tag:
-                        if kind != was:
-                            flush()
-                        kind = was
-                        break
+                while leave() != tag:
+                    pass
         elif tag not in VOID:
-            says = _kind(tag, attrs)
-            if says is not None or tag in HELD:
-                stack.append((tag, kind))
-                held[tag] = held.get(tag, 0) + 1
-                if says == ASIDE and kind != ASIDE or says == MAIN and kind == PLAIN:
-                    flush()
-                    kind = says
-    parts.append(text[at:])
+            says = _says(tag, attrs)
+            if says is None and tag not in HELD and tag != "form":
+                continue
+            was, opened = (gone, article, box, around), None
+            if says == GONE:
+                state = (True, article, box, around)
+            elif says == ARTICLE and not article and not gone:
+                state = (gone, True, None, box)
+            elif says in (BOX, HINT, FORM) and not gone and not (tag == "header" and article):
+                opened = _Box(box, says)
+                state = (gone, article, opened, around)
+            else:
+                state = was
+            if state != was:
+                flush()
+                gone, article, box, around = state
+            stack.append((tag, was, opened))
+            held[tag] = held.get(tag, 0) + 1
+            anchors += tag == "a"
+    take(text[at:])
     flush()
-    return out
+    while stack:
+        leave()
+
+    known: dict = {}
+    if not any(art or _within(box, known) for gone, art, box, _, _ in out if not gone):
+        for _, _, box, _, _ in out:  # nothing else is left: what is only hinted at stays
+            while box is not None and box.stays is False and box.says in (HINT, FORM):
+                box.stays, box = True, box.outer
+        known = {}
+    # an article outside of boxes counts alone; else those within boxes do
+    open_ = any(art and not gone and around is None and _within(box, known) for gone, art, box, around, _ in out)
+
+    def kind(gone: bool, article: bool, box: _Box | None, around: _Box | None) -> int:
+        if gone or not _within(box, known):
+            return ASIDE
+        if article and around is not None and open_:
+            return PLAIN if _within(around, known) else ASIDE
+        return MAIN if article else PLAIN
+
+    return [(kind(*place), line) for *place, line in out]
 
 
 MOST_BITS = 1 << 28  # of rows that an alignment keeps at a time, 32 MB
@@ -227,19 +325,24 @@ def lcs(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def settle(lines: list[tuple[int, str]], neighbours: list[list[tuple[int, str]]]) -> tuple[set[int], set[int]]:
+MIRROR = 0.9  # of the characters of both pages
+
+
+def settle(lines: list[tuple[int, str]], neighbours: list[list[tuple[int, str]]], inside: bool = True) -> tuple[set[int], set[int]]:
     """(positions shared with any of the neighbours, positions among these that are deleted); see the module."""
-    shared, edges = set(), []
+    shared, beside, edges = set(), set(), []
     own = [i for i, (k, _) in enumerate(lines) if k == MAIN]
     texts = [t for _, t in lines]
-    size = sum(len(texts[i]) for i in own)
+    size, whole = sum(len(texts[i]) for i in own), sum(map(len, texts))
     for other in neighbours:
         pairs = {i for i, _ in lcs(texts, [t for _, t in other])}
         shared |= pairs
+        if own or sum(len(texts[i]) for i in pairs) < MIRROR * max(whole, sum(len(t) for _, t in other)):
+            beside |= pairs
         its = sum(len(t) for k, t in other if k == MAIN)
-        if own and 2 * sum(len(texts[i]) for i in own if i in pairs) < min(size, its or size):
+        if inside and own and 2 * sum(len(texts[i]) for i in own if i in pairs) < min(size, its or size):
             edges.append(pairs)
-    gone = {i for i in shared if lines[i][0] == PLAIN}
+    gone = {i for i in beside if lines[i][0] == PLAIN}
     if len(edges) == 2:
         for run in (own, own[::-1]):
             for i in run:
@@ -285,14 +388,15 @@ def _parse(batches):
 RANGES = "part int, run long, page_id long, url string, text string, n_shared long, n_deleted long, runs long, host string, body binary, digest string"
 
 
-def _text(own, neighbours) -> tuple[str, int, int]:
+def _text(own, neighbours, inside: bool) -> tuple[str, int, int]:
     """Text, lines shared and lines deleted of a run (host, packed lines) by the neighbours there are of its host."""
     host, lines = own[0], _unpacked(own[1])
-    shared, gone = settle(lines, [_unpacked(other[1]) for other in neighbours if other is not None and other[0] == host])
+    near = [_unpacked(other[1]) for other in neighbours if other is not None and other[0] == host]
+    shared, gone = settle(lines, near, inside)
     return main_text(lines, gone), len(shared), len(gone)
 
 
-def _difference(batches):
+def _difference(batches, inside: bool):
     """Rows in order of (host, path): the texts of all runs but the first and last, whose neighbours are in other ranges."""
     kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in RANGES.split(", "))])
@@ -313,7 +417,7 @@ def _difference(batches):
             if n == 1:
                 yield pages(0, members, (None, None, None))
             elif n:
-                yield pages(n - 1, members, _text(last[-1][1], (last[-2][1], own)))
+                yield pages(n - 1, members, _text(last[-1][1], (last[-2][1], own), inside))
             if n < 2:
                 first.append((n, own))
             last = [*last[-1:], (n, own)]
@@ -348,12 +452,12 @@ def _beyond(ends: DataFrame, after: bool) -> Column:
     return known.select("part", F.when(F.col("near") == F.col(own), passed).otherwise(F.col("beside")).alias("after" if after else "before"))
 
 
-def _settle(batches):
+def _settle(batches, inside: bool):
     for b in batches:
         sides = []
         for side in ("own", "before", "after"):
             sides.append([None if host is None else (host, body) for host, body in zip(*(b.column(f"{side}_{c}").to_pylist() for c in ("host", "body")), strict=True)])
-        told = [_text(own, near) for own, *near in zip(*sides, strict=True)]
+        told = [_text(own, near, inside) for own, *near in zip(*sides, strict=True)]
         columns = [pa.array([t[i] for t in told], k) for i, k in enumerate((pa.string(), pa.int64(), pa.int64()))]
         yield pa.RecordBatch.from_arrays([b.column("part"), b.column("run"), *columns], names=["part", "run", "text", "n_shared", "n_deleted"])
 
@@ -361,7 +465,7 @@ def _settle(batches):
 TOLD = ["page_id", "url", "text", "n_shared", "n_deleted"]
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame, inside: bool = False) -> DataFrame:
     """(page_id, url, text, n_chars, n_shared, n_deleted) of each row of ``pages`` (page_id, url, html; no more are read).
 
     Blocks are joined by one newline, white space within them is one space, character references are decoded. Null
@@ -370,7 +474,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     path), so that a host of any size is spread; the pages at the edges of a range meet those of the adjoining ranges, a
     few rows a range, so that the result is the same for any number of ranges. A neighbour is the nearest page on a side
     whose lines differ, so that copies in a row are one, and repeated rows are treated alike. A URL without a host
-    counts to the host ''; a page whose every line is shared keeps its lines. Pages are parsed in linear time, and an
+    counts to the host ''; a page whose every line is shared keeps its lines. ``inside``: see the module. Pages are parsed in linear time, and an
     alignment keeps a bounded number of bits.
     """
     host, path = place_of(F.col("url"))
@@ -381,7 +485,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     dealt = range_parts(body, ["host", "path", "page_id"], parts).select("part", "page_id", "url", "host", "path", "html")
     parsed = dealt.mapInArrow(_parse, "part int, page_id long, url string, host string, path string, body binary")
     ranged = parsed.repartitionById(parts, F.col("part")).sortWithinPartitions("host", "path", "page_id")
-    dealt = materialize(ranged.select("page_id", "url", "host", "body").mapInArrow(_difference, RANGES), "html-ranges")
+    dealt = materialize(ranged.select("page_id", "url", "host", "body").mapInArrow(partial(_difference, inside=inside), RANGES), "html-ranges")
 
     edges = dealt.where("runs is not null").select("part", "run", "runs", "host", "body", "digest")
     ends = edges.groupBy("part").agg(F.first("runs").alias("runs"), F.max(F.when(F.col("run") == 0, F.col("digest"))).alias("first"), F.max(F.when(F.col("run") == F.col("runs") - 1, F.col("digest"))).alias("last"))
@@ -394,7 +498,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     met = met.withColumn("own", F.struct("part", "run"))
     for name, how in (("own", "inner"), ("before", "left"), ("after", "left")):
         met = met.join(side(name), name, how)
-    settled = met.drop("own", "before", "after").mapInArrow(_settle, "part int, run long, text string, n_shared long, n_deleted long")
+    settled = met.drop("own", "before", "after").mapInArrow(partial(_settle, inside=inside), "part int, run long, text string, n_shared long, n_deleted long")
     pages_of = dealt.where("runs is null")
     waiting = pages_of.where("text is null").select("part", "run", "page_id", "url").join(settled, ["part", "run"]).select(*TOLD)
     whole = pages_of.where("text is not null").select(*TOLD).union(waiting)
