@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,8 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch_root(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-_SCOPES: list[list[str]] = []
+#: The scopes around, of each thread of control its own.
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None, keep: bool = False) -> DataFrame:
@@ -42,8 +44,8 @@ def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None,
 
     Within a ``scratch_scope`` the table is removed at its end, unless ``keep``."""
     path = scratch_path(df.sparkSession, tag)
-    if _SCOPES and not keep:
-        _SCOPES[-1].append(path)
+    if (scopes := _SCOPES.get()) and not keep:
+        scopes[-1].append(path)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -57,11 +59,13 @@ def _remove(spark: SparkSession, name: str) -> None:
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Removes the tables materialized within; what is to outlast it is written within it, with ``keep``."""
-    _SCOPES.append([])
+    paths: list[str] = []
+    token = _SCOPES.set((*_SCOPES.get(), paths))
     try:
         yield
     finally:
-        for path in _SCOPES.pop():
+        _SCOPES.reset(token)
+        for path in paths:
             _remove(spark, path)
 
 

@@ -48,17 +48,29 @@ def _blocks(fp: str, radius: int) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND((1 << (b - a)) - 1).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)))))
 
 
-def _row_id() -> Column:
-    return F.xxhash64("doc_id", F.col("doc_id").isNull(), "text")
+def _row_id(doc_id: Column, text: Column) -> Column:
+    """128 bits of a row's id and text."""
+    own = (doc_id.cast("long"), doc_id.isNull(), text.cast("string"))
+    return F.struct(F.xxhash64(*own).alias("a"), F.xxhash64(F.lit(1), *own).alias("b"))
 
 
 def _starts() -> Column:
-    """Starts of the windows of ``size`` that hold ``need`` of the positions ``p`` (in order): they hold ``need`` in a row."""
+    """Starts of the windows of ``size`` that hold ``need`` of the positions ``p`` (in order): they hold ``need`` in a row.
+
+    Each such run gives the starts from one place to another; both grow from run to run, so that a start that an earlier
+    run has given is left out as it is made.
+    """
     i = F.sequence(F.lit(0), F.size("p") - F.col("need"))
     last = lambda x: F.get("p", x + F.col("need") - 1)
     dense = F.filter(i, lambda x: last(x) - F.get("p", x) < F.col("size"))
-    runs = F.transform(dense, lambda x: F.sequence(F.greatest(F.lit(0), last(x) - F.col("size") + 1), F.get("p", x)))
-    return F.filter(F.array_distinct(F.flatten(runs)), lambda s: s <= F.greatest(F.col("n") - F.col("len"), F.lit(0)))
+    spans = F.transform(dense, lambda x: F.struct(F.greatest(F.lit(0), last(x) - F.col("size") + 1).alias("lo"), F.least(F.get("p", x), F.greatest(F.lit(0), F.col("n") - F.col("len"))).alias("hi")))
+    return F.transform(F.array(spans), lambda s: F.flatten(F.transform(s, lambda x, j: _fresh(x["lo"], x["hi"], F.get(s, j - 1)["hi"]))))[0]
+
+
+def _fresh(lo: Column, hi: Column, before: Column) -> Column:
+    """lo to hi without what goes up to ``before``."""
+    lo = F.greatest(lo, F.coalesce(before + 1, F.lit(0)))
+    return F.when(lo <= hi, F.sequence(lo, F.greatest(lo, hi))).otherwise(F.array().cast("array<int>"))
 
 
 def _row_leaks(docs: DataFrame, benchmark: DataFrame, width: int, percent: int, radius: int) -> DataFrame:
@@ -138,15 +150,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, percent: int =
     item is an item_id, null too, and its words: rows equal in both are one, and other texts of an item_id are items of
     their own, each with its row in the result.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", _row_id())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", _row_id(F.col("doc_id"), F.col("text")))
     found = _row_leaks(rows, benchmark, width, percent, radius)
     return found.select("doc_id", "item_id", "start", "similarity", "distance")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose texts hold no benchmark item; rows of one doc_id, and of none, are judged one by one."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", _row_id())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rid", _row_id(F.col("doc_id"), F.col("text")))
     found = _row_leaks(rows, benchmark, 5, 80, RADIUS).select("rid").distinct()
     found = materialize(found, "decon-rows")
-    key = F.xxhash64(docs.doc_id.cast("long"), docs.doc_id.isNull(), docs.text.cast("string"))
-    return docs.withColumn("_rid", key).join(found.withColumnRenamed("rid", "_rid"), "_rid", "left_anti").drop("_rid")
+    return docs.withColumn("_rid", _row_id(docs.doc_id, docs.text)).join(found.withColumnRenamed("rid", "_rid"), "_rid", "left_anti").drop("_rid")

@@ -111,17 +111,30 @@ def shard_plan(docs: DataFrame, shards: int = 16) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """The rows of ``docs`` as Parquet, a folder a shard, each file a run of the curve, for pruning by file statistics.
-
-    Rows of any types; the sort key holds metadata and a hash of the row, not the row. Columns may have any names but
-    ``_shard``, that of the folders.
-    """
-    columns = docs.columns
-    row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
+def _boxed(docs: DataFrame, shards: int) -> DataFrame:
+    """(row, h, shard, slot), in runs of the curve; the sort key holds metadata and a hash of the row, which is moved once."""
+    row = F.struct(*(F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)))
     boxed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), size_of().alias("size"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), row.alias("row"))
     boxed = boxed.withColumn("sign", F.xxhash64(F.to_json("row")))
     placed = place(boxed, shards, ties=["size", "source", "lang", "sign"])
     # the partitions of ``place`` are runs of the curve already, so that the rows need no second shuffle
-    out = placed.select(F.col("shard").alias("_shard"), "slot", "row").sortWithinPartitions("_shard", "slot")
-    out.select("_shard", *(F.col(f"row.c{i}").alias(c) for i, c in enumerate(columns))).write.partitionBy("_shard").parquet(path)
+    return placed.select("row", "h", "shard", "slot").sortWithinPartitions("shard", "slot")
+
+
+def placed_rows(docs: DataFrame, shards: int = 16) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, source, lang, more, of any types) with h, shard and slot, in runs of the curve.
+
+    Null texts have size 1, null sources and languages come last along their dimension, rows equal in all columns are
+    interchangeable. Columns of ``docs`` that bear the names h, shard or slot are replaced.
+    """
+    docs = docs.drop("h", "shard", "slot")
+    return _boxed(docs, shards).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)), "h", "shard", "slot")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
+    """The rows of ``docs`` as Parquet, a folder a shard, each file a run of the curve, for pruning by file statistics.
+
+    Columns may have any names but ``_shard``, that of the folders.
+    """
+    own = (F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns))
+    _boxed(docs, shards).select(F.col("shard").alias("_shard"), *own).write.partitionBy("_shard").parquet(path)
