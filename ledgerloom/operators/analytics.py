@@ -55,12 +55,17 @@ def monthly_trend(sales: DataFrame) -> DataFrame:
 def by_group(rows: DataFrame, *keys: str) -> DataFrame:
     """Total, distinct titles and the average of selling days, by ``keys``.
 
-    Two plain aggregations, by title and by day, instead of one that multiplies each row for its distinct counts.
+    One scan gives the groups by title and those by day side by side, so that neither set of values is held in a group.
     """
-    titles = rows.groupBy(*keys, "title_jp").agg(total()).groupBy(*keys).agg(F.sum("total_sales").alias("total_sales"), F.count("title_jp").alias("title_count"))
-    days = rows.groupBy(*keys, "sale_date").agg(F.lit(1).alias("_one")).groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.count("sale_date").alias("_days"))
-    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
-    return titles.join(days, same).select(*keys, "total_sales", "title_count", money.per_day(F.col("total_sales"), F.col("_days")).alias("avg_daily"))
+    own = rows.select(*keys, "title_jp", "sale_date", "sales_amount").groupingSets([[*keys, "title_jp"], [*keys, "sale_date"]], *keys, "title_jp", "sale_date")
+    each = own.agg(total(), F.grouping("sale_date").alias("_by_title"))
+    by_title, by_day = F.col("_by_title") == 1, F.col("_by_title") == 0
+    out = each.groupBy(*keys).agg(
+        F.sum(F.when(by_title, F.col("total_sales"))).alias("total_sales"),
+        F.count(F.when(by_title, F.col("title_jp"))).alias("title_count"),
+        F.count(F.when(by_day, F.col("sale_date"))).alias("_days"),
+    )
+    return out.select(*keys, "total_sales", "title_count", money.per_day(F.col("total_sales"), F.col("_days")).alias("avg_daily"))
 
 
 def top_titles(sales: DataFrame, names: DataFrame, limit: int = 20, month: str | None = None) -> DataFrame:
@@ -166,12 +171,18 @@ def deduped(sales: DataFrame) -> DataFrame:
 
 
 def title_sales(sales: DataFrame) -> DataFrame:
-    """Figures by title over its days, channels over its channels; both from the one deduplication."""
-    d = deduped(sales)
-    days = d.groupBy("title_jp", "sale_date").agg(total())
-    days = days.groupBy("title_jp").agg(F.sum("total_sales").alias("total_sales"), F.count("sale_date").alias("days"), F.min("sale_date").alias("first_date"), F.max("sale_date").alias("last_date"))
-    channels = d.groupBy("title_jp", "channel").agg(F.lit(1).alias("_one")).groupBy("title_jp").agg(F.concat_ws(",", F.array_sort(F.collect_list("channel"))).alias("channels"))
-    return days.join(channels, "title_jp").select("title_jp", "channels", "total_sales", "days", "first_date", "last_date")
+    """Figures by title over its days, and its channels, in one aggregation of the deduplicated rows.
+
+    Distinct days are counted in two steps, by title and day first; a title's channels are few.
+    """
+    out = deduped(sales).groupBy("title_jp").agg(
+        F.array_sort(F.collect_set("channel")).alias("_channels"),
+        total(),
+        F.countDistinct("sale_date").alias("days"),
+        F.min("sale_date").alias("first_date"),
+        F.max("sale_date").alias("last_date"),
+    )
+    return out.select("title_jp", F.array_join("_channels", ",").alias("channels"), "total_sales", "days", "first_date", "last_date")
 
 
 # ---------------------------------------------------------------- what pages make of them
@@ -245,9 +256,10 @@ def pareto(sales: DataFrame, key: str, limit: int = 20) -> DataFrame:
 
 def launch_curve(sales: DataFrame, days: int = 28) -> DataFrame:
     """Each title's first ``days`` days, gaps as 0, with the running sum and the week: ``days`` values of a title in one array."""
-    first = sales.groupBy("title_jp").agg(F.min("sale_date").alias("first_date"))
-    early = sales.select("title_jp", "sale_date", "sales_amount").join(first, "title_jp").withColumn("day", F.datediff("sale_date", "first_date") + 1).where(F.col("day") <= days)
-    sold = early.groupBy("title_jp", "day").agg(total()).groupBy("title_jp").agg(F.map_from_entries(F.collect_list(F.struct("day", "total_sales"))).alias("_sold"))
+    sold = sales.groupBy("title_jp", "sale_date").agg(total())
+    first = F.min("sale_date").over(Window.partitionBy("title_jp"))  # a title has no more rows than days
+    early = sold.withColumn("day", F.datediff("sale_date", first) + 1).where(F.col("day") <= days)
+    sold = early.groupBy("title_jp").agg(F.map_from_entries(F.collect_list(F.struct("day", "total_sales"))).alias("_sold"))
     values = F.transform(F.sequence(F.lit(1), F.lit(days)), lambda d: F.coalesce(F.try_element_at("_sold", d), F.lit(0)))
     sold = sold.withColumn("_values", values)
     run = F.transform(F.sequence(F.lit(1), F.lit(days)), lambda d: F.struct(d.alias("day"), F.get("_values", d - 1).alias("total_sales"), F.aggregate(F.slice("_values", F.lit(1), d), F.lit(0).cast("long"), lambda a, x: a + x).alias("cumulative")))

@@ -139,3 +139,27 @@ def match_korean(rows: DataFrame, master: DataFrame, order: str = "place") -> Da
         out = out.withColumn("_key", key).join(looked, F.col("_key") == F.col(f"{name}_key"), "left").drop("_key", f"{name}_key")
     loose = F.concat(F.coalesce("_base", "_core"), T.edition_suffix(F.col("title_jp")))
     return out.select(*rows.columns, F.coalesce("_exact", loose, F.lit("")).alias("matched_kr"))
+
+
+def near_pairs(rows: DataFrame, text: str, most: int = 2) -> DataFrame:
+    """(a, b, distance): pairs of different texts, a < b, that at most ``most`` edits tell apart.
+
+    A text is cut into ``most`` + 1 even parts; of two such texts one holds a part of the other unchanged, shifted by no
+    more than the edits allow. So the pairs meet by equi-joins on a text's length, the part's number and its signs, and
+    only those that meet have their distance taken. Texts of ``most`` signs or fewer have empty parts and meet by length.
+    """
+    texts = rows.select(F.col(text).cast("string").alias("t")).where("t is not null").distinct().withColumn("n", F.char_length("t"))
+    number = F.sequence(F.lit(0), F.lit(most))
+    start = lambda n, i: F.floor(n * i / (most + 1)).cast("int")
+    width = lambda n, i: start(n, i + 1) - start(n, i)
+    own = texts.select("t", "n", F.explode(number).alias("i"))
+    own = own.select(F.col("t").alias("a"), F.col("n").alias("len"), "i", F.substring("t", start(F.col("n"), F.col("i")) + 1, width(F.col("n"), F.col("i"))).alias("part"))
+    # of a text the pieces that may be a part of one of another length
+    lengths = F.sequence(F.greatest(F.lit(0), F.col("n") - most), F.col("n") + most)
+    tried = texts.select("t", "n", F.explode(lengths).alias("len")).select("*", F.explode(number).alias("i"))
+    shifts = F.sequence(F.lit(-most), F.lit(most))
+    tried = tried.select("*", F.explode(shifts).alias("s")).withColumn("from", start(F.col("len"), F.col("i")) + F.col("s"))
+    tried = tried.where("from >= 0").where(F.col("from") + width(F.col("len"), F.col("i")) <= F.col("n"))
+    tried = tried.select(F.col("t").alias("b"), "len", "i", F.substring("t", F.col("from") + 1, width(F.col("len"), F.col("i"))).alias("part")).distinct()
+    met = own.join(tried, ["len", "i", "part"]).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return met.withColumn("distance", F.levenshtein("a", "b", most).cast("long")).where("distance >= 0")

@@ -31,8 +31,14 @@ MANIFEST_UPLOADS = 500
 
 def _looked_up(rows: DataFrame, side: DataFrame, key: Column, name: str, value: str, out: str) -> DataFrame:
     """``rows`` with ``out``: ``value`` of the row of ``side`` whose ``name`` is ``key``; of several the least."""
-    one = side.groupBy(F.col(name).alias("_name")).agg(F.min(value).alias("_value"))
-    return rows.withColumn("_key", key).join(one, F.col("_key") == F.col("_name"), "left").withColumn(out, F.col("_value")).drop("_key", "_name", "_value")
+    return _looked_up_all(rows, side, key, name, {out: value})
+
+
+def _looked_up_all(rows: DataFrame, side: DataFrame, key: Column, name: str, values: dict[str, str]) -> DataFrame:
+    """As ``_looked_up``, several values of one side by one join, each the least by itself."""
+    one = side.groupBy(F.col(name).alias("_name")).agg(*(F.min(v).alias(f"_value_{o}") for o, v in values.items()))
+    out = rows.withColumn("_key", key).join(one, F.col("_key") == F.col("_name"), "left")
+    return out.withColumns({o: F.col(f"_value_{o}") for o in values}).drop("_key", "_name", *(f"_value_{o}" for o in values))
 
 
 def settlement_records(lines: DataFrame, client_aliases: DataFrame, title_aliases: DataFrame, rules: DataFrame, defaults: DataFrame, balances: DataFrame, order: list[str], fx: float = 9.2) -> DataFrame:
@@ -108,13 +114,11 @@ def named(rows: DataFrame, clients: DataFrame, channels: DataFrame, titles: Data
     out = _looked_up(rows, clients, F.col("client_id"), "client_id", "name", "_client")
     out = _looked_up(out, channels, F.col("channel_id"), "channel_id", "code", "_channel")
     out = _looked_up(out, titles, F.col("title_id"), "title_id", "name", "_title")
-    out = _looked_up(out, raw, F.col("raw_id"), "raw_id", "channel_code", "_raw_channel")
-    out = _looked_up(out, raw, F.col("raw_id"), "raw_id", "client_code", "_raw_client")
+    out = _looked_up_all(out, raw, F.col("raw_id"), "raw_id", {"_raw_channel": "channel_code", "_raw_client": "client_code"})
     out = _looked_up(out, uploads, F.col("upload_id"), "upload_id", "platform_code", "_platform")
     code = F.lower(F.coalesce(blank("_channel"), blank("_raw_channel"), blank("_platform")))
     keyed = template.select(F.lower(F.trim("channel")).alias("code"), "channel", "client")
-    out = _looked_up(out, keyed, code, "code", "channel", "_t_channel")
-    out = _looked_up(out, keyed, code, "code", "client", "_t_client")
+    out = _looked_up_all(out, keyed, code, "code", {"_t_channel": "channel", "_t_client": "client"})
     return out.select(
         *(c for c in rows.columns if c != "title_kr"),
         F.coalesce(blank("_client"), blank("_t_client"), blank("_raw_client"), blank("_platform")).alias("client_name"),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as T
 from ledgerloom.functions import titles as N
 from ledgerloom.operators import analytics as A
+from ledgerloom.operators import masters as M
 from ledgerloom.operators import seeding
 from ledgerloom.operators import settlement as S
 from ledgerloom.plans import views as V
@@ -223,3 +224,8 @@ query(
     "sales",
     "titles",
 )(lambda s, d: A.in_list_order(A.listed_titles(V.daily_sales(s, d), V.titles(s, d), T.ORIGINAL), "title_kr"))
+
+query(
+    "c17_near_titles",
+    "WITH t AS (SELECT DISTINCT substr(p_name, 1, 12) || p_size AS t FROM part) SELECT a.t AS a, b.t AS b, levenshtein(a.t, b.t) AS distance FROM t a JOIN t b ON a.t < b.t WHERE levenshtein(a.t, b.t) <= 2",
+)(lambda s, d: M.near_pairs(V.table(s, d, "part").select(F.expr("substr(p_name, 1, 12) || p_size").alias("t")), "t", 2))
