@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
+from ledgerloom.sources.versioned import shared_folder
 
 UNCLASSIFIED = "미분류"
 
@@ -321,9 +322,24 @@ def insights(sales: DataFrame, titles: DataFrame, as_of: str, limit: int = 8, go
     Each rule gives one row or none; values are per cent but for the number of further surging titles.
     """
     this, last = _months(as_of)
-    sales = sales.where(F.col("sale_date") < F.add_months(this, 1))
     now, before = _this_and_last(as_of)
-    recent = sales.where(F.col("sale_date") >= last)
+    is_recent = F.col("sale_date") >= last
+    year = F.sum(F.when((F.col("sale_date") >= F.add_months(last, -12)) & (F.col("sale_date") < F.add_months(this, -11)), F.col("sales_amount")))
+    own = sales.where((F.col("sale_date") < F.add_months(this, 1)) & (F.col("sale_date") >= F.add_months(last, -12))).select("channel", "title_jp", "sale_date", "sales_amount")
+    sets = own.groupingSets([["channel"], ["title_jp"], ["sale_date"]], "channel", "title_jp", "sale_date")
+    by = F.when(F.grouping("channel") == 0, "channel").when(F.grouping("title_jp") == 0, "title_jp").otherwise("sale_date")
+    sums = sets.agg(
+        by.alias("by"),
+        now.alias("this_month"),
+        before.alias("last_month"),
+        F.sum(F.when(is_recent, F.col("sales_amount"))).alias("total_sales"),
+        F.count_if(is_recent).alias("recent_rows"),
+        year.alias("year_before"),
+    )
+    path = shared_folder(sales.sparkSession, "insights")  # a row a channel, title and day: the fact is read once for all rules
+    sums.write.parquet(path)
+    sums = sales.sparkSession.read.schema(sums.schema).parquet(path)
+    group = lambda key: sums.where((F.col("by") == key) & (F.col("recent_rows") > 0)).select(key, "total_sales", "this_month", "last_month")
     rows: list[DataFrame] = []
 
     def put(d: DataFrame, place: int, value: Column, cases: list[tuple[Column, int, str]], subject: Column | None = None) -> None:
@@ -334,27 +350,28 @@ def insights(sales: DataFrame, titles: DataFrame, as_of: str, limit: int = 8, go
 
     def leader(d: DataFrame, key: str) -> DataFrame:
         """The first group by sales, its share of all, the share of the first three and the number of groups."""
-        each = d.where(F.col(key).isNotNull()).groupBy(key).agg(total())
+        each = d.where(F.col(key).isNotNull()).groupBy(key).agg(F.sum("total_sales").alias("total_sales"))
         top = each.orderBy(F.desc("total_sales"), key).limit(3).agg(F.min_by(key, F.struct(-F.col("total_sales"), F.col(key))).alias("name"), F.max("total_sales").alias("first"), F.sum("total_sales").alias("three"))
         return top.crossJoin(F.broadcast(each.agg(F.sum("total_sales").alias("whole"), F.count("*").alias("n"))))  # one row each
 
-    mom = sales.where(F.col("sale_date") >= last).agg(now.alias("n"), before.alias("l")).select(money.percent_change(F.col("n"), F.col("l")).alias("v"))
+    every = sums.where("by = 'channel'")
+    mom = every.agg(F.coalesce(F.sum("this_month"), F.lit(0)).alias("n"), F.coalesce(F.sum("last_month"), F.lit(0)).alias("l")).select(money.percent_change(F.col("n"), F.col("l")).alias("v"))
     v = F.col("v")
     put(mom, 1, v, [(v <= -20, 1, "sharp_fall"), (v <= -5, 3, "fall"), (v >= 20, 2, "sharp_rise"), (v >= 5, 4, "rise")])
     share, several = F.col("first") * 100.0 / F.col("whole"), (F.col("n") >= 2) & (F.col("whole") > 0)
-    put(leader(recent, "channel"), 2, share, [(several & (share >= 60), 2, "platform_risk"), (several & (share >= 45), 5, "top_platform")], F.col("name"))
-    grown = recent.groupBy("title_jp").agg(now.alias("this_month"), before.alias("last_month")).where("last_month > 0").withColumn("g", money.percent_change(F.col("this_month"), F.col("last_month")))
+    put(leader(group("channel"), "channel"), 2, share, [(several & (share >= 60), 2, "platform_risk"), (several & (share >= 45), 5, "top_platform")], F.col("name"))
+    grown = group("title_jp").where("last_month > 0").withColumn("g", money.percent_change(F.col("this_month"), F.col("last_month")))
     extreme = lambda up: F.min_by(F.struct("title_jp", "g"), F.struct(-F.col("g") if up else F.col("g"), F.col("title_jp")))
     moved = grown.agg(extreme(True).alias("up"), extreme(False).alias("down"), F.count_if(F.col("g") >= 50).alias("n"))
     put(moved, 3, F.col("up.g"), [(F.col("up.g") >= 50, 2, "surging")], F.col("up.title_jp"))
     put(moved, 4, F.col("n") - 1, [(F.col("n") >= 3, 6, "more_surging")])
     put(moved, 5, F.col("down.g"), [(F.col("down.g") <= -30, 1, "declining")], F.col("down.title_jp"))
     three = F.col("three") * 100.0 / F.col("whole")
-    put(leader(recent, "title_jp"), 6, three, [((F.col("n") >= 5) & (F.col("whole") > 0) & (three >= 50), 3, "top_titles")])
-    joined = recent.join(titles.select("title_jp", "company", "genre"), "title_jp")
+    put(leader(group("title_jp"), "title_jp"), 6, three, [((F.col("n") >= 5) & (F.col("whole") > 0) & (three >= 50), 3, "top_titles")])
+    joined = group("title_jp").join(titles.select("title_jp", "company", "genre"), "title_jp")
     put(leader(joined, "company"), 7, share, [(several & (share >= 50), 4, "top_company")], F.col("name"))
     put(leader(joined, "genre"), 8, share, [(F.col("n") >= 2, 5, "top_genre")], F.col("name"))
-    days = recent.groupBy("sale_date").agg(total()).orderBy(F.desc("sale_date")).limit(14).withColumn("_n", F.row_number().over(Window.orderBy(F.desc("sale_date"))))  # 14 rows
+    days = group("sale_date").orderBy(F.desc("sale_date")).limit(14).withColumn("_n", F.row_number().over(Window.orderBy(F.desc("sale_date"))))  # 14 rows
     pace = days.agg(F.sum(F.when(F.col("_n") <= 7, F.col("total_sales"))).alias("n"), F.sum(F.when(F.col("_n") > 7, F.col("total_sales"))).alias("l"), F.count("*").alias("days"))
     speed = (F.col("n") - F.col("l")) * 100.0 / F.nullif(F.col("l"), F.lit(0))
     enough = (F.col("days") >= 14) & (F.col("l") > 0)
@@ -362,8 +379,7 @@ def insights(sales: DataFrame, titles: DataFrame, as_of: str, limit: int = 8, go
     if goal_rate is not None and goal_rate > 0:
         goal = sales.sparkSession.createDataFrame([(float(goal_rate),)], "v double")
         put(goal, 10, v, [(v >= 100, 3, "goal_met"), (v < 50, 3, "goal_far")])
-    year = F.sum(F.when((F.col("sale_date") >= F.add_months(last, -12)) & (F.col("sale_date") < F.add_months(this, -11)), F.col("sales_amount")))
-    both = sales.where(F.col("sale_date") >= F.add_months(last, -12)).agg(F.sum(F.when(F.col("sale_date") >= last, F.col("sales_amount"))).alias("n"), year.alias("l"))
+    both = every.agg(F.sum("total_sales").alias("n"), F.sum("year_before").alias("l"))
     yoy = (F.col("n") - F.col("l")) * 100.0 / F.nullif(F.col("l"), F.lit(0))
     put(both, 11, yoy, [(yoy <= -15, 2, "year_fall"), (yoy >= 15, 4, "year_rise")])
     return reduce(DataFrame.union, rows).orderBy("priority", "place").limit(limit)
