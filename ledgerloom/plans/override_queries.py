@@ -50,7 +50,7 @@ _ACCOUNT = "CASE line % 5 WHEN 0 THEN '原稿料' WHEN 1 THEN '出版印税' WHE
 
 def _kadokawa(s: SparkSession, d: str) -> DataFrame:
     table = V.ledger(s, d).selectExpr("batch AS file", "title_jp AS `書名`", "CAST(gross AS STRING) AS `合計金額（明細）`", "CASE WHEN batch > '1994' THEN replace(concat(batch, '-29'), '-02-29', '-02-28') END AS `支払日`", "concat(batch, '-02') AS `計上日付`", f"{_ACCOUNT} AS `勘定科目`")
-    own = readers.lines(readers.text_table(table, readers.READERS["kadokawa_accounts"], F.col("file")), "kadokawa_accounts")
+    own = readers.lines(readers.text_table(table, overrides.KADOKAWA_READER, F.col("file")), "kadokawa", overrides.KADOKAWA_READER)
     return overrides.kadokawa_records(own, s.createDataFrame(_RULES, overrides.RULES)).drop("is_summary")
 
 

@@ -6,16 +6,21 @@ equi-joins, an exact title by itself and a prefix by the title's first signs, fo
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money
 from ledgerloom.functions import text as T
 from ledgerloom.functions.titles import half_digits
+from ledgerloom.sources.readers import READERS
 
 #: Kadokawa's kinds by account, and its rules: a series of which all volumes are one record, and the rounding row that goes into it.
 KADOKAWA_KINDS = {"原稿料": "MF", "出版印税": "PP", "版権料": "PP", "二次的利用印税": "EB"}
 KADOKAWA_RULES = (("盗掘王", "prefix", 1, "盗掘王"), ("消費税端数差額調整", "exact", 0, "盗掘王"))
+#: As the platform's own reader, with the account that the kinds hang on.
+KADOKAWA_READER = replace(READERS["kadokawa"], columns={**READERS["kadokawa"].columns, "account": "勘定科目"}, optional=("booked_on", "account"))
 RULES = "pattern string, match string, priority int, series string"
 
 

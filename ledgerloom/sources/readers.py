@@ -8,7 +8,7 @@ kind, channel, sales, pay, rate, month, raw_title, file), which ``statements.set
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -277,8 +277,6 @@ READERS: dict[str, Reader] = {
         optional=("price", "rate", "units"),
     ),
 }
-#: As kadokawa, with the account that the rules of ``overrides`` ask for.
-READERS["kadokawa_accounts"] = replace(READERS["kadokawa"], columns={**READERS["kadokawa"].columns, "account": "勘定科目"}, optional=("booked_on", "account"))
 
 
 def sheet_table(cells: DataFrame, reader: Reader) -> DataFrame:
@@ -314,12 +312,13 @@ def text_table(table: DataFrame, reader: Reader, file: Column | None = None) ->
     return table.select((F.input_file_name() if file is None else file).alias("file"), F.lit("").alias("sheet"), F.lit(None).cast("int").alias("row_index"), *(field(c).alias(f) for f, c in reader.columns.items()))
 
 
-def lines(table: DataFrame, platform: str) -> DataFrame:
+def lines(table: DataFrame, platform: str, reader: Reader | None = None) -> DataFrame:
     """(file, sheet, raw_title, title, kind, channel, sales, pay, rate, month, note2, further fields of the file) of a reader's table.
 
-    Rows without a title and rows of sums are left out. The month is null where neither row nor name says it.
+    Rows without a title and rows of sums are left out. The month is null where neither row nor name says it. ``reader``:
+    another than the platform's own.
     """
-    reader = READERS[platform]
+    reader = reader or READERS[platform]
     rows = table.withColumnRenamed("title", "raw_title").where(F.trim("raw_title") != "")
     if reader.sums:
         rows = rows.where(~F.trim("raw_title").rlike(reader.sums))

@@ -27,7 +27,7 @@ def test_rules_by_priority_exactness_and_length(spark):
 def test_kadokawa_rolls_series_up(spark):
     rows = [("f", "盗掘王 1", "1,100", "2026/5/29", "", "原稿料"), ("f", " 盗掘王【分冊版】", "220", "2026/5/29", "", ""), ("f", "消費税端数差額調整", "-1", "2026/5/29", "", ""), ("f", "別", "110", "2026/5/29", "", "版権料"), ("f", "別", "110", "2026/5/29", "", "版権料"), ("g", "別", "50", "", "2026/05/14", "x"), ("g", "別", "0", "", "2026/05/14", "x")]
     table = spark.createDataFrame(rows, "file string, `書名` string, `合計金額（明細）` string, `支払日` string, `計上日付` string, `勘定科目` string")
-    own = readers.lines(readers.text_table(table, readers.READERS["kadokawa_accounts"], F.col("file")), "kadokawa_accounts")
+    own = readers.lines(readers.text_table(table, O.KADOKAWA_READER, F.col("file")), "kadokawa", O.KADOKAWA_READER)
     got = sorted((r.file, r.title, r.kind, r.total, r.after_tax_income, r.row_count, str(r.sales_month), str(r.settlement_date)) for r in O.kadokawa_records(own, O.kadokawa_rules(spark)).collect())
     april = ("2026-04-30", "2026-05-29")
     assert got == [("f", "別", "PP", 110, 100, 1, *april), ("f", "別", "PP", 110, 100, 1, *april), ("f", "盗掘王", "EB", 1319, 1199, 3, *april), ("g", "別", "EB", 50, 45, 1, "2026-05-01", "None")]
