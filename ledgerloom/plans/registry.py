@@ -274,4 +274,4 @@ query("e14d_title_aliases", "+s AS (SELECT DISTINCT company AS channel, base_tit
 on_ledger("e14f_siblings", "SELECT client_id, channel, CAST(sum(gross) AS BIGINT) AS gross, CAST(sum(fee) AS BIGINT) AS fee, count(*) AS source_count, string_agg(DISTINCT CAST(upload_id AS VARCHAR), ',' ORDER BY CAST(upload_id AS VARCHAR)) AS sources FROM ledger GROUP BY 1, 2", lambda r: L.consolidate_siblings(r, ["client_id", "channel"], ["gross", "fee"], "upload_id").select("client_id", "channel", "gross", "fee", "source_count", "sources"))
 
 # the queries of the settlement register themselves by ``query``
-from ledgerloom.plans import notice_queries, override_queries, platform_queries, settlement_queries, store_queries  # noqa: E402, F401
+from ledgerloom.plans import daily_queries, notice_queries, override_queries, platform_queries, settlement_queries, store_queries  # noqa: E402, F401

@@ -6,6 +6,8 @@ nothing of a file passes the driver but its header line.
 
 from __future__ import annotations
 
+import calendar
+import re
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -100,12 +102,26 @@ def daily_rows(table: DataFrame, kind: Daily) -> DataFrame:
 def unpivoted(table: DataFrame, title: str, channel: str, year: int, pattern: str = r"^(\d{1,2})-(\d{1,2}) ", price: str | None = None, gross: bool = True, tails: tuple[str, ...] = ()) -> DataFrame:
     """Wide files with a column a day (``MM-DD ...``): one row a title and day; counts times ``price`` where given.
 
-    ``tails`` are taken off the ends of titles (RENTA_TAILS three times over for Renta's files)."""
-    import re
+    Columns of months (``MM月``) count only in files without any of days, and then for the month's first day.
 
+    ``tails`` are taken off the ends of titles (RENTA_TAILS three times over for Renta's files)."""
     days = {c: re.match(pattern, c) for c in table.columns if re.match(pattern, c)}
+    if not days:  # a file by month
+        days = {c: m for c in table.columns if (m := re.match(r"^(\d{1,2})月()$", c))}
+    return _long(table, title, channel, {c: f"{year}-{int(m[1]):02d}-{int(m[2] or 1):02d}" for c, m in days.items()}, price, gross, tails)
+
+
+def month_of_days(table: DataFrame, title: str, channel: str, year: int, month: int, gross: bool = False) -> DataFrame:
+    """Wide files of one month with columns 1日 to 31日; days that the month does not have are left out."""
+    last = calendar.monthrange(year, month)[1]
+    days = {c: int(m[1]) for c in table.columns if (m := re.match(r"^(\d{1,2})日$", c))}
+    return _long(table, title, channel, {c: f"{year}-{month:02d}-{d:02d}" for c, d in days.items() if 1 <= d <= last}, None, gross, ())
+
+
+def _long(table: DataFrame, title: str, channel: str, days: dict[str, str], price: str | None, gross: bool, tails: tuple[str, ...]) -> DataFrame:
+    """One row a title and day of a table whose columns ``days`` are days."""
     keep = [title, *([price] if price else [])]
-    long = table.select(*keep, *(F.col(c).cast("string").alias(f"{year}-{int(m[1]):02d}-{int(m[2]):02d}") for c, m in days.items()))
+    long = table.select(*keep, *(F.col(f"`{c}`").cast("string").alias(day) for c, day in days.items()))
     long = long.unpivot(keep, [c for c in long.columns if c not in keep], "day", "value")
     raw = T.amount(F.col("value")) * (T.amount(F.col(price)) if price else F.lit(1.0))
     net = money.net_of(F.sum(raw)) if gross else money.half_up(F.sum(raw))
