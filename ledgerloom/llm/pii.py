@@ -34,9 +34,9 @@ MORE = {
 #: Words that speak for or against a kind when they stand beside a span.
 FOR = {
     "email": r"(?i)mail|contact|write|reach|address|kontakt|correo|courriel",
-    "ip": r"(?i)\bip\b|host|server|address|ping|login|client|adresse",
+    "ip": r"(?i)\bip\b|\b(?:host|server|address|ping|login|client|adresse)",
     "card": r"(?i)card|visa|mastercard|amex|credit|debit|karte|carte|tarjeta|payment",
-    "phone": r"(?i)phone|\btel\b|call|mobile|fax|cell|telefon|tél|teléfono|whatsapp|ring",
+    "phone": r"(?i)\b(?:telephone|phone|tel\b|call|mobile|fax|cell|telefon|tél|teléfono|whatsapp|ring\b)",
 }
 AGAINST = r"(?i)order|invoice|version|isbn|issn|serial|item|sku|ticket|page|chapter|release|part no|account|ref|id\b|#|\$|€"
 CONTEXT = 32
@@ -164,7 +164,8 @@ def find_pii(docs: DataFrame, trained: dict | None = None) -> DataFrame:
     """``docs`` with ``pii_base`` and ``pii_spans``: struct of KINDS, each array<struct<start, end, s>> in order of start.
 
     ``docs``: any columns with ``text``, but none that begins with ``pii_``. Null and empty texts have no spans.
-    pii_spans holds all base spans and those candidates that the model selects and no base span of any kind overlaps.
+    pii_spans holds all base spans and those candidates that the model selects and no base span of any kind overlaps, nor
+    one selected as an earlier kind.
     Repeated rows are found alike, rows are never joined, and an empty table gives an empty result.
     """
     trained = trained or model()
@@ -187,7 +188,9 @@ def find_pii(docs: DataFrame, trained: dict | None = None) -> DataFrame:
         kept = F.transform(F.filter(f"pii_x{k}", chosen), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["s"].alias("s")))
         return F.coalesce(kept, F.slice(f"pii_{k}", 1, 0))
 
-    rows = rows.withColumns({f"pii_x{k}": chosen_of(i, k) for i, k in enumerate(KINDS)})
+    for i, k in enumerate(KINDS):  # what is selected as an earlier kind is no candidate of a later one
+        rows = rows.withColumn(f"pii_x{k}", chosen_of(i, k))
+        rows = rows.withColumns({f"pii_x{later}": F.when(F.size(f"pii_x{later}") > 0, clear_of(f"pii_x{k}", f"pii_x{later}")) for later in KINDS[i + 1 :]})
     base = F.struct(*(F.col(f"pii_{k}").alias(k) for k in KINDS)).alias("pii_base")
     every = F.struct(*(F.sort_array(F.concat(f"pii_{k}", f"pii_x{k}")).alias(k) for k in KINDS)).alias("pii_spans")
     return rows.select(*docs.columns, base, every)
