@@ -114,7 +114,11 @@ on_ledger("b14_month_platforms", "SELECT batch, string_agg(DISTINCT coalesce(cha
 _STATS = ("genre", "company", "content_format", "base_title")
 query("b15_content_master_stats", " UNION ALL ".join(f"SELECT '{c}' AS dim, coalesce({c}, '(미지정)') AS value, count(*) AS n FROM titles GROUP BY 2" for c in _STATS), "titles")(lambda s, d: V.titles(s, d).select(F.explode(F.array(*(F.struct(F.lit(c).alias("dim"), F.coalesce(c, F.lit("(미지정)")).alias("value")) for c in _STATS))).alias("x")).groupBy("x.dim", "x.value").agg(F.count("*").alias("n")))
 query("b16_content_master_search", "SELECT title_jp, base_title, genre FROM titles WHERE content_format = 'NOVEL' AND contains(lower(base_title), 'ring') ORDER BY title_jp LIMIT 5000", "titles")(lambda s, d: V.titles(s, d).where((F.col("content_format") == "NOVEL") & F.lower("base_title").contains("ring")).orderBy("title_jp").limit(5000).select("title_jp", "base_title", "genre"))
-query("b17_company_title_counts", "SELECT c.company, count(t.title_jp) AS titles FROM (SELECT DISTINCT company FROM titles) c LEFT JOIN (SELECT * FROM titles WHERE episodes > 45) t ON c.company = t.company GROUP BY 1", "titles")(lambda s, d: V.titles(s, d).groupBy("company").agg(F.count(F.when(F.col("episodes") > 45, F.col("title_jp"))).alias("titles")))
+query(
+    "b17_company_title_counts",
+    "SELECT company, count(*) AS titles, count(*) FILTER (episodes > 45) AS long_titles FROM titles GROUP BY 1",
+    "titles",
+)(lambda s, d: V.titles(s, d).groupBy("company").agg(F.count("title_jp").alias("titles"), F.count_if(F.col("episodes") > 45).alias("long_titles")))
 query("b18_title_search", "SELECT title_jp, title_kr, base_title FROM titles WHERE (title_kr ILIKE '%blue%' OR base_title ILIKE '%bolt%') AND genre = 'SMALL' ORDER BY title_jp LIMIT 100", "titles")(lambda s, d: V.titles(s, d).where((F.col("title_kr").ilike("%blue%") | F.col("base_title").ilike("%bolt%")) & (F.col("genre") == "SMALL")).orderBy("title_jp").limit(100).select("title_jp", "title_kr", "base_title"))
 on_sales("b21_range_with_mom", f"SELECT *, {pct('total_sales', 'previous')} AS mom_pct FROM (SELECT CAST(coalesce(sum(CASE WHEN {IN_YEAR} THEN sales_amount END), 0) AS BIGINT) AS total_sales, CAST(coalesce(sum(CASE WHEN sale_date >= DATE '1996-12-01' AND sale_date < DATE '1997-01-01' THEN sales_amount END), 0) AS BIGINT) AS previous, count(DISTINCT CASE WHEN {IN_YEAR} THEN title_jp END) AS titles FROM sales)", lambda s: A.range_with_mom(s, *YEAR))
 on_sales("b22_platform_rank_change", f"""+now AS (SELECT channel, {TOTAL}, row_number() OVER (ORDER BY sum(sales_amount) DESC, channel) AS rk FROM sales WHERE {IN_YEAR} GROUP BY 1),
@@ -183,7 +187,7 @@ _KEYS = ["client_id", "channel", "title_jp"]
 _ORDER = ["upload_id", "line", "gross"]
 on_ledger("e02_settle", f"+x AS (SELECT upload_id, line, title_jp, gross, CAST(floor(gross / (1 + CAST(0.1 AS DOUBLE)) + {HALF}) AS BIGINT) AS after_tax, CAST(floor(gross * rate + {HALF}) AS BIGINT) AS income FROM ledger) SELECT *, CAST(floor(income * CAST(0.1 AS DOUBLE)) AS BIGINT) AS consumption_tax, CAST(floor(income * CAST(9.2 AS DOUBLE) + {HALF}) AS BIGINT) AS income_krw FROM x", lambda r: L.settle(r).select("upload_id", "line", "title_jp", "gross", "after_tax", "income", "consumption_tax", "income_krw"))
 on_ledger("e02_draw_down", "+x AS (SELECT upload_id, line, title_jp, gross AS income, 100000 AS balance FROM ledger), y AS (SELECT *, greatest(balance - coalesce(sum(income) OVER (PARTITION BY title_jp ORDER BY upload_id, line, income ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS b FROM x) SELECT upload_id, line, title_jp, income, CAST(b AS BIGINT) AS \"begin\", CAST(least(b, income) AS BIGINT) AS decrease FROM y", lambda r: L.draw_down(r.select("upload_id", "line", "title_jp", F.col("gross").alias("income")), r.select("title_jp").distinct().withColumn("balance", F.lit(100_000).cast("long")), ["upload_id", "line", "income"]).select("upload_id", "line", "title_jp", "income", "begin", "decrease"))
-on_ledger("e05_suppress_existing", "+i AS (SELECT *, row_number() OVER (PARTITION BY client_id, channel ORDER BY upload_id, line, gross, title_jp) AS n FROM ledger WHERE batch >= '1998-01'), h AS (SELECT client_id, channel, count(*) AS k FROM ledger WHERE batch = '1997-12' GROUP BY 1, 2) SELECT upload_id, line, i.client_id, i.channel, title_jp, gross FROM i LEFT JOIN h ON i.client_id = h.client_id AND i.channel = h.channel WHERE n > coalesce(k, 0)", lambda r: L.suppress_existing(r.where("batch >= '1998-01'"), r.where("batch = '1997-12'"), ["client_id", "channel"], [*_ORDER, "title_jp"]).select("upload_id", "line", "client_id", "channel", "title_jp", "gross"))
+on_ledger("e05_suppress_existing", "+i AS (SELECT *, row_number() OVER (PARTITION BY client_id, channel ORDER BY upload_id, line, gross, title_jp) AS n FROM ledger), h AS (SELECT client_id, channel, count(*) AS k FROM ledger WHERE batch = '1997-12' GROUP BY 1, 2) SELECT upload_id, line, i.client_id, i.channel, title_jp, gross FROM i LEFT JOIN h ON i.client_id = h.client_id AND i.channel = h.channel WHERE n > coalesce(k, 0)", lambda r: L.suppress_existing(r, r.where("batch = '1997-12'"), ["client_id", "channel"], [*_ORDER, "title_jp"]).select("upload_id", "line", "client_id", "channel", "title_jp", "gross"))
 on_ledger("e08_largest_upload", "+c AS (SELECT client_id, channel, upload_id, count(*) AS n FROM ledger GROUP BY 1, 2, 3), b AS (SELECT client_id, channel, upload_id FROM (SELECT *, row_number() OVER (PARTITION BY client_id, channel ORDER BY n DESC, upload_id) AS r FROM c) WHERE r = 1) SELECT l.upload_id, line, l.client_id, l.channel, title_jp, gross FROM ledger l JOIN b ON l.client_id = b.client_id AND l.channel = b.channel AND l.upload_id = b.upload_id", lambda r: L.largest_upload(r, ["client_id", "channel"]).select("upload_id", "line", "client_id", "channel", "title_jp", "gross"))
 on_ledger("e09_exact_source_gate", "SELECT DISTINCT upload_id, batch FROM ledger l WHERE EXISTS (SELECT 1 FROM ledger k WHERE k.batch = l.batch AND k.title_jp = l.title_jp AND k.status = 'F' AND k.upload_id <> l.upload_id)", lambda r: r.alias("l").join(r.where("status = 'F'").select("batch", "title_jp", "upload_id").alias("k"), (F.col("k.batch") == F.col("l.batch")) & (F.col("k.title_jp") == F.col("l.title_jp")) & (F.col("k.upload_id") != F.col("l.upload_id")), "left_semi").select("upload_id", "batch").distinct())
 on_ledger("e12_latest_roster", "+r AS (SELECT *, rank() OVER (PARTITION BY client_id, channel ORDER BY batch DESC) AS k FROM ledger WHERE batch < '1998-07') SELECT upload_id, line, client_id, channel, title_jp, batch FROM r WHERE k = 1", lambda r: L.latest_roster(r, ["client_id", "channel"], "batch", "1998-07").select("upload_id", "line", "client_id", "channel", "title_jp", "batch"))
@@ -257,7 +261,7 @@ query("b19_title_master", "+c AS (SELECT company, count(*) AS company_titles FRO
 query("b20_audit_log_page", "SELECT event_id, user_id, event_type, (SELECT count(*) FROM events WHERE event_type = 'error') AS total_count FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 50 OFFSET 50")(lambda s, d: M.page_of(M.where_equal(V.table(s, d, "events"), event_type="error", user_id=None), [F.desc("ts"), F.col("event_id")], page=2).select("event_id", "user_id", "event_type", "total_count"))
 on_sales("b41_stacked_matrix", "SELECT genre, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN channel = '{c}' THEN sales_amount END), 0) AS BIGINT) AS \"{c}\"" for c in _CHS) + " FROM sales JOIN titles USING (title_jp) WHERE genre IS NOT NULL GROUP BY 1", lambda s, t: M.stacked_matrix(s, t, _CHS), "titles")
 _BOOK = "CASE WHEN episodes % 4 = 0 THEN '-' WHEN episodes % 6 = 1 THEN lower(genre) ELSE genre END"
-query("b47_reconciliation", f"+w AS (SELECT title_jp, {_BOOK} AS genre, company FROM titles WHERE episodes % 5 > 0), m AS (SELECT title_jp, genre, CASE WHEN episodes % 9 > 0 THEN company END AS company FROM titles WHERE episodes < 40), j AS (SELECT m.title_jp AS a, w.title_jp AS b, m.genre AS mg, w.genre AS wg, m.company AS mc, w.company AS wc FROM m FULL JOIN w ON m.title_jp = w.title_jp), x AS (SELECT 'genre' AS field, a, b, mg AS p, wg AS q FROM j UNION ALL SELECT 'company', a, b, mc, wc FROM j) SELECT field, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND q <> '-' AND q = coalesce(p, '')) AS equal, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND q <> '-' AND q <> coalesce(p, '')) AS different, count(*) FILTER (b IS NULL) AS only_in_master, count(*) FILTER (a IS NULL) AS only_in_workbook FROM x GROUP BY 1", "titles")(lambda s, d: (lambda t: M.reconcile(t.where("episodes < 40").select("title_jp", "genre", F.expr("case when episodes % 9 > 0 then company end").alias("company")), t.where("episodes % 5 > 0").select("title_jp", F.expr(_BOOK).alias("genre"), "company"), "title_jp", ["genre", "company"]))(V.titles(s, d)))
+query("b47_reconciliation", f"+w AS (SELECT title_jp || CASE WHEN episodes % 5 = 0 THEN '改' ELSE '' END AS title_jp, {_BOOK} AS genre, company FROM titles), m AS (SELECT title_jp, genre, CASE WHEN episodes % 9 > 0 THEN company END AS company FROM titles), j AS (SELECT m.title_jp AS a, w.title_jp AS b, m.genre AS mg, w.genre AS wg, m.company AS mc, w.company AS wc FROM m FULL JOIN w ON m.title_jp = w.title_jp), x AS (SELECT 'genre' AS field, a, b, mg AS p, wg AS q FROM j UNION ALL SELECT 'company', a, b, mc, wc FROM j) SELECT field, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND q <> '-' AND q = coalesce(p, '')) AS equal, count(*) FILTER (a IS NOT NULL AND b IS NOT NULL AND q <> '-' AND q <> coalesce(p, '')) AS different, count(*) FILTER (b IS NULL) AS only_in_master, count(*) FILTER (a IS NULL) AS only_in_workbook FROM x GROUP BY 1", "titles")(lambda s, d: (lambda t: M.reconcile(t.select("title_jp", "genre", F.expr("case when episodes % 9 > 0 then company end").alias("company")), t.select(F.expr("concat(title_jp, case when episodes % 5 = 0 then '改' else '' end)").alias("title_jp"), F.expr(_BOOK).alias("genre"), "company"), "title_jp", ["genre", "company"]))(V.titles(s, d)))
 _ASKED = "CASE episodes % 4 WHEN 0 THEN base_title WHEN 1 THEN base_title || ' 12' WHEN 2 THEN substr(base_title, 1, 6) ELSE 'zzz' END"
 query("b48_genre_backfill", f"+k AS (SELECT base_title AS t, genre AS g, CAST(substr(title_jp, 2) AS BIGINT) AS place FROM titles WHERE genre IS NOT NULL), f AS (SELECT t, arg_min(g, place) AS g, min(place) AS place FROM k GROUP BY 1), a AS (SELECT title_jp AS id, {_ASKED} AS title_jp, CASE WHEN episodes % 2 = 0 THEN genre END AS genre FROM titles), b AS (SELECT *, trim(regexp_replace(title_jp, '\\s*[0-9]+$', '')) AS base FROM a), p AS (SELECT base, arg_min(g, place) AS g FROM (SELECT DISTINCT base FROM b WHERE length(base) >= 4) JOIN f ON starts_with(t, substr(base, 1, 10)) GROUP BY 1) SELECT id, b.title_jp, coalesce(b.genre, e.g, h.g, p.g) AS genre, CASE WHEN b.genre IS NOT NULL THEN NULL WHEN e.g IS NOT NULL THEN 'title' WHEN h.g IS NOT NULL THEN 'base' WHEN p.g IS NOT NULL THEN 'prefix' END AS filled_by FROM b LEFT JOIN f e ON e.t = b.title_jp LEFT JOIN f h ON h.t = b.base LEFT JOIN p ON p.base = b.base", "titles")(lambda s, d: (lambda t: M.backfill_genre(t.select(F.col("title_jp").alias("id"), F.expr(_ASKED).alias("title_jp"), F.expr("case when episodes % 2 = 0 then genre end").alias("genre")), t.select(F.col("base_title").alias("title_jp"), "genre", F.expr("cast(substr(title_jp, 2) as bigint)").alias("place"))))(V.titles(s, d)))
 on_sales("k07_report_rows", "SELECT title_jp, channel, CAST(sum(coalesce(sales_amount, 0)) AS BIGINT) AS sales_amount, CAST(sum(coalesce(sales_amount_gross, 0)) AS BIGINT) AS sales_amount_gross FROM sales GROUP BY 1, 2", lambda s: report_rows(s, ["title_jp", "channel"], ["sales_amount", "sales_amount_gross"]))
