@@ -13,7 +13,7 @@ from ledgerloom.operators import seeding
 from ledgerloom.operators import settlement as S
 from ledgerloom.plans import views as V
 from ledgerloom.plans.registry import HALF, query
-from ledgerloom.sources import overrides, readers, reports, statements
+from ledgerloom.sources import invoices, overrides, readers, reports, statements
 from ledgerloom.sources.detection import detect_daily
 
 _NET = f"CAST(floor({{0}} / CAST(1.1 AS DOUBLE) + {HALF}) AS BIGINT)"
@@ -229,3 +229,26 @@ query(
     "c17_near_titles",
     "WITH t AS (SELECT DISTINCT substr(p_name, 1, 12) || p_size AS t FROM part) SELECT a.t AS a, b.t AS b, levenshtein(a.t, b.t) AS distance FROM t a JOIN t b ON a.t < b.t WHERE levenshtein(a.t, b.t) <= 2",
 )(lambda s, d: M.near_pairs(V.table(s, d, "part").select(F.expr("substr(p_name, 1, 12) || p_size").alias("t")), "t", 2))
+
+
+def _invoices(s: SparkSession, d: str) -> DataFrame:
+    """An invoice an upload; the subtotal of every fifth is off by a yen."""
+    ledger = V.ledger(s, d).withColumn("file", F.concat(F.lit("【請求書】X様_"), "upload_id"))
+    row = lambda rows, place, *cells: rows.select("file", F.lit("請求書").alias("sheet"), F.expr(place).cast("int").alias("row_index"), F.array(*(F.expr(f"CAST({c} AS STRING)") for c in cells)).alias("cells"))
+    sums = ledger.groupBy("file", "upload_id").agg(F.sum("gross").alias("g"), F.min("batch").alias("batch"))
+    lines = row(ledger, "10 + line", "line", "title_jp", "'5'", "'-'", "1", "gross")
+    head = row(sums, "9", "'№'", "'内容'", "'単価'", "'印税率'", "'数量'", "'金額'")
+    top = row(sums, "1", "concat('件名：', substr(batch, 1, 4) + 30, '年', substr(batch, 6, 2), '月分')").union(row(sums, "2", "'お支払期限'", "''", "'2028年6月30日'"))
+    foot = row(sums, "100", "'小計'", "''", "g + CASE WHEN upload_id % 5 = 0 THEN 1 ELSE 0 END").union(row(sums, "101", "''", "'振込手数料'"))
+    records, problems = invoices.invoice_records(lines.union(head).union(top).union(foot))
+    read = records.select("file", "title", "sales_month", "settlement_month", "before_tax_income", "after_tax_income", "consumption_tax", F.lit(None).cast("string").alias("problem"))
+    return read.unionByName(problems.select("file", *(F.lit(None).cast(t).alias(c) for c, t in read.dtypes[1:-1]), "problem"))
+
+
+query(
+    "p22_invoices_against_totals",
+    f"""+x AS (SELECT '【請求書】X様_' || upload_id AS file, title_jp AS title, gross, CAST(CAST(CAST(substr(min(batch) OVER (PARTITION BY upload_id), 1, 4) AS INTEGER) + 30 AS VARCHAR) || '-' || substr(min(batch) OVER (PARTITION BY upload_id), 6, 2) || '-01' AS DATE) AS sales_month FROM ledger)
+ SELECT file, title, sales_month, DATE '2028-06-01' AS settlement_month, {_PLUS.format('gross')} AS before_tax_income, gross AS after_tax_income, {_PLUS.format('gross')} - gross AS consumption_tax, CAST(NULL AS VARCHAR) AS problem FROM x
+ UNION ALL SELECT DISTINCT '【請求書】X様_' || upload_id, NULL, CAST(NULL AS DATE), CAST(NULL AS DATE), NULL, NULL, NULL, 'lines differ from the subtotal' FROM ledger WHERE upload_id % 5 = 0""",
+    "ledger",
+)(_invoices)
