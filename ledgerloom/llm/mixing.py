@@ -39,7 +39,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 
 def draw(seed: int = 17, doc_id: str | Column = "doc_id") -> Column:
-    """A number in [0, 1) that the seed and the doc_id decide."""
+    """A number in [0, 1) that the seed and the doc_id decide; rows of one doc_id, and all without one, share it, so that
+    a source of few ids may miss its target."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("long") / F.lit(2.0**52)

@@ -88,7 +88,8 @@ def binomial_tail(k: Column, n: Column, p: float, terms: int = 4000) -> Column:
 def thresholds(scored: DataFrame, labels: DataFrame, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """(stratum, one column a feature): the strictest cutoff that the walk certifies, null where none is.
 
-    ``scored``: doc_id, stratum, failed and the q_ columns; ``labels``: doc_id, quality. All labelled rows count.
+    ``scored``: doc_id, stratum, failed and the q_ columns; ``labels``: doc_id, quality. All labelled rows count, repeated
+    ones each; a doc_id with labels of either quality counts as good.
     """
     good = scored.where("not failed").join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
     names = list(GRIDS)

@@ -63,19 +63,21 @@ def parse_record(member: bytes) -> tuple:
 def _write(folder: str):
     def run(batches):
         name, out, at = f"{folder}/{uuid.uuid4().hex}.warc.gz", None, 0
-        for b in batches:
-            ids, urls, bodies, digests, refers = (b.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to"))
-            offsets, lengths = [], []
-            for i in range(len(ids)):
-                out = out or open_to_write(name)
-                member = record_bytes(ids[i].as_py(), urls[i].as_py(), bodies[i].as_py(), digests[i].as_py(), refers[i].as_py())
-                out.write(member)
-                offsets.append(at), lengths.append(len(member))
-                at += len(member)
-            kinds = pa.array(["response" if x is None else "revisit" for x in refers.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([ids, urls, digests, pa.array([name] * len(ids), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), kinds, refers], names=INDEX.replace(",", "").split()[::2])
-        if out:
-            out.close()
+        try:
+            for b in batches:
+                ids, urls, bodies, digests, refers = (b.column(c) for c in ("page_id", "url", "payload", "digest", "refers_to"))
+                offsets, lengths = [], []
+                for i in range(len(ids)):
+                    out = out or open_to_write(name)
+                    member = record_bytes(ids[i].as_py(), urls[i].as_py(), bodies[i].as_py(), digests[i].as_py(), refers[i].as_py())
+                    out.write(member)
+                    offsets.append(at), lengths.append(len(member))
+                    at += len(member)
+                kinds = pa.array(["response" if x is None else "revisit" for x in refers.to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([ids, urls, digests, pa.array([name] * len(ids), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), kinds, refers], names=INDEX.replace(",", "").split()[::2])
+        finally:  # also where the task fails
+            if out:
+                out.close()
 
     return run
 
@@ -84,7 +86,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = 100
     """Write each row of ``pages`` (page_id, url, html; more columns are not read) and return the index (see INDEX).
 
     The payload is the html in UTF-8, null being empty. Of equal payloads of at least ``least`` bytes that with the
-    largest page_id is the response; shorter ones are all responses, and so are repeated rows of the largest page_id.
+    largest page_id is the response; shorter ones are all responses, and so are repeated rows of the largest page_id and
+    rows without a page_id, to which nothing could refer.
     """
     folder = folder or scratch_path(pages.sparkSession, "warc")
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
