@@ -33,8 +33,8 @@ def fit_rows(vectors: DataFrame, id_: str = "vec_id", vector: str = "embedding")
     fits = lambda c: F.when(F.abs(c) <= LARGEST, F.floor(c * SCALE).cast("long") + SHIFT)  # noqa: E731  NaN is above
     each = vectors.select(F.col(id_).alias("vec_id"), F.transform(F.col(vector).cast("array<double>"), fits).alias("x"))
     whole = each.where((F.size("x") > 0) & F.forall("x", lambda x: x.isNotNull()))
-    longest = whole.agg(F.max(F.size("x")).alias("d"))  # one row
-    return whole.join(F.broadcast(longest), F.size("x") == F.col("d"), "left_semi")
+    longest = whole.agg(F.max(F.size("x"))).first()[0]  # one number, so that later passes read the vectors once each
+    return whole.where(F.size("x") == F.lit(longest).cast("int"))
 
 
 def exact_sums(fit: DataFrame) -> tuple[int, list[int], int]:
