@@ -115,3 +115,12 @@ def drop_copies(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     order = F.struct((-F.length(text)).alias("chars"), F.col("doc.doc_id").isNull().alias("no_id"), F.col("doc.doc_id"))
     several = flagged.where("maybe_repeated").groupBy("key").agg(F.min_by("doc", order).alias("doc"))
     return flagged.where("not maybe_repeated").select("doc.*").union(several.select("doc.*")).select(*names)
+
+
+#: The query's rows in DuckDB's SQL, for unique ids.
+SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+k AS (SELECT doc_id, length(t) AS chars, sha256(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS text_sha256 FROM d)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size, first_value(doc_id) OVER w = doc_id AS kept, text_sha256
+FROM k WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
+"""

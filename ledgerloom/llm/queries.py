@@ -7,10 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import mixing, pii, token_files, warc, whitening
+from ledgerloom.llm import exact_dedup, mixing, pii, token_files, warc, whitening
 from ledgerloom.llm.conversation_repair import repair_verdicts
 from ledgerloom.llm.decontamination import leaks
-from ledgerloom.llm.exact_dedup import exact_groups
 from ledgerloom.llm.hilbert_sharding import shard_plan
 from ledgerloom.llm.html_text import extract_pages
 from ledgerloom.llm.jaccard_join import jaccard_components
@@ -75,7 +74,7 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"))
 
 
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,4 +96,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_exact_dedup": op12_exact_dedup,
     "op13_whitening": op13_whitening,
 }
-ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op4_mixing": mixing.SQL, "op12_exact_dedup": exact_dedup.SQL}

@@ -209,3 +209,11 @@ def test_whitening_without_variance(spark, rows):
     assert out.count() == sum(x[1] is not None for x in rows)
     assert components_of(out).count() == 0
     assert fit_rows(spark.createDataFrame(rows, VECTORS)).count() == out.count()
+
+
+def test_the_query_of_exact_dedup_matches_its_sql(spark):
+    from ledgerloom.llm import queries
+    from tests.oracle import connect, differences
+
+    sf = "/root/testdata/sf0.01"
+    assert differences(spark, connect(sf), sf, queries.QUERIES["op12_exact_dedup"], queries.ORACLE_SQL["op12_exact_dedup"]) is None
