@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
-from ledgerloom.sources.versioned import shared_folder
+from ledgerloom.sources.versioned import stored
 
 UNCLASSIFIED = "미분류"
 
@@ -336,9 +336,7 @@ def insights(sales: DataFrame, titles: DataFrame, as_of: str, limit: int = 8, go
         F.count_if(is_recent).alias("recent_rows"),
         year.alias("year_before"),
     )
-    path = shared_folder(sales.sparkSession, "insights")  # a row a channel, title and day: the fact is read once for all rules
-    sums.write.parquet(path)
-    sums = sales.sparkSession.read.schema(sums.schema).parquet(path)
+    sums = stored(sums, "insights")  # a row a channel, title and day: the fact is read once for all rules
     group = lambda key: sums.where((F.col("by") == key) & (F.col("recent_rows") > 0)).select(key, "total_sales", "this_month", "last_month")
     rows: list[DataFrame] = []
 

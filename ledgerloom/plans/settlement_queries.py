@@ -12,6 +12,7 @@ from ledgerloom.operators import settlement as S
 from ledgerloom.plans import views as V
 from ledgerloom.plans.registry import HALF, on_ledger, query
 from ledgerloom.sources import readers, statements, workbooks
+from ledgerloom.sources.versioned import stored
 
 
 def _r(x: str) -> str:
@@ -32,7 +33,7 @@ _SIDES = {
 
 
 def _of(s: SparkSession, d: str) -> dict[str, DataFrame]:
-    frames = {"ledger": V.ledger(s, d), "titles": V.titles(s, d)}
+    frames = {"ledger": stored(V.ledger(s, d), "ledger"), "titles": V.titles(s, d)}  # read once for the lines and what they are looked up in
     side = lambda q: s.sql(q.replace("FROM ledger", "FROM {ledger}").replace("FROM titles", "FROM {titles}"), **{k: v for k, v in frames.items() if f"FROM {k}" in q})
     return {"lines": side(f"SELECT {_LINE}, CAST(NULL AS DOUBLE) AS after_tax_jpy, CAST(NULL AS DOUBLE) AS consumption_tax_jpy, CAST(NULL AS DOUBLE) AS after_tax_income_jpy FROM ledger"), **{k: side(q) for k, q in _SIDES.items()}}
 
@@ -80,7 +81,7 @@ _NAMES = {
 
 
 def _named(s: SparkSession, d: str) -> DataFrame:
-    frames = {"ledger": V.ledger(s, d), "titles": V.titles(s, d)}
+    frames = {"ledger": stored(V.ledger(s, d), "ledger"), "titles": V.titles(s, d)}  # read once for the lines and what they are looked up in
     side = lambda q: s.sql(q.replace("FROM ledger", "FROM {ledger}").replace("FROM titles", "FROM {titles}"), **{k: v for k, v in frames.items() if f"FROM {k}" in q})
     rows = S.ledger_lines(side(f"SELECT {_NAMED} FROM ledger"))
     return S.named(rows, **{k: side(q) for k, q in _NAMES.items()}).select("upload_id", "line", "gross", "client_name", "channel_name", "title_kr")
@@ -180,8 +181,8 @@ _RECORD_CHANNELS = "SELECT DISTINCT 'ch' || channel AS channel_id, channel AS co
 
 
 def _records(s: SparkSession, d: str) -> DataFrame:
-    ledger, titles = V.ledger(s, d), V.titles(s, d)
-    side = lambda q: s.sql(q.replace("FROM ledger", "FROM {ledger}"), ledger=ledger)
+    ledger, titles = stored(V.ledger(s, d), "records-ledger"), V.titles(s, d)  # read once for the shapes and their sides
+    side = lambda q: stored(s.sql(q.replace("FROM ledger", "FROM {ledger}"), ledger=ledger), "records-side")
     sides = {"uploads": side(_RECORD_UPLOADS), "clients": side(_RECORD_CLIENTS).withColumn("aliases", F.array(F.concat(F.lit(" Alias"), F.expr("substr(code, 2)")))), "channels": side(_RECORD_CHANNELS), "titles": titles.where("episodes % 4 > 0").select(F.concat(F.lit("id"), "title_jp").alias("title_id"), "title_jp")}
     third = lambda n: ledger.where(f"upload_id % 3 = {n}").withColumn("row_index", F.col("line").cast("long"))
     month, code = F.when(F.col("line") % 2 == 0, F.concat("batch", F.lit("/20"))), F.concat(F.lit("ALIAS"), "client_id")

@@ -143,3 +143,10 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
         root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(rows: DataFrame, tag: str) -> DataFrame:
+    """``rows`` written to a new folder and read again, for what several steps read."""
+    path = shared_folder(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
