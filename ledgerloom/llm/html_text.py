@@ -20,14 +20,13 @@ import re
 import zlib
 from functools import partial
 from itertools import groupby
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import drop_table, materialize, range_parts
+from ledgerloom.llm.common import materialize, range_parts
 
 MAIN, PLAIN, ASIDE = 0, 1, 2
 
