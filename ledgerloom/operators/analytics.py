@@ -174,9 +174,11 @@ def deduped(sales: DataFrame) -> DataFrame:
 def title_sales(sales: DataFrame) -> DataFrame:
     """Figures by title over its days, and its channels, in one aggregation of the deduplicated rows.
 
-    Distinct days are counted in two steps, by title and day first; a title's channels are few.
+    Rows are dealt out by title and day at first, which serves the deduplication and the days that are told apart; then
+    a row a title and task is left. A title's channels are few.
     """
-    out = deduped(sales).groupBy("title_jp").agg(
+    dealt = sales.select("title_jp", "channel", "sale_date", "sales_amount", "sales_amount_gross", "is_preliminary").repartition("title_jp", "sale_date")
+    out = deduped(dealt).groupBy("title_jp").agg(
         F.array_sort(F.collect_set("channel")).alias("_channels"),
         total(),
         F.countDistinct("sale_date").alias("days"),
