@@ -1,4 +1,5 @@
-"""Forms planted into whole documents by rules that the trainer does not share: other names, labels, formats and look-alikes."""
+"""Forms planted into whole documents by a generator of their own: other names, hosts, labels and look-alikes than the
+trainer's. Several formats occur in both, and the operator was mended after looking at this set: it guards, and is not held out."""
 
 import random
 
