@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import dates
 from ledgerloom.functions import text as T
 from ledgerloom.functions import titles as N
+from ledgerloom.functions.joins import with_group
 from ledgerloom.operators.settlement import GUESSED_NOTE
 
 Get = Callable[[str], Column]
@@ -292,12 +293,12 @@ def sheet_table(cells: DataFrame, reader: Reader) -> DataFrame:
     if not names:
         used = F.array_position(F.transform("cells", lambda c: c != ""), True)
         first = rows.where((F.col("row_index") <= reader.skip) & (used > 0)).groupBy("file", "sheet").agg(F.min(used).cast("int").alias("_from"))
-        body = rows.where(F.col("row_index") > reader.skip).join(first, ["file", "sheet"])
+        body = with_group(rows.where(F.col("row_index") > reader.skip), first, ["file", "sheet"])
         return body.select("file", "sheet", "row_index", *(F.nullif(F.get("cells", F.col("_from") - 1 + F.lit(at)), F.lit("")).alias(f) for f, at in reader.columns.items()))
     needed = [c for f, c in names.items() if f not in reader.optional]
     is_header = F.array_size(F.array_intersect("cells", F.array(*map(F.lit, needed)))) == len(set(needed))
     head = rows.where(is_header).groupBy("file", "sheet").agg(F.min(F.struct("row_index", "cells")).alias("_head"))
-    body = rows.join(head, ["file", "sheet"]).where("row_index > _head.row_index")
+    body = with_group(rows, head, ["file", "sheet"]).where("row_index > _head.row_index")
     at = lambda name: F.array_position("_head.cells", name).cast("int")
     return body.select("file", "sheet", "row_index", *(F.when(at(c) > 0, F.nullif(F.get("cells", at(c) - 1), F.lit(""))).alias(f) for f, c in names.items()))
 

@@ -164,7 +164,8 @@ def settled(lines: DataFrame, platform: str) -> DataFrame:
     """
     kind = STATEMENTS[platform]
     month = F.trunc("month", "MM").alias("sales_month")
-    zero = lambda c: F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0))
+    texts = {f.name for f in lines.schema if f.dataType.typeName() == "string"}
+    zero = lambda c: F.coalesce(F.col(c).try_cast("double") if c in texts else F.col(c).cast("double"), F.lit(0.0))
     stated = {a: c for a, c in kind.stated if c in lines.columns}
     parts = {"_s": zero("sales"), "_p": zero("pay"), **{f"_{a}": zero(c) for a, c in stated.items()}}
     if kind.by_row:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money
 from ledgerloom.functions import text as T
+from ledgerloom.functions.joins import with_group
 
 ERRORS = r"^#(?:N/A|REF!|VALUE!|DIV/0!|NAME\?|NULL!|NUM!)$"
 
@@ -34,7 +35,7 @@ def any_day(text: Column) -> Column:
 def below_header(cells: DataFrame, is_header: Column, otherwise: int) -> DataFrame:
     """The rows below the first header row of each sheet, or below row ``otherwise`` where a sheet has none."""
     first = cells.groupBy("file", "sheet").agg(F.coalesce(F.min(F.when(is_header, F.col("row_index"))), F.lit(otherwise)).alias("_head"))
-    return cells.join(first, ["file", "sheet"]).where("row_index > _head").drop("_head")
+    return with_group(cells, first, ["file", "sheet"]).where("row_index > _head").drop("_head")
 
 
 def cumulative_sales(cells: DataFrame, sheets: str = "누계|메타데이터") -> DataFrame:
@@ -134,7 +135,7 @@ def content_master(cells: DataFrame) -> DataFrame:
     """
     rows = cells.where(F.col("sheet").isin(*CONTENT_SHEETS))
     head = rows.where("row_index = 2").groupBy("file", "sheet").agg(F.max("cells").alias("_head"))
-    rows = rows.where("row_index > 2").join(head, ["file", "sheet"])
+    rows = with_group(rows.where("row_index > 2"), head, ["file", "sheet"])
     rows = rows.withColumn("_names", F.transform("_head", lambda h: F.lower(F.regexp_replace(F.coalesce(h, F.lit("")), r"[\s　]+", ""))))
 
     def field(names: tuple[str, ...]) -> Column:

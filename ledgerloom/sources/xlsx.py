@@ -220,14 +220,15 @@ def weekly_rows(cells: DataFrame) -> DataFrame:
     """
     from ledgerloom.functions import money
     from ledgerloom.functions import text as N
+    from ledgerloom.functions.joins import with_group
     from ledgerloom.sources.workbooks import any_day
 
     named = F.lower("sheet").contains("daily")
     chosen = cells.groupBy("file").agg(F.min(F.struct((~named).alias("other"), "place"))["place"].alias("place"))
-    own = cells.join(chosen, ["file", "place"], "left_semi")
+    own = with_group(cells, chosen.withColumnRenamed("place", "_chosen"), ["file"]).where("place = _chosen").drop("_chosen")
     is_header = F.exists("cells", lambda c: F.coalesce(c.rlike("|".join(WEEKLY_HEADER)), F.lit(False)))
     heads = own.where(is_header).groupBy("file").agg(F.min(F.struct("row_index", "cells")).alias("head"))
-    rows = own.join(heads, "file", "left").where(F.col("row_index") > F.coalesce("head.row_index", F.lit(2)))  # a row a file
+    rows = with_group(own, heads, ["file"], "left").where(F.col("row_index") > F.coalesce("head.row_index", F.lit(2)))  # a row a file
     lowered = F.transform("head.cells", lambda c: F.lower(F.trim(c)))
 
     def kind(word: Column) -> Column:
