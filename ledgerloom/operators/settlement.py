@@ -290,13 +290,44 @@ def reconcile_kinds(current: DataFrame, base: DataFrame) -> DataFrame:
     )
 
 
+def _without(text: Column, n: Column) -> Column:
+    """All different texts that ``text`` gives without ``n`` (0 to MOST_INSERTED + MARGIN - 1) of its signs."""
+    out, texts = F.when(n == 0, F.array(text)), F.array(text)
+    cut = lambda t: F.transform(F.sequence(F.lit(1), F.char_length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.char_length(t))))
+    for i in range(1, MOST_INSERTED + MARGIN):
+        texts = F.array_distinct(F.flatten(F.transform(texts, cut)))
+        out = out.when(n == i, texts)
+    return out
+
+
+def _shortened(titles: DataFrame, known: DataFrame) -> DataFrame:
+    """``titles`` (_channel, _kind, _title, _rows, _from, _to) with each of ``known`` (_channel, _kind, _base, _spelling) that
+    is the title without ``_more`` of its signs, from ``_from`` to ``_to``.
+
+    In two steps, so that a title gives few texts: first the first halves of the known titles are sought among the
+    shortened starts of the title, then for each one that is there the whole among the shortened rests. Both meet
+    different texts by equality, so that what titles have in common multiplies nothing. Lengths that no known title of
+    the channel and type has are not tried.
+    """
+    known = known.withColumns({"_length": F.char_length("_base")}).withColumn("_half", F.expr("substr(_base, 1, _length div 2)"))
+    lengths = known.select("_channel", "_kind", "_length").distinct()  # as many as lengths of titles
+    tried = titles.withColumn("_more", F.explode(F.sequence("_from", "_to"))).withColumn("_length", F.char_length("_title") - F.col("_more")).join(lengths, ["_channel", "_kind", "_length"])
+    starts = tried.withColumn("_in_start", F.explode(F.sequence(F.lit(0), "_more"))).withColumn("_cut", F.expr("_length div 2 + _in_start"))
+    starts = starts.withColumn("_half", F.explode(_without(F.expr("substr(_title, 1, _cut)"), F.col("_in_start"))))
+    halves = known.select("_channel", "_kind", "_length", "_half").distinct()
+    seen = starts.join(halves, ["_channel", "_kind", "_length", "_half"], "left_semi")
+    rests = seen.withColumn("_rest", F.explode(_without(F.expr("substr(_title, _cut + 1)"), F.col("_more") - F.col("_in_start"))))
+    whole = rests.select("_channel", "_kind", "_title", "_rows", "_more", F.concat("_half", "_rest").alias("_base"))
+    return whole.join(known.select("_channel", "_kind", "_base", "_spelling"), ["_channel", "_kind", "_base"]).distinct()
+
+
 def reconcile_scanned(current: DataFrame, base: DataFrame) -> DataFrame:
     """``current`` (channel, type, title_jp, note2, more) with scanned titles as ``base`` (channel, type, title_jp) spells them.
 
     A scan puts signs in. A marked title that ``base`` lacks takes the base title that it holds as a subsequence, if it
     has at most MOST_INSERTED signs more, every other such base title needs MARGIN signs more than that, and no other
     marked row is as near to that base title. Base titles that a current row bears are no candidates. Titles meet by an
-    equi-join on channel, type and length, for the few lengths that can decide.
+    equi-join on channel, type and what is left of a scanned title without the signs put in (``_shortened``).
     """
     part = lambda c: F.lower(F.trim(c))
     at = lambda d: d.withColumns({"_channel": part("channel"), "_kind": part("type"), "_title": _title_key()})
@@ -304,9 +335,12 @@ def reconcile_scanned(current: DataFrame, base: DataFrame) -> DataFrame:
     now, old = at(current), at(base)
     unmatched = old.where("_title <> ''").groupBy(*key).agg(F.min(F.trim("title_jp")).alias("_spelling")).join(now.select(*key).distinct(), key, "left_anti")
     marked = now.where(F.coalesce(F.col("note2"), F.lit("")).contains(SCANNED_NOTE)).groupBy(*key).agg(F.count("*").alias("_rows")).join(old.select(*key).distinct(), key, "left_anti")
-    tried = marked.withColumn("_length", F.explode(F.transform(F.sequence(F.lit(1), F.lit(MOST_INSERTED + MARGIN - 1)), lambda i: F.char_length("_title") - i)))
-    known = unmatched.select("_channel", "_kind", F.col("_title").alias("_base"), "_spelling", F.char_length("_title").alias("_length"))
-    met = tried.join(known, ["_channel", "_kind", "_length"]).withColumn("_more", T.inserted(F.col("_base"), F.col("_title"))).where("_more is not null")
+    known = unmatched.select("_channel", "_kind", F.col("_title").alias("_base"), "_spelling")
+    near = _shortened(marked.select("*", F.lit(1).alias("_from"), F.lit(MOST_INSERTED).alias("_to")), known)
+    # a title's rivals need at most MARGIN - 1 signs more than its nearest; only those not looked for yet are
+    open_ = near.groupBy(*key).agg(F.min("_more").alias("_least"), F.first("_rows").alias("_rows")).where(F.col("_least") + MARGIN - 1 > MOST_INSERTED)
+    far = _shortened(open_.select(*key, "_rows", F.lit(MOST_INSERTED + 1).alias("_from"), (F.col("_least") + MARGIN - 1).alias("_to")), known)
+    met = near.unionByName(far)
     by_title, by_base = Window.partitionBy(*key), Window.partitionBy("_channel", "_kind", "_base")
     met = met.withColumns({"_least": F.min("_more").over(by_title), "_nearest": F.min("_more").over(by_base)})
     close = F.when(F.col("_more") < F.col("_least") + MARGIN, 1)
