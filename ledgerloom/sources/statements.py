@@ -276,10 +276,16 @@ def labelled_amount(text: Column, label: str) -> Column:
 
 
 def file_month(file: Column) -> Column:
-    """The month in a file's name, as 2024年5月, 202405 or 2405, else null."""
-    forms = ((r"(20\d{2})年\s*(\d{1,2})月", ""), (r"(20\d{2})(0[1-9]|1[0-2])", ""), (r"(?:^|[^\d])(\d{2})(0[1-9]|1[0-2])(?:[^\d]|$)", "20"))
-    month = lambda p, century: F.when(file.rlike(p), F.concat(F.lit(century), F.regexp_extract(file, p, 1), F.lit("-"), F.lpad(F.regexp_extract(file, p, 2), 2, "0"), F.lit("-01")))
-    return F.coalesce(*(month(p, c) for p, c in forms))
+    """The month in a file's name: as 2024年5月, else the first as 202405 or 2405, else null.
+
+    A number of four digits counts where no other digit is beside it. The first stands for the file where a running
+    number behind it looks like a month too.
+    """
+    month = lambda year, number: F.concat(year, F.lit("-"), F.lpad(number, 2, "0"), F.lit("-01"))
+    said, plain = r"(20\d{2})年\s*(\d{1,2})月", r"(?:(20\d{2})(0[1-9]|1[0-2])|(?<!\d)(\d{2})(0[1-9]|1[0-2])(?!\d))"
+    part = lambda i: F.regexp_extract(file, plain, i)
+    first = F.when(part(1) != "", month(part(1), part(2))).when(part(3) != "", month(F.concat(F.lit("20"), part(3)), part(4)))
+    return F.when(file.rlike(said), month(F.regexp_extract(file, said, 1), F.regexp_extract(file, said, 2))).otherwise(first)
 
 
 def summarised(files: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.joins import with_group
-from ledgerloom.sources import readers
+from ledgerloom.sources import readers, statements
 
 
 def test_rows_of_a_large_group_are_dealt_out_and_none_is_lost(spark):
@@ -20,3 +20,9 @@ def test_a_sheet_of_many_rows_meets_its_header_without_a_shuffle_by_sheet_alone(
     assert table.count() == 49 and {r.pay for r in table.collect()} == {"2"}
     plan = table._jdf.queryExecution().optimizedPlan().toString()
     assert "_deal" in plan and "rightHint=(strategy=broadcast)" in plan
+
+
+def test_the_first_month_of_a_files_name_counts(spark):
+    names = {"請求書_2405_201205.pdf": "2024-05-01", "請求書_2405_1201205.pdf": "2024-05-01", "x202405_2301.pdf": "2024-05-01", "9999_12305_2026年5月_202301": "2026-05-01", "2405": "2024-05-01", "a20241.x": None, "24051": None}
+    out = spark.createDataFrame([(n,) for n in names], "n string").select("n", statements.file_month(F.col("n")).alias("m"))
+    assert {r.n: r.m for r in out.collect()} == names
