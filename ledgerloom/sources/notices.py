@@ -14,6 +14,7 @@ from ledgerloom.functions import dates, money
 from ledgerloom.functions.text import SPACE, squeezed
 from ledgerloom.functions.titles import WIDE_DIGITS, half_digits, ichijinsha_volume, sb_label, sb_plain, sb_volume, shueisha_title, without
 from ledgerloom.operators.settlement import SCANNED_NOTE
+from ledgerloom.sources.versioned import stored
 
 Both = tuple[DataFrame, DataFrame]
 #: Marks and words of ichijinsha's details and invoices.
@@ -92,7 +93,8 @@ def ichijinsha_details(files: DataFrame) -> Both:
     work = ichijinsha_volume(F.trim(F.regexp_replace("raw", OFFSET_MARK, "")))
     each = each.withColumn("work", work).withColumn("key", F.concat_ws("#", without(F.col("work.base"), f"{SPACE}+"), F.coalesce(F.col("work.volume").cast("string"), F.lit(""))))
     fault = F.when(F.col("year") == "", "no month").when(F.col("number").isNull(), "no amount")
-    each = each.withColumn("problem", fault)
+    # read by what follows five times, while its expressions are dear: written once
+    each = stored(each.select("file", "folder", "place", "raw", "year", "month", "number", "offset", "work", "key", fault.alias("problem")), "details")
     good = each.where("problem is null")
     met = good.groupBy("file", "key").agg(
         F.min(F.when(~F.col("offset"), F.col("place"))).alias("place"),
@@ -257,8 +259,9 @@ def sb_net(details: DataFrame, draws: DataFrame, months: DataFrame) -> Both:
         out = rows.withColumn("plain", sb_plain(F.col("title"))).withColumns({"label": sb_label(F.col("plain")), "volume": sb_volume(F.col("plain"))})
         return out.withColumns({"series": F.lower("label"), "rank": F.lit(rank)}).where("series <> ''")
 
-    sold = work(details.where(~F.coalesce(F.col("title").rlike(SB_NOT_WORKS), F.lit(False))), 0)
-    drawn = work(draws, 1)
+    # each is read several times below, and its titles are dear to take apart: written once
+    sold = stored(work(details.where(~F.coalesce(F.col("title").rlike(SB_NOT_WORKS), F.lit(False))), 0).drop("plain"), "sb-details")
+    drawn = stored(work(draws, 1).drop("plain"), "sb-draws")
     volumes = lambda d, name: d.where("volume is not null").groupBy("file", "series").agg(F.min("volume").alias(f"{name}_least"), F.max("volume").alias(f"{name}_most"))
     only = volumes(sold, "sold").join(volumes(drawn, "drawn"), ["file", "series"], "full")
     one = lambda name: F.when(F.col(f"{name}_least") == F.col(f"{name}_most"), F.col(f"{name}_least"))
