@@ -228,7 +228,6 @@ def weekly_rows(cells: DataFrame) -> DataFrame:
     own = with_group(cells, chosen.withColumnRenamed("place", "_chosen"), ["file"]).where("place = _chosen").drop("_chosen")
     is_header = F.exists("cells", lambda c: F.coalesce(c.rlike("|".join(WEEKLY_HEADER)), F.lit(False)))
     heads = own.where(is_header).groupBy("file").agg(F.min(F.struct("row_index", "cells")).alias("head"))
-    rows = with_group(own, heads, ["file"], "left").where(F.col("row_index") > F.coalesce("head.row_index", F.lit(2)))  # a row a file
     lowered = F.transform("head.cells", lambda c: F.lower(F.trim(c)))
 
     def kind(word: Column) -> Column:
@@ -237,9 +236,12 @@ def weekly_rows(cells: DataFrame) -> DataFrame:
             out = F.when(word.rlike(pattern), name).otherwise(out)
         return out
 
-    rows = rows.withColumn("kinds", F.transform(lowered, kind))
+    # the columns' places follow from the header alone, once a file
+    heads = heads.withColumn("kinds", F.transform(lowered, kind))
     last = lambda name: F.nullif(F.size("kinds") - F.array_position(F.reverse("kinds"), name), F.size("kinds").cast("long"))
-    at = lambda name, place: F.coalesce(F.when(F.size("kinds") > 0, last(name)), F.lit(place).cast("long")).cast("int")
+    heads = heads.select("file", F.col("head.row_index").alias("_head"), *(last(name).cast("int").alias(f"_at_{name}") for name, _, _ in WEEKLY_COLUMNS))
+    rows = with_group(own, heads, ["file"], "left").where(F.col("row_index") > F.coalesce("_head", F.lit(2)))
+    at = lambda name, place: F.coalesce(f"_at_{name}", F.lit(place))
     got = {name: F.trim(F.coalesce(F.get("cells", at(name, place)), F.lit(""))) for name, _, place in WEEKLY_COLUMNS}
     out = rows.select(*(c.alias(n) for n, c in got.items()))
     whole = F.coalesce(money.half_up(F.col("amount").try_cast("double")), N.amount(F.col("amount")).cast("long"))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.joins import with_group
-from ledgerloom.sources import notices, readers, statements
+from ledgerloom.sources import notices, readers, statements, xlsx
 
 
 def test_rows_of_a_large_group_are_dealt_out_and_none_is_lost(spark):
@@ -38,3 +38,11 @@ def test_titles_of_reports_and_details_are_taken_apart_once(spark):
     assert [(r.title, r.after_tax_income) for r in parsed.collect()] == [("作品（３）", 1000)]
     plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (records, problems, parsed)]
     assert not any("PythonUDF" in p or "集計期間" in p for p in plans)
+
+
+def test_the_columns_of_a_weekly_file_are_found_once_a_file(spark):
+    rows = [("f", "Daily", i, c, 0) for i, c in enumerate((["x"], ["Date", "Sales", "Channel", "Title(JP)"], ["2026-05-01", "7", "c", "T"], ["2026-05-02", "0", "c", "T"]), 1)]
+    out = xlsx.weekly_rows(spark.createDataFrame(rows, xlsx.SCHEMA))
+    assert [(r.title_jp, r.channel, str(r.sale_date), r.sales_amount) for r in out.collect()] == [("T", "c", "2026-05-01", 7)]
+    above = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert "날짜" not in above
