@@ -6,11 +6,16 @@ no records at all: what is printed must add up to the yen, and nothing is guesse
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgerloom.functions import dates, money
+from ledgerloom.functions.spellings import first_near
 from ledgerloom.functions.text import SPACE, squeezed
 from ledgerloom.functions.titles import WIDE_DIGITS, half_digits, ichijinsha_volume, sb_label, sb_plain, sb_volume, shueisha_title, without
 from ledgerloom.operators.settlement import SCANNED_NOTE
@@ -36,6 +41,10 @@ SB_DEPOSIT_MONTHS = 4
 #: Words and kinds of shueisha's notice.
 SHUEISHA_CUTS = ("単行本", "話配信", "EPUB", "フルカラー", "【")
 SHUEISHA_HEADERS = "(?i)マンガMee|ジャンプ|原作使用料|WEB広告"
+#: The share of the longer spelling, and the least number of edits, within which two spell one title.
+NEAR = (0.45, 2)
+#: Spellings of so many small pages are taken together.
+TOGETHER = 8000
 
 
 def wide_volume(base: Column, volume: Column) -> Column:
@@ -368,6 +377,12 @@ def choose_amounts(cells: DataFrame) -> DataFrame:
     return cells.groupBy("file").applyInPandas(choose, schema)
 
 
+def _differs(column: pa.ChunkedArray) -> np.ndarray:
+    """Whether a row's value is another than the row's before, from the second on; null is a value."""
+    coded = column.combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    return np.diff(coded) != 0
+
+
 def spelling_groups(rows: DataFrame) -> DataFrame:
     """Sums of details (file, place, title, kind, payment) whose titles a scan spells alike: the first that is near enough.
 
@@ -378,19 +393,28 @@ def spelling_groups(rows: DataFrame) -> DataFrame:
     """
     key = without(shueisha_title(F.col("title")), f"{SPACE}+")
     spelt = rows.withColumn("key", key).groupBy("file", "kind", "key").agg(F.min("place").alias("place"), F.count("*").alias("n"), F.sum("payment").alias("payment"))
-    page = spelt.groupBy("file", "kind").agg(F.array_sort(F.collect_list(F.struct("place", "key", "n", "payment"))).alias("spellings"))
-
-    def near(a: Column, b: Column) -> Column:
-        la, lb = F.char_length(a), F.char_length(b)
-        bound = F.greatest(F.lit(2), F.floor(F.greatest(la, lb) * 0.45).cast("int"))
-        return F.when(a == b, True).when(F.abs(la - lb) > bound, False).otherwise(F.levenshtein(a, b) <= bound)
-
-    heads = F.aggregate("spellings", F.array().cast("array<string>"), lambda heads, s: F.when(F.exists(heads, lambda h: near(h, s["key"])), heads).otherwise(F.array_append(heads, s["key"])))
-    page = page.withColumn("heads", heads)
-    each = page.select("file", "kind", "heads", F.explode("spellings").alias("s"))
-    each = each.withColumn("head", F.get(F.filter("heads", lambda h: near(h, F.col("s.key"))), F.lit(0)))
-    frequent = F.struct((-F.col("s.n")).alias("n"), F.col("s.place").alias("place"), F.col("s.key").alias("key"))
-    return each.groupBy("file", "kind", "head").agg(F.min(frequent)["key"].alias("title"), F.sum("s.payment").alias("payment"), F.sum("s.n").alias("source_rows")).drop("head")
+
+    def headed(rows: pa.Table) -> pa.Table:
+        page = np.cumsum(np.concatenate(([0], _differs(rows["file"]) | _differs(rows["kind"])))) if len(rows) else np.zeros(0, int)
+        known, head = pc.is_valid(rows["key"]).to_numpy(), np.full(len(rows), -1)  # no key: a group of its own
+        head[known] = first_near(rows["key"].drop_null().to_pylist(), page[known], *NEAR)
+        return rows.append_column("head", pa.array(head, pa.int64()))
+
+    def run(batches):
+        held = None
+        for b in batches:
+            held = pa.concat_tables([held, pa.Table.from_batches([b])]) if held else pa.Table.from_batches([b])
+            ends = np.flatnonzero(_differs(held["file"]) | _differs(held["kind"]))
+            if len(ends) and ends[-1] >= TOGETHER:
+                yield from headed(held.slice(0, ends[-1] + 1)).to_batches()
+                held = held.slice(ends[-1] + 1)
+        if held:
+            yield from headed(held).to_batches()
+
+    pages = spelt.repartition("file", "kind").sortWithinPartitions("file", "kind", "place", "key")
+    each = pages.mapInArrow(run, T.StructType([*spelt.schema, T.StructField("head", T.LongType())]))
+    frequent = F.struct((-F.col("n")).alias("n"), "place", "key")
+    return each.groupBy("file", "kind", "head").agg(F.min(frequent)["key"].alias("title"), F.sum("payment").alias("payment"), F.sum("n").alias("source_rows")).drop("head")
 
 
 def shueisha_notice(pages: DataFrame, adverts: DataFrame, details: DataFrame) -> Both:
