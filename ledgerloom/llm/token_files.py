@@ -18,7 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import materialize, scratch_path, text_chunks
@@ -301,6 +301,12 @@ def _write(folder: str, lengths: np.ndarray, block_ids: int):
     return run
 
 
+def range_of(doc_id: Column, bounds: list[int]) -> Column:
+    """How many of the ascending ``bounds`` lie below ``doc_id``."""
+    below = F.array(*(F.lit(min(b, (1 << 63) - 1)).cast("long") for b in bounds))
+    return F.size(F.filter(below, lambda b: b < doc_id)) if bounds else F.lit(0)
+
+
 def write_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, folder: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text; more columns are not read) in ascending order of doc_id.
 
@@ -320,7 +326,10 @@ def write_tokens(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", end_id:
     lengths = code_lengths(counts)
     coded = encoded.mapInArrow(_coded(lengths), "doc_id long, n_tokens long, bits binary, marks array<long>")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    files = coded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "n_tokens", "bits").mapInArrow(_write(folder, lengths, block_ids), "file string, first long, docs long, ids long")
+    # ranges by the written doc_ids alone: a partitioning by range of the coded rows would code all twice
+    bounds = [int(x) for x in encoded.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts)] if parts > 1 else []
+    dealt = coded.repartitionById(parts, range_of(F.col("doc_id"), bounds))
+    files = dealt.sortWithinPartitions("doc_id", "n_tokens", "bits").mapInArrow(_write(folder, lengths, block_ids), "file string, first long, docs long, ids long")
     files = materialize(files, "tokens-files")
     order = Window.orderBy(F.col("first").asc_nulls_first(), "file")  # one row a file
     return files.withColumn("start", F.sum("ids").over(order) - F.col("ids"))
