@@ -3,6 +3,11 @@ import random
 from collections import Counter, defaultdict
 from datetime import datetime
 
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import text as T
+from ledgerloom.operators.ledger import compare_sheets
 from ledgerloom.plans import registry
 from ledgerloom.plans.views import ledger
 
@@ -45,3 +50,35 @@ def test_query_against_brute_force_pairing_of_the_whole_ledger(spark, tmp_path):
         if x.category == "field":
             at = ["title_jp", "gross", "fee"].index(x.field)
             assert x.ours in {str(v[at]) for v in ours[tuple(x[:3])]} and x.theirs in {str(v[at]) for v in theirs[tuple(x[:3])]}
+
+
+def test_identities_with_nothing_to_pair_are_compared_as_the_others(spark):
+    """Numbers, blanks and texts of one row a side, beside the same cells among several rows, which are paired."""
+    cells = [("1,000", "1000"), ("１２", "12"), ("ｱ  b", "ア b"), ("a", "b"), (None, "a"), ("", None), ("é", "e"), ("1e3", "1000"), ("3.0", "3"), ("12 ", "12"), ("7", "7.0000001"), ("7", "7.1")]
+    one = [(f"k{i}", a, float(i)) for i, (a, _) in enumerate(cells)], [(f"k{i}", b, float("nan") if i == 3 else i + 1e-9) for i, (_, b) in enumerate(cells)]
+    many = [[(k.replace("k", "m"), *v) for k, *v in d for v in (v, ("same", 0.5))] for d in one]
+    ours, key = (spark.createDataFrame([*a, *b], "k string, t string, n double") for a, b in zip(one, many, strict=True))
+    # more rows on one side, rows of a side alone, an identity without a name
+    ours = ours.union(spark.createDataFrame([("x", "a", 1.0), ("x", "b", 2.0), ("y", "a", 1.0), (None, "a", 1.0)], ours.schema))
+    key = key.union(spark.createDataFrame([("x", "b", 2.0), ("z", "c", 1.0), (None, "b", 1.0)], ours.schema))
+    got = compare_sheets(ours.repartition(3), key.repartition(2), ["k"], ["t", "n"]).collect()
+    differ = {(0, "t"): 0, (3, "t"): 1, (3, "n"): 1, (6, "t"): 1, (7, "t"): 1, (11, "t"): 1}
+    want = Counter((f"{p}{i}", "field", f) for (i, f), n in differ.items() if n for p in "km")
+    want += Counter([("x", "extra", None), ("y", "extra", None), ("z", "missing", None), (None, "field", "t")])
+    assert Counter((x.k, x.category, x.field) for x in got) == want
+    assert ("k11", "7", "7.1") in {(x.k, x.ours, x.theirs) for x in got}
+
+
+def test_meaning_within_a_task_is_the_columns(spark):
+    texts = ["", " a　 b ", "１，２３４", "-3.50", "+7", "12 ", "12\n", "٣", "①", "ｶﾞ", "1e3", "a,b", "﻿5", "9" * 400]
+    rows = spark.createDataFrame([(x,) for x in texts], "t string").select("t", T.semantic(F.col("t"), "string").alias("m")).collect()
+    number = lambda m: float(m[2:]) if m and m.startswith("n:") else m
+    assert [number(T.meaning(x.t)) for x in rows] == [number(x.m) for x in rows]
+
+
+def test_more_rows_of_an_identity_than_can_be_paired_are_an_error(spark):
+    rows = spark.createDataFrame([("k", str(i)) for i in range(700)], "k string, t string")
+    for a, b in ((rows, rows.limit(0)), (rows.limit(4), rows.limit(0))):
+        run = compare_sheets(a, b, ["k"], ["t"], most=3)
+        with pytest.raises(Exception, match="more than 3 rows of one identity"):
+            run.collect()
