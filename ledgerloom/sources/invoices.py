@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
 from ledgerloom.functions import text as T
 from ledgerloom.sources import readers
+from ledgerloom.sources.versioned import stored
 
 #: Labels of an invoice's cells, and what a printed one holds.
 SUBJECT, ISSUED, DUE, TOTAL, SUBTOTAL, TAX = "件名：", "発行日", "お支払期限", "御請求金額", "小計", "消費税額"
@@ -28,9 +31,12 @@ def month_said(text: Column) -> Column:
 def invoice_totals(cells: DataFrame) -> DataFrame:
     """(file, subject, issued, due, total, subtotal, tax) of invoices' sheets (file, sheet, row_index, cells).
 
-    What stands beside a label in its row; of several rows the last. A row is looked at by itself.
+    What stands beside a label in its row; of several rows the last. A row is looked at by itself, and only its file
+    counts where its text holds no label.
     """
-    own = cells.where(F.col("sheet").contains("請求書")).select("file", "row_index", F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("c"))
+    text = F.array_join("cells", "\n")
+    labelled_row = reduce(lambda a, b: a | b, (text.contains(x) for x in (SUBJECT, ISSUED, DUE, TOTAL, SUBTOTAL, TAX)))
+    own = cells.where(F.col("sheet").contains("請求書")).select("file", "row_index", F.when(labelled_row, F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))))).alias("c"))
     place = lambda test: F.array_position(F.transform("c", test), True).cast("int")
     after = lambda test: F.when(place(test) > 0, F.slice("c", place(test) + 1, F.size("c")))
     first = lambda values, keep: F.get(F.filter(values, keep), F.lit(0))
@@ -54,13 +60,14 @@ def invoice_records(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records a line of invoices' sheets, and problems: lines that do not add up to the subtotal, files with nothing.
 
     Lines end at the transfer's footer. A file without lines but with a total gives one record, as evidence. The month
-    of sales is the subject's, else that of the file's name, else that of issue; that of settlement the payment's.
+    of sales is the subject's, else that of the file's name, else that of issue; that of settlement the payment's. What
+    several steps read (rows, lines, totals) is written once to the shared folder.
     """
-    cells = cells.withColumn("row_index", F.col("row_index").cast("int"))
+    cells = stored(cells.withColumn("row_index", F.col("row_index").cast("int")), "invoice-cells")
     foot = cells.where(F.exists("cells", lambda c: F.coalesce(c.rlike(FOOTER), F.lit(False)))).groupBy("file", "sheet").agg(F.min("row_index").alias("foot"))
     body = cells.join(foot, ["file", "sheet"], "left").where("foot is null or row_index < foot").drop("foot")
-    own = readers.lines(readers.sheet_table(body, readers.READERS["invoice"]), "invoice").select("file", F.col("raw_title").alias("title"), F.col("sales").cast("long").alias("amount"), "price", "units", "rate")
-    totals = invoice_totals(cells)
+    own = stored(readers.lines(readers.sheet_table(body, readers.READERS["invoice"]), "invoice").select("file", F.col("raw_title").alias("title"), F.col("sales").cast("long").alias("amount"), "price", "units", "rate"), "invoice-lines")
+    totals = stored(invoice_totals(cells), "invoice-totals")
     sums = own.groupBy("file").agg(F.sum("amount").alias("amount_sum"))
     met = totals.join(sums, "file", "left")
     problem = F.when(F.col("amount_sum").isNull() & F.coalesce("total", "subtotal").isNull(), "no lines and no totals").when(F.col("amount_sum") != F.col("subtotal"), "lines differ from the subtotal")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -280,6 +281,19 @@ READERS: dict[str, Reader] = {
 }
 
 
+def _cell(c: Column) -> Column:
+    """A cell's text without space around it and line ends."""
+    return F.translate(F.trim(F.coalesce(c, F.lit(""))), "\r\n", "")
+
+
+def _picked(body: DataFrame, places: dict[str, Column]) -> DataFrame:
+    """(file, sheet, row_index, the cells at ``places``, null where blank), step by step, so that each is taken once."""
+    own = lambda step: body.select("file", "sheet", "row_index", *(step(f).alias(f) for f in places))
+    body = body.select("file", "sheet", "row_index", *(F.get("cells", at).alias(f) for f, at in places.items()))
+    body = own(lambda f: _cell(F.col(f)))
+    return own(lambda f: F.nullif(F.col(f), F.lit("")))
+
+
 def sheet_table(cells: DataFrame, reader: Reader) -> DataFrame:
     """(file, sheet, row_index, the reader's columns as strings) of rows (file, sheet, row_index, cells) of any sheets.
 
@@ -289,18 +303,20 @@ def sheet_table(cells: DataFrame, reader: Reader) -> DataFrame:
     """
     rows = cells if reader.sheets is None else cells.where(F.col("sheet").rlike(reader.sheets))
     names = {f: c for f, c in reader.columns.items() if isinstance(c, str)}
-    rows = rows.withColumn("cells", F.transform("cells", lambda c: F.regexp_replace(F.trim(F.coalesce(c, F.lit(""))), r"[\r\n]+", "")))
     if not names:
-        used = F.array_position(F.transform("cells", lambda c: c != ""), True)
+        used = F.array_position(F.transform("cells", lambda c: _cell(c) != ""), True)
         first = rows.where((F.col("row_index") <= reader.skip) & (used > 0)).groupBy("file", "sheet").agg(F.min(used).cast("int").alias("_from"))
         body = with_group(rows.where(F.col("row_index") > reader.skip), first, ["file", "sheet"])
-        return body.select("file", "sheet", "row_index", *(F.nullif(F.get("cells", F.col("_from") - 1 + F.lit(at)), F.lit("")).alias(f) for f, at in reader.columns.items()))
+        return _picked(body, {f: F.col("_from") - 1 + F.lit(at) for f, at in reader.columns.items()})
     needed = [c for f, c in names.items() if f not in reader.optional]
     is_header = F.array_size(F.array_intersect("cells", F.array(*map(F.lit, needed)))) == len(set(needed))
-    head = rows.where(is_header).groupBy("file", "sheet").agg(F.min(F.struct("row_index", "cells")).alias("_head"))
+    # the names must be somewhere in the row's text; only then are all its cells looked at
+    text = F.translate(F.array_join("cells", "\n"), "\r\n", "")
+    near = rows.where(reduce(lambda a, b: a & b, (text.contains(c) for c in needed))).withColumn("cells", F.transform("cells", _cell)) if needed else rows.withColumn("cells", F.transform("cells", _cell))
+    head = near.where(is_header).groupBy("file", "sheet").agg(F.min(F.struct("row_index", "cells")).alias("_head"))
     body = with_group(rows, head, ["file", "sheet"]).where("row_index > _head.row_index")
-    at = lambda name: F.array_position("_head.cells", name).cast("int")
-    return body.select("file", "sheet", "row_index", *(F.when(at(c) > 0, F.nullif(F.get("cells", at(c) - 1), F.lit(""))).alias(f) for f, c in names.items()))
+    at = lambda name: F.array_position("_head.cells", name).cast("int") - 1
+    return _picked(body, {f: F.when(at(c) >= 0, at(c)) for f, c in names.items()})
 
 
 def text_table(table: DataFrame, reader: Reader, file: Column | None = None) -> DataFrame:

@@ -39,3 +39,10 @@ def test_printed_twins_give_their_total(spark):
     got = sorted((r.title, r.sales_month, r.settlement_month, r.total, r.net, r.tax) for r in records.collect())
     assert got == [("MG 2026年4月分", dt.date(2026, 4, 1), dt.date(2026, 6, 1), 11_000_000, 10_000_000, 1_000_000), ("x_202605", dt.date(2026, 5, 1), None, 109, 99, 10)]
     assert sorted((r.file, r.problem) for r in problems.collect()) == [("y.pdf", "no text"), ("z.pdf", "no total")]
+
+
+def test_what_several_steps_read_is_written_once(spark):
+    cells = spark.createDataFrame(sheet("b_202603.xlsx", HEAD, ["1", " A\n", "1", "", "1", "7"], ["小計", "8"]), CELLS)
+    records, _ = I.invoice_records(cells)
+    assert [(r.title, r.amount) for r in records.collect()] == [("A", 7)]
+    assert {kind for kind in ("invoice-lines", "invoice-totals") if any(kind in f for f in records.inputFiles())} == {"invoice-lines", "invoice-totals"}
