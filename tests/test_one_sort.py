@@ -27,3 +27,10 @@ def test_largest_upload_reads_its_rows_once(spark):
     out = L.largest_upload(_rows(spark), ["client", "channel"])
     assert sorted((r.upload_id or 0, r.line) for r in out.collect()) == [(0, 1), (1, 1), (1, 2), (6, 1)]
     assert "Join" not in _plan(out)
+
+
+def test_effective_rate_takes_each_line_once_without_a_distinct(spark):
+    from ledgerloom.plans.registry import QUERIES
+
+    plan = QUERIES["e03_effective_rate"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate [" in x and all(c in x for c in ("upload_id", "line", "title_jp"))]
