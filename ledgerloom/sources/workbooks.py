@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money
 from ledgerloom.functions import text as T
-from ledgerloom.functions.joins import with_group
+from ledgerloom.functions.joins import taken_once, with_group
 
 ERRORS = r"^#(?:N/A|REF!|VALUE!|DIV/0!|NAME\?|NULL!|NUM!)$"
 
@@ -19,7 +19,7 @@ ERRORS = r"^#(?:N/A|REF!|VALUE!|DIV/0!|NAME\?|NULL!|NUM!)$"
 def cell(at: int) -> Column:
     """A trimmed cell, null where it is blank, an error, or beyond the row's end."""
     value = F.trim(F.get("cells", F.lit(at)))
-    return F.when(~value.rlike(ERRORS) & (value != ""), value)
+    return F.when((value != "") & ~(value.startswith("#") & value.rlike(ERRORS)), value)
 
 
 def any_day(text: Column) -> Column:
@@ -34,8 +34,8 @@ def any_day(text: Column) -> Column:
 
 def below_header(cells: DataFrame, is_header: Column, otherwise: int) -> DataFrame:
     """The rows below the first header row of each sheet, or below row ``otherwise`` where a sheet has none."""
-    first = cells.groupBy("file", "sheet").agg(F.coalesce(F.min(F.when(is_header, F.col("row_index"))), F.lit(otherwise)).alias("_head"))
-    return with_group(cells, first, ["file", "sheet"]).where("row_index > _head").drop("_head")
+    first = cells.groupBy("file", "sheet").agg(F.coalesce(F.min(F.when(is_header, F.col("row_index"))), F.lit(otherwise)).alias("_head"), F.count("*").alias("_rows"))
+    return with_group(cells, first, ["file", "sheet"], counted="_rows").where("row_index > _head").drop("_head")
 
 
 def cumulative_sales(cells: DataFrame, sheets: str = "누계|메타데이터") -> DataFrame:
@@ -43,9 +43,11 @@ def cumulative_sales(cells: DataFrame, sheets: str = "누계|메타데이터") -
     month = cell(8)
     head = (F.col("row_index") <= 10) & F.coalesce(month.rlike("판매월|Month"), F.lit(False))
     rows = below_header(cells.where(F.col("sheet").rlike(sheets)), head, 5)
-    stated = F.try_to_timestamp(F.concat(F.regexp_extract(month, r"^(\d{4}-\d{2})", 1), F.lit("-01")), F.lit("yyyy-MM-dd")).cast("date")
-    out = rows.select(cell(2).alias("title_jp"), F.coalesce(cell(1), F.lit("")).alias("title_kr"), cell(14).alias("channel"), F.trunc(F.coalesce(stated, any_day(month)), "MM").alias("sale_date"), money.half_up(T.amount(cell(22))).alias("sales_amount"))
-    return out.where("title_jp is not null and channel is not null and sale_date is not null and sales_amount > 0")
+    out = rows.select(cell(2).alias("title_jp"), F.coalesce(cell(1), F.lit("")).alias("title_kr"), cell(14).alias("channel"), month.alias("_month"), cell(22).alias("_amount"))
+    month = F.col("_month")
+    stated = F.when(month.rlike(r"^\d{4}-\d{2}"), F.concat(F.substring(month, 1, 7), F.lit("-01"))).try_cast("date")
+    out = out.select("title_jp", "title_kr", "channel", F.trunc(F.coalesce(stated, any_day(month)), "MM").alias("sale_date"), money.half_up(T.amount(F.col("_amount"))).alias("sales_amount"))
+    return taken_once(out).where("title_jp is not null and channel is not null and sale_date is not null and sales_amount > 0")
 
 
 def four_column_sales(cells: DataFrame) -> DataFrame:
