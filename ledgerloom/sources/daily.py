@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
 from ledgerloom.functions import text as T
+from ledgerloom.functions.joins import taken_once
 
 COLUMNS = ["title_jp", "channel", "sale_date", "sales_amount", "sales_amount_gross"]
 
@@ -80,7 +81,11 @@ def day_of(text: Column, monthly: bool = False) -> Column:
     pattern = r"(\d{4})\D?(\d{1,2})(?:\D?(\d{1,2}))?"
     part = lambda i: F.lpad(F.regexp_extract(text, pattern, i), 2, "0")
     day = F.lit("01") if monthly else part(3)
-    return F.try_to_timestamp(F.concat_ws("-", F.regexp_extract(text, pattern, 1), part(2), day), F.lit("yyyy-MM-dd")).cast("date")
+    found = F.concat_ws("-", F.regexp_extract(text, pattern, 1), part(2), day).try_cast("date")
+    if monthly:
+        return found
+    whole = (F.char_length(text) == 10) & (F.substring(text, 5, 1) == "-") & (F.substring(text, 8, 1) == "-")
+    return F.coalesce(F.when(whole, text.try_cast("date")), found)
 
 
 def daily_rows(table: DataFrame, kind: Daily) -> DataFrame:
@@ -93,7 +98,7 @@ def daily_rows(table: DataFrame, kind: Daily) -> DataFrame:
         title = F.trim(F.regexp_replace(title, pattern, ""))
     channel = F.trim(F.col(kind.channel_column)) if kind.channel_column else F.lit(kind.channel)
     rows = table.where(~blank(kind.title)).select(F.concat(title, F.lit(kind.suffix)).alias("title_jp"), channel.alias("channel"), day_of(F.col(kind.date), kind.monthly).alias("sale_date"), raw.alias("raw"))
-    summed = rows.where("sale_date is not null").groupBy("title_jp", "channel", "sale_date").agg(F.sum("raw").alias("raw"))
+    summed = taken_once(rows).where("sale_date is not null").groupBy("title_jp", "channel", "sale_date").agg(F.sum("raw").alias("raw"))
     net = money.net_of(F.col("raw")) if kind.gross else money.half_up(F.col("raw"))
     gross = money.half_up(F.col("raw")) if kind.gross else F.lit(None).cast("long")
     return summed.select("title_jp", "channel", "sale_date", net.alias("sales_amount"), gross.alias("sales_amount_gross"))
