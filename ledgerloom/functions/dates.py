@@ -23,4 +23,4 @@ def excel_serial(n: Column) -> Column:
 def iso_month(text: Column) -> Column:
     """The first day of the month in texts such as 2024年5月, 2024/05, 2024-5-31, 202405; null otherwise."""
     year, month = F.regexp_extract(text, r"(\d{4})\D?(\d{1,2})", 1), F.regexp_extract(text, r"(\d{4})\D?(\d{1,2})", 2)
-    return F.try_to_timestamp(F.when(year != "", F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-01"))), F.lit("yyyy-MM-dd")).cast("date")
+    return F.when(year != "", F.concat(year, F.lit("-"), F.lpad(month, 2, "0"), F.lit("-01"))).try_cast("date")

@@ -17,20 +17,22 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import dates
 from ledgerloom.functions import text as T
 from ledgerloom.functions import titles as N
-from ledgerloom.functions.joins import with_group
+from ledgerloom.functions.joins import taken_once, with_group
 from ledgerloom.operators.settlement import GUESSED_NOTE
 
 Get = Callable[[str], Column]
 
 #: Titles that stand for sums, and marks of episodes.
 TOTALS = r"(?i)合計|TOTAL"
+#: More columns than any sheet has.
+WIDEST = 1 << 20
 SPLIT = "分冊|連載"
 
 
 def _month_in(text: Column, pattern: str) -> Column:
     """The first of the month that ``pattern`` finds as (year, month); null where it finds none."""
     found = F.concat_ws("-", F.regexp_extract(text, pattern, 1), F.lpad(F.regexp_extract(text, pattern, 2), 2, "0"), F.lit("01"))
-    return F.try_to_timestamp(F.when(text.rlike(pattern), found), F.lit("yyyy-MM-dd")).cast("date")
+    return F.when(text.rlike(pattern), found).try_cast("date")
 
 
 def _num(c: Column) -> Column:
@@ -283,7 +285,12 @@ READERS: dict[str, Reader] = {
 
 def _cell(c: Column) -> Column:
     """A cell's text without space around it and line ends."""
-    return F.translate(F.trim(F.coalesce(c, F.lit(""))), "\r\n", "")
+    return _unbroken(F.trim(F.coalesce(c, F.lit(""))))
+
+
+def _unbroken(text: Column) -> Column:
+    """Without line ends, which few texts have."""
+    return F.when(text.contains("\n") | text.contains("\r"), F.translate(text, "\r\n", "")).otherwise(text)
 
 
 def _picked(body: DataFrame, places: dict[str, Column]) -> DataFrame:
@@ -291,7 +298,7 @@ def _picked(body: DataFrame, places: dict[str, Column]) -> DataFrame:
     own = lambda step: body.select("file", "sheet", "row_index", *(step(f).alias(f) for f in places))
     body = body.select("file", "sheet", "row_index", *(F.get("cells", at).alias(f) for f, at in places.items()))
     body = own(lambda f: _cell(F.col(f)))
-    return own(lambda f: F.nullif(F.col(f), F.lit("")))
+    return taken_once(own(lambda f: F.nullif(F.col(f), F.lit(""))))
 
 
 def sheet_table(cells: DataFrame, reader: Reader) -> DataFrame:
@@ -305,18 +312,24 @@ def sheet_table(cells: DataFrame, reader: Reader) -> DataFrame:
     names = {f: c for f, c in reader.columns.items() if isinstance(c, str)}
     if not names:
         used = F.array_position(F.transform("cells", lambda c: _cell(c) != ""), True)
-        first = rows.where((F.col("row_index") <= reader.skip) & (used > 0)).groupBy("file", "sheet").agg(F.min(used).cast("int").alias("_from"))
-        body = with_group(rows.where(F.col("row_index") > reader.skip), first, ["file", "sheet"])
+        above = F.when(F.col("row_index") <= reader.skip, F.nullif(used, F.lit(0).cast("long")))
+        first = rows.groupBy("file", "sheet").agg(F.min(above).cast("int").alias("_from"), F.count("*").alias("_rows")).where("_from is not null")
+        body = with_group(rows.where(F.col("row_index") > reader.skip), first, ["file", "sheet"], counted="_rows")
         return _picked(body, {f: F.col("_from") - 1 + F.lit(at) for f, at in reader.columns.items()})
     needed = [c for f, c in names.items() if f not in reader.optional]
     is_header = F.array_size(F.array_intersect("cells", F.array(*map(F.lit, needed)))) == len(set(needed))
     # the names must be somewhere in the row's text; only then are all its cells looked at
-    text = F.translate(F.array_join("cells", "\n"), "\r\n", "")
-    near = rows.where(reduce(lambda a, b: a & b, (text.contains(c) for c in needed))).withColumn("cells", F.transform("cells", _cell)) if needed else rows.withColumn("cells", F.transform("cells", _cell))
-    head = near.where(is_header).groupBy("file", "sheet").agg(F.min(F.struct("row_index", "cells")).alias("_head"))
-    body = with_group(rows, head, ["file", "sheet"]).where("row_index > _head.row_index")
-    at = lambda name: F.array_position("_head.cells", name).cast("int") - 1
-    return _picked(body, {f: F.when(at(c) >= 0, at(c)) for f, c in names.items()})
+    near = rows.select("file", "sheet", "row_index", "cells", F.array_join("cells", "\t").alias("_text")).withColumn("_text", _unbroken(F.col("_text")))
+    some = reduce(lambda a, b: a & b, (F.col("_text").contains(c) for c in needed)) if needed else F.lit(True)
+    near = near.select("file", "sheet", "row_index", F.when(some, F.transform("cells", _cell)).alias("cells"))
+    near = near.select("file", "sheet", F.when(is_header, F.col("row_index").cast("long")).alias("_row"), "cells")
+    # of the first header row the places of its columns, one number each, so that no row is sorted for them
+    place = {f: F.when(F.col("_row").isNotNull(), F.col("_row") * WIDEST + F.array_position("cells", c)) for f, c in names.items()}
+    head = near.groupBy("file", "sheet").agg(F.count("*").alias("_rows"), F.min("_row").alias("_head"), *(F.min(at).alias(f"_at_{f}") for f, at in place.items())).where("_head is not null")
+    at = lambda f: F.nullif((F.col(f"_at_{f}") - F.col("_head") * WIDEST).cast("int"), F.lit(0)) - 1
+    head = head.select("file", "sheet", "_rows", "_head", *(at(f).alias(f"_at_{f}") for f in names))
+    body = with_group(rows, head, ["file", "sheet"], counted="_rows").where("row_index > _head")
+    return _picked(body, {f: F.col(f"_at_{f}") for f in names})
 
 
 def text_table(table: DataFrame, reader: Reader, file: Column | None = None) -> DataFrame:
