@@ -54,7 +54,8 @@ def booklive_title(t: Column) -> Column:
 
 
 def dmm_title(t: Column) -> Column:
-    return F.translate(half_digits(F.translate(t, "［］～", "[]〜")), " 　♥", "")
+    wide = F.octet_length(t) > F.char_length(t)
+    return F.translate(F.when(wide, half_digits(F.translate(t, "［］～", "[]〜"))).otherwise(t), " 　♥", "")
 
 
 def shueisha_title(t: Column) -> Column:
@@ -73,10 +74,10 @@ def mbj_title(t: Column, kind: Column) -> Column:
 def dmm_series(t: Column) -> Column:
     """(series, kind) by the number at the end: volumes, episodes, or parts of a webtoon."""
     t = F.trim(t)
-    rules = ((r"^(.*?)\s*(\d+)巻$", "EB"), (r"^(.*?)\s*(\d+)話(?:\s+外伝\d+)?$", "EP"), (r"^(.*?[^\d])\s*(\d+)(?:\s+外伝\d+)?$", "WT"))
+    rules = ((r"^(.*?)\s*(\d+)巻$", "EB", "巻"), (r"^(.*?)\s*(\d+)話(?:\s+外伝\d+)?$", "EP", "話"), (r"^(.*?[^\d])\s*(\d+)(?:\s+外伝\d+)?$", "WT", ""))
     out = F.struct(t.alias("series"), F.lit("WT").alias("kind"))
-    for pattern, kind in reversed(rules):
-        out = F.when(t.rlike(pattern), F.struct(F.trim(F.regexp_extract(t, pattern, 1)).alias("series"), F.lit(kind).alias("kind"))).otherwise(out)
+    for pattern, kind, sign in reversed(rules):  # the sign is looked for first, as the patterns try every start of a number
+        out = F.when(t.contains(sign) & t.rlike(pattern), F.struct(F.trim(F.regexp_extract(t, pattern, 1)).alias("series"), F.lit(kind).alias("kind"))).otherwise(out)
     return out
 
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import titles as N
 from ledgerloom.functions.joins import with_group
 from ledgerloom.sources import daily, readers, workbooks
 
@@ -58,9 +59,9 @@ def test_days_of_files_are_taken_once(spark):
     assert not _filters(out, "regexp")
 
 
-def test_titles_are_formed_once_where_siblings_are_sought(spark):
-    data = [("PAS_202405.csv", t, "1", "1", "0", "5") for t in ("a【タテコミ】", "a[完全版]", "b")]
-    table = spark.createDataFrame(data, "file string, `書名` string, `価格` string, `売上冊数` string, `アップグレード冊数` string, `支払額` string")
-    own = readers.lines(readers.text_table(table, readers.READERS["renta"], F.col("file")), "renta")
-    assert sorted((r.title, r.kind, str(r.month)) for r in own.collect()) == [("a[完全版]", "EB", "2024-05-01"), ("a【タテコミ】", "WT", "2024-05-01"), ("b", "EB", "2024-05-01")]
-    assert not _filters(own, "translate(")
+def test_patterns_of_series_are_tried_where_their_sign_is(spark):
+    titles = {"a 12巻": ("a", "EB"), "a 3話 外伝2": ("a", "EP"), "a巻 5話": ("a巻", "EP"), "a 7": ("a", "WT"), "a": ("a", "WT"), "1 2": ("1", "WT"), "［ａ］～ 4": ("［ａ］～", "WT")}
+    rows = spark.createDataFrame([(t,) for t in titles], "t string").withColumn("s", N.dmm_series(F.col("t")))
+    assert {r.t: (r.s.series, r.s.kind) for r in rows.collect()} == titles
+    assert [r[0] for r in spark.createDataFrame([("［a］～１ b　♥",), ("a b",), (None,)], "t string").select(N.dmm_title(F.col("t"))).collect()] == ["[a]〜1b", "ab", None]
+    assert "Contains(" in _plan(rows.select("s.kind"))
