@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import dates, money
 from ledgerloom.functions import text as T
+from ledgerloom.functions.joins import with_group
 from ledgerloom.operators.ledger import draw_down, strict_key, suppress_existing
 
 TAX = 0.1
@@ -241,6 +242,8 @@ RECONCILED_CHANNELS = ("line", "ebj", "ebj_webtoon", "mechacomic", "booklive", "
 PICCOMA_KINDS = {"chapter": ("wt", "wr", "wn"), "volume": ("eb", "ep")}
 GUESSED_NOTE, SCANNED_NOTE = "TYPE_HEURISTIC", "SHUEISHA_OCR_TITLE"
 MOST_INSERTED, MARGIN = 3, 3
+#: First halves of more titles than this are broadcast: one for as many titles at most.
+COMMON_HALF = 10_000
 
 
 def _title_key(title: str = "title_jp") -> Column:
@@ -314,11 +317,13 @@ def _shortened(titles: DataFrame, known: DataFrame) -> DataFrame:
     tried = titles.withColumn("_more", F.explode(F.sequence("_from", "_to"))).withColumn("_length", F.char_length("_title") - F.col("_more")).join(lengths, ["_channel", "_kind", "_length"])
     starts = tried.withColumn("_in_start", F.explode(F.sequence(F.lit(0), "_more"))).withColumn("_cut", F.expr("_length div 2 + _in_start"))
     starts = starts.withColumn("_half", F.explode(_without(F.expr("substr(_title, 1, _cut)"), F.col("_in_start"))))
-    halves = known.select("_channel", "_kind", "_length", "_half").distinct()
-    seen = starts.join(halves, ["_channel", "_kind", "_length", "_half"], "left_semi")
+    # a half of many titles is one of few: those are broadcast, so that its starts are dealt out; all else meets by sorting
+    at = ["_channel", "_kind", "_length", "_half"]
+    halves = known.groupBy(*at).agg(F.count("*").alias("_titles"), F.first(F.lit(True)).alias("_there"))
+    seen = with_group(starts, halves, at, large=COMMON_HALF, counted="_titles", near_hint="merge").drop("_there")
     rests = seen.withColumn("_rest", F.explode(_without(F.expr("substr(_title, _cut + 1)"), F.col("_more") - F.col("_in_start"))))
     whole = rests.select("_channel", "_kind", "_title", "_rows", "_more", F.concat("_half", "_rest").alias("_base"))
-    return whole.join(known.select("_channel", "_kind", "_base", "_spelling"), ["_channel", "_kind", "_base"]).distinct()
+    return whole.join(known.select("_channel", "_kind", "_base", "_spelling").hint("merge"), ["_channel", "_kind", "_base"]).distinct()
 
 
 def reconcile_scanned(current: DataFrame, base: DataFrame) -> DataFrame:
@@ -327,14 +332,15 @@ def reconcile_scanned(current: DataFrame, base: DataFrame) -> DataFrame:
     A scan puts signs in. A marked title that ``base`` lacks takes the base title that it holds as a subsequence, if it
     has at most MOST_INSERTED signs more, every other such base title needs MARGIN signs more than that, and no other
     marked row is as near to that base title. Base titles that a current row bears are no candidates. Titles meet by an
-    equi-join on channel, type and what is left of a scanned title without the signs put in (``_shortened``).
+    equi-join on channel, type and what is left of a scanned title without the signs put in (``_shortened``). Titles
+    are never broadcast: they shrink so much in a shuffle that Spark takes millions of them for a small table.
     """
     part = lambda c: F.lower(F.trim(c))
     at = lambda d: d.withColumns({"_channel": part("channel"), "_kind": part("type"), "_title": _title_key()})
     key = ["_channel", "_kind", "_title"]
     now, old = at(current), at(base)
-    unmatched = old.where("_title <> ''").groupBy(*key).agg(F.min(F.trim("title_jp")).alias("_spelling")).join(now.select(*key).distinct(), key, "left_anti")
-    marked = now.where(F.coalesce(F.col("note2"), F.lit("")).contains(SCANNED_NOTE)).groupBy(*key).agg(F.count("*").alias("_rows")).join(old.select(*key).distinct(), key, "left_anti")
+    unmatched = old.where("_title <> ''").groupBy(*key).agg(F.min(F.trim("title_jp")).alias("_spelling")).join(now.select(*key).distinct().hint("merge"), key, "left_anti")
+    marked = now.where(F.coalesce(F.col("note2"), F.lit("")).contains(SCANNED_NOTE)).groupBy(*key).agg(F.count("*").alias("_rows")).join(old.select(*key).distinct().hint("merge"), key, "left_anti")
     known = unmatched.select("_channel", "_kind", F.col("_title").alias("_base"), "_spelling")
     near = _shortened(marked.select("*", F.lit(1).alias("_from"), F.lit(MOST_INSERTED).alias("_to")), known)
     # a title's rivals need at most MARGIN - 1 signs more than its nearest; only those not looked for yet are
@@ -346,6 +352,6 @@ def reconcile_scanned(current: DataFrame, base: DataFrame) -> DataFrame:
     close = F.when(F.col("_more") < F.col("_least") + MARGIN, 1)
     met = met.withColumns({"_close": F.count(close).over(by_title), "_rivals": F.sum(F.when(F.col("_more") == F.col("_nearest"), F.col("_rows"))).over(by_base)})
     best = met.where(f"_more = _least and _more <= {MOST_INSERTED} and _close = 1 and _more = _nearest and _rivals = 1").select(*key, "_spelling")
-    out = now.join(best, key, "left")
+    out = now.join(best.hint("merge"), key, "left")
     mine = F.coalesce(F.col("note2"), F.lit("")).contains(SCANNED_NOTE) & F.col("_spelling").isNotNull()
     return out.select(*(F.when(mine, F.col("_spelling")).otherwise(F.col(c)).alias(c) if c == "title_jp" else c for c in current.columns), F.when(mine, F.col("title_jp")).alias("raw_title"))

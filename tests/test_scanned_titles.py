@@ -43,3 +43,15 @@ def test_scanned_titles_against_all_pairs(spark):
     got = sorted(((x.title_jp, x.raw_title) for x in out.collect()), key=str)
     assert got == plain(now, base) and any(raw for _, raw in got)
     assert "_half" in out._jdf.queryExecution().optimizedPlan().toString()  # titles of one length alone do not meet
+
+
+def test_titles_are_never_broadcast_however_well_they_compress(spark):
+    name = "concat('作品', translate(lpad(cast(id as string), 7, '0'), '0123456789', 'abcdefghij'))"
+    base = spark.range(3000).selectExpr("'C' AS channel", "'eb' AS type", f"{name} AS title_jp")
+    noisy = f"CASE WHEN id % 3 = 0 THEN concat(substr({name}, 1, 4), '口', substr({name}, 5)) ELSE {name} END"
+    current = spark.range(3000).selectExpr("'c' AS channel", "'EB' AS type", f"{noisy} AS title_jp", f"CASE WHEN id % 3 = 0 THEN '{S.SCANNED_NOTE}' END AS note2")
+    out = S.reconcile_scanned(current, base)
+    assert sum(x.raw_title is not None for x in out.collect()) == 1000
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    met = [x for x in plan.splitlines() if "BroadcastHashJoin" in x]
+    assert met and not [x for x in met if "_title" in x or "_base" in x] and "SortMergeJoin" in plan
