@@ -86,6 +86,28 @@ def _looked_up(rows: DataFrame, side: DataFrame | None, key: str, name: Column,
     return rows.join(one, F.col(key) == F.col("_name"), "left").drop("_name")
 
 
+def _client_names(clients: DataFrame) -> DataFrame:
+    """A row a name in lower case: the least code that it is an alias of, that client's id, and the ids of the codes spelt so."""
+    ids = clients.where("code is not null").groupBy("code").agg(F.min("client_id").alias("_id"))
+    alias = F.explode(F.concat(F.array(F.lower("code")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(F.trim(a)))))
+    aliases = clients.select("code", alias.alias("_name")).groupBy("_name").agg(F.min("code").alias("code")).join(ids, "code").select("_name", F.col("code").alias("_alias_code"), F.col("_id").alias("_alias_id"))
+    spelt = ids.groupBy(F.lower(F.trim("code")).alias("_name")).agg(F.map_from_entries(F.collect_list(F.struct("code", "_id"))).alias("_spelt"))
+    return aliases.join(spelt, "_name", "full")
+
+
+def _with_clients(rows: DataFrame, clients: DataFrame | None, said: str) -> DataFrame:
+    """``rows`` with ``_code`` and ``client_id``: of the alias that ``_folded`` is, else of the code that ``said`` spells.
+
+    A code and what spells it are one name in lower case, so that both are found by one join.
+    """
+    if clients is None:
+        return rows.withColumns({"_code": F.col(said), "client_id": F.lit(None).cast("string")})
+    out = rows.join(_client_names(clients), F.col("_folded") == F.col("_name"), "left")
+    spelt = F.get(F.array(F.element_at("_spelt", F.col(said))), 0)
+    own = F.when(F.col("_alias_code").isNotNull(), F.col("_alias_id")).otherwise(spelt)
+    return out.withColumns({"_code": F.coalesce("_alias_code", said), "client_id": own}).drop("_name", "_alias_code", "_alias_id", "_spelt")
+
+
 def sales_records(rows: DataFrame, uploads: DataFrame, clients: DataFrame | None = None, channels: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
     """Records of ``rows`` of any of the three shapes, and what of each could not be resolved.
 
@@ -141,22 +163,25 @@ def sales_records(rows: DataFrame, uploads: DataFrame, clients: DataFrame | None
     folded = F.lower(F.trim(client))
     index = F.col("row_index").cast("long") if "row_index" in rows.columns else F.lit(None).cast("long")
     out = rows.select("upload_id", index.alias("row_index"), *(c.alias(n) for n, c in own.items()), folded.alias("_folded"), client.alias("_client"), F.trim(channel).alias("_channel"), channel.alias("_as_channel"), F.lower(row["title_jp"].cast("string")).alias("_title"))
-    known = None if clients is None else clients.select("client_id", "code", F.explode(F.concat(F.array(F.lower("code")), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.lower(F.trim(a))))).alias("alias"))
-    out = _looked_up(out, known, "_folded", F.col("alias"), "code", "_code")
-    out = out.withColumn("_code", F.coalesce("_code", "_client" if raw else "_folded"))
-    out = _looked_up(out, clients, "_code", F.col("code"), "client_id", "client_id")
-    out = _looked_up(out, channels, "_channel", F.col("code"), "channel_id", "channel_id")
-    out = _looked_up(out, titles, "_title", F.lower("title_jp"), "title_id", "title_id")
-
+    # joined in the order in which the least is carried on: a file's rows stay together for its client, and a name that
+    # is found is dropped before the next join
     month = uploads.groupBy("upload_id").agg(F.max(F.struct(F.col("settlement_month").cast("date").alias("batch"), F.col("sales_month").cast("date").alias("file"), F.col("forced").alias("forced"))).alias("_of"))
     out = out.join(month, "upload_id", "left")
     batch, file = F.col("_of.batch"), F.col("_of.file")
     settled = F.when(F.coalesce("_of.forced", F.lit(False)), batch).otherwise(F.coalesce("_settled", batch))
+    out = out.withColumns({"sales_month": F.coalesce("_sales", file if raw else F.trunc(file, "MM"), batch), "settlement_month": settled, "settlement_batch": batch}).drop("_of", "_sales", "_settled")
     missing = []
-    if not raw:
-        told = lambda there, field, what, code, sample: F.when(F.col(there).isNull(), F.struct(F.lit(field).alias("field"), F.concat(F.lit(f"unresolved {what}: "), F.col(code)).alias("message"), F.col(sample).alias("sample")))
-        missing += [told("client_id", of[0][0], "client", "_code", "_client")] if clients is not None else []
-        missing += [told("channel_id", of[1][0], "channel", "_channel", "_as_channel")] if channels is not None else []
+
+    def told(out: DataFrame, side: DataFrame | None, there: str, field: str, what: str, code: str, sample: str) -> DataFrame:
+        if not raw and side is not None:
+            missing.append(F.col(f"_no_{what}"))
+            entry = F.struct(F.lit(field).alias("field"), F.concat(F.lit(f"unresolved {what}: "), F.col(code)).alias("message"), F.col(sample).alias("sample"))
+            out = out.withColumn(f"_no_{what}", F.when(F.col(there).isNull(), entry))
+        return out.drop(code, sample)
+
+    out = told(_with_clients(out, clients, "_client" if raw else "_folded"), clients, "client_id", of[0][0], "client", "_code", "_client").drop("_folded")
+    out = told(_looked_up(out, channels, "_channel", F.col("code"), "channel_id", "channel_id"), channels, "channel_id", of[1][0], "channel", "_channel", "_as_channel")
+    out = _looked_up(out, titles, "_title", F.lower("title_jp"), "title_id", "title_id")
     unresolved = F.array_compact(F.array(*missing)) if missing else F.array().cast("array<struct<field:string,message:string,sample:string>>")
     return out.select(
         "upload_id",
@@ -164,9 +189,9 @@ def sales_records(rows: DataFrame, uploads: DataFrame, clients: DataFrame | None
         "client_id",
         "channel_id",
         "title_id",
-        F.coalesce("_sales", file if raw else F.trunc(file, "MM"), batch).alias("sales_month"),
-        settled.alias("settlement_month"),
-        batch.alias("settlement_batch"),
+        "sales_month",
+        "settlement_month",
+        "settlement_batch",
         *(n for n in own if not n.startswith("_")),
         unresolved.alias("unresolved"),
     )

@@ -1,8 +1,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.operators.records import sales_records, shape_of, unresolved_codes
+from ledgerloom.plans import views as V
 
 DAY = dt.date
 
@@ -65,3 +67,29 @@ def test_raw_rows_may_be_maps_and_tables_may_be_empty(spark, sides):
     a, b = sales_records(rows, **sides).orderBy("row_index").collect()
     assert (a.client_id, a.note2, b.total_amount_jpy) == ("u1", "SUMMARY_NON_AGGREGATED", 5.0)
     assert sales_records(rows.where("false"), **{k: v.where("false") for k, v in sides.items()}).count() == 0
+
+
+def test_a_client_is_found_by_one_join_and_by_its_code_as_spelt(spark):
+    """Codes that differ in case or blanks alone, an alias of two codes, an alias without a code, and none."""
+    clients = spark.createDataFrame(
+        [("1", " Ab", ["x"]), ("2", "ab", ["x", " Y "]), ("3", "AB ", None), ("4", None, ["z"]), ("0", "ab", []), ("5", "w", ["q", None]), ("6", " Cd", None)],
+        "client_id string, code string, aliases array<string>",
+    )
+    said = ["ab", " Ab", "AB ", "X", "y", "z", "W", " q ", "none", None, " Cd"]
+    uploads = spark.createDataFrame([(1, "2024-05-01", None, False)], "upload_id long, settlement_month string, sales_month string, forced boolean")
+    rows = spark.createDataFrame([(1, i, c, "ch") for i, c in enumerate(said)], "upload_id long, row_index long, client_code string, channel string")
+    raw = rows.selectExpr("upload_id", "row_index", "struct(client_code, channel) AS data")
+    sheet = rows.withColumnRenamed("client_code", "clients")
+    ids = lambda r: [x.client_id for x in sales_records(r, uploads, clients).orderBy("row_index").collect()]
+    assert ids(sheet) == ["0", "0", "0", "1", "0", None, "5", "5", None, None, None]
+    assert ids(raw) == ["0", "0", "0", "1", "0", None, "5", "5", None, None, "6"]
+    plan = sales_records(sheet, uploads, clients)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 2  # the upload's month and the client
+
+
+def test_channels_are_as_small_to_spark_as_the_suppliers(spark):
+    plan = V.channels(spark, "/root/testdata/sf0.01")._jdf.queryExecution().optimizedPlan()
+    assert plan.stats().sizeInBytes() < 50_000  # 100 suppliers; the product with the nations was more
+    assert sorted(V.channels(spark, "/root/testdata/sf0.01").collect()) == sorted(
+        V.table(spark, "/root/testdata/sf0.01", "supplier").join(V.table(spark, "/root/testdata/sf0.01", "nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name").collect()
+    )
