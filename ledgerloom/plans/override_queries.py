@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
@@ -233,14 +233,21 @@ query(
 
 def _invoices(s: SparkSession, d: str) -> DataFrame:
     """An invoice an upload; the subtotal of every fifth is off by a yen."""
-    ledger = V.ledger(s, d).withColumn("file", F.concat(F.lit("【請求書】X様_"), "upload_id"))
-    row = lambda rows, place, *cells: rows.select("file", F.lit("請求書").alias("sheet"), F.expr(place).cast("int").alias("row_index"), F.array(*(F.expr(f"CAST({c} AS STRING)") for c in cells)).alias("cells"))
-    sums = ledger.groupBy("file", "upload_id").agg(F.sum("gross").alias("g"), F.min("batch").alias("batch"))
-    lines = row(ledger, "10 + line", "line", "title_jp", "'5'", "'-'", "1", "gross")
-    head = row(sums, "9", "'№'", "'内容'", "'単価'", "'印税率'", "'数量'", "'金額'")
-    top = row(sums, "1", "concat('件名：', substr(batch, 1, 4) + 30, '年', substr(batch, 6, 2), '月分')").union(row(sums, "2", "'お支払期限'", "''", "'2028年6月30日'"))
-    foot = row(sums, "100", "'小計'", "''", "g + CASE WHEN upload_id % 5 = 0 THEN 1 ELSE 0 END").union(row(sums, "101", "''", "'振込手数料'"))
-    records, problems = invoices.invoice_records(lines.union(head).union(top).union(foot))
+    upload = Window.partitionBy("upload_id")
+    of = {"g": F.sum("gross").over(upload), "batch": F.min("batch").over(upload), "first": F.row_number().over(upload.orderBy("upload_id")) == 1}
+    ledger = V.ledger(s, d).select("upload_id", "line", "title_jp", "gross", "batch").withColumns(of)
+    row = lambda place, *cells: f"named_struct('row_index', CAST({place} AS INT), 'cells', array({', '.join(f'CAST({c} AS STRING)' for c in cells)}))"
+    line = row("10 + line", "line", "title_jp", "'5'", "'-'", "1", "gross")
+    around = (
+        row("9", "'№'", "'内容'", "'単価'", "'印税率'", "'数量'", "'金額'"),
+        row("1", "concat('件名：', substr(batch, 1, 4) + 30, '年', substr(batch, 6, 2), '月分')"),
+        row("2", "'お支払期限'", "''", "'2028年6月30日'"),
+        row("100", "'小計'", "''", "g + CASE WHEN upload_id % 5 = 0 THEN 1 ELSE 0 END"),
+        row("101", "''", "'振込手数料'"),
+    )
+    rows = F.expr(f"CASE WHEN first THEN array({', '.join((line, *around))}) ELSE array({line}) END")
+    cells = ledger.select(F.concat(F.lit("【請求書】X様_"), "upload_id").alias("file"), F.lit("請求書").alias("sheet"), F.inline(rows))
+    records, problems = invoices.invoice_records(cells)
     read = records.select("file", "title", "sales_month", "settlement_month", "before_tax_income", "after_tax_income", "consumption_tax", F.lit(None).cast("string").alias("problem"))
     return read.unionByName(problems.select("file", *(F.lit(None).cast(t).alias(c) for c, t in read.dtypes[1:-1]), "problem"))
 

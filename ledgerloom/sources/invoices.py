@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,12 +29,14 @@ def month_said(text: Column) -> Column:
 def invoice_totals(cells: DataFrame) -> DataFrame:
     """(file, subject, issued, due, total, subtotal, tax) of invoices' sheets (file, sheet, row_index, cells).
 
-    What stands beside a label in its row; of several rows the last. A row is looked at by itself, and only its file
-    counts where its text holds no label.
+    What stands beside a label in its row; of several rows the last. A row is looked at by itself, and only if its text
+    holds a label; of all others no more than the file is read.
     """
+    sheets = cells.where(F.col("sheet").contains("請求書"))
     text = F.array_join("cells", "\n")
-    labelled_row = reduce(lambda a, b: a | b, (text.contains(x) for x in (SUBJECT, ISSUED, DUE, TOTAL, SUBTOTAL, TAX)))
-    own = cells.where(F.col("sheet").contains("請求書")).select("file", "row_index", F.when(labelled_row, F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit(""))))).alias("c"))
+    own = sheets.where(text.rlike("|".join((SUBJECT, ISSUED, DUE, TOTAL, SUBTOTAL, TAX))))  # one pattern: a filter joins the cells again for each
+    own = own.select("file", "row_index", text.alias("text"), F.transform("cells", lambda c: F.trim(F.coalesce(c, F.lit("")))).alias("c"))
+    if_said = lambda label, value: F.when(F.col("text").contains(label), value)
     place = lambda test: F.array_position(F.transform("c", test), True).cast("int")
     after = lambda test: F.when(place(test) > 0, F.slice("c", place(test) + 1, F.size("c")))
     first = lambda values, keep: F.get(F.filter(values, keep), F.lit(0))
@@ -45,15 +45,16 @@ def invoice_totals(cells: DataFrame) -> DataFrame:
     rows = own.select(
         "file",
         "row_index",
-        F.substring(first("c", lambda c: c.startswith(SUBJECT)), len(SUBJECT) + 1, 1000).alias("subject"),
-        month_said(first(after(lambda c: c == ISSUED), lambda c: c != "")).alias("issued"),
-        first(F.transform(after(lambda c: c.startswith(DUE)), month_said), lambda m: m.isNotNull()).alias("due"),
-        first(numbers(after(lambda c: c == TOTAL)), lambda n: n.isNotNull()).alias("total"),
-        labelled(SUBTOTAL).alias("subtotal"),
-        labelled(TAX).alias("tax"),
+        if_said(SUBJECT, F.substring(first("c", lambda c: c.startswith(SUBJECT)), len(SUBJECT) + 1, 1000)).alias("subject"),
+        if_said(ISSUED, month_said(first(after(lambda c: c == ISSUED), lambda c: c != ""))).alias("issued"),
+        if_said(DUE, first(F.transform(after(lambda c: c.startswith(DUE)), month_said), lambda m: m.isNotNull())).alias("due"),
+        if_said(TOTAL, first(numbers(after(lambda c: c == TOTAL)), lambda n: n.isNotNull())).alias("total"),
+        if_said(SUBTOTAL, labelled(SUBTOTAL)).alias("subtotal"),
+        if_said(TAX, labelled(TAX)).alias("tax"),
     )
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("row_index"))).alias(c)
-    return rows.groupBy("file").agg(*(last(c) for c in ("subject", "issued", "due", "total", "subtotal", "tax")))
+    said = rows.groupBy(F.col("file").alias("_file")).agg(*(last(c) for c in ("subject", "issued", "due", "total", "subtotal", "tax")))
+    return sheets.select("file").distinct().join(said, F.col("file").eqNullSafe(F.col("_file")), "left").drop("_file")
 
 
 def invoice_records(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,9 +65,8 @@ def invoice_records(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     several steps read (rows, lines, totals) is written once to the shared folder.
     """
     cells = stored(cells.withColumn("row_index", F.col("row_index").cast("int")), "invoice-cells")
-    foot = cells.where(F.exists("cells", lambda c: F.coalesce(c.rlike(FOOTER), F.lit(False)))).groupBy("file", "sheet").agg(F.min("row_index").alias("foot"))
-    body = cells.join(foot, ["file", "sheet"], "left").where("foot is null or row_index < foot").drop("foot")
-    own = stored(readers.lines(readers.sheet_table(body, readers.READERS["invoice"]), "invoice").select("file", F.col("raw_title").alias("title"), F.col("sales").cast("long").alias("amount"), "price", "units", "rate"), "invoice-lines")
+    foot = F.array_join("cells", "\n").rlike(FOOTER)
+    own = stored(readers.lines(readers.sheet_table(cells, readers.READERS["invoice"], until=foot), "invoice").select("file", F.col("raw_title").alias("title"), F.col("sales").cast("long").alias("amount"), "price", "units", "rate"), "invoice-lines")
     totals = stored(invoice_totals(cells), "invoice-totals")
     sums = own.groupBy("file").agg(F.sum("amount").alias("amount_sum"))
     met = totals.join(sums, "file", "left")

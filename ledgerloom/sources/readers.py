@@ -301,12 +301,13 @@ def _picked(body: DataFrame, places: dict[str, Column]) -> DataFrame:
     return taken_once(own(lambda f: F.nullif(F.col(f), F.lit(""))))
 
 
-def sheet_table(cells: DataFrame, reader: Reader) -> DataFrame:
+def sheet_table(cells: DataFrame, reader: Reader, until: Column | None = None) -> DataFrame:
     """(file, sheet, row_index, the reader's columns as strings) of rows (file, sheet, row_index, cells) of any sheets.
 
     The header row of a sheet is its first that holds all columns that are not optional, white space aside; a sheet
     without one gives no rows. Where columns are places, the rows after ``skip`` count, from the first column that a
-    sheet uses in the rows above. One row a sheet is joined back; a sheet's rows are not gathered.
+    sheet uses in the rows above. One row a sheet is joined back; a sheet's rows are not gathered. ``until``: a sheet with
+    a header ends before its first row of which this holds.
     """
     rows = cells if reader.sheets is None else cells.where(F.col("sheet").rlike(reader.sheets))
     names = {f: c for f, c in reader.columns.items() if isinstance(c, str)}
@@ -319,16 +320,18 @@ def sheet_table(cells: DataFrame, reader: Reader) -> DataFrame:
     needed = [c for f, c in names.items() if f not in reader.optional]
     is_header = F.array_size(F.array_intersect("cells", F.array(*map(F.lit, needed)))) == len(set(needed))
     # the names must be somewhere in the row's text; only then are all its cells looked at
-    near = rows.select("file", "sheet", "row_index", "cells", F.array_join("cells", "\t").alias("_text")).withColumn("_text", _unbroken(F.col("_text")))
+    end = F.lit(None).cast("long") if until is None else F.when(until, F.col("row_index").cast("long"))
+    near = rows.select("file", "sheet", "row_index", "cells", end.alias("_end"), F.array_join("cells", "\t").alias("_text")).withColumn("_text", _unbroken(F.col("_text")))
     some = reduce(lambda a, b: a & b, (F.col("_text").contains(c) for c in needed)) if needed else F.lit(True)
-    near = near.select("file", "sheet", "row_index", F.when(some, F.transform("cells", _cell)).alias("cells"))
-    near = near.select("file", "sheet", F.when(is_header, F.col("row_index").cast("long")).alias("_row"), "cells")
+    near = near.select("file", "sheet", "row_index", "_end", F.when(some, F.transform("cells", _cell)).alias("cells"))
+    near = near.select("file", "sheet", F.when(is_header, F.col("row_index").cast("long")).alias("_row"), "_end", "cells")
     # of the first header row the places of its columns, one number each, so that no row is sorted for them
     place = {f: F.when(F.col("_row").isNotNull(), F.col("_row") * WIDEST + F.array_position("cells", c)) for f, c in names.items()}
-    head = near.groupBy("file", "sheet").agg(F.count("*").alias("_rows"), F.min("_row").alias("_head"), *(F.min(at).alias(f"_at_{f}") for f, at in place.items())).where("_head is not null")
+    head = near.groupBy("file", "sheet").agg(F.count("*").alias("_rows"), F.min("_row").alias("_head"), F.min("_end").alias("_end"), *(F.min(at).alias(f"_at_{f}") for f, at in place.items())).where("_head is not null")
     at = lambda f: F.nullif((F.col(f"_at_{f}") - F.col("_head") * WIDEST).cast("int"), F.lit(0)) - 1
-    head = head.select("file", "sheet", "_rows", "_head", *(at(f).alias(f"_at_{f}") for f in names))
+    head = head.select("file", "sheet", "_rows", "_head", *([] if until is None else ["_end"]), *(at(f).alias(f"_at_{f}") for f in names))
     body = with_group(rows, head, ["file", "sheet"], counted="_rows").where("row_index > _head")
+    body = body if until is None else body.where("_end is null or row_index < _end")
     return _picked(body, {f: F.col(f"_at_{f}") for f in names})
 
 
