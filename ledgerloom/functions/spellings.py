@@ -13,7 +13,7 @@ def _signs(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(t) for t in texts], np.int64)
     every = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
     number = np.unique(every, return_inverse=True)[1] + 1
-    out = np.zeros((int(size.max(initial=0)), len(texts)), np.int32)
+    out = np.zeros((int(size.max(initial=0)), len(texts)), np.min_scalar_type(int(number.max(initial=0))))
     out[np.arange(len(every)) - np.repeat(np.cumsum(size) - size, size), np.repeat(np.arange(len(texts)), size)] = number
     return out, size
 
@@ -28,24 +28,42 @@ def edits(signs: np.ndarray, size: np.ndarray, texts: np.ndarray, heads: np.ndar
     if not len(short):
         return out
     texts, (distinct, which) = texts[short], np.unique(heads[short], return_inverse=True)
-    width, m = int(signs.max()) + 1, size[heads[short]]
-    at = np.zeros((len(distinct), width), np.uint64)
-    for i in range(int(m.max())):
-        rows = np.flatnonzero(size[distinct] > i)
-        at[rows, signs[i, distinct[rows]]] |= np.uint64(1 << i)
-    at, start, length = at.ravel(), which * width, size[texts]
-    one, last = np.uint64(1), (m - 1).astype(np.uint64)
-    more, fewer, score, best = np.full(len(m), ~np.uint64(0)), np.zeros(len(m), np.uint64), m.copy(), m.copy()
-    for j in range(int(length.max())):
-        same = at[start + signs[j, texts]]
-        across = (((same & more) + more) ^ more) | same
-        up, down = fewer | ~(across | more), more & across
-        score += ((up >> last) & one).view(np.int64)
-        score -= ((down >> last) & one).view(np.int64)
-        up, kept = (up << one) | one, same | fewer
-        more, fewer = (down << one) | ~(kept | up), up & kept
-        np.copyto(best, score, where=length == j + 1)
-    out[short] = best
+    length, m, own = size[texts], size[distinct], signs[:, distinct]
+    read = signs[: int(length.max())].take(texts, axis=1)
+    width = int(max(read.max(), own.max())) + 1
+    bits = np.uint32 if m.max() <= 32 else np.uint64
+    at, one = np.zeros((len(distinct), width), bits), bits(1)
+    sign, rows = np.nonzero(np.arange(int(m.max()))[:, None] < m)
+    np.bitwise_or.at(at, (rows, own[sign, rows]), one << sign.astype(bits))
+    same = at[0][read] if len(distinct) == 1 else at.ravel()[read + (which * width).astype(np.int32)]
+    more, fewer = np.full(len(texts), ~bits(0)), np.zeros(len(texts), bits)
+    last_more, last_fewer = more.copy(), fewer.copy()
+    across, up, down, kept = (np.empty_like(more) for _ in range(4))
+    ends = set(np.unique(length).tolist())
+    for j in range(len(same)):
+        np.bitwise_and(same[j], more, across)
+        across += more
+        across ^= more
+        across |= same[j]
+        np.bitwise_or(across, more, up)
+        np.invert(up, up)
+        up |= fewer
+        np.bitwise_and(more, across, down)
+        np.bitwise_or(same[j], fewer, kept)
+        up <<= one
+        up |= one
+        down <<= one
+        np.bitwise_or(kept, up, more)
+        np.invert(more, more)
+        more |= down
+        np.bitwise_and(up, kept, fewer)
+        if j + 1 in ends:
+            ended = length == j + 1
+            np.copyto(last_more, more, where=ended)
+            np.copyto(last_fewer, fewer, where=ended)
+    # down the last column each bit is a step of one: more or fewer edits with one sign more of the head
+    head = (~bits(0) >> (8 * one.nbytes - m).astype(bits))[which]
+    out[short] = length + np.bitwise_count(last_more & head) - np.bitwise_count(last_fewer & head).astype(np.int64)
     return out
 
 
@@ -67,16 +85,23 @@ def first_near(texts: list[str], page: np.ndarray, share: float, least: int) ->
     none join it. Texts whose counts of signs differ by more than the bound are told apart without a distance.
     """
     signs, size = _signs(texts)
-    counts = np.stack([(signs % CLASSES == c).sum(0) - (signs == 0).sum(0) * (c == 0) for c in range(CLASSES)], 1).astype(np.int32)
+    counts = np.stack([(signs % CLASSES == c).sum(0) - (signs == 0).sum(0) * (c == 0) for c in range(CLASSES)]).astype(np.min_scalar_type(-int(size.max(initial=0)) - 1))
+    counts = counts[counts.any(1)]
     head, left = np.zeros(len(texts), np.int64), np.arange(len(texts))
     while len(left):
-        opens = np.concatenate(([True], np.diff(page[left]) != 0))
-        h = left[opens][np.cumsum(opens) - 1]
-        bound = np.maximum(least, np.floor(np.maximum(size[left], size[h]) * share)).astype(np.int64)
-        apart = counts[left] - counts[h]
-        more = np.maximum(apart, 0).sum(1)
-        may = np.flatnonzero(np.maximum(more, more - apart.sum(1)) <= bound)
+        # of what is left only: its pages, lengths and counts are cut down with it
+        opens = np.flatnonzero(np.concatenate(([True], page[1:] != page[:-1])))
+        each = np.diff(np.append(opens, len(left)))
+        h = np.repeat(left[opens], each)
+        own = size[left]
+        bound = np.maximum(least, np.floor(np.maximum(own, np.repeat(own[opens], each)) * share)).astype(np.int64)
+        more, apart = np.zeros(len(left), np.int64), own - np.repeat(own[opens], each)
+        for c in counts:
+            more += np.maximum(c - (c[0] if len(opens) == 1 else np.repeat(c[opens], each)), 0)
+        may = np.flatnonzero(np.maximum(more, more - apart) <= bound)
         near = may[edits(signs, size, left[may], h[may]) <= bound[may]]
         head[left[near]] = h[near]
-        left = np.delete(left, near)
+        rest = np.ones(len(left), bool)
+        rest[near] = False
+        left, page, counts = left[rest], page[rest], counts[:, rest]
     return head

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.plans import views as V
 from ledgerloom.plans.registry import HALF, query
 from ledgerloom.sources import notices
+from ledgerloom.sources.versioned import stored
 
 
 def _net(gross: str) -> str:
@@ -116,7 +117,7 @@ _SPELT = "repeat(title_jp, 3) || CASE line % 3 WHEN 0 THEN '口' ELSE '' END"
 def _shueisha(s: SparkSession, d: str) -> DataFrame:
     """A notice a month and fiftieth of the clients; the totals of every fifth are off by one yen."""
     rows = V.ledger(s, d).selectExpr(f"{_NOTICE} AS file", "(upload_id * 8 + line) * 10000000 + gross AS place", f"{_SPELT} AS title", "CASE WHEN line % 2 = 0 THEN '単行本' ELSE '話配信' END AS kind", "gross AS payment", "client_id % 50 AS k")
-    sums = rows.groupBy("file", "k").agg(F.sum("payment").alias("summary_total"))
+    sums = stored(rows.groupBy("file", "k").agg(F.sum("payment").alias("summary_total")), "notice-sums")  # a row a file
     day, month = F.lit("1998-09-25").cast("date"), F.to_date(F.concat(F.substring("file", 1, 7), F.lit("-01")))
     total = (F.col("summary_total") + F.when(F.col("k") % 5 == 0, 1).otherwise(0)).alias("detail_total")
     pages = sums.select("file", day.alias("payment_date"), day.alias("second_date"), (F.col("summary_total") + 1100).alias("grand_total"), "summary_total", total, month.alias("detail_month"))

@@ -43,8 +43,8 @@ SHUEISHA_CUTS = ("単行本", "話配信", "EPUB", "フルカラー", "【")
 SHUEISHA_HEADERS = "(?i)マンガMee|ジャンプ|原作使用料|WEB広告"
 #: The share of the longer spelling, and the least number of edits, within which two spell one title.
 NEAR = (0.45, 2)
-#: Spellings of so many small pages are taken together.
-TOGETHER = 8000
+#: Spellings of so many pages are taken together, so that numpy has much to do at a time; a page is never split.
+TOGETHER = 64_000
 
 
 def wide_volume(base: Column, volume: Column) -> Column:
@@ -449,6 +449,7 @@ def shueisha_notice(pages: DataFrame, adverts: DataFrame, details: DataFrame) ->
     }
     listed = lambda faults: F.array_compact(F.array(*(F.when(c, name) for name, c in faults.items())))
     out = out.withColumn("unread", listed(reads)).withColumn("problems", F.when(F.size("unread") > 0, F.col("unread")).otherwise(listed(adds)))
+    out = stored(out.select("file", "payment_date", "detail_month", "problems"), "notices")  # a row a file, read by all that follows
     good = out.where("size(problems) = 0").select("file", "payment_date", "detail_month")
     grouped = spelling_groups(details.join(good.select("file"), "file", "left_semi")).join(good, "file")
     plain = adverts.join(good, "file").withColumn("title", shueisha_title(F.col("title")))
